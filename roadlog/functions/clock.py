@@ -16,7 +16,7 @@ def minute_of_year_ms(moy: Column, ms: Column, year: int, zone: str, simulation:
         start = F.lit(0)
     else:
         start = _zone_ms(F.make_timestamp(F.lit(year), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0)), zone)
-    return (moy * F.lit(60_000) + ms + start).cast("long")
+    return (moy.cast("long") * 60_000 + ms + start).cast("long")
 
 
 def date_struct_ms(d: Column, zone: str = "UTC") -> Column:

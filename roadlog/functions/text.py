@@ -20,7 +20,7 @@ def unescape(text: Column) -> Column:
 
 def key_values(text: Column, item: str = ",", pair: str = ":") -> Column:
     """`k:v,k:v` to a map; blanks around names and values are removed, a repeated name keeps its last value."""
-    items = F.filter(F.transform(F.split(text, item), F.trim), lambda x: F.instr(x, pair) > 0)
+    items = F.filter(F.transform(F.split(text, item), lambda x: F.trim(x)), lambda x: F.instr(x, pair) > 0)
     pairs = F.transform(items, lambda x: F.struct(
         F.trim(F.split(x, pair, 2)[0]).alias("k"), F.trim(F.split(x, pair, 2)[1]).alias("v")))
     last = F.filter(pairs, lambda p, i: ~F.exists(

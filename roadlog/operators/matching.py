@@ -50,15 +50,15 @@ def fifo_match(source: DataFrame, target: DataFrame, by, t: str, *, source_tie=(
     s = s.withColumn("__st", F.col("__tie")).drop("__tie")
     both = s.unionByName(g, allowMissingColumns=True)
     o = Ordered.of(both, by, "__t", ["__side", "__st", *[f"__g{i}" for i in range(len(names(target_tie)))]])
-    o = o.running(__S=("sum", F.when(F.col("__side") == 0, 1).otherwise(0).cast("long")),
-                  __T=("sum", F.when(F.col("__side") == 1, 1).otherwise(0).cast("long")))
-    o = o.with_columns(__d=F.col("__T") - F.col("__S")).running(__m=("max", "__d"))
-    o = o.with_columns(__U=F.greatest(F.lit(0), "__m")).prev(__pU="__U")
+    o = o.running(__n_src=("sum", F.when(F.col("__side") == 0, 1).otherwise(0).cast("long")),
+                  __n_tgt=("sum", F.when(F.col("__side") == 1, 1).otherwise(0).cast("long")))
+    o = o.with_columns(__d=F.col("__n_tgt") - F.col("__n_src")).running(__m=("max", "__d"))
+    o = o.with_columns(__lost=F.greatest(F.lit(0), "__m")).prev(__plost="__lost")
     ranked = o.df
-    sources = ranked.where(F.col("__side") == 0).select(*keys, F.col("__S").alias("__rank"), "__s")
-    lost = F.col("__U") > F.coalesce(F.col("__pU"), F.lit(0))
+    sources = ranked.where(F.col("__side") == 0).select(*keys, F.col("__n_src").alias("__rank"), "__s")
+    lost = F.col("__lost") > F.coalesce(F.col("__plost"), F.lit(0))
     targets = ranked.where(F.col("__side") == 1).select(
-        *keys, "__g", F.when(~lost, F.col("__T") - F.col("__U")).alias("__rank"))
+        *keys, "__g", F.when(~lost, F.col("__n_tgt") - F.col("__lost")).alias("__rank"))
     pairs = targets.join(sources, [*keys, "__rank"], "left")
     return pairs.select(*keys, "__g.*", "__s.*").withColumn("delay", F.col(t) - F.col("t_source"))
 

@@ -84,8 +84,9 @@ def flatten_pairs(df: DataFrame, keys: list[str], text: str, fields: list[str],
     """
     lines = F.split(F.col(text), line)
     out = []
+    named = lambda field: lambda line: F.trim(F.split(line, pair, 2)[0]) == F.lit(field)
     for field in fields:
-        hit = F.filter(lines, lambda s, field=field: F.trim(F.split(s, pair, 2)[0]) == field)
+        hit = F.filter(lines, named(field))
         value = F.trim(F.get(F.split(F.get(hit, F.lit(0)), pair, 2), F.lit(1)))
         out.append(F.when(value != "", value).alias(field))
     return df.select(*keys, *out)
@@ -112,8 +113,8 @@ def payload_dictionary(df: DataFrame, topic: str, payload: str, t: str, tie=(),
     """Topic, field and type of the first JSON message of every topic (or of the listed topics)."""
     rows = df if only is None else df.where(F.col(topic).isin(only))
     first = rows.groupBy(topic).agg(F.min_by(payload, F.struct(t, *names(tie))).alias("__p"))
-    fields = first.withColumn("field", F.explode(F.json_object_keys("__p")))
-    value = F.get_json_object(F.col("__p"), F.concat(F.lit("$."), F.col("field")))
+    fields = first.select(topic, F.explode(F.from_json("__p", "map<string, string>")).alias("field", "__v"))
+    value = F.col("__v")
     kind = (F.when(value.isNull(), "null").when(value.try_cast("long").isNotNull(), "long")
             .when(value.try_cast("double").isNotNull(), "double").when(value.isin("true", "false"), "boolean")
             .otherwise("string"))

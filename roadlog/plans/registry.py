@@ -14,6 +14,9 @@ ORACLES: dict[str, str] = {}
 H = 3_600_000_000       # an hour in the microseconds of the event clock
 DAY = 24 * H
 
+# moves values off the exact halves that two engines may round to different sides
+SHIFT = 1e-9
+
 # the events table as a message log
 EV = """ev AS (SELECT user_id AS run_id, epoch_us(ts) AS t, event_id AS seq, event_type AS topic, value,
  CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)"""
@@ -41,7 +44,7 @@ def _spark_column(name: str, kind: str) -> Column:
     if kind == "i":
         return c.cast("long").alias(name)
     if kind == "f":
-        return (F.round(c.cast("double"), 6) + F.lit(0.0)).alias(name)
+        return (F.round(c.cast("double") + F.lit(SHIFT), 6) + F.lit(0.0)).alias(name)
     return c.cast({"b": "boolean", "s": "string"}[kind]).alias(name)
 
 
@@ -49,7 +52,7 @@ def _sql_column(name: str, kind: str) -> str:
     if kind == "i":
         return f"CAST({name} AS BIGINT) AS {name}"
     if kind == "f":
-        return f"ROUND(CAST({name} AS DOUBLE), 6) + 0.0 AS {name}"
+        return f"ROUND(CAST({name} AS DOUBLE) + {SHIFT}, 6) + 0.0 AS {name}"
     return f"CAST({name} AS {'BOOLEAN' if kind == 'b' else 'VARCHAR'}) AS {name}"
 
 

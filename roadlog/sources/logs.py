@@ -50,7 +50,7 @@ def keyword_log(lines: DataFrame, file: str, order: list[str], text: str, keywor
     """
     levels = ["INFO", "DEBUG", "ERROR"]
     part = F.get(F.split(F.trim(text), " - "), F.lit(1))
-    fields = F.filter(F.transform(F.split(part, ":"), F.trim), lambda x: ~x.isin(levels))
+    fields = F.filter(F.transform(F.split(part, ":"), lambda x: F.trim(x)), lambda x: ~x.isin(levels))
     title, value = F.get(fields, F.lit(0)), F.get(fields, F.lit(1))
     head = F.get(F.split(F.trim(text), " - "), F.lit(0))
     time = F.trim(F.regexp_replace(F.get(F.split(F.regexp_replace(head, r"\[", ""), r"\]"), F.lit(0)), r'["{}]|log|status:200', ""))
@@ -73,7 +73,7 @@ def item_log(lines: DataFrame, keep: list[str], text: str, keyword: str) -> Data
     time = F.get(F.split(F.trim(F.get(F.split(F.trim(text), " - "), F.lit(0))), r"\s+"), F.lit(1))
     hits = lines.where(F.lower(part).contains(keyword.strip().lower()))
     items = hits.select(*keep, time.alias("time"), F.posexplode(F.split(part, ";")).alias("place", "__item"))
-    fields = F.transform(F.split(F.trim("__item"), ":"), F.trim)
+    fields = F.transform(F.split(F.trim("__item"), ":"), lambda x: F.trim(x))
     two = F.size(fields) == 2
     name = F.regexp_replace(F.when(two, fields[0]).otherwise(F.get(fields, F.lit(1))), " ", "_")
     value = F.when(two, fields[1]).otherwise(F.get(fields, F.lit(2)))
