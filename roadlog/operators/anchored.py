@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from .ordered import names
 
 
-def anchored_windows(df: DataFrame, by, t: str, *, slot: int, length: int, buckets: int = 256) -> DataFrame:
+def anchored_windows(df: DataFrame, by, t: str, *, slot: int, length: int) -> DataFrame:
     """Greedy windows of `length` slots: by, start (first slot), n events, closed.
 
     The first event opens a window; the first event at least `length` slots after the opening one
@@ -24,17 +24,16 @@ def anchored_windows(df: DataFrame, by, t: str, *, slot: int, length: int, bucke
         T.StructField("start", T.LongType()), T.StructField("n", T.LongType()), T.StructField("closed", T.BooleanType())])
 
     def cut(rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, one in rows.sort_values([*keys, "slot"]).groupby(keys, sort=False, dropna=False):
-            entity = [one[k].iloc[0] for k in keys]
-            start, n = None, 0
-            for place, count in zip(one["slot"].tolist(), one["c"].tolist()):
-                if start is None or place >= start + length:
-                    if start is not None:
-                        out.append([*entity, start, n, True])
-                    start, n = place, 0
-                n += count
-            out.append([*entity, start, n, False])
+        rows = rows.sort_values("slot")
+        entity = [rows[k].iloc[0] for k in keys]
+        out, start, n = [], None, 0
+        for place, count in zip(rows["slot"].tolist(), rows["c"].tolist()):
+            if start is None or place >= start + length:
+                if start is not None:
+                    out.append([*entity, start, n, True])
+                start, n = place, 0
+            n += count
+        out.append([*entity, start, n, False])
         return pd.DataFrame(out, columns=[f.name for f in schema.fields])
 
-    return counted.groupBy(F.pmod(F.xxhash64(*keys), F.lit(buckets))).applyInPandas(cut, schema)
+    return counted.groupBy(*keys).applyInPandas(cut, schema)

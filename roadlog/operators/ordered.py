@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 CHUNK = "__chunk"
 ROWS_CONF, ROWS_DEFAULT = "spark.roadlog.chunkRows", 4_000_000
-BYTES_CONF, BYTES_DEFAULT = "spark.roadlog.smallBytes", 64 * 1024 * 1024
+BYTES_CONF, BYTES_DEFAULT = "spark.roadlog.smallBytes", 32 * 1024 * 1024
 
 
 def names(value: str | Sequence[str] | None) -> list[str]:
@@ -51,27 +51,31 @@ def is_small(df: DataFrame) -> bool:
     return int(str(estimate)) <= limit
 
 
+_WIDTHS: dict[tuple, float | None] = {}
+
+
 def chunk_width(df: DataFrame, by: Sequence[str], t: str) -> float | None:
     """Width of the time chunks that keep every (entity, chunk) near the row budget.
 
-    None when no entity needs cutting. The finest chunk is one instant of one entity.
+    None when no entity needs cutting. The finest chunk is one instant of one entity. The answer is
+    kept per plan; it decides only how work is spread, never a result.
     """
     if is_small(df):
         return None
     budget = row_budget(df)
+    known = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), tuple(by), t, budget)
+    if known not in _WIDTHS:
+        _WIDTHS[known] = _measure_width(df, by, t, budget)
+    return _WIDTHS[known]
+
+
+def _measure_width(df: DataFrame, by: Sequence[str], t: str, budget: int) -> float | None:
     sizes = df.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.min(t).alias("lo"), F.max(t).alias("hi")
     )
-    no_key = F.lit(False)
-    for key in by:
-        no_key = no_key | F.col(key).isNull()
-    top = sizes.agg(
-        F.max_by(F.struct("n", "lo", "hi"), F.col("n")).alias("top"), F.max(no_key).alias("no_key")
-    ).first()
+    top = sizes.agg(F.max_by(F.struct("n", "lo", "hi"), F.col("n")).alias("top")).first()
     if top is None or top.top is None or top.top.n <= budget:
         return None
-    if top.no_key:
-        raise ValueError(f"null in entity columns {list(by)}; name the entity before ordering by {t}")
     whole = not isinstance(top.top.lo, float)
     span = float(top.top.hi - top.top.lo) + (1 if whole else 0)
     width = span * budget / top.top.n
@@ -92,13 +96,22 @@ def chunk_width(df: DataFrame, by: Sequence[str], t: str) -> float | None:
     return width
 
 
+def chunk_of(by: Sequence[str], t: str, width: float) -> Column:
+    """Chunk number of a row; a null entity is an error, since its chunks could not be joined again."""
+    named = F.lit(True)
+    for key in by:
+        named = named & F.col(key).isNotNull()
+    refusal = F.raise_error(F.lit(f"null in entity columns {list(by)}")).cast("long")
+    return F.when(named, F.floor(F.col(t) / F.lit(width))).otherwise(refusal)
+
+
 class Ordered:
     """Rows of each entity in (t, tie) order, to which ordered columns are added step by step."""
 
     def __init__(self, df: DataFrame, by, t: str, tie=(), width: float | None = None):
         self.by, self.t, self.tie, self.width = names(by), t, names(tie), width
         if width is not None and CHUNK not in df.columns:
-            df = df.withColumn(CHUNK, F.floor(F.col(t) / F.lit(width)))
+            df = df.withColumn(CHUNK, chunk_of(self.by, t, width))
         self._df = df
 
     @classmethod
@@ -245,6 +258,8 @@ class Ordered:
 
     def span(self, back: float, forth: float = 0, **columns: Callable) -> Ordered:
         """Aggregates over the rows with time in [t - back, t + forth]; name=function(Window)."""
+        # range frames over whole-number times need whole-number bounds
+        back, forth = (int(x) if float(x).is_integer() else x for x in (back, forth))
         if self.width is None:
             frame = Window.partitionBy(*self.by).orderBy(self.t).rangeBetween(-back, forth)
             return self.map(lambda df: df.withColumns({n: f(frame) for n, f in columns.items()}))

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from .ordered import CHUNK, chunk_width, names
 
-BUCKETS_CONF, BUCKETS_DEFAULT = "spark.roadlog.buckets", 256
+BUCKETS_CONF = "spark.roadlog.buckets"      # four per shuffle partition when not set
 
 
 def scan(df: DataFrame, by, t: str, tie, out_schema: str, *,
@@ -32,7 +32,8 @@ def scan(df: DataFrame, by, t: str, tie, out_schema: str, *,
     import json
 
     keys, order = names(by), [t, *names(tie)]
-    buckets = int(df.sparkSession.conf.get(BUCKETS_CONF, str(BUCKETS_DEFAULT)))
+    conf = df.sparkSession.conf
+    buckets = int(conf.get(BUCKETS_CONF, None) or 4 * int(conf.get("spark.sql.shuffle.partitions")))
     packed = df.withColumn("__bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
     width = chunk_width(packed, ["__bucket"], t)
     schema = T.StructType([df.schema[k] for k in keys] + list(T.StructType.fromDDL(out_schema).fields))

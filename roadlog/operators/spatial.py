@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import side
-from .ordered import Ordered, names
+from ..session import cut
+from .ordered import Ordered, is_small, names
 
 ROUTE_POINTS = 2_000    # a route up to this size travels with its recording as one array
 
@@ -117,22 +118,17 @@ def segments(path: DataFrame, by, t: str, tie=()) -> DataFrame:
     return legs.select(*names(by), F.col(t).alias("t1"), "t2", F.col("x").alias("x1"), F.col("y").alias("y1"), "x2", "y2")
 
 
-def crossings(path_a: DataFrame, path_b: DataFrame, by, t: str, cell: float, tie=()) -> DataFrame:
-    """All crossing points of two paths: by, x, y, t_a, t_b.
+def _celled(legs: DataFrame, keys: list[str], cell: float, tag: str) -> DataFrame:
+    size = F.lit(float(cell))
+    legs = legs.withColumn("__cx", F.explode(_cells(F.least("x1", "x2"), F.greatest("x1", "x2"), size)))
+    legs = legs.withColumn("__cy", F.explode(_cells(F.least("y1", "y2"), F.greatest("y1", "y2"), size)))
+    return legs.select(*keys, "__cx", "__cy", *[F.col(c).alias(f"{tag}{c}") for c in ("t1", "t2", "x1", "y1", "x2", "y2")])
 
-    Legs meet in the grid cells their boxes cover; a pair is judged once, in the cell of the lower
-    left corner of its common box.
-    """
-    keys = names(by)
 
-    def celled(path, tag):
-        legs = segments(path, by, t, tie)
-        size = F.lit(float(cell))
-        legs = legs.withColumn("__cx", F.explode(_cells(F.least("x1", "x2"), F.greatest("x1", "x2"), size)))
-        legs = legs.withColumn("__cy", F.explode(_cells(F.least("y1", "y2"), F.greatest("y1", "y2"), size)))
-        return legs.select(*keys, "__cx", "__cy", *[F.col(c).alias(f"{tag}{c}") for c in ("t1", "t2", "x1", "y1", "x2", "y2")])
-
-    pairs = celled(path_a, "a").join(celled(path_b, "b"), [*keys, "__cx", "__cy"])
+def _crossings(legs_a: DataFrame, legs_b: DataFrame, keys: list[str], cell: float) -> DataFrame:
+    """Crossing points of two sets of legs. Legs meet in the grid cells their boxes cover; a pair is
+    judged once, in the cell of the lower left corner of its common box."""
+    pairs = _celled(legs_a, keys, cell, "a").join(_celled(legs_b, keys, cell, "b"), [*keys, "__cx", "__cy"])
     low = lambda d: F.greatest(F.least(f"a{d}1", f"a{d}2"), F.least(f"b{d}1", f"b{d}2"))
     high = lambda d: F.least(F.greatest(f"a{d}1", f"a{d}2"), F.greatest(f"b{d}1", f"b{d}2"))
     own = (F.floor(low("x") / cell) == F.col("__cx")) & (F.floor(low("y") / cell) == F.col("__cy"))
@@ -150,11 +146,31 @@ def crossings(path_a: DataFrame, path_b: DataFrame, by, t: str, cell: float, tie
 
 
 def conflict_point(path_a, path_b, by, t: str, cell: float, tie=()) -> DataFrame:
-    """The first crossing along the first path, per entity."""
-    found = crossings(path_a, path_b, by, t, cell, tie)
-    return found.groupBy(*names(by)).agg(
-        F.min(F.struct("t_a", "t_b", "x", "y")).alias("__c"), F.count(F.lit(1)).alias("n")
-    ).select(*names(by), "__c.*", "n")
+    """The first crossing along the first path, per entity: by, t_a, t_b, x, y.
+
+    On large input the first path is tried piece by piece from its start, each piece eight times as
+    long as the one before, and an entity is done at its first hit. So long paths never meet leg by
+    leg as a whole.
+    """
+    keys = names(by)
+    legs_a, legs_b = segments(path_a, by, t, tie), segments(path_b, by, t, tie)
+
+    def first(part, other):
+        found = _crossings(part, other, keys, cell)
+        return found.groupBy(*keys).agg(F.min(F.struct("t_a", "t_b", "x", "y")).alias("__c")).select(*keys, "__c.*")
+
+    if is_small(legs_a.unionByName(legs_b)):
+        return first(legs_a, legs_b)
+    todo = cut(Ordered.of(legs_a, by, "t1").number("__n").df)
+    longest = todo.agg(F.max("__n")).first()[0] or 0
+    begin, size, done = 0, 256, None
+    while begin < longest:
+        piece = todo.where((F.col("__n") > begin) & (F.col("__n") <= begin + size)).drop("__n")
+        hits = cut(first(piece, legs_b.join(todo.select(*keys).distinct(), keys, "left_semi")))
+        done = hits if done is None else done.unionByName(hits)
+        todo = todo.join(hits.select(*keys), keys, "left_anti")
+        begin, size = begin + size, size * 8
+    return done if done is not None else first(legs_a, legs_b)
 
 
 def offset_search(ref: DataFrame, sensor: DataFrame, by, idx: str, search: int, error) -> DataFrame:
@@ -179,10 +195,14 @@ def offset_search(ref: DataFrame, sensor: DataFrame, by, idx: str, search: int,
 def danger_times(own: DataFrame, other: DataFrame, by, t: str, radius: float, tie=()) -> DataFrame:
     """For each own path point, the times during which the other track is closer than `radius`.
 
-    The other track is linear between its rows. Own points meet only the legs in nearby grid cells.
+    The other track is linear between its rows; a standstill is one leg, however many rows it has.
+    Own points meet only the legs in nearby grid cells.
     """
     keys = names(by)
-    o = Ordered.of(other, by, t, tie).next(__x2="x", __y2="y", __t2=t)
+    o = Ordered.of(other, by, t, tie).prev(__x0="x", __y0="y").next(__x2="x", __y2="y")
+    rests = (F.col("x") == F.col("__x0")) & (F.col("y") == F.col("__y0")) & (F.col("x") == F.col("__x2")) & (F.col("y") == F.col("__y2"))
+    corners = o.where(~F.coalesce(rests, F.lit(False)))
+    o = corners.next(__x2="x", __y2="y", __t2=t)
     legs = o.df.where(F.col("__t2") > F.col(t))
     reach, size = F.lit(float(radius)), F.lit(2.0 * radius)
     legs = legs.select(*keys, F.col("x").alias("__x1"), F.col("y").alias("__y1"), F.col(t).alias("__t1"), "__x2", "__y2", "__t2")
@@ -211,27 +231,30 @@ def conflict_scan(own: DataFrame, other: DataFrame, by, t: str, radius: float, h
 
     The vehicle keeps the speed `v` of the row along its own later path; a conflict is the first later
     path point at which it would arrive while the other track is closer than `radius`. A standing
-    vehicle conflicts (0) when the other one is that close at that moment. Rows meet only dangerous
-    path points whose danger times fall into the row's horizon.
+    vehicle conflicts (0) when the other one is that close at that moment, which is one interpolation
+    per row. Moving rows meet only the dangerous path points whose danger times fall into the row's
+    horizon; points without motion are no path points, so a parked vehicle adds none.
     """
+    from .trajectory import interpolate_at
+
     keys = names(by)
     o = Ordered.of(own, by, t, tie).prev(__px="x", __py="y")
     step = F.coalesce(F.hypot(F.col("x") - F.col("__px"), F.col("y") - F.col("__py")), F.lit(0.0))
     path = o.with_columns(__step=step).running(__s=("sum", "__step")).number("__i").df.drop("__px", "__py")
-    danger = danger_times(path.select(*keys, t, "x", "y", "__s", "__i", "__step"), other, by, t, radius)
+    danger = danger_times(path.where("__step > 0").select(*keys, "x", "y", "__s", "__i"), other, by, t, radius)
     slot = lambda c: F.floor(c / F.lit(float(horizon)))
-    danger = danger.withColumn("__slot", F.explode(F.sequence(slot(F.col("t_from")), slot(F.col("t_to")))))
-    spots = danger.select(*keys, "__slot", F.col("__s").alias("__sj"), F.col("__i").alias("__j"),
-                          F.col("__step").alias("__stepj"), F.col(t).alias("__tj"), "t_from", "t_to")
-    starts = path.withColumn("__slot", F.explode(F.sequence(slot(F.col(t)), slot(F.col(t)) + 1)))
-    pairs = starts.join(spots, [*keys, "__slot"])
+    spots = danger.withColumn("__slot", F.explode(F.sequence(slot(F.col("t_from")), slot(F.col("t_to")))))
+    spots = spots.select(*keys, "__slot", F.col("__s").alias("__sj"), F.col("__i").alias("__j"), "t_from", "t_to")
+    starts = path.where(F.col("v") >= still).withColumn("__slot", F.explode(F.sequence(slot(F.col(t)), slot(F.col(t)) + 1)))
     travel = (F.col("__sj") - F.col("__s")) / F.col("v") * F.lit(unit)
     arrives = F.col(t) + travel
-    moving = (F.col("v") >= still) & (F.col("__j") > F.col("__i")) & (F.col("__stepj") > 0) & (travel <= horizon) & (
-        arrives > F.col("t_from")) & (arrives < F.col("t_to"))
-    standing = (F.abs(F.col("v")) < still) & (F.col("__j") == F.col("__i")) & (F.col(t) >= F.col("t_from")) & (F.col(t) <= F.col("t_to"))
-    hits = pairs.where(moving | standing)
-    first = hits.groupBy(*keys, "__i").agg(F.min(F.when(F.abs(F.col("v")) < still, F.lit(0.0)).otherwise(travel)).alias("ttc"))
+    meets = (F.col("__j") > F.col("__i")) & (travel <= horizon) & (arrives > F.col("t_from")) & (arrives < F.col("t_to"))
+    moving = starts.join(spots, [*keys, "__slot"]).where(meets).select(*keys, "__i", travel.alias("ttc"))
+    stands = path.where(F.abs(F.col("v")) < still).select(*keys, t, "__i", F.col("x").alias("__x"), F.col("y").alias("__y"))
+    beside = interpolate_at(other, stands, by, t, ["x", "y"], tie=tie)
+    close = F.hypot(F.col("x") - F.col("__x"), F.col("y") - F.col("__y")) < radius
+    hits = moving.unionByName(beside.where(close).select(*keys, "__i", F.lit(0.0).alias("ttc")))
+    first = hits.groupBy(*keys, "__i").agg(F.min("ttc").alias("ttc"))
     return path.join(first, [*keys, "__i"], "left").select(*own.columns, "ttc")
 
 

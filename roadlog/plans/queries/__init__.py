@@ -1,3 +1,3 @@
 """The registered queries, by family."""
 
-# filled below
+from . import aggregates, joins, logs, metrics, reshape, space, streams, windows  # noqa: F401

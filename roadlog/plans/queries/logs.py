@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ...operators import quality
 from ...sources import logs, tables
-from ..registry import DAY, EV, load, messages, query
+from ..registry import DAY, EV, load, messages, micros, query
 
 T0 = 1704067200000000     # 2024-01-01 in microseconds
 
@@ -14,7 +14,11 @@ T0 = 1704067200000000     # 2024-01-01 in microseconds
 @query("topic_scan", "run_id:i t:i seq:i topic:s value:f", f"""
 WITH {EV} SELECT run_id, t, seq, topic, value FROM ev WHERE topic IN ('click', 'view') AND t BETWEEN {T0 + 5 * DAY} AND {T0 + 20 * DAY}""")
 def topic_scan(spark, sf):
-    return tables.scan(messages(spark, sf), ["click", "view"], T0 + 5 * DAY, T0 + 20 * DAY)
+    # the bounds are on the stored time, so topic and time both reach the file scan
+    stored = load(spark, sf, "events").withColumnRenamed("event_type", "topic")
+    first, last = (F.lit(day).cast("timestamp_ntz") for day in ("2024-01-06 00:00:00", "2024-01-21 00:00:00"))
+    hits = tables.scan(stored, ["click", "view"], first, last, t="ts")
+    return hits.select(F.col("user_id").alias("run_id"), micros("ts").alias("t"), F.col("event_id").alias("seq"), "topic", "value")
 
 
 @query("topic_inventory", "run_id:i topic:s n:i", f"WITH {EV} SELECT run_id, topic, count(*) AS n FROM ev GROUP BY ALL")

@@ -52,13 +52,11 @@ def flatten_pairs(spark, sf):
     return out.withColumn("speed", F.col("speed").cast("double"))
 
 
-@query("nested_objects", "o_orderkey:i place:i l_partkey:i l_quantity:f", """
-SELECT l_orderkey AS o_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS place, l_partkey, l_quantity FROM lineitem""")
+@query("nested_objects", "vec_id:i place:i object_id:i weight:f", """
+SELECT vec_id, unnest(range(0, len(embedding))) AS place, unnest(range(0, len(embedding))) + 1000 AS object_id, unnest(embedding) AS weight FROM embeddings""")
 def nested_objects(spark, sf):
-    # an order holds a bounded number of lines; the message is built and exploded again
-    lines = load(spark, sf, "lineitem").groupBy("l_orderkey").agg(
-        F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"))).alias("objects"))
-    return reshape.explode_objects(lines.withColumnRenamed("l_orderkey", "o_orderkey"), "objects", ["o_orderkey"], "place")
+    objects = F.transform("embedding", lambda v, i: F.struct((i + 1000).alias("object_id"), v.alias("weight")))
+    return reshape.explode_objects(load(spark, sf, "embeddings").withColumn("objects", objects), "objects", ["vec_id"], "place")
 
 
 @query("object_with_id", "vec_id:i place:i weight:f", """

@@ -89,12 +89,12 @@ def cross_track_share(spark, sf):
 _SEG = """s{i} AS (SELECT run_id, t AS t1, lead(t) OVER w AS t2, x AS x1, y AS y1, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM {src} WINDOW w AS (PARTITION BY run_id ORDER BY t, seq))"""
 
 
-@query("segment_crossing", "run_id:i n:i t_a:f x:f y:f", f"""
+@query("segment_crossing", "run_id:i t_a:f x:f y:f", f"""
 WITH {_P}, {_SEG.format(i='a', src='p')}, {_SEG.format(i='b', src='r')},
 c AS (SELECT a.run_id, a.t1, a.t2, a.x1, a.y1, a.x2 - a.x1 AS rx, a.y2 - a.y1 AS ry, b.x2 - b.x1 AS sx, b.y2 - b.y1 AS sy, b.x1 - a.x1 AS qx, b.y1 - a.y1 AS qy
  FROM sa a JOIN sb b ON a.run_id = b.run_id WHERE a.x2 IS NOT NULL AND b.x2 IS NOT NULL),
 d AS (SELECT *, (qx * sy - qy * sx) / nullif(rx * sy - ry * sx, 0) AS u, (qx * ry - qy * rx) / nullif(rx * sy - ry * sx, 0) AS v FROM c)
-SELECT run_id, count(*) AS n, min((t1 + u * (t2 - t1) - 1704067200000000) / {float(H)}) AS t_a, arg_min(x1 + u * rx, t1 + u * (t2 - t1)) AS x, arg_min(y1 + u * ry, t1 + u * (t2 - t1)) AS y
+SELECT run_id, min((t1 + u * (t2 - t1) - 1704067200000000) / {float(H)}) AS t_a, arg_min(x1 + u * rx, t1 + u * (t2 - t1)) AS x, arg_min(y1 + u * ry, t1 + u * (t2 - t1)) AS y
 FROM d WHERE u BETWEEN 0 AND 1 AND v BETWEEN 0 AND 1 GROUP BY run_id""")
 def segment_crossing(spark, sf):
     out = spatial.conflict_point(_track(spark, sf, "click"), _track(spark, sf, "view"), RUN, T, 50.0, SEQ)
@@ -193,7 +193,7 @@ def max_speed(spark, sf):
 @query("conflict_scan", "run_id:i seq:i ttc:f", f"""
 WITH {_P}, o AS (SELECT *, x / 50.0 AS v, coalesce(sqrt((x - lag(x) OVER {W}) ** 2 + (y - lag(y) OVER {W}) ** 2), 0) AS step, row_number() OVER {W} AS i FROM p),
 q AS (SELECT *, sum(step) OVER {W} AS s FROM o), a AS (SELECT x.run_id, x.seq, x.t, (y.s - x.s) / x.v * {float(H)} AS travel, y.x AS px, y.y AS py
- FROM q x JOIN q y ON x.run_id = y.run_id AND y.i > x.i WHERE x.v >= 0.01 AND y.step > 0 AND (y.s - x.s) / x.v * {float(H)} <= {30*DAY}),
+ FROM q x JOIN q y ON x.run_id = y.run_id AND y.i > x.i WHERE x.v >= 0.01 AND y.step > 0 AND (y.s - x.s) / x.v * {float(H)} <= {DAY}),
 l AS (SELECT run_id, t, lead(t) OVER w AS nt, x, y, lead(x) OVER w AS nx, lead(y) OVER w AS ny FROM r WINDOW w AS (PARTITION BY run_id ORDER BY t, seq)),
 m AS (SELECT a.*, l.x + (l.nx - l.x) * ((a.t + travel - l.t) / (l.nt - l.t)) AS ox, l.y + (l.ny - l.y) * ((a.t + travel - l.t) / (l.nt - l.t)) AS oy
  FROM a JOIN l ON a.run_id = l.run_id AND a.t + travel > l.t AND a.t + travel < l.nt),
@@ -203,7 +203,7 @@ h AS (SELECT run_id, seq, min(travel) AS ttc FROM m WHERE sqrt((ox - px) ** 2 +
 SELECT q.run_id, q.seq, h.ttc / {float(H)} AS ttc FROM q LEFT JOIN h ON q.seq = h.seq""")
 def conflict_scan(spark, sf):
     own = _track(spark, sf, "click").withColumn("v", F.col("x") / 50.0)
-    out = spatial.conflict_scan(own, _track(spark, sf, "view"), RUN, T, 15.0, 30.0 * DAY, unit=float(H), tie=SEQ)
+    out = spatial.conflict_scan(own, _track(spark, sf, "view"), RUN, T, 15.0, float(DAY), unit=float(H), tie=SEQ)
     return out.withColumn("ttc", F.col("ttc") / F.lit(float(H)))
 
 
@@ -251,16 +251,15 @@ def vehicle_gap(spark, sf):
 
 @query("planner_change", "l_orderkey:i place:i quantity:f following:s", """
 WITH a AS (SELECT l_orderkey, row_number() OVER w - 1 AS place, l_quantity, l_returnflag, lead(l_returnflag) OVER w AS following FROM lineitem
- WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag))
+ WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_shipdate, l_partkey, l_suppkey, l_quantity, l_returnflag))
 SELECT l_orderkey, min(place) AS place, arg_min(l_quantity, place) AS quantity, arg_min(following, place) AS following FROM a WHERE following <> l_returnflag GROUP BY l_orderkey""")
 def planner_change(spark, sf):
-    # a trajectory is the list of an order's lines; the point where its planner changes
-    order = ["l_shipdate", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag"]
-    paths = load(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(*order))).alias("points"))
-    steps = paths.select("l_orderkey", "points", F.posexplode("points").alias("place", "p"))
-    steps = steps.withColumn("following", F.get("points", F.col("place") + 1)["l_returnflag"])
-    changed = steps.where(F.col("following") != F.col("p.l_returnflag"))
-    return changed.groupBy("l_orderkey").agg(F.min("place").alias("place"), F.min_by(F.col("p.l_quantity"), "place").alias("quantity"),
+    # the lines of an order as the points of a trajectory; where the planner of the points changes
+    points = load(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag")
+    o = Ordered.of(points, "l_orderkey", "l_linenumber", ["l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag"])
+    steps = o.number("n").next(following="l_returnflag").df.withColumn("place", F.col("n") - 1)
+    changed = steps.where(F.col("following") != F.col("l_returnflag"))
+    return changed.groupBy("l_orderkey").agg(F.min("place").alias("place"), F.min_by("l_quantity", "place").alias("quantity"),
                                              F.min_by("following", "place").alias("following"))
 
 

@@ -32,3 +32,13 @@ def write_messages(messages: DataFrame, path: str, by, t: str) -> None:
     """The message log as the scans want it: a folder per topic, sorted by entity and time inside."""
     spread = messages.repartitionByRange("topic", *names(by), t).sortWithinPartitions("topic", *names(by), t)
     spread.write.mode("overwrite").partitionBy("topic").parquet(path)
+
+
+def save_bucketed(messages: DataFrame, table: str, by, t: str, buckets: int) -> None:
+    """The message log as a table bucketed by entity and sorted by time.
+
+    Windows, as-of joins and aggregates per entity then need no shuffle, so a catalogue of metrics
+    shuffles the recordings once, when they are stored.
+    """
+    keys = names(by)
+    messages.write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys, t).saveAsTable(table)

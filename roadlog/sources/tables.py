@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def scan(messages: DataFrame, topics: list[str], start=None, end=None, t: str = "t") -> DataFrame:
@@ -22,24 +21,16 @@ def topic_counts(messages: DataFrame, by: list[str]) -> DataFrame:
     return messages.groupBy(*by, "topic").agg(F.count(F.lit(1)).alias("n"))
 
 
-def read_csv(spark: SparkSession, path, schema: str, *, header: bool = True, strict: bool = False, skip: int = 0) -> DataFrame:
-    """CSV with a declared schema; headerless files take the schema's names in order.
+def read_csv(spark: SparkSession, path, schema: str, *, header: bool = True, strict: bool = False) -> DataFrame:
+    """CSV with a declared schema; the schema's names replace those of a header line.
 
-    strict checks the header against the schema and rejects malformed rows. skip leaves out the first
-    lines of every file, found by the byte offset of their split and their number inside it.
+    Headerless files take the schema's names in order. strict checks the header against the schema and
+    fails on malformed rows.
     """
     reader = spark.read.schema(schema).option("header", header)
     if strict:
         reader = reader.option("enforceSchema", False).option("mode", "FAILFAST")
-    if not skip:
-        return reader.csv(path)
-    lines = spark.read.text(path).select(
-        "value", F.col("_metadata.file_path").alias("__f"), F.col("_metadata.file_block_start").alias("__b"),
-        F.monotonically_increasing_id().alias("__i"))
-    firsts = lines.where("__b = 0").groupBy("__f").agg(F.min("__i").alias("__first"))
-    body = lines.join(firsts, "__f").where((F.col("__b") > 0) | (F.col("__i") >= F.col("__first") + skip))
-    names = [f.name for f in T.StructType.fromDDL(schema).fields]
-    return body.select(F.from_csv("value", schema).alias("__r")).select(*[F.col("__r")[n].alias(n) for n in names])
+    return reader.csv(path)
 
 
 def split_spaces(lines: DataFrame, text: str, fields: dict[str, str]) -> DataFrame:
