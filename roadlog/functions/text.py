@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,14 +20,12 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"\\", '"')
 
 
-def key_values(text: Column, item: str = ",", pair: str = ":") -> Column:
-    """`k:v,k:v` to a map; blanks around names and values are removed, a repeated name keeps its last value."""
-    items = F.filter(F.transform(F.split(text, item), lambda x: F.trim(x)), lambda x: F.instr(x, pair) > 0)
-    pairs = F.transform(items, lambda x: F.struct(
-        F.trim(F.split(x, pair, 2)[0]).alias("k"), F.trim(F.split(x, pair, 2)[1]).alias("v")))
-    last = F.filter(pairs, lambda p, i: ~F.exists(
-        F.slice(pairs, i + 2, F.greatest(F.size(pairs) - i - 1, F.lit(0))), lambda q: q["k"] == p["k"]))
-    return F.map_from_entries(last)
+def field_of(text: Column | str, name: str, item: str = ",", pair: str = ":") -> Column:
+    """Value of a name in `k:v,k:v` text, without blanks around it; the last one when repeated, null when absent."""
+    sep = re.escape(item)
+    pattern = rf"(?s)^(?:.*{sep})?\s*{re.escape(name)}\s*{re.escape(pair)}\s*([^{sep}]*?)\s*(?:{sep}.*)?$"
+    # the greedy start makes the last occurrence win
+    return F.when(F.rlike(text, F.lit(pattern)), F.regexp_extract(text, pattern, 1))
 
 
 def any_of(column: Column, words: list[str]) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .ordered import names
+from .ordered import is_small, names
 
 
 def anchored_windows(df: DataFrame, by, t: str, *, slot: int, length: int) -> DataFrame:
@@ -24,16 +24,19 @@ def anchored_windows(df: DataFrame, by, t: str, *, slot: int, length: int) -> Da
         T.StructField("start", T.LongType()), T.StructField("n", T.LongType()), T.StructField("closed", T.BooleanType())])
 
     def cut(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("slot")
-        entity = [rows[k].iloc[0] for k in keys]
-        out, start, n = [], None, 0
-        for place, count in zip(rows["slot"].tolist(), rows["c"].tolist()):
-            if start is None or place >= start + length:
-                if start is not None:
-                    out.append([*entity, start, n, True])
-                start, n = place, 0
-            n += count
-        out.append([*entity, start, n, False])
+        out = []
+        for _, one in rows.sort_values([*keys, "slot"]).groupby(keys, sort=False, dropna=False):
+            entity, start, n = [one[k].iloc[0] for k in keys], None, 0
+            for place, count in zip(one["slot"].tolist(), one["c"].tolist()):
+                if start is None or place >= start + length:
+                    if start is not None:
+                        out.append([*entity, start, n, True])
+                    start, n = place, 0
+                n += count
+            out.append([*entity, start, n, False])
         return pd.DataFrame(out, columns=[f.name for f in schema.fields])
 
-    return counted.groupBy(*keys).applyInPandas(cut, schema)
+    # small data goes to Python in a few large groups, large data entity by entity
+    few = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    groups = [F.pmod(F.xxhash64(*keys), F.lit(few))] if is_small(df) else keys
+    return counted.groupBy(*groups).applyInPandas(cut, schema)

@@ -10,7 +10,7 @@ frames) in two ways with equal results:
   run per (entity, chunk), and what a chunk needs from its neighbours is taken from a summary of
   one row per chunk, or, for frames, from a few rows copied over the chunk border.
 
-The choice is made from the optimizer's size estimate, and above that from one pre-aggregated
+The choice is made from the size of the tables read, and above a limit from one pre-aggregated
 count per entity. Entity columns must not be null once an entity is cut.
 """
 
@@ -43,12 +43,12 @@ def row_budget(df: DataFrame) -> int:
 
 
 def is_small(df: DataFrame) -> bool:
-    """True when the optimizer's size estimate says that even the whole input fits one task."""
+    """True when the tables a plan reads are so small that one task could take them whole."""
     limit = int(df.sparkSession.conf.get(BYTES_CONF, str(BYTES_DEFAULT)))
     if limit <= 0 or not hasattr(df, "_jdf"):
         return False
-    estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(estimate)) <= limit
+    tables = df._jdf.queryExecution().analyzed().collectLeaves()
+    return sum(int(str(tables.apply(i).stats().sizeInBytes())) for i in range(tables.size())) <= limit
 
 
 _WIDTHS: dict[tuple, float | None] = {}

@@ -68,6 +68,12 @@ def anchor_times(anchors, views: dict[str, DataFrame], runs: DataFrame) -> DataF
     return out
 
 
+def views_of(use_case: UseCase) -> set[str]:
+    """Names of the views a use case reads."""
+    named = ("view", "place_view", "acks", "calls", "responses")
+    return {a.view for a in use_case.anchors} | {m.params[p] for m in use_case.metrics for p in named if p in m.params}
+
+
 def evaluate(use_case: UseCase, views: dict[str, DataFrame], runs: DataFrame) -> DataFrame:
     """use_case, run_id, metric_id, value, verdict for every run and metric.
 

@@ -47,12 +47,18 @@ MSG = f"""{EV}, msg AS (SELECT run_id, ((t - {T0}) * 250) // 9 AS t, seq, topic,
 
 
 def recording(spark, sf):
-    """The views and the runs."""
+    """The message log in recording time."""
     tens = F.floor(F.col("k") / 10)
-    msg = messages(spark, sf).select(
+    return messages(spark, sf).select(
         "run_id", F.floor((F.col("t") - T0) * 250 / 9).cast("long").alias("t"), "seq", "topic", "value", "k", tens.alias("tens"),
         F.array(tens, F.col("k") % 10, (F.col("k") + 3) % 10).alias("lanes"))
-    return {name: spark.sql(text.replace("FROM msg", "FROM {msg}"), msg=msg) for name, text in VIEWS.items()}, msg.select("run_id").distinct()
+
+
+def results_of(use_case, msg):
+    """Verdicts of a use case over the views of a message log."""
+    spark = msg.sparkSession
+    views = {name: spark.sql(VIEWS[name].replace("FROM msg", "FROM {msg}"), msg=msg) for name in metrics.views_of(use_case)}
+    return metrics.evaluate(use_case, views, msg.select("run_id").distinct())
 
 
 def _register(name):
@@ -61,8 +67,7 @@ def _register(name):
 
     @query(f"metrics_{name}", "use_case:s run_id:i metric_id:s value:f verdict:s", sql)
     def run(spark, sf):
-        views, runs = recording(spark, sf)
-        return metrics.evaluate(use_case, views, runs)
+        return results_of(use_case, recording(spark, sf))
 
 
 for _name in USE_CASES:
@@ -74,8 +79,7 @@ SELECT run_id, max(verdict) FILTER (metric_id = 'C1T-01') AS c01, max(verdict) F
  max(verdict) FILTER (metric_id = 'C1T-07') AS c07, max(verdict) FILTER (metric_id = 'C1T-14') AS c14
 FROM ({metric_sql.use_case_sql(USE_CASES['scale_vehicle'], MSG, VIEWS)}) GROUP BY run_id""")
 def scorecard(spark, sf):
-    views, runs = recording(spark, sf)
-    results = metrics.evaluate(USE_CASES["scale_vehicle"], views, runs)
+    results = results_of(USE_CASES["scale_vehicle"], recording(spark, sf))
     card = metrics.scorecard(results, ["C1T-01", "C1T-02", "C1T-07", "C1T-14"])
     return card.withColumnsRenamed({f"C1T-{i}": f"c{i}" for i in ("01", "02", "07", "14")})
 
@@ -85,6 +89,6 @@ SELECT use_case, metric_id, count(*) AS n, count(*) FILTER (verdict = 'passed')
 FROM (SELECT * FROM ({metric_sql.use_case_sql(USE_CASES['platooning'], MSG, VIEWS)}) UNION ALL SELECT * FROM ({metric_sql.use_case_sql(USE_CASES['intersection'], MSG, VIEWS)}))
 GROUP BY ROLLUP (use_case, metric_id)""")
 def scorecard_rollup(spark, sf):
-    views, runs = recording(spark, sf)
-    one, two = (metrics.evaluate(USE_CASES[n], views, runs) for n in ("platooning", "intersection"))
+    msg = recording(spark, sf)
+    one, two = (results_of(USE_CASES[n], msg) for n in ("platooning", "intersection"))
     return metrics.summary(one.unionByName(two))

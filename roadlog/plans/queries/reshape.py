@@ -136,8 +136,8 @@ WITH {EV} SELECT seq AS event_id, k > 50 AS approaching, value AS seconds, topic
 def status_decode(spark, sf):
     status = F.concat(F.lit("APPROACHING: "), F.when(F.col("k") > 50, "1").otherwise("0"), F.lit(",TIME_UNTIL:"), F.col("value").cast("string"),
                       F.lit(", ACTION :"), "topic", F.lit(",LANE:"), F.col("k").cast("string"))
-    rows = messages(spark, sf).select(F.col("seq").alias("event_id"), text.key_values(status).alias("m"))
-    m = lambda name: F.col("m")[name]
+    rows = messages(spark, sf).select(F.col("seq").alias("event_id"), status.alias("m"))
+    m = lambda name: text.field_of(F.col("m"), name)
     return rows.select("event_id", (m("APPROACHING") == "1").alias("approaching"), m("TIME_UNTIL").cast("double").alias("seconds"),
                        m("ACTION").alias("action"), m("LANE").cast("long").alias("lane"))
 
@@ -152,10 +152,11 @@ def xml_extract(spark, sf):
     part = F.when(F.col("topic") != "error", F.concat(F.lit("<partII><Value>"), alerts, F.lit("</Value></partII>"))).otherwise("")
     xml = F.concat(F.lit("<BasicSafetyMessage><coreData><speed>"), F.col("value").cast("string"), F.lit("</speed></coreData>"), part, F.lit("</BasicSafetyMessage>"))
     rows = messages(spark, sf).select(F.col("seq").alias("event_id"), xml.alias("xml"))
-    has = lambda path: F.xpath_boolean("xml", F.lit(path))
-    return rows.select("event_id", has("/BasicSafetyMessage/partII").alias("has_part"), has("//vehicleAlerts/sirenUse/inUse").alias("siren"),
-                       has("//vehicleAlerts/lightsUse/inUse").alias("light"), F.xpath_string("xml", F.lit("//vehicleAlerts/responseType")).alias("emergency"),
-                       F.xpath_double("xml", F.lit("/BasicSafetyMessage/coreData/speed")).alias("speed"))
+    # a row without the tag at all needs no parsing
+    has = lambda path: F.col("xml").contains(f"<{path.split('/')[-2]}>") & F.xpath_boolean("xml", F.lit(path))
+    return rows.select("event_id", has("/BasicSafetyMessage/partII/Value").alias("has_part"), has("//vehicleAlerts/sirenUse/inUse").alias("siren"),
+                       has("//vehicleAlerts/lightsUse/inUse").alias("light"), F.when(F.col("xml").contains("<responseType>"), F.xpath_string("xml", F.lit("//vehicleAlerts/responseType"))).otherwise("").alias("emergency"),
+                       F.regexp_extract("xml", "<coreData><speed>([^<]*)</speed>", 1).try_cast("double").alias("speed"))
 
 
 @query("hex_id", "event_id:i reqid:s", f"""

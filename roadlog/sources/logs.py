@@ -38,7 +38,7 @@ def parse_topic_dump(records: DataFrame, schema: str, record: str = "record") ->
     body = F.regexp_extract(text, r"(?s)\{.*$", 0)
     created = digits(F.get(F.split(text, ":"), F.lit(1))).try_cast("long")
     rows = records.withColumn("created_ms", created).withColumn("body", body).where(F.col("body") != "")
-    valid = F.try_parse_json("body").isNotNull()
+    valid = F.json_object_keys("body").isNotNull()
     good = rows.where(valid).withColumn("message", F.from_json("body", schema, {"mode": "PERMISSIVE"}))
     return good.drop(record, "body"), rows.where(~valid).select(*[c for c in records.columns if c != record], "created_ms", "body")
 
