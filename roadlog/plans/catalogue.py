@@ -55,7 +55,7 @@ def _driving(accel: str, distance: str, steady: str, outside: str, advisory: str
 
 BASIC_TRAVEL = UseCase("basic_travel", ENGAGEMENT + FENCE + CONTROL + PLATOON, (
     Metric("B-1", "route", {"view": "route", "column": "lanelets", "which": "first", "members": [3, 4], "relation": "contains"}),
-    Metric("B-2", "always", {"view": "route_state", "holds": f"abs(speed_limit - {ADVISORY_LIMIT}) < 0.01", "window": ("enter", "exit")}),
+    Metric("B-2", "always", {"view": "route_state", "holds": f"abs(speed_limit - {ADVISORY_LIMIT}) < 0.01", "window": ("enter", "exit", 0, 0.8)}),
     Metric("B-3", "value_at", {"view": "twist", "value": f"(speed * speed - {ADVISORY_LIMIT} * {ADVISORY_LIMIT}) / 100", "at": "first_control", "high": 2.0}),
     Metric("B-5", "order", {"view": "route_state", "column": "lanelet_id", "values": [9, 3, 4]}),
     Metric("B-6", "anchor_gap", {"first": "accepted", "second": "asked_again", "low": 0.0}),
@@ -98,7 +98,7 @@ WORK_ZONE = UseCase("work_zone", ENGAGEMENT + FENCE + CONTROL + (
     Metric("WZ-15", "value_at", {"view": "twist", "value": "speed", "at": "green", "low": ADVISORY_LIMIT - MPH_2, "high": ADVISORY_LIMIT + MPH_2}),
     Metric("WZ-16", "second_rate", {"view": "twist", "value": "speed", "limit": 2.0, "window": ("start", "enter")}),
     Metric("WZ-23", "held", {"view": "twist", "holds": STEADY, "seconds": 3.0, "window": ("exit", "finish")}),
-    Metric("WZ-24", "always", {"view": "route_state", "holds": f"abs(speed_limit - {ADVISORY_LIMIT}) < 0.01", "window": ("enter", "exit")}),
+    Metric("WZ-24", "always", {"view": "route_state", "holds": f"abs(speed_limit - {ADVISORY_LIMIT}) < 0.01", "window": ("enter", "exit", 0, 0.8)}),
     Metric("WZ-25", "exists", {"view": "control", "holds": f"abs(maxspeed - {ADVISORY_LIMIT}) < 0.01"}),
 ))
 
@@ -160,7 +160,7 @@ TRAFFIC_INCIDENT = UseCase("traffic_incident", ENGAGEMENT + FENCE + CONTROL, (
     Metric("TIM-1", "route", {"view": "route", "column": "lanelets", "which": "first", "members": [4], "relation": "contains"}),
     Metric("TIM-11", "route", {"view": "route", "column": "lanelets", "which": "last", "members": [4], "relation": "avoids"}),
     Metric("TIM-2", "steady_before", {"view": "twist", "holds": STEADY, "event": "first_control", "seconds": 10.0, "begin": "start"}),
-    Metric("TIM-10", "always", {"view": "route_state", "holds": f"abs(speed_limit - {ADVISORY_LIMIT}) < 0.01", "window": ("enter", "exit")}),
+    Metric("TIM-10", "always", {"view": "route_state", "holds": f"abs(speed_limit - {ADVISORY_LIMIT}) < 0.01", "window": ("enter", "exit", 0, 0.8)}),
     Metric("TIM-28", "exists", {"view": "control", "holds": f"choice = 12 AND abs(maxspeed - {ADVISORY_LIMIT}) < 0.01"}),
     Metric("TIM-13", "begins_distance", {"view": "route_state", "value": "cross_track", "sign": 1, "k": 2, "window": ("start", "enter"),
                                          "place_view": "route_state", "place": "down_track", "feet": 50.0}),
