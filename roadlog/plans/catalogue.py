@@ -208,19 +208,19 @@ INTERSECTION = UseCase("intersection", ENGAGEMENT, (
 ))
 
 SCALE_VEHICLE = UseCase("scale_vehicle", (), (
-    Metric("C1T-01", "paired_wait", {"calls": "call", "responses": "plan", "seconds": 3.0}),
-    Metric("C1T-02", "exists", {"view": "plan", "holds": "t >= 0"}),
-    Metric("C1T-03", "always", {"view": "route_state", "holds": "abs(cross_track) < 0.3"}),
-    Metric("C1T-03-share", "time_share", {"view": "route_state", "holds": "abs(cross_track) < 0.2", "share": 95.0}),
-    Metric("C1T-05", "plateau_error", {"view": "speed_target", "value": "speed", "target": "target", "tolerance": 0.2, "skip": 1}),
-    Metric("C1T-06", "turn_speed", {"view": "speed_target", "value": "speed", "target": "target", "share": 0.5}),
-    Metric("C1T-07", "arrival_distance", {"view": "ops", "call": "side = 'goal'", "answer": "side = 'ack'", "x": "x", "y": "y", "most": 0.5}),
-    Metric("C1T-08", "exists", {"view": "op_out", "holds": "t >= 0"}),
-    Metric("C1T-09", "exists", {"view": "op_in", "holds": "t >= 0"}),
-    Metric("C1T-10", "paired_wait", {"calls": "op_in", "responses": "plan", "seconds": 3.0}),
-    Metric("C1T-13", "acked", {"view": "op_in", "key": "operation", "acks": "op_out", "seconds": 60.0, "where": "operation IN ('PICKUP', 'DROPOFF')"}),
-    Metric("C1T-14", "exists", {"view": "op_out", "holds": "operation = 'PORT_CHECKPOINT'"}),
-    Metric("C1T-17", "acked", {"view": "op_in", "key": "operation", "acks": "op_out", "seconds": 60.0, "where": "operation = 'HOLDING_AREA'"}),
+    Metric("SV-01", "paired_wait", {"calls": "call", "responses": "plan", "seconds": 3.0}),
+    Metric("SV-02", "exists", {"view": "plan", "holds": "t >= 0"}),
+    Metric("SV-03", "always", {"view": "route_state", "holds": "abs(cross_track) < 0.3"}),
+    Metric("SV-03-share", "time_share", {"view": "route_state", "holds": "abs(cross_track) < 0.2", "share": 95.0}),
+    Metric("SV-05", "plateau_error", {"view": "speed_target", "value": "speed", "target": "target", "tolerance": 0.2, "skip": 1}),
+    Metric("SV-06", "turn_speed", {"view": "speed_target", "value": "speed", "target": "target", "share": 0.5}),
+    Metric("SV-07", "arrival_distance", {"view": "ops", "call": "side = 'goal'", "answer": "side = 'ack'", "x": "x", "y": "y", "most": 0.5}),
+    Metric("SV-08", "exists", {"view": "op_out", "holds": "t >= 0"}),
+    Metric("SV-09", "exists", {"view": "op_in", "holds": "t >= 0"}),
+    Metric("SV-10", "paired_wait", {"calls": "op_in", "responses": "plan", "seconds": 3.0}),
+    Metric("SV-13", "acked", {"view": "op_in", "key": "operation", "acks": "op_out", "seconds": 60.0, "where": "operation IN ('PICKUP', 'DROPOFF')"}),
+    Metric("SV-14", "exists", {"view": "op_out", "holds": "operation = 'PORT_CHECKPOINT'"}),
+    Metric("SV-17", "acked", {"view": "op_in", "key": "operation", "acks": "op_out", "seconds": 60.0, "where": "operation = 'HOLDING_AREA'"}),
 ))
 
 USE_CASES = {u.name: u for u in (BASIC_TRAVEL, WORK_ZONE, FREIGHT_WORK_ZONE, FREIGHT_EMERGENCY, TRAFFIC_INCIDENT, PLATOONING, PORT_DRAYAGE,

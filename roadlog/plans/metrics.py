@@ -54,7 +54,13 @@ class UseCase:
 def anchor_times(anchors, views: dict[str, DataFrame], runs: DataFrame) -> DataFrame:
     """One row per run with a column per anchor (null when it never happened)."""
     out = runs.select("run_id").distinct()
-    for a in anchors:
+    pick = {"first": F.min, "last": F.max}
+    waiting = list(anchors)
+    while waiting:
+        a = waiting[0]
+        # free first and last anchors of one view are taken in one pass
+        batch = [b for b in waiting if b.view == a.view and b.kind in pick and not b.after] if a.kind in pick and not a.after else [a]
+        waiting = [b for b in waiting if b not in batch]
         rows = views[a.view]
         if a.after:
             rows = rows.join(out.select("run_id", F.col(a.after).alias("__after")), "run_id").where(F.col("t") > F.col("__after"))
@@ -62,8 +68,7 @@ def anchor_times(anchors, views: dict[str, DataFrame], runs: DataFrame) -> DataF
             spans = intervals.state_intervals(rows, "run_id", "t", "seq", F.expr(a.where)).where("seq = 1")
             found = spans.select("run_id", F.col("end").alias(a.name))
         else:
-            pick = F.min if a.kind == "first" else F.max
-            found = rows.where(a.where).groupBy("run_id").agg(pick("t").alias(a.name))
+            found = rows.groupBy("run_id").agg(*[pick[b.kind](F.when(F.expr(b.where), F.col("t"))).alias(b.name) for b in batch])
         out = out.join(found, "run_id", "left")
     return out
 

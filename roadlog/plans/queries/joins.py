@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ...operators import asof, intervals, matching, quality, reshape, stats
-from ..registry import DAY, EV, H, load, messages, query
+from ..registry import DAY, EV, H, ORACLES, load, messages, query
 
 RUN, T, SEQ = ["run_id"], "t", ["seq"]
 W = "(PARTITION BY run_id ORDER BY t, seq)"
@@ -215,14 +215,53 @@ def containment(spark, sf):
     return out.withColumn("all_in", F.col("n_missing") == 0).withColumn("none_in", F.col("n_missing") == F.col("n_members"))
 
 
-@query("route_containment", "run_id:i route:s all_in:b none_in:b", f"""
-WITH {EV}, a AS (SELECT run_id, list_sort(list_distinct(list(topic))) AS seen FROM ev WHERE k >= 50 GROUP BY run_id)
-SELECT run_id, array_to_string(seen, ',') AS route, list_has_all(seen, ['click', 'view']) AS all_in, NOT list_has_any(seen, ['click', 'view']) AS none_in FROM a""")
+@query("route_containment", "doc_id:i n_members:i all_in:b none_in:b", """
+WITH a AS (SELECT doc_id, list_distinct(string_split(text, ' ')) AS w FROM documents)
+SELECT doc_id, len(w) AS n_members, list_has_all(w, ['the', 'and']) AS all_in, NOT list_has_any(w, ['the', 'and']) AS none_in FROM a""")
 def route_containment(spark, sf):
-    seen = messages(spark, sf).where("k >= 50").groupBy("run_id").agg(F.sort_array(F.collect_set("topic")).alias("seen"))
-    seen = seen.withColumn("wanted", F.array(F.lit("click"), F.lit("view")))
-    return seen.select("run_id", F.concat_ws(",", "seen").alias("route"), matching.contains_all(seen, "seen", "wanted").alias("all_in"),
-                       (~F.arrays_overlap("seen", "wanted")).alias("none_in"))
+    rows = load(spark, sf, "documents").select("doc_id", F.array_distinct(F.split("text", " ")).alias("whole"), F.array(F.lit("the"), F.lit("and")).alias("wanted"))
+    return rows.select("doc_id", F.size("whole").alias("n_members"), matching.contains_all(rows, "whole", "wanted").alias("all_in"),
+                       (~F.arrays_overlap("whole", "wanted")).alias("none_in"))
+
+
+@query("lane_membership", "run_id:i seq:i lane:s", f"""
+WITH {EV} SELECT run_id, seq, CASE WHEN k // 10 IN (SELECT s_nationkey % 10 FROM supplier WHERE s_acctbal > 8000) THEN 'right' WHEN k // 10 IN (1, 3, 5) THEN 'middle' ELSE 'other' END AS lane FROM ev""")
+def lane_membership(spark, sf):
+    right = load(spark, sf, "supplier").where("s_acctbal > 8000").select((F.col("s_nationkey").cast("long") % 10).alias("lanelet")).distinct()
+    rows = messages(spark, sf).withColumn("lanelet", F.floor(F.col("k") / 10))
+    marked = rows.join(right.withColumn("is_right", F.lit(True)), "lanelet", "left")
+    lane = F.when(F.col("is_right"), "right").when(F.col("lanelet").isin(1, 3, 5), "middle").otherwise("other")
+    return marked.withColumn("lane", lane)
+
+
+@query("simulation_frequency", "run_id:i seq:i sim_time:i frequency:f frequency_mean:f", f"""
+WITH {EV}, c AS (SELECT run_id, t, k * 1000 + seq AS sim FROM ev WHERE topic = 'view'), m AS (SELECT run_id, t, seq FROM ev WHERE topic = 'click'),
+j AS (SELECT m.run_id, m.t, m.seq, c.sim AS sim_time FROM m ASOF JOIN c ON m.run_id = c.run_id AND m.t >= c.t),
+f AS (SELECT *, 1000.0 / nullif(sim_time - lag(sim_time) OVER {W}, 0) AS frequency FROM j)
+SELECT run_id, seq, sim_time, frequency, CASE WHEN count(frequency) OVER w = 3 THEN avg(frequency) OVER w END AS frequency_mean FROM f
+WINDOW w AS (PARTITION BY run_id ORDER BY t, seq ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)""")
+def simulation_frequency(spark, sf):
+    from ...operators.ordered import Ordered
+
+    rows = messages(spark, sf)
+    clock = _topic(rows, "view").select("run_id", "t", (F.col("k") * 1000 + F.col("seq")).alias("sim_time"))
+    timed = asof.clock_at(_topic(rows, "click").select("run_id", "t", "seq"), clock, RUN, T, "sim_time")
+    o = Ordered.of(timed.where(F.col("sim_time").isNotNull()), RUN, T, SEQ).prev(before="sim_time")
+    o = o.with_columns(frequency=F.try_divide(F.lit(1000.0), F.col("sim_time") - F.col("before")))
+    full = lambda w: F.when(F.count("frequency").over(w) == 3, F.avg("frequency").over(w))
+    return o.rows(2, 0, frequency_mean=full).df
+
+
+@query("shared_position_error", "run_id:i n:i mean:f worst:f passed:b", f"""
+WITH {EV}, d AS (SELECT run_id, k, min(t) AS t, min(value) AS x FROM ev WHERE topic = 'click' GROUP BY ALL), r AS (SELECT run_id, k, min(value) AS x FROM ev WHERE topic = 'view' GROUP BY ALL)
+SELECT d.run_id, count(*) AS n, avg(abs(d.x - r.x)) AS mean, max(abs(d.x - r.x)) AS worst, max(abs(d.x - r.x)) <= 60 AS passed FROM d JOIN r ON d.run_id = r.run_id AND d.k = r.k GROUP BY d.run_id""")
+def shared_position_error(spark, sf):
+    rows = messages(spark, sf)
+    one = lambda topic, name: _topic(rows, topic).groupBy("run_id", "k").agg(F.min("value").alias(name))
+    joined = matching.guarded_join(one("click", "x"), one("view", "rx"), ["run_id", "k"], ["rx"])
+    error = F.abs(F.col("x") - F.col("rx"))
+    return joined.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"), F.avg(error).alias("mean"), F.max(error).alias("worst")).withColumn(
+        "passed", F.col("worst") <= 60)
 
 
 @query("dim_lookup", "c_custkey:i n_name:s r_name:s n_matches:i", """
@@ -363,3 +402,20 @@ def newest_row(spark, sf):
 WITH {EV} SELECT run_id, seq, row_number() OVER {W} AS rank FROM ev WHERE value > 60 QUALIFY row_number() OVER {W} <= 3""")
 def first_hits(spark, sf):
     return stats.top_per_group(messages(spark, sf).where("value > 60"), RUN, [F.col("t"), F.col("seq")], 3)
+
+
+_REPEATS = ORACLES["drop_repeats"]
+
+
+@query("cloud_delays", "k:i t:i t_source:i delay:i", f"""
+WITH RECURSIVE {EV}, s AS (SELECT k, t, row_number() OVER (PARTITION BY k ORDER BY t, seq) AS r FROM ev WHERE topic = 'click'),
+d AS (SELECT k, t, channel, row_number() OVER (PARTITION BY k ORDER BY t, t_first) AS n FROM ({_REPEATS}) WHERE channel = 'purchase'),
+h AS (SELECT d.k, d.n, d.t, count(s.r) FILTER (s.t <= d.t - {2*DAY}) AS lo, count(s.r) FILTER (s.t <= d.t) AS hi FROM d LEFT JOIN s ON s.k = d.k GROUP BY ALL),
+p AS (SELECT k, n, t, lo + 1 AS pick, hi, least(lo + 1, hi) AS used FROM h WHERE n = 1
+ UNION ALL SELECT h.k, h.n, h.t, greatest(p.used, h.lo) + 1, h.hi, least(greatest(p.used, h.lo) + 1, h.hi) FROM p JOIN h ON h.k = p.k AND h.n = p.n + 1)
+SELECT p.k, p.t, s.t AS t_source, p.t - s.t AS delay FROM p LEFT JOIN s ON s.k = p.k AND s.r = p.pick AND p.pick <= p.hi""")
+def cloud_delays(spark, sf):
+    rows = messages(spark, sf)
+    once = matching.drop_repeats(rows.withColumnRenamed("topic", "channel"), "k", T, "channel", 12 * H, SEQ)
+    sent = once.where(F.col("channel") == "purchase").select("k", "t", "t_first")
+    return matching.fifo_match_bounded(_topic(rows, "click"), sent, "k", T, 2 * DAY, source_tie=SEQ, target_tie="t_first")

@@ -75,13 +75,13 @@ for _name in USE_CASES:
 
 
 @query("scorecard", "run_id:i c01:s c02:s c07:s c14:s", f"""
-SELECT run_id, max(verdict) FILTER (metric_id = 'C1T-01') AS c01, max(verdict) FILTER (metric_id = 'C1T-02') AS c02,
- max(verdict) FILTER (metric_id = 'C1T-07') AS c07, max(verdict) FILTER (metric_id = 'C1T-14') AS c14
+SELECT run_id, max(verdict) FILTER (metric_id = 'SV-01') AS c01, max(verdict) FILTER (metric_id = 'SV-02') AS c02,
+ max(verdict) FILTER (metric_id = 'SV-07') AS c07, max(verdict) FILTER (metric_id = 'SV-14') AS c14
 FROM ({metric_sql.use_case_sql(USE_CASES['scale_vehicle'], MSG, VIEWS)}) GROUP BY run_id""")
 def scorecard(spark, sf):
     results = results_of(USE_CASES["scale_vehicle"], recording(spark, sf))
-    card = metrics.scorecard(results, ["C1T-01", "C1T-02", "C1T-07", "C1T-14"])
-    return card.withColumnsRenamed({f"C1T-{i}": f"c{i}" for i in ("01", "02", "07", "14")})
+    card = metrics.scorecard(results, ["SV-01", "SV-02", "SV-07", "SV-14"])
+    return card.withColumnsRenamed({f"SV-{i}": f"c{i}" for i in ("01", "02", "07", "14")})
 
 
 @query("scorecard_rollup", "use_case:s metric_id:s n:i n_passed:i n_skipped:i", f"""

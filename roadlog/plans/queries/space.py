@@ -289,3 +289,36 @@ def encroachment(spark, sf):
     hours = lambda topic: _track(spark, sf, topic).withColumn("t", (F.col("t") - F.lit(1704067200000000)) / F.lit(float(H)))
     return trajectory.encroachment(hours("click"), hours("view"), RUN, T, SEQ, zone=10.0, cell=50.0, enter_step=0.5, exit_step=1.0, accel=3.0,
                                    top_speed=13.41, buffer=3.0, unit=1.0, smooth=False)
+
+
+@query("sensor_accuracy", "run_id:i measure:s mean:f sd:f pct_under:f passed:b", f"""
+WITH {EV}, e AS (SELECT run_id, topic, t, seq, value AS x, CAST(k AS DOUBLE) AS y, value / 10 AS speed FROM ev WHERE topic IN ('view', 'click')),
+l AS (SELECT *, lead(t) OVER w AS nt, lead(x) OVER w AS nx, lead(y) OVER w AS ny, lead(speed) OVER w AS ns, max(t) OVER (PARTITION BY run_id, topic) AS z FROM e WINDOW w AS (PARTITION BY run_id, topic ORDER BY t, seq)),
+g AS (SELECT *, unnest(range((t + {DAY} - 1) // {DAY}, least((nt + {DAY} - 1) // {DAY}, z // {DAY}))) * {DAY} AS gt FROM l WHERE nt > t),
+v AS (SELECT run_id, topic, row_number() OVER (PARTITION BY run_id, topic ORDER BY gt) AS i, x + (nx - x) * ((gt - t) / (nt - t)) AS x, y + (ny - y) * ((gt - t) / (nt - t)) AS y,
+ speed + (ns - speed) * ((gt - t) / (nt - t)) AS speed FROM g),
+n AS (SELECT a.run_id, na - ns AS room FROM (SELECT run_id, count(*) AS na FROM v WHERE topic = 'view' GROUP BY run_id) a JOIN (SELECT run_id, count(*) AS ns FROM v WHERE topic = 'click' GROUP BY run_id) b USING (run_id)),
+o AS (SELECT run_id, unnest(range(0, least(room, 5))) AS shift FROM n),
+m AS (SELECT o.run_id, o.shift, avg(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)) AS err FROM o JOIN v b ON b.run_id = o.run_id AND b.topic = 'click' JOIN v a ON a.run_id = o.run_id AND a.topic = 'view' AND a.i = b.i + o.shift GROUP BY ALL),
+best AS (SELECT run_id, shift FROM m QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY err, shift) = 1),
+j AS (SELECT b.run_id, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS p, abs(a.speed - b.speed) * 2.23694 AS s FROM best JOIN v b ON b.run_id = best.run_id AND b.topic = 'click' JOIN v a ON a.run_id = b.run_id AND a.topic = 'view' AND a.i = b.i + shift)
+SELECT run_id, 'position' AS measure, avg(p) AS mean, stddev_pop(p) AS sd, count(*) FILTER (p < 40) * 100.0 / count(*) AS pct_under, count(*) FILTER (p < 40) * 100.0 / count(*) >= 50 AS passed FROM j GROUP BY run_id
+UNION ALL SELECT run_id, 'speed', avg(s), stddev_pop(s), count(*) FILTER (s < 8) * 100.0 / count(*), count(*) FILTER (s < 8) * 100.0 / count(*) >= 50 FROM j GROUP BY run_id
+UNION ALL SELECT run_id, 'heading', 0, 0, 100, true FROM j GROUP BY run_id""")
+def sensor_accuracy(spark, sf):
+    from .. import sensor
+
+    track = lambda topic: _track(spark, sf, topic).withColumn("speed", F.col("x") / 10).withColumn("heading", F.lit(90.0))
+    matched = sensor.matched_tracks(track("click"), track("view"), RUN, T, SEQ, DAY, 5)
+    return sensor.accuracy(matched, RUN, limits=(40.0, 8.0, 3.0), share=50.0)
+
+
+@query("sensor_confidence", "l_returnflag:s mean:f pct_tracks:f passed:b", """
+WITH a AS (SELECT l_returnflag, l_suppkey, avg(l_quantity) AS m, count(*) FILTER (l_quantity > 5) * 100.0 / count(*) AS p FROM lineitem GROUP BY ALL)
+SELECT l_returnflag, avg(m) AS mean, count(*) FILTER (p > 90) * 100.0 / count(*) AS pct_tracks, count(*) FILTER (p > 90) * 100.0 / count(*) >= 50 AS passed FROM a GROUP BY ALL""")
+def sensor_confidence(spark, sf):
+    from .. import sensor
+
+    lines = load(spark, sf, "lineitem")
+    out = sensor.confidence(lines, "l_suppkey", "l_returnflag", "l_quantity", least=5)
+    return out.withColumn("passed", F.col("pct_tracks") >= 50)

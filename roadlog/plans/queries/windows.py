@@ -429,3 +429,53 @@ def lane_change_duration(spark, sf):
     out = next_after(starts, reached, RUN, T, tie=SEQ, columns=[])
     out = out.withColumnsRenamed({"t": "t_start", "t_next": "t_done", "wait": "duration"})
     return out.withColumn("passed", F.col("duration") <= 5 * DAY)
+
+
+@query("segment_verdicts", "run_id:i n_segments:i n_passed:i passed:b first_segment:b", f"""{_ENGAGED}, s AS (SELECT run_id, interval_no, bool_and(k < 95) AS ok, max(value) AS top FROM b WHERE engaged GROUP BY run_id, interval_no)
+SELECT run_id, count(*) AS n_segments, count(*) FILTER (ok) AS n_passed, bool_and(ok) AS passed, bool_and(ok) FILTER (interval_no = 1) AS first_segment FROM s GROUP BY run_id""")
+def segment_verdicts(spark, sf):
+    # a metric per stretch of engagement, then one verdict per run; the n-th stretch is a named segment
+    spans = intervals.runs(messages(spark, sf), RUN, T, SEQ, F.col("value") >= 30, ok=F.bool_and(F.col("k") < 95))
+    return spans.groupBy("run_id").agg(
+        F.count(F.lit(1)).alias("n_segments"), F.count_if("ok").alias("n_passed"), F.bool_and("ok").alias("passed"),
+        F.bool_and(F.when(F.col("seq") == 1, F.col("ok"))).alias("first_segment"))
+
+
+@query("speed_overlay", "run_id:i role:s t_rel:f speed:f commanded:f", f"""
+WITH {EV}, e AS (SELECT run_id, min(t) AS t0, max(t) AS t1 FROM ev WHERE k < 90 GROUP BY run_id), c AS (SELECT run_id, t, value AS commanded FROM ev WHERE topic = 'view'),
+a AS (SELECT ev.run_id, ev.t, ev.value, t0 FROM ev JOIN e ON ev.run_id = e.run_id AND ev.t BETWEEN t0 AND t1 WHERE topic <> 'view')
+SELECT a.run_id, CASE a.run_id % 3 WHEN 0 THEN 'leader' WHEN 1 THEN 'follower' ELSE 'third' END AS role, (a.t - t0) / {float(H)} AS t_rel, a.value * 2.23694 AS speed, coalesce(c.commanded, 0) AS commanded
+FROM a ASOF LEFT JOIN c ON a.run_id = c.run_id AND a.t >= c.t""")
+def speed_overlay(spark, sf):
+    # actual and commanded speed of every vehicle of a test on one relative time axis
+    from ...functions.units import mps_to_mph
+    from ...operators.asof import last_known
+
+    rows = messages(spark, sf)
+    spans = rows.where("k < 90").groupBy("run_id").agg(F.min("t").alias("t0"), F.max("t").alias("t1"))
+    commands = rows.where("topic = 'view'").select("run_id", "t", "seq", F.col("value").alias("commanded"))
+    inside = rows.where("topic <> 'view'").join(spans, "run_id").where(F.col("t").between(F.col("t0"), F.col("t1")))
+    joined = last_known(inside, commands, RUN, T, ["commanded"], tie=SEQ, default=0.0)
+    place = F.col("run_id") % 3
+    role = F.when(place == 0, "leader").when(place == 1, "follower").otherwise("third")
+    return joined.select("run_id", role.alias("role"), ((F.col("t") - F.col("t0")) / F.lit(float(H))).alias("t_rel"),
+                         mps_to_mph(F.col("value")).alias("speed"), "commanded")
+
+
+@query("stack_period", "topic:s n:i mean:f sd:f worst:f n_over:i", f"""
+WITH {EV}, d AS (SELECT DISTINCT run_id, topic, t FROM ev), g AS (SELECT topic, (lead(t) OVER (PARTITION BY run_id, topic ORDER BY t) - t) / {float(H)} AS gap FROM d)
+SELECT topic, count(gap) AS n, avg(gap) AS mean, stddev_pop(gap) AS sd, max(gap) AS worst, count(*) FILTER (gap > 96) AS n_over FROM g GROUP BY topic""")
+def stack_period(spark, sf):
+    gap = F.col("missing") / F.lit(float(H))
+    return rolling.missing_durations(messages(spark, sf), ["run_id", "topic"], T).groupBy("topic").agg(
+        F.count("missing").alias("n"), F.avg(gap).alias("mean"), F.stddev_pop(gap).alias("sd"), F.max(gap).alias("worst"), F.count_if(gap > 96).alias("n_over"))
+
+
+@query("finite_values", "run_id:i n:i n_void:i mean:f", f"""
+WITH {EV} SELECT run_id, count(*) FILTER (k > 4) AS n, count(*) FILTER (k <= 4) AS n_void, avg(value / k) FILTER (k > 4) AS mean FROM ev GROUP BY run_id""")
+def finite_values(spark, sf):
+    # not-a-number and absent values are counted, never averaged
+    ratio = F.when(F.col("k") == 0, F.lit(float("nan"))).when(F.col("k") > 4, F.col("value") / F.col("k"))
+    rows = messages(spark, sf).withColumn("ratio", ratio)
+    good = F.col("ratio").isNotNull() & ~F.isnan("ratio")
+    return rows.groupBy("run_id").agg(F.count_if(good).alias("n"), F.count_if(~good).alias("n_void"), F.avg(F.when(good, F.col("ratio"))).alias("mean"))

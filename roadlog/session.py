@@ -34,6 +34,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if spark.sparkContext.getCheckpointDir():
+        return spark.sparkContext.getCheckpointDir()
     if spark.sparkContext.master.startswith("local"):
         folder = tempfile.mkdtemp(prefix="roadlog-")
         spark.conf.set("spark.checkpoint.dir", folder)

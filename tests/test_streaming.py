@@ -59,3 +59,15 @@ def test_session_stream(spark, tmp_path):
     stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/rows")
     out = tail.replay(tail.state_sessions(stream, "run", "at", F.col("state") == 4, "5 seconds", "1 second"), "complete")
     assert sorted((r["from"].second, r.n) for r in out.collect()) == [(0, 2), (20, 1)]
+
+
+def test_two_second_batches_fill_gaps(spark, tmp_path):
+    df = spark.createDataFrame([(1, s) for s in (0, 100, 300, 400, 700, 900)], "run long, sim_time long")
+    df.write.parquet(f"{tmp_path}/rows")
+    stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/rows")
+    running = tail.every_two_seconds(stream, lambda rows: sync.missing_steps(rows, "run", 100, 1), f"{tmp_path}/out", f"{tmp_path}/progress")
+    try:
+        running.processAllAvailable()
+    finally:
+        running.stop()
+    assert sorted(r.sim_time for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [200, 500]
