@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .ordered import is_small, names
+from .sequential import _entities
+from .ordered import is_small, names, row_budget
 
 
 def anchored_windows(df: DataFrame, by, t: str, *, slot: int, length: int) -> DataFrame:
@@ -24,19 +25,23 @@ def anchored_windows(df: DataFrame, by, t: str, *, slot: int, length: int) -> Da
         T.StructField("start", T.LongType()), T.StructField("n", T.LongType()), T.StructField("closed", T.BooleanType())])
 
     def cut(rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, one in rows.sort_values([*keys, "slot"]).groupby(keys, sort=False, dropna=False):
-            entity, start, n = [one[k].iloc[0] for k in keys], None, 0
-            for place, count in zip(one["slot"].tolist(), one["c"].tolist()):
-                if start is None or place >= start + length:
-                    if start is not None:
-                        out.append([*entity, start, n, True])
-                    start, n = place, 0
-                n += count
-            out.append([*entity, start, n, False])
-        return pd.DataFrame(out, columns=[f.name for f in schema.fields])
-
-    # small data goes to Python in a few large groups, large data entity by entity
-    few = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    groups = [F.pmod(F.xxhash64(*keys), F.lit(few))] if is_small(df) else keys
-    return counted.groupBy(*groups).applyInPandas(cut, schema)
+        rows, bounds = _entities(rows, keys, ["slot"])
+        slots, counts, out = rows["slot"].tolist(), rows["c"].tolist(), []
+        for low, high in bounds:
+            start, n = slots[low], 0
+            for place in range(low, high):
+                if slots[place] >= start + length:
+                    out.append([low, start, n, True])
+                    start, n = slots[place], 0
+                n += counts[place]
+            out.append([low, start, n, False])
+        made = pd.DataFrame(out, columns=["at", "start", "n", "closed"])
+        for key in keys:
+            made[key] = rows[key].to_numpy()[made["at"].to_numpy()] if len(made) else []
+        return made[[f.name for f in schema.fields]]
+
+    # entities go to Python in groups of about the row budget
+    groups = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if not is_small(df):
+        groups = max(groups, 1 + counted.count() // row_budget(df))
+    return counted.groupBy(F.pmod(F.xxhash64(*keys), F.lit(groups))).applyInPandas(cut, schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import Ordered, names
+from .ordered import Ordered, chunk_width, names
 
 
 def asof_join(left: DataFrame, right: DataFrame, by, t: str, *, direction: str = "backward",
@@ -27,8 +27,9 @@ def asof_join(left: DataFrame, right: DataFrame, by, t: str, *, direction: str =
     if direction not in ways:
         raise ValueError(f"direction must be backward, forward or nearest, not {direction}")
     result = left.select(*keys, t, F.struct(*left.columns).alias("__row"))
+    width = chunk_width(left.select(*keys, t).unionByName(right.select(*keys, t)), keys, t)
     for way in ways[direction]:
-        result = _one_way(result, right, keys, t, found, ties, tie_names, way, allow_exact)
+        result = _one_way(result, right, keys, t, found, ties, tie_names, way, allow_exact, width)
     near = _choose(direction, t)
     if tolerance is not None:
         near = F.when(F.abs(near["__rt"] - F.col(t)) <= tolerance, near)
@@ -36,13 +37,13 @@ def asof_join(left: DataFrame, right: DataFrame, by, t: str, *, direction: str =
     return out.select("__row.*", *[F.col("__hit")[c].alias(c + suffix) for c in taken])
 
 
-def _one_way(rows, right, keys, t, found, ties, tie_names, way, allow_exact) -> DataFrame:
+def _one_way(rows, right, keys, t, found, ties, tie_names, way, allow_exact, width) -> DataFrame:
     # equal times: right rows stand before the left row exactly when it may see them
     right_first = (way == "backward") == allow_exact
     place_left, place_right = (1, 0) if right_first else (0, 1)
     a = rows.withColumn("__place", F.lit(place_left))
     b = right.select(*keys, t, *ties, F.lit(place_right).alias("__place"), found.alias("__r"))
-    o = Ordered.of(a.unionByName(b, allowMissingColumns=True), keys, t, ["__place", *tie_names])
+    o = Ordered(a.unionByName(b, allowMissingColumns=True), keys, t, ["__place", *tie_names], width)
     o = o.running(__back=("last", "__r")) if way == "backward" else o.ahead(__ahead="__r")
     return o.df.where(F.col("__row").isNotNull()).drop("__place", "__r", *tie_names)
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,20 +23,18 @@ def hysteresis_changes(df: DataFrame, by, t: str, tie, value, band: float) -> Da
     tie_types = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in [t, *names(tie)])
     return sequential.scan(
         moved, by, t, tie, f"{tie_types}, value double",
-        run=lambda rows, state: _accepted(rows, state, [t, *names(tie)], band),
-        summarise=lambda rows: _summary(rows["__v"].to_numpy(dtype=float), band),
+        run=lambda rows, state: _accepted(rows["__v"], state, band),
+        summarise=lambda rows: _summary(rows["__v"], band),
         enter=lambda text, state: _enter(text, state, band), start=None)
 
 
-def _accepted(rows: pd.DataFrame, state, columns: list[str], band: float) -> pd.DataFrame:
+def _accepted(values: np.ndarray, state, band: float):
     keep, last = [], state
-    for i, v in enumerate(rows["__v"].tolist()):
+    for i, v in enumerate(values.tolist()):
         if last is None or abs(v - last) > band:
             keep.append(i)
             last = v
-    out = rows.iloc[keep][columns].copy()
-    out["value"] = rows["__v"].iloc[keep]
-    return out.reset_index(drop=True)
+    return keep, {"value": values[keep]}
 
 
 def _leaves(values: np.ndarray, i: int, band: float) -> int | None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import Ordered, as_column, names
+from .ordered import Ordered, as_column, chunk_width, names
 
 
 def state_intervals(df: DataFrame, by, t: str, tie, holds: Column, close: str = "next_row") -> DataFrame:
@@ -129,7 +129,8 @@ def in_intervals(samples: DataFrame, intervals: DataFrame, by, t: str, tie, *, s
         intervals.select(*keys, opened.alias("__t"), F.lit(0).alias("__side"), fence.alias("__fence")),
         allowMissingColumns=True,
     )
-    o = Ordered.of(events, by, "__t", "__side").running(__open=("last", "__fence"))
+    # intervals are fewer than samples, so the samples alone tell how to spread the work
+    o = Ordered(events, by, "__t", "__side", chunk_width(samples, keys, t)).running(__open=("last", "__fence"))
     held = F.when(F.col("__t") <= F.col("__open.end"), F.col("__open"))
     out = o.df.where(F.col("__side") == 1).withColumn("__hit", held)
     return out.select("__row.*", *[F.col(f"__hit.{c}").alias(c) for c in ("start", "end", *carry)])

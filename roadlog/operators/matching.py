@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,17 +90,16 @@ def fifo_match_bounded(source: DataFrame, target: DataFrame, by, t: str, max_del
     return pairs.select(*keys, "__g.*", "t_source").withColumn("delay", F.col(t) - F.col("t_source"))
 
 
-def _clamp_run(rows: pd.DataFrame, state) -> pd.DataFrame:
-    used = int(state)
-    ranks = np.empty(len(rows), dtype="object")
-    for i, (low, high) in enumerate(zip(rows["__L"].to_numpy(), rows["__R"].to_numpy())):
-        pick = max(used, int(low)) + 1
+def _clamp_run(rows: dict, state):
+    used, ranks = int(state), np.empty(len(rows["__L"]), dtype=object)
+    for i, (low, high) in enumerate(zip(rows["__L"].tolist(), rows["__R"].tolist())):
+        pick = max(used, low) + 1
         ranks[i] = pick if pick <= high else None
-        used = min(pick, int(high))
-    return pd.DataFrame({"__k": rows["__k"].to_numpy(), "__rank": pd.array(ranks, dtype="Int64")})
+        used = min(pick, high)
+    return np.arange(len(ranks)), {"__rank": ranks}
 
 
-def _clamp_map(rows: pd.DataFrame) -> str:
+def _clamp_map(rows: dict) -> str:
     # x -> min(max(x + a, b), c), composed over the rows
     a, b, c = 0, -(1 << 62), 1 << 62
     for low, high in zip(rows["__L"].tolist(), rows["__R"].tolist()):

@@ -188,12 +188,13 @@ class Ordered:
         """Values of the next row (null on the last)."""
         return self._neighbour(1, columns)
 
-    def running(self, **specs: tuple[str, str | Column]) -> Ordered:
+    def running(self, peers: bool = False, **specs: tuple[str, str | Column]) -> Ordered:
         """Running aggregates up to and with the row: name=(kind, expression).
 
-        kind is sum, count, min, max, or last (last value that is not null).
+        kind is sum, count, min, max, or last (last value that is not null). With `peers` all rows of
+        the same time count as one place.
         """
-        return self._scan(specs, forward=False)
+        return self._scan(specs, forward=False, peers=peers)
 
     def ahead(self, **columns: str | Column) -> Ordered:
         """First value that is not null at the row or after it."""
@@ -203,9 +204,11 @@ class Ordered:
         """Row number from 1, from the front or from the back."""
         return self._scan({name: ("count", F.lit(1))}, forward=backward)
 
-    def _scan(self, specs, forward: bool) -> Ordered:
+    def _scan(self, specs, forward: bool, peers: bool = False) -> Ordered:
         window = self._down() if forward else self._up()
         frame = window.rowsBetween(Window.unboundedPreceding, 0)
+        if peers:
+            frame = Window.partitionBy(*self._part).orderBy(self.t).rangeBetween(Window.unboundedPreceding, 0)
         inside = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max,
                   "last": lambda c: F.last(c, ignorenulls=True)}
         if self.width is None:

@@ -1,77 +1,106 @@
 """Scans whose state passes from row to row and has no window form.
 
-Rows are grouped into buckets of entities, and a bucket over the row budget is cut in time. A first
-pass turns every (entity, chunk) into a small summary that maps the incoming state to the outgoing
-one; the summaries are folded per entity; a second pass runs every chunk from its incoming state.
-With nothing to cut, one pass does it.
+Entities are packed into groups of about the row budget. An entity over the budget is cut in time: a
+first pass turns each of its chunks into a small summary that maps the incoming state to the outgoing
+one, the summaries are folded per entity, and the second pass runs every chunk from its incoming
+state. Without such entities one pass does it.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .ordered import CHUNK, chunk_width, names
+from .ordered import CHUNK, chunk_of, chunk_width, is_small, names, row_budget
 
 BUCKETS_CONF = "spark.roadlog.buckets"      # four per shuffle partition when not set
+HOT_ROWS = 1_000_000                        # most hot entities whose list is broadcast
 
 
-def scan(df: DataFrame, by, t: str, tie, out_schema: str, *,
-         run: Callable[[pd.DataFrame, object], pd.DataFrame],
-         summarise: Callable[[pd.DataFrame], str], enter: Callable[[str, object], object], start) -> DataFrame:
-    """Sequential scan per entity.
+def scan(df: DataFrame, by, t: str, tie, out_schema: str, *, run: Callable, summarise: Callable, enter: Callable, start) -> DataFrame:
+    """Sequential scan per entity; the result has the entity columns and those of out_schema.
 
-    run(rows, state) gives the output rows of one entity's ordered rows; summarise(rows) gives a
-    text form of the chunk's state map; enter(summary, state) applies that map. `start` is the
-    state before the first row. States travel between chunks as JSON text.
+    run(columns, state) gets one entity's ordered rows as arrays and returns the places of the rows
+    that go out and a dict of new columns for them; other columns of out_schema are taken from the
+    rows. summarise(columns) gives a text form of the chunk's state map and enter(summary, state)
+    applies it. `start` is the state before the first row.
     """
-    import json
-
     keys, order = names(by), [t, *names(tie)]
     conf = df.sparkSession.conf
     buckets = int(conf.get(BUCKETS_CONF, None) or 4 * int(conf.get("spark.sql.shuffle.partitions")))
-    packed = df.withColumn("__bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
-    width = chunk_width(packed, ["__bucket"], t)
     schema = T.StructType([df.schema[k] for k in keys] + list(T.StructType.fromDDL(out_schema).fields))
-    fields = [f.name for f in schema.fields]
+    width = chunk_width(df, keys, t)
+    if not is_small(df) and not conf.get(BUCKETS_CONF, None):
+        buckets = max(buckets, 1 + df.count() // row_budget(df))
+    packed = df.withColumn("__bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
 
-    def outputs(rows: pd.DataFrame, states) -> pd.DataFrame:
-        parts = []
-        for _, one in rows.sort_values([*keys, *order]).groupby(keys, sort=False, dropna=False):
-            result = run(one, states(one))
-            for key in keys:
-                result[key] = one[key].iloc[0]
-            parts.append(result[fields])
-        return pd.concat(parts) if parts else pd.DataFrame(columns=fields)
+    def outputs(rows: pd.DataFrame, state_at: Callable) -> pd.DataFrame:
+        rows, bounds = _entities(rows, keys, order)
+        columns = {c: rows[c].to_numpy() for c in rows.columns}
+        places, made = [], []
+        for low, high in bounds:
+            picked, fresh = run({c: a[low:high] for c, a in columns.items()}, state_at(columns, low))
+            places.append(np.asarray(picked, dtype=np.int64) + low)
+            made.append(fresh)
+        taken = np.concatenate(places) if places else np.empty(0, dtype=np.int64)
+        fresh = {c: np.concatenate([m[c] for m in made]) for c in (made[0] if made else {})}
+        return pd.DataFrame({f.name: _column(fresh.get(f.name, columns[f.name][taken] if f.name not in fresh else None), f) for f in schema.fields})
 
     if width is None:
-        return packed.groupBy("__bucket").applyInPandas(lambda rows: outputs(rows, lambda _: start), schema)
+        return packed.groupBy("__bucket").applyInPandas(lambda rows: outputs(rows, lambda *_: start), schema)
 
-    chunked = packed.withColumn(CHUNK, F.floor(F.col(t) / F.lit(width)))
-    part = ["__bucket", CHUNK]
+    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > row_budget(df)).select(*keys, F.lit(True).alias("__hot"))
+    if hot.limit(HOT_ROWS + 1).count() <= HOT_ROWS:
+        hot = F.broadcast(hot)
+    marked = packed.join(hot, keys, "left").withColumn("__hot", F.coalesce("__hot", F.lit(False)))
+    chunked = marked.withColumn(CHUNK, F.when(F.col("__hot"), chunk_of(keys, t, width)).otherwise(F.lit(0)).cast("long"))
     key_fields = [df.schema[k] for k in keys]
-    summary_schema = T.StructType(key_fields + [T.StructField(CHUNK, T.LongType()), T.StructField("__map", T.StringType())])
+    map_schema = T.StructType(key_fields + [T.StructField(CHUNK, T.LongType()), T.StructField("__map", T.StringType())])
     state_schema = T.StructType(key_fields + [T.StructField(CHUNK, T.LongType()), T.StructField("__state", T.StringType())])
 
     def summaries(rows: pd.DataFrame) -> pd.DataFrame:
-        parts = []
-        for _, one in rows.sort_values([*keys, *order]).groupby(keys, sort=False, dropna=False):
-            parts.append({**{k: one[k].iloc[0] for k in keys}, CHUNK: one[CHUNK].iloc[0], "__map": summarise(one)})
+        rows, bounds = _entities(rows, keys, order)
+        columns = {c: rows[c].to_numpy() for c in rows.columns}
+        parts = [[*[columns[k][low] for k in keys], columns[CHUNK][low], summarise({c: a[low:high] for c, a in columns.items()})] for low, high in bounds]
         return pd.DataFrame(parts, columns=[*keys, CHUNK, "__map"])
 
     def fold(maps: pd.DataFrame) -> pd.DataFrame:
         state, states = start, []
-        for text in maps.sort_values(CHUNK)["__map"]:
+        maps = maps.sort_values(CHUNK)
+        for text in maps["__map"]:
             states.append(json.dumps(state))
             state = enter(text, state)
-        return maps.sort_values(CHUNK).assign(__state=states)[[*keys, CHUNK, "__state"]]
+        return maps.assign(__state=states)[[*keys, CHUNK, "__state"]]
 
-    maps = chunked.groupBy(*part).applyInPandas(summaries, summary_schema)
+    maps = chunked.where("__hot").groupBy(*keys, CHUNK).applyInPandas(summaries, map_schema)
     states = maps.groupBy(*keys).applyInPandas(fold, state_schema)
     ready = chunked.join(states, [*keys, CHUNK], "left")
-    return ready.groupBy(*part).applyInPandas(
-        lambda rows: outputs(rows, lambda one: json.loads(one["__state"].iloc[0])), schema)
+
+    def state_at(columns, low):
+        text = columns["__state"][low]
+        return start if text is None else json.loads(text)
+
+    return ready.groupBy("__bucket", CHUNK).applyInPandas(lambda rows: outputs(rows, state_at), schema)
+
+
+def _entities(rows: pd.DataFrame, keys: list[str], order: list[str]):
+    """Rows in (entity, time) order and the (first, end) places of every entity."""
+    rows = rows.sort_values([*keys, *order]).reset_index(drop=True)
+    changed = np.zeros(len(rows), dtype=bool)
+    for key in keys:
+        now, before = rows[key], rows[key].shift()
+        changed |= ((now != before) & ~(now.isna() & before.isna())).to_numpy()
+    firsts = np.unique(np.concatenate([[0], np.flatnonzero(changed)])) if len(rows) else np.empty(0, dtype=np.int64)
+    return rows, list(zip(firsts.tolist(), [*firsts[1:].tolist(), len(rows)]))
+
+
+def _column(values, field: T.StructField):
+    if isinstance(field.dataType, (T.LongType, T.IntegerType)):
+        return pd.array(values, dtype="Int64")
+    return values

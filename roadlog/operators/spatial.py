@@ -192,11 +192,12 @@ def offset_search(ref: DataFrame, sensor: DataFrame, by, idx: str, search: int,
         *keys, F.col("__b.offset").cast("long").alias("offset"), F.col("__b.error").alias("error"))
 
 
-def danger_times(own: DataFrame, other: DataFrame, by, t: str, radius: float, tie=()) -> DataFrame:
-    """For each own path point, the times during which the other track is closer than `radius`.
+def danger_times(own: DataFrame, other: DataFrame, by, t: str, radius: float, horizon: float, tie=()) -> DataFrame:
+    """For own path points of a time slot, the times in it when the other track is closer than `radius`.
 
-    The other track is linear between its rows; a standstill is one leg, however many rows it has.
-    Own points meet only the legs in nearby grid cells.
+    `own` has the slot (of `horizon` length) in which the point may be reached. The other track is
+    linear between its rows; a standstill is one leg, however many rows it has. Points meet only the
+    legs of the same slot in nearby grid cells.
     """
     keys = names(by)
     o = Ordered.of(other, by, t, tie).prev(__x0="x", __y0="y").next(__x2="x", __y2="y")
@@ -206,11 +207,12 @@ def danger_times(own: DataFrame, other: DataFrame, by, t: str, radius: float, ti
     legs = o.df.where(F.col("__t2") > F.col(t))
     reach, size = F.lit(float(radius)), F.lit(2.0 * radius)
     legs = legs.select(*keys, F.col("x").alias("__x1"), F.col("y").alias("__y1"), F.col(t).alias("__t1"), "__x2", "__y2", "__t2")
+    legs = legs.withColumn("slot", F.explode(_cells(F.col("__t1"), F.col("__t2"), F.lit(float(horizon)))))
     for axis in ("x", "y"):
         low, high = F.least(f"__{axis}1", f"__{axis}2") - reach, F.greatest(f"__{axis}1", f"__{axis}2") + reach
         legs = legs.withColumn(f"__c{axis}", F.explode(_cells(low, high, size)))
     here = own.withColumns({"__cx": F.floor(F.col("x") / size), "__cy": F.floor(F.col("y") / size)})
-    pairs = here.join(legs, [*keys, "__cx", "__cy"])
+    pairs = here.join(legs, [*keys, "slot", "__cx", "__cy"])
     px, py = F.col("__x1") - F.col("x"), F.col("__y1") - F.col("y")
     vx, vy = F.col("__x2") - F.col("__x1"), F.col("__y2") - F.col("__y1")
     a, b, c = vx * vx + vy * vy, 2 * (px * vx + py * vy), px * px + py * py - reach * reach
@@ -241,15 +243,22 @@ def conflict_scan(own: DataFrame, other: DataFrame, by, t: str, radius: float, h
     o = Ordered.of(own, by, t, tie).prev(__px="x", __py="y")
     step = F.coalesce(F.hypot(F.col("x") - F.col("__px"), F.col("y") - F.col("__py")), F.lit(0.0))
     path = o.with_columns(__step=step).running(__s=("sum", "__step")).number("__i").df.drop("__px", "__py")
-    danger = danger_times(path.where("__step > 0").select(*keys, "x", "y", "__s", "__i"), other, by, t, radius)
     slot = lambda c: F.floor(c / F.lit(float(horizon)))
-    spots = danger.withColumn("__slot", F.explode(F.sequence(slot(F.col("t_from")), slot(F.col("t_to")))))
-    spots = spots.select(*keys, "__slot", F.col("__s").alias("__sj"), F.col("__i").alias("__j"), "t_from", "t_to")
-    starts = path.where(F.col("v") >= still).withColumn("__slot", F.explode(F.sequence(slot(F.col(t)), slot(F.col(t)) + 1)))
+    way = F.col("v") * F.lit(horizon / unit)
+    moves = path.where(F.col("v") >= still)
+    stretch = moves.agg(F.max(way)).first()[0] or 1.0
+    part = lambda c: F.floor(c / F.lit(stretch))
+    # a start can reach its own and the next stretch of the path, in its own and the next time slot
+    starts = moves.withColumn("slot", F.explode(F.sequence(slot(F.col(t)), slot(F.col(t)) + 1)))
+    starts = starts.withColumn("part", F.explode(F.sequence(part(F.col("__s")), part(F.col("__s") + way))))
+    sought = starts.select(*keys, "part", "slot").distinct()
+    points = path.where("__step > 0").select(*keys, "x", "y", "__s", "__i", part(F.col("__s")).alias("part"))
+    danger = danger_times(points.join(sought, [*keys, "part"]), other, by, t, radius, horizon, tie)
+    spots = danger.select(*keys, "part", "slot", F.col("__s").alias("__sj"), F.col("__i").alias("__j"), "t_from", "t_to")
     travel = (F.col("__sj") - F.col("__s")) / F.col("v") * F.lit(unit)
     arrives = F.col(t) + travel
     meets = (F.col("__j") > F.col("__i")) & (travel <= horizon) & (arrives > F.col("t_from")) & (arrives < F.col("t_to"))
-    moving = starts.join(spots, [*keys, "__slot"]).where(meets).select(*keys, "__i", travel.alias("ttc"))
+    moving = starts.join(spots, [*keys, "part", "slot"]).where(meets).select(*keys, "__i", travel.alias("ttc"))
     stands = path.where(F.abs(F.col("v")) < still).select(*keys, t, "__i", F.col("x").alias("__x"), F.col("y").alias("__y"))
     beside = interpolate_at(other, stands, by, t, ["x", "y"], tie=tie)
     close = F.hypot(F.col("x") - F.col("__x"), F.col("y") - F.col("__y")) < radius

@@ -193,7 +193,7 @@ def max_speed(spark, sf):
 @query("conflict_scan", "run_id:i seq:i ttc:f", f"""
 WITH {_P}, o AS (SELECT *, x / 50.0 AS v, coalesce(sqrt((x - lag(x) OVER {W}) ** 2 + (y - lag(y) OVER {W}) ** 2), 0) AS step, row_number() OVER {W} AS i FROM p),
 q AS (SELECT *, sum(step) OVER {W} AS s FROM o), a AS (SELECT x.run_id, x.seq, x.t, (y.s - x.s) / x.v * {float(H)} AS travel, y.x AS px, y.y AS py
- FROM q x JOIN q y ON x.run_id = y.run_id AND y.i > x.i WHERE x.v >= 0.01 AND y.step > 0 AND (y.s - x.s) / x.v * {float(H)} <= {DAY}),
+ FROM q x JOIN q y ON x.run_id = y.run_id AND y.i > x.i WHERE x.v >= 0.01 AND y.step > 0 AND (y.s - x.s) / x.v * {float(H)} <= {6*H}),
 l AS (SELECT run_id, t, lead(t) OVER w AS nt, x, y, lead(x) OVER w AS nx, lead(y) OVER w AS ny FROM r WINDOW w AS (PARTITION BY run_id ORDER BY t, seq)),
 m AS (SELECT a.*, l.x + (l.nx - l.x) * ((a.t + travel - l.t) / (l.nt - l.t)) AS ox, l.y + (l.ny - l.y) * ((a.t + travel - l.t) / (l.nt - l.t)) AS oy
  FROM a JOIN l ON a.run_id = l.run_id AND a.t + travel > l.t AND a.t + travel < l.nt),
@@ -203,7 +203,7 @@ h AS (SELECT run_id, seq, min(travel) AS ttc FROM m WHERE sqrt((ox - px) ** 2 +
 SELECT q.run_id, q.seq, h.ttc / {float(H)} AS ttc FROM q LEFT JOIN h ON q.seq = h.seq""")
 def conflict_scan(spark, sf):
     own = _track(spark, sf, "click").withColumn("v", F.col("x") / 50.0)
-    out = spatial.conflict_scan(own, _track(spark, sf, "view"), RUN, T, 15.0, float(DAY), unit=float(H), tie=SEQ)
+    out = spatial.conflict_scan(own, _track(spark, sf, "view"), RUN, T, 15.0, 6.0 * H, unit=float(H), tie=SEQ)
     return out.withColumn("ttc", F.col("ttc") / F.lit(float(H)))
 
 
