@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .sequential import _entities
-from .ordered import is_small, names, row_budget
+from .ordered import for_python, is_small, names, row_budget
 
 
 def anchored_windows(df: DataFrame, by, t: str, *, slot: int, length: int) -> DataFrame:
@@ -44,4 +44,5 @@ def anchored_windows(df: DataFrame, by, t: str, *, slot: int, length: int) -> Da
     groups = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if not is_small(df):
         groups = max(groups, 1 + counted.count() // row_budget(df))
-    return counted.groupBy(F.pmod(F.xxhash64(*keys), F.lit(groups))).applyInPandas(cut, schema)
+    packed = counted.withColumn("__group", F.pmod(F.xxhash64(*keys), F.lit(groups)))
+    return for_python(packed, "__group").groupBy("__group").applyInPandas(cut, schema)

@@ -51,6 +51,11 @@ def is_small(df: DataFrame) -> bool:
     return sum(int(str(tables.apply(i).stats().sizeInBytes())) for i in range(tables.size())) <= limit
 
 
+def for_python(df: DataFrame, *columns: str) -> DataFrame:
+    """Spread groups that go to Python over all shuffle partitions, however small their bytes are."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
 _WIDTHS: dict[tuple, float | None] = {}
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .ordered import CHUNK, chunk_of, chunk_width, is_small, names, row_budget
+from .ordered import CHUNK, chunk_of, chunk_width, for_python, is_small, names, row_budget
 
 BUCKETS_CONF = "spark.roadlog.buckets"      # four per shuffle partition when not set
 HOT_ROWS = 1_000_000                        # most hot entities whose list is broadcast
@@ -53,7 +53,7 @@ def scan(df: DataFrame, by, t: str, tie, out_schema: str, *, run: Callable, summ
         return pd.DataFrame({f.name: _column(fresh.get(f.name, columns[f.name][taken] if f.name not in fresh else None), f) for f in schema.fields})
 
     if width is None:
-        return packed.groupBy("__bucket").applyInPandas(lambda rows: outputs(rows, lambda *_: start), schema)
+        return for_python(packed, "__bucket").groupBy("__bucket").applyInPandas(lambda rows: outputs(rows, lambda *_: start), schema)
 
     hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > row_budget(df)).select(*keys, F.lit(True).alias("__hot"))
     if hot.limit(HOT_ROWS + 1).count() <= HOT_ROWS:
@@ -86,7 +86,7 @@ def scan(df: DataFrame, by, t: str, tie, out_schema: str, *, run: Callable, summ
         text = columns["__state"][low]
         return start if text is None else json.loads(text)
 
-    return ready.groupBy("__bucket", CHUNK).applyInPandas(lambda rows: outputs(rows, state_at), schema)
+    return for_python(ready, "__bucket", CHUNK).groupBy("__bucket", CHUNK).applyInPandas(lambda rows: outputs(rows, state_at), schema)
 
 
 def _entities(rows: pd.DataFrame, keys: list[str], order: list[str]):

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .asof import asof_join
-from .ordered import Ordered, names
+from .ordered import Ordered, for_python, names
 
-SPLINE_ROWS, SPLINE_HALO = 256, 64
+SPLINE_ROWS, SPLINE_HALO = 192, 48
 
 
 def resample_linear(df: DataFrame, by, t: str, tie, columns: list[str], step: float, *, tolerance: float = 0.0) -> DataFrame:
@@ -81,7 +81,7 @@ def spline_values(x: np.ndarray, values: np.ndarray, at: np.ndarray, degree: int
 def resample_spline(df: DataFrame, by, t: str, tie, columns: list[str], step: float, degree: int = 5) -> DataFrame:
     """Values of the interpolating spline of odd degree on multiples of `step` from the first row on.
 
-    The spline is solved in blocks of rows with 64 more rows on both sides. What a sample adds to the
+    The spline is solved in blocks of rows with 48 more rows on both sides. What a sample adds to the
     spline fades by more than half per row, so a block differs from the whole solution by less than
     rounding. Tracks with too few rows for the degree yield nothing; nothing is extrapolated.
     """
@@ -116,7 +116,7 @@ def resample_spline(df: DataFrame, by, t: str, tie, columns: list[str], step: fl
             result[key] = rows[key].iloc[0]
         return result[fields]
 
-    return spread.groupBy(*keys, "__block").applyInPandas(solve, schema)
+    return for_python(spread, *keys, "__block").groupBy(*keys, "__block").applyInPandas(solve, schema)
 
 
 def zone_times(track: DataFrame, by, t: str, tie, inside: Column) -> DataFrame:
