@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadlog.llm import decontaminate, lines, mixing
+from roadlog.llm import decontaminate, lines, mixing, simhash
 from roadlog.llm.common import load
 
 QUERIES: dict[str, object] = {}
@@ -92,3 +92,10 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = lines.remove(docs)
     return kept.select("doc_id", F.col("__line_n").alias("n_lines"), F.col("__line_dropped").alias("n_dropped"),
                        F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+@query("op3_simhash")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    signs = simhash.cut(simhash.signed(load(spark, sf_dir, "documents"), size=3))
+    found = simhash.classes(signs)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
