@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadlog.llm import decontaminate, lines, mixing, simhash
+from roadlog.llm import decontaminate, lines, mixing, mjpeg, simhash
 from roadlog.llm.common import load
 
 QUERIES: dict[str, object] = {}
@@ -99,3 +99,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     signs = simhash.cut(simhash.signed(load(spark, sf_dir, "documents"), size=3))
     found = simhash.classes(signs)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op1_mjpeg")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mjpeg.described(load(spark, sf_dir, "documents"))
+    shots = F.array_join(F.zip_with("starts", "ends", lambda s, e: F.concat_ws("-", s.cast("string"), e.cast("string"))), ",")
+    feature = F.concat(F.lit("clips="), F.size("starts").cast("string"), F.lit(";frames="), shots)
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
