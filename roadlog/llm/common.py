@@ -76,3 +76,27 @@ def field(name: str, kind: str) -> T.StructField:
     kinds = {"long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "string": T.StringType(),
              "boolean": T.BooleanType(), "binary": T.BinaryType()}
     return T.StructField(name, T.ArrayType(kinds[kind[:-2]]) if kind.endswith("[]") else kinds[kind])
+
+
+def rewritten(docs: DataFrame, text_col: str, change: Callable[[str], str]) -> DataFrame:
+    """All columns of the documents as they are, the text through `change`; a null text stays null."""
+    at = docs.schema.fieldNames().index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in sliced(batch):
+                texts = [None if x is None else change(x) for x in part.column(at).to_pylist()]
+                columns = [*part.columns[:at], pa.array(texts, part.schema.field(at).type), *part.columns[at + 1:]]
+                yield pa.RecordBatch.from_arrays(columns, schema=part.schema)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def masked(text: str, spans: Sequence[tuple[int, int, str]]) -> str:
+    """The text with each span (start, end, mask) replaced; of spans that overlap, one mask stands for all."""
+    out, at = [], 0
+    for start, end, mask in sorted(spans):
+        if start >= at:
+            out += [text[at:start], mask]
+        at = max(at, end)
+    return "".join([*out, text[at:]])

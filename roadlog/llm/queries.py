@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadlog.llm import decontaminate, lines, mixing, mjpeg, simhash
+from roadlog.llm import decontaminate, lines, mixing, mjpeg, pii, secrets, simhash
 from roadlog.llm.common import load
 
 QUERIES: dict[str, object] = {}
@@ -107,3 +107,24 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     shots = F.array_join(F.zip_with("starts", "ends", lambda s, e: F.concat_ws("-", s.cast("string"), e.cast("string"))), ",")
     feature = F.concat(F.lit("clips="), F.size("starts").cast("string"), F.lit(";frames="), shots)
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+
+
+def _listed(found: DataFrame, base: list[str]) -> dict[str, F.Column]:
+    """Counts per kind, the digest of the spans of these kinds and the text of all spans."""
+    spans = F.arrays_zip("kinds", "starts", "ends")
+    named = lambda s: F.concat_ws(":", s["kinds"], s["starts"].cast("string"), s["ends"].cast("string"))
+    counts = {f"n_{k}": F.size(F.expr(f"filter(kinds, x -> x = '{k}')")).cast("long") for k in base}
+    fixed = F.array_join(F.transform(F.filter(spans, lambda s: s["kinds"].isin(base)), named), ",")
+    return {**counts, "base_sha256": F.sha2(fixed.cast("binary"), 256), "spans": F.array_join(F.transform(spans, named), ",")}
+
+
+@query("op7_secrets")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find(load(spark, sf_dir, "documents"))
+    return found.select("doc_id", *[c.alias(n) for n, c in _listed(found, ["assign", "access", "hex"]).items()])
+
+
+@query("op10_pii")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(load(spark, sf_dir, "documents"))
+    return found.select("doc_id", *[c.alias(n) for n, c in _listed(found, ["email", "ip", "card", "phone"]).items()])
