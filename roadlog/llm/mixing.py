@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from roadlog.llm.common import WORD, cut, pieces
 
-SLOT_ROWS = 20_000
+SLOT_ROWS = 4_000
 
 
 def word_count(text: Column) -> Column:
