@@ -82,16 +82,24 @@ class Trees:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.margin(x) + self.shift, -40, 40)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 50) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50) -> np.ndarray:
     """Weights of a logistic regression, the constant last."""
     full = np.column_stack([x, np.ones(len(x))])
     w = np.zeros(full.shape[1])
+
+    def loss(v: np.ndarray) -> float:
+        z = full @ v
+        return float(np.logaddexp(0, np.where(y > 0.5, -z, z)).sum() + ridge / 2 * (v @ v))
+
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(full @ w, -30, 30)))
         hess = (full * (p * (1 - p))[:, None]).T @ full + ridge * np.eye(len(w))
         step = np.linalg.solve(hess, full.T @ (y - p) - ridge * w)
-        w += np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-9:
+        size = 1.0
+        while size > 1e-6 and loss(w + size * step) > loss(w):
+            size /= 2
+        w = w + size * step
+        if np.abs(size * step).max() < 1e-9:
             break
     return w
 

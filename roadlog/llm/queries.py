@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadlog.llm import decontaminate, lines, mixing, mjpeg, pii, secrets, simhash
+from roadlog.llm import decontaminate, lines, mixing, mjpeg, pii, secrets, simhash, toxicity
 from roadlog.llm.common import load
 
 QUERIES: dict[str, object] = {}
@@ -128,3 +128,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(load(spark, sf_dir, "documents"))
     return found.select("doc_id", *[c.alias(n) for n, c in _listed(found, ["email", "ip", "card", "phone"]).items()])
+
+
+@query("op4_toxicity")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, load(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
