@@ -37,7 +37,8 @@ from roadlog.llm.simhash import shingles
 
 PER_CLASS = 4_000
 DISCOUNT = 0.75
-PRIOR = 100.0               # how many words of a context the shared counts weigh
+PRIOR = 1000.0              # how many words of a context the shared counts weigh
+EQUAL = 1.0                 # log ratios up to this count as equal: the classes differ in languages and subjects too
 FOLDS = 5
 OTHER, START = 0, 1         # numbers of the words beyond the vocabulary and of the begin of a text
 
@@ -74,6 +75,11 @@ def rare_below(documents: int) -> int:
     return 3 + int(documents ** 0.5 / 8)
 
 
+def _beyond(gap: np.ndarray) -> np.ndarray:
+    """Log ratios less the part that counts as equal."""
+    return np.sign(gap) * np.maximum(np.abs(gap) - EQUAL, 0)
+
+
 class Model:
     """Vocabulary and tables of the two models, and the logistic curve."""
 
@@ -103,7 +109,7 @@ class Model:
         rare = contexts.max(axis=0) < least
         rare[[OTHER, START]] = True
         word[:, rare] = shared[rare]
-        self.word_gap = np.log(word[1]) - np.log(word[0])
+        self.word_gap = _beyond(np.log(word[1]) - np.log(word[0]))
         u, w = pairs["u"].to_numpy(), pairs["w"].to_numpy()
         n = np.stack([pairs["n0"].to_numpy(), pairs["n1"].to_numpy()]).astype(float)
         joined = n.sum(axis=0) / count[:, u].sum(axis=0)
@@ -111,7 +117,7 @@ class Model:
         p = (np.maximum(n - DISCOUNT, 0) + (PRIOR + DISCOUNT * kinds[:, u]) * joined * tilt) / (count[:, u] + PRIOR)
         order = np.argsort(u * size + w)
         self.size, self.keys = size, (u * size + w)[order]
-        self.pair = (np.log(p[1]) - np.log(p[0]))[order]
+        self.pair = _beyond(np.log(p[1]) - np.log(p[0]))[order]
         return self
 
     def gaps(self, coded: np.ndarray) -> np.ndarray:
