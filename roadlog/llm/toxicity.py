@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from roadlog.llm.boosting import logistic
-from roadlog.llm.common import cut, field, id_text, map_texts, sliced
+from roadlog.llm.common import cut, field, id_text, map_texts, sliced, smallest
 from roadlog.llm.decontaminate import words
 from roadlog.llm.simhash import shingles
 
@@ -53,8 +53,9 @@ def learned(docs: DataFrame, labels: DataFrame, per_class: int, id_col: str, tex
     marks = (labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("toxic"))
              .filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
              .filter(~held_out(F.col("doc_id"))).withColumn("h", F.xxhash64("doc_id")))
+    marks = cut(marks)
     share = marks.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0] or 0.0
-    picked = [marks.filter(F.col("toxic") == k).orderBy("h", "doc_id").limit(per_class) for k in (0, 1)]
+    picked = [smallest(marks.filter(F.col("toxic") == k), "h", ["doc_id"], per_class) for k in (0, 1)]
     chosen = F.broadcast(picked[0].unionByName(picked[1]))                      # at most 2 * per_class ids
     texts = id_text(docs, id_col, text_col).join(chosen, "doc_id").filter("text is not null").select("toxic", "h", "text")
     keyed = texts.mapInArrow(_with_key, "toxic int, h long, text string, t long")
