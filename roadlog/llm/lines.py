@@ -149,11 +149,11 @@ def _listing(id_col: str, text_col: str, least_chars: int, shards: int):
         for part in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
             if len(part):
                 rows.append((int(shard[part[0]]), block, digests[part].tobytes(), numbers[part, 0].tobytes(), numbers[part, 1].tobytes()))
-        return _rows(rows, _LISTS)
+        return as_table(rows, _LISTS)
     return run
 
 
-def _rows(rows: list[tuple], kind: T.StructType) -> pa.Table:
+def as_table(rows: list[tuple], kind: T.StructType) -> pa.Table:
     columns = list(zip(*rows)) if rows else [[] for _ in kind]
     kinds = {"bigint": pa.int64(), "binary": pa.binary()}
     return pa.table({f.name: pa.array(c, kinds[f.dataType.simpleString()]) for f, c in zip(kind, columns)})
@@ -171,7 +171,7 @@ def _answers(least_docs: int):
             drop = found >= least_docs
             if drop.any():
                 rows.append((block, digests[drop].tobytes(), keeper[drop].tobytes()))
-        return _rows(rows, _DROPS)
+        return as_table(rows, _DROPS)
     return run
 
 

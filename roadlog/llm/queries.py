@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadlog.llm import decontaminate, lines, mixing, mjpeg, pii, secrets, simhash, toxicity
+from roadlog.llm import decontaminate, lines, mixing, mjpeg, pii, rlz, secrets, simhash, toxicity
 from roadlog.llm.common import load
 
 QUERIES: dict[str, object] = {}
@@ -136,3 +136,18 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, load(spark, sf_dir, "labels"))
     scored = toxicity.score(docs, model)
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+REPEAT_SQL = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+g AS (SELECT r, doc_id, p, array_to_string(w[p:p + 19], ' ') AS g FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 18)) AS p FROM d)),
+m AS (SELECT *, min((doc_id, p)) OVER (PARTITION BY g) AS first FROM g),
+c AS (SELECT DISTINCT r, unnest(range(p, p + 20)) AS pos FROM m WHERE first < (doc_id, p)),
+x AS (SELECT r, doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM d),
+k AS (SELECT r, count(*) AS n_kept, string_agg(word, ' ' ORDER BY pos) AS kept FROM x ANTI JOIN c USING (r, pos) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, len(w) - coalesce(n_kept, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (r)"""
+
+
+@query("op2_rlz", REPEAT_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = rlz.parse(load(spark, sf_dir, "documents"))
+    return parsed.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
