@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadlog.llm import decontaminate, lines, mixing, mjpeg, pii, rlz, secrets, simhash, toxicity
+from roadlog.llm import decontaminate, lines, lm, mixing, mjpeg, pii, rlz, secrets, simhash, toxicity
 from roadlog.llm.common import load
 
 QUERIES: dict[str, object] = {}
@@ -151,3 +151,30 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, len(w) - coalesce(n_kept, 0) A
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = rlz.parse(load(spark, sf_dir, "documents"))
     return parsed.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+LM_SQL = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_ITEM_WORDS} AS ws FROM documents),
+q AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1),
+m AS (SELECT r, CASE WHEN doc_id IN (SELECT doc_id FROM q WHERE doc_id IS NOT NULL) THEN 1 ELSE 0 END AS mine, len(ws) AS n FROM d),
+t AS (SELECT r, p, ws[p] AS w, CASE WHEN p = 1 THEN '' ELSE ws[p - 1] END AS u FROM (SELECT r, ws, unnest(range(1, len(ws) + 1)) AS p FROM d)),
+s AS (SELECT count(*) AS docs_b, sum(mine) AS docs_t, sum(n) AS words_b, sum(n * mine) AS words_t FROM m WHERE n > 0),
+ob AS (SELECT r, u, w, count(*) AS n FROM t GROUP BY r, u, w), ow AS (SELECT r, w, count(*) AS n FROM t GROUP BY r, w),
+cb AS (SELECT u, w, sum(ob.n) AS b, sum(ob.n * mine) AS t FROM ob JOIN m USING (r) GROUP BY u, w),
+cw AS (SELECT w, sum(o.n) AS b, sum(o.n * mine) AS t FROM ow o JOIN m USING (r) GROUP BY w),
+x AS (SELECT t.r, m.n, cb.b - ob.n AS bb, cb.t - ob.n * mine AS bt, cw.b - ow.n AS wb, cw.t - ow.n * mine AS wt,
+ CASE WHEN t.u = '' THEN docs_b - 1 ELSE cu.b - ou.n END AS ub, CASE WHEN t.u = '' THEN docs_t - mine ELSE cu.t - ou.n * mine END AS ut,
+ words_b - m.n AS tb, words_t - m.n * mine AS tt
+ FROM t JOIN m USING (r) JOIN ob ON ob.r = t.r AND ob.u = t.u AND ob.w = t.w JOIN cb ON cb.u = t.u AND cb.w = t.w
+ JOIN ow ON ow.r = t.r AND ow.w = t.w JOIN cw ON cw.w = t.w LEFT JOIN ow ou ON ou.r = t.r AND ou.w = t.u LEFT JOIN cw cu ON cu.w = t.u CROSS JOIN s),
+l AS (SELECT r, sum(-ln((bt + 10.0::DOUBLE * (wt + 0.05::DOUBLE) / (tt + 0.05::DOUBLE * 1048576)) / (ut + 10.0::DOUBLE))) / any_value(n) AS lt,
+ sum(-ln((bb + 10.0::DOUBLE * (wb + 0.05::DOUBLE) / (tb + 0.05::DOUBLE * 1048576)) / (ub + 10.0::DOUBLE))) / any_value(n) AS lb FROM x GROUP BY r)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, round(coalesce(lt, 0) + 1e-9, 6) + 0.0 AS loss_target, round(coalesce(lb, 0) + 1e-9, 6) + 0.0 AS loss_background,
+ round(coalesce(lb - lt, 0) + 1e-9, 6) + 0.0 AS score FROM d LEFT JOIN l USING (r)"""
+
+
+@query("op8_cross_entropy", LM_SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = load(spark, sf_dir, "labels").filter("quality = 1")
+    scored = lm.score(load(spark, sf_dir, "documents"), target)
+    rounded = [(F.round(F.col(c) + 1e-9, 6) + F.lit(0.0)).alias(c) for c in ("loss_target", "loss_background", "score")]
+    return scored.select("doc_id", "n_words", *rounded)
