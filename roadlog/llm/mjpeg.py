@@ -32,7 +32,7 @@ FRAME = SIDE * SIDE
 PERIOD_US = 40_000
 GROUP = 1024
 BINS = 16
-SPREAD, FLOOR, AROUND = 2.0, 0.05, 8
+SPREAD, FLOOR, AROUND = 2.0, 0.15, 8
 
 # fixed values: the zigzag order of JPEG coefficients
 ZIGZAG = [0, 1, 8, 16, 9, 2, 3, 10, 17, 24, 32, 25, 18, 11, 4, 5, 12, 19, 26, 33, 40, 48, 41, 34, 27, 20, 13, 6, 7, 14, 21, 28,
