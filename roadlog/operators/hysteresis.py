@@ -15,10 +15,12 @@ from .ordered import Ordered, as_column, names
 def hysteresis_changes(df: DataFrame, by, t: str, tie, value, band: float) -> DataFrame:
     """Rows whose value differs by more than `band` from the last accepted value; the first counts.
 
-    Rows equal to the row before them cannot change the state and are dropped first.
+    Rows without a value, or with one that is no number, are no changes. Rows equal to the row before
+    them cannot change the state and are dropped first.
     """
     keys = names(by)
-    o = Ordered.of(df.select(*keys, t, *names(tie), as_column(value).cast("double").alias("__v")), by, t, tie)
+    valued = df.select(*keys, t, *names(tie), as_column(value).cast("double").alias("__v"))
+    o = Ordered.of(valued.where(F.col("__v").isNotNull() & ~F.isnan("__v")), by, t, tie)
     moved = o.prev(__pv="__v").df.where(F.col("__pv").isNull() | (F.col("__pv") != F.col("__v"))).drop("__pv")
     tie_types = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in [t, *names(tie)])
     return sequential.scan(

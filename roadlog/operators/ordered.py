@@ -11,7 +11,8 @@ frames) in two ways with equal results:
   one row per chunk, or, for frames, from a few rows copied over the chunk border.
 
 The choice is made from the size of the tables read, and above a limit from one pre-aggregated
-count per entity. Entity columns must not be null once an entity is cut.
+count per entity. Null entities are one entity, rows without a time stand before all others of their entity, and
+both hold whether or not an entity is cut.
 """
 
 from __future__ import annotations
@@ -79,7 +80,7 @@ def _measure_width(df: DataFrame, by: Sequence[str], t: str, budget: int) -> flo
         F.count(F.lit(1)).alias("n"), F.min(t).alias("lo"), F.max(t).alias("hi")
     )
     top = sizes.agg(F.max_by(F.struct("n", "lo", "hi"), F.col("n")).alias("top")).first()
-    if top is None or top.top is None or top.top.n <= budget:
+    if top is None or top.top is None or top.top.n <= budget or top.top.lo is None or not math.isfinite(top.top.hi - top.top.lo):
         return None
     whole = not isinstance(top.top.lo, float)
     span = float(top.top.hi - top.top.lo) + (1 if whole else 0)
@@ -101,13 +102,18 @@ def _measure_width(df: DataFrame, by: Sequence[str], t: str, budget: int) -> flo
     return width
 
 
-def chunk_of(by: Sequence[str], t: str, width: float) -> Column:
-    """Chunk number of a row; a null entity is an error, since its chunks could not be joined again."""
-    named = F.lit(True)
-    for key in by:
-        named = named & F.col(key).isNotNull()
-    refusal = F.raise_error(F.lit(f"null in entity columns {list(by)}")).cast("long")
-    return F.when(named, F.floor(F.col(t) / F.lit(width))).otherwise(refusal)
+def chunk_of(t: str, width: float) -> Column:
+    """Chunk number of a row, in the order of times: null without a time, the last for a time that is no number."""
+    return F.when(F.isnan(F.col(t).cast("double")), F.lit(2**63 - 1)).otherwise(F.floor(F.col(t) / F.lit(width)))
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which null keys are equal; the key columns are those of `left`."""
+    renamed = right.select(*[F.col(k).alias(f"__r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    condition = F.lit(True)
+    for k in keys:
+        condition = condition & F.col(k).eqNullSafe(F.col(f"__r_{k}"))
+    return left.join(renamed, condition, how).drop(*[f"__r_{k}" for k in keys])
 
 
 class Ordered:
@@ -116,7 +122,7 @@ class Ordered:
     def __init__(self, df: DataFrame, by, t: str, tie=(), width: float | None = None):
         self.by, self.t, self.tie, self.width = names(by), t, names(tie), width
         if width is not None and CHUNK not in df.columns:
-            df = df.withColumn(CHUNK, chunk_of(self.by, t, width))
+            df = df.withColumn(CHUNK, chunk_of(t, width))
         self._df = df
 
     @classmethod
@@ -164,7 +170,7 @@ class Ordered:
         part = self._part
         chunks = self._df.groupBy(*part).agg(*[c.alias(n) for n, c in totals.items()])
         chunks = chunks.select(*part, *[c.alias(n) for n, c in carry.items()])
-        body = self._df.withColumns(local).join(chunks, part, "left").withColumns(combine)
+        body = null_safe_join(self._df.withColumns(local), chunks, part, "left").withColumns(combine)
         keep = [c for c in self._df.columns if c not in combine]
         return self.map(lambda _: body.select(*keep, *combine))
 
@@ -275,10 +281,10 @@ class Ordered:
         block = F.floor(F.col(self.t) / F.lit(width))
         first = F.floor((F.col(self.t) - F.lit(forth)) / F.lit(width))
         last = F.floor((F.col(self.t) + F.lit(back)) / F.lit(width))
-        spread = self._df.withColumn("__b", block).withColumn("__to", F.explode(F.sequence(first, last)))
+        spread = self._df.withColumn("__b", block).withColumn("__to", F.explode(F.coalesce(F.sequence(first, last), F.array(block))))
         frame = Window.partitionBy(*self.by, "__to").orderBy(self.t).rangeBetween(-back, forth)
         framed = spread.withColumns({n: f(frame) for n, f in columns.items()})
-        framed = framed.where(F.col("__to") == F.col("__b")).drop("__b", "__to")
+        framed = framed.where(F.col("__to").eqNullSafe(F.col("__b"))).drop("__b", "__to")
         return self.map(lambda _: framed)
 
     def islands(self, name: str, starts: Column) -> Ordered:

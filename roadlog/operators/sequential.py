@@ -17,10 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .ordered import CHUNK, chunk_of, chunk_width, for_python, is_small, names, row_budget
+from .ordered import CHUNK, chunk_of, chunk_width, for_python, is_small, names, null_safe_join, row_budget
 
 BUCKETS_CONF = "spark.roadlog.buckets"      # four per shuffle partition when not set
-HOT_ROWS = 1_000_000                        # most hot entities whose list is broadcast
 
 
 def scan(df: DataFrame, by, t: str, tie, out_schema: str, *, run: Callable, summarise: Callable, enter: Callable, start) -> DataFrame:
@@ -56,10 +55,9 @@ def scan(df: DataFrame, by, t: str, tie, out_schema: str, *, run: Callable, summ
         return for_python(packed, "__bucket").groupBy("__bucket").applyInPandas(lambda rows: outputs(rows, lambda *_: start), schema)
 
     hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > row_budget(df)).select(*keys, F.lit(True).alias("__hot"))
-    if hot.limit(HOT_ROWS + 1).count() <= HOT_ROWS:
-        hot = F.broadcast(hot)
-    marked = packed.join(hot, keys, "left").withColumn("__hot", F.coalesce("__hot", F.lit(False)))
-    chunked = marked.withColumn(CHUNK, F.when(F.col("__hot"), chunk_of(keys, t, width)).otherwise(F.lit(0)).cast("long"))
+    marked = null_safe_join(packed, hot, keys, "left").withColumn("__hot", F.coalesce("__hot", F.lit(False)))
+    place = F.coalesce(chunk_of(t, width), F.lit(-(2**63)))         # rows without a time come first
+    chunked = marked.withColumn(CHUNK, F.when(F.col("__hot"), place).otherwise(F.lit(0)).cast("long"))
     key_fields = [df.schema[k] for k in keys]
     map_schema = T.StructType(key_fields + [T.StructField(CHUNK, T.LongType()), T.StructField("__map", T.StringType())])
     state_schema = T.StructType(key_fields + [T.StructField(CHUNK, T.LongType()), T.StructField("__state", T.StringType())])
@@ -80,7 +78,7 @@ def scan(df: DataFrame, by, t: str, tie, out_schema: str, *, run: Callable, summ
 
     maps = chunked.where("__hot").groupBy(*keys, CHUNK).applyInPandas(summaries, map_schema)
     states = maps.groupBy(*keys).applyInPandas(fold, state_schema)
-    ready = chunked.join(states, [*keys, CHUNK], "left")
+    ready = null_safe_join(chunked, states, [*keys, CHUNK], "left")
 
     def state_at(columns, low):
         text = columns["__state"][low]
@@ -91,7 +89,7 @@ def scan(df: DataFrame, by, t: str, tie, out_schema: str, *, run: Callable, summ
 
 def _entities(rows: pd.DataFrame, keys: list[str], order: list[str]):
     """Rows in (entity, time) order and the (first, end) places of every entity."""
-    rows = rows.sort_values([*keys, *order]).reset_index(drop=True)
+    rows = rows.sort_values([*keys, *order], na_position="first").reset_index(drop=True)
     changed = np.zeros(len(rows), dtype=bool)
     for key in keys:
         now, before = rows[key], rows[key].shift()

@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import side
-from ..session import cut
-from .ordered import Ordered, is_small, names
+from .ordered import Ordered, names, null_safe_join
 
-ROUTE_POINTS = 2_000    # a route up to this size travels with its recording as one array
+LEAST_BLOCK = 64        # route points in the smallest block of a route
 
 
 def _cells(low: Column, high: Column, size: Column) -> Column:
@@ -22,64 +19,44 @@ def nearest_point(points: DataFrame, route: DataFrame, by, *, place: str, x: str
                   trim_ends: bool = False) -> DataFrame:
     """Points with the nearest route point of their entity (near_<place>, near_x, near_y, near_d).
 
-    Equal distances go to the lower place. A short route is one array beside its points; a longer one
-    is searched through a grid whose cells grow until a hit is certain. `trim_ends` blanks the match
-    at the first and last route point, where the recording has not reached or has left the route.
+    Equal distances go to the lower place. Points without a coordinate stay, with nulls; route points
+    without one are no candidates; points of an entity without a route are left out. `trim_ends` blanks
+    the match at the first and last route point, where the recording has not reached or has left the route.
+
+    A route lies in blocks of about the root of its length. A point is compared with the boxes of the blocks
+    first, then with the points of those blocks only that may hold the nearest one. So neither a row nor a
+    task has a whole long route, and all lengths take the same way. Equal points are looked up once.
     """
     keys = names(by)
-    sizes = route.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("__n"), F.min(place).alias("__first"), F.max(place).alias("__last"),
-        F.min(x).alias("__x0"), F.max(x).alias("__x1"), F.min(y).alias("__y0"), F.max(y).alias("__y1"))
-    # the size is known before arrays are built, so no long route is ever collected into one
-    longest = sizes.agg(F.max("__n")).first()[0]
-    long_routes = longest is not None and longest > ROUTE_POINTS
-    short = route
-    if long_routes:
-        short = route.join(sizes.where(F.col("__n") <= ROUTE_POINTS).select(*keys), keys, "left_semi")
-    arrays = short.groupBy(*keys).agg(F.collect_list(F.struct(place, x, y)).alias("__route"))
+    at = [*keys, x, y]
+    known = route.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, place, x, y)
+    ends = route.groupBy(*keys).agg(F.min(place).alias("__first"), F.max(place).alias("__last"))
+    sizes = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("__size"))
+    numbered = null_safe_join(Ordered.of(known, by, place, [x, y]).number("__n").df, sizes, keys)
+    block = F.floor((F.col("__n") - 1) / F.greatest(F.lit(LEAST_BLOCK), F.ceil(F.sqrt("__size"))))
+    blocks = numbered.withColumn("__block", block).groupBy(*keys, "__block").agg(
+        F.collect_list(F.struct(place, x, y)).alias("__part"), F.min(x).alias("__x0"), F.max(x).alias("__x1"),
+        F.min(y).alias("__y0"), F.max(y).alias("__y1"))
+    boxes = blocks.groupBy(*keys).agg(F.collect_list(F.struct("__block", "__x0", "__x1", "__y0", "__y1")).alias("__boxes"))
+    outside = lambda v, low, high: F.greatest(low - v, v - high, F.lit(0.0))
+    across = lambda v, low, high: F.greatest(F.abs(v - low), F.abs(v - high))
+    reach = lambda f: lambda b: F.hypot(f(F.col(x), b["__x0"], b["__x1"]), f(F.col(y), b["__y0"], b["__y1"]))
+    spots = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*at).distinct()
+    bounded = null_safe_join(spots, boxes, keys).withColumn("__bound", F.array_min(F.transform("__boxes", reach(across))))
+    near = F.filter("__boxes", lambda b: reach(outside)(b) <= F.col("__bound") * (1 + 1e-9) + 1e-9)
+    tried = bounded.select(*at, F.explode(F.transform(near, lambda b: b["__block"])).alias("__block"))
+    held = null_safe_join(tried, blocks.select(*keys, "__block", "__part"), [*keys, "__block"])
     gap = lambda p: F.hypot(p[x] - F.col(x), p[y] - F.col(y))
-    best = F.array_min(F.transform("__route", lambda p: F.struct(
-        gap(p).alias("d"), p[place].alias("p"), p[x].alias("x"), p[y].alias("y"))))
-    kept = points.columns
-    out = points.join(arrays, keys).withColumn("__b", best).drop("__route")
-    if long_routes:
-        out = out.unionByName(_nearest_by_grid(points, route, sizes.where(F.col("__n") > ROUTE_POINTS), keys, place, x, y))
+    best = F.array_min(F.transform("__part", lambda p: F.struct(gap(p).alias("d"), p[place].alias("p"), p[x].alias("x"), p[y].alias("y"))))
+    found = held.groupBy(*at).agg(F.min(best).alias("__b"))
+    out = null_safe_join(null_safe_join(points, ends, keys), found, at, "left")
     if trim_ends:
-        out = out.join(sizes.select(*keys, "__first", "__last"), keys)
         inner = (F.col("__b.p") != F.col("__first")) & (F.col("__b.p") != F.col("__last"))
         out = out.withColumn("__b", F.when(inner, F.col("__b")))
-    return out.select(*kept, F.col("__b.p").alias(f"near_{place}"), F.col("__b.x").alias("near_x"),
+    return out.select(*points.columns, F.col("__b.p").alias(f"near_{place}"), F.col("__b.x").alias("near_x"),
                       F.col("__b.y").alias("near_y"), F.col("__b.d").alias("near_d"))
 
 
-def _nearest_by_grid(points, route, sizes, keys, place, x, y) -> DataFrame:
-    extent = F.greatest(F.col("__x1") - F.col("__x0"), F.col("__y1") - F.col("__y0"), F.lit(1e-9))
-    cell = sizes.select(*keys, (extent / F.sqrt("__n")).alias("__cell"), "__x0", "__x1", "__y0", "__y1")
-    todo = points.join(cell, keys).withColumn("__id", F.struct(*points.columns))
-    reach = F.hypot(F.greatest(F.abs(F.col(x) - F.col("__x0")), F.abs(F.col(x) - F.col("__x1"))),
-                    F.greatest(F.abs(F.col(y) - F.col("__y0")), F.abs(F.col(y) - F.col("__y1"))))
-    farthest = todo.agg(F.max(reach / F.col("__cell"))).first()[0]
-    levels = 1 + max(0, math.ceil(math.log(max(farthest or 1.0, 1.0), 4)))
-    # equal places on the route are one candidate, the first of them
-    spots = route.join(cell, keys).groupBy(*keys, "__cell", x, y).agg(F.min(place).alias("__p"))
-    done = None
-    for level in range(levels + 1):
-        width = F.col("__cell") * F.lit(4.0 ** level)
-        here = todo.withColumn("__cx", F.floor(F.col(x) / width)).withColumn("__cy", F.floor(F.col(y) / width))
-        near = spots.withColumn("__cx", F.explode(F.sequence(F.floor(F.col(x) / width) - 1, F.floor(F.col(x) / width) + 1)))
-        near = near.withColumn("__cy", F.explode(F.sequence(F.floor(F.col(y) / width) - 1, F.floor(F.col(y) / width) + 1)))
-        near = near.select(*keys, "__cx", "__cy", "__p", F.col(x).alias("__rx"), F.col(y).alias("__ry"))
-        d = F.hypot(F.col("__rx") - F.col(x), F.col("__ry") - F.col(y))
-        tried = here.join(near, [*keys, "__cx", "__cy"], "left").groupBy("__id", *keys, "__cell").agg(
-            F.min(F.struct(d.alias("d"), F.col("__p").alias("p"), F.col("__rx").alias("x"), F.col("__ry").alias("y"))).alias("__b"),
-            F.first(x).alias(x), F.first(y).alias(y))
-        sure = F.coalesce(F.col("__b.d") <= F.col("__cell") * F.lit(4.0 ** level), F.lit(False))
-        hits = tried.where(sure).select("__id.*", "__b")
-        done = hits if done is None else done.unionByName(hits)
-        todo = tried.where(~sure).drop("__b")
-    return done
-
-
 def cross_track(points: DataFrame, route: DataFrame, by, t: str, *, place: str, tie=(), min_step: float = 0.0) -> DataFrame:
     """Signed distance to the route (positive to its left) and distance travelled along it.
 
@@ -118,21 +95,34 @@ def segments(path: DataFrame, by, t: str, tie=()) -> DataFrame:
     return legs.select(*names(by), F.col(t).alias("t1"), "t2", F.col("x").alias("x1"), F.col("y").alias("y1"), "x2", "y2")
 
 
+def along_line(df: DataFrame, u1: Column, v1: Column, u2: Column, v2: Column, size_u: Column, size_v: Column, cu: str, cv: str) -> DataFrame:
+    """Rows of line pieces from (u1, v1) to (u2, v2), once for each grid cell on the line.
+
+    A piece gets the cells of each column of the grid between its ends, not those of its whole box. Cells
+    that the line touches within rounding are included.
+    """
+    slope = F.coalesce(F.try_divide(v2 - v1, u2 - u1), F.lit(0.0))
+    spread = df.withColumn(cu, F.explode(_cells(F.least(u1, u2) - size_u * 1e-9, F.greatest(u1, u2) + size_u * 1e-9, size_u)))
+    clip = lambda u: F.greatest(F.least(u, F.greatest(u1, u2)), F.least(u1, u2))
+    at = lambda u: F.when(u1 == u2, v1).otherwise(v1 + (clip(u) - u1) * slope)
+    low, high = F.col(cu) * size_u, (F.col(cu) + 1) * size_u
+    far = F.when(u1 == u2, v2).otherwise(at(high))
+    margin = size_v * 1e-9 + F.greatest(F.abs(v1), F.abs(v2)) * 1e-12
+    return spread.withColumn(cv, F.explode(_cells(F.least(at(low), far) - margin, F.greatest(at(low), far) + margin, size_v)))
+
+
 def _celled(legs: DataFrame, keys: list[str], cell: float, tag: str) -> DataFrame:
     size = F.lit(float(cell))
-    legs = legs.withColumn("__cx", F.explode(_cells(F.least("x1", "x2"), F.greatest("x1", "x2"), size)))
-    legs = legs.withColumn("__cy", F.explode(_cells(F.least("y1", "y2"), F.greatest("y1", "y2"), size)))
-    return legs.select(*keys, "__cx", "__cy", *[F.col(c).alias(f"{tag}{c}") for c in ("t1", "t2", "x1", "y1", "x2", "y2")])
+    known = legs.where(F.col("x1").isNotNull() & F.col("y1").isNotNull() & F.col("y2").isNotNull())
+    c = {k: F.col(k).cast("double") for k in ("x1", "y1", "x2", "y2")}
+    legs = along_line(known, c["x1"], c["y1"], c["x2"], c["y2"], size, size, "__cx", "__cy")
+    return legs.select(*keys, "__cx", "__cy", *[F.col(n).alias(f"{tag}{n}") for n in ("t1", "t2", "x1", "y1", "x2", "y2")])
 
 
 def _crossings(legs_a: DataFrame, legs_b: DataFrame, keys: list[str], cell: float) -> DataFrame:
-    """Crossing points of two sets of legs. Legs meet in the grid cells their boxes cover; a pair is
-    judged once, in the cell of the lower left corner of its common box."""
-    pairs = _celled(legs_a, keys, cell, "a").join(_celled(legs_b, keys, cell, "b"), [*keys, "__cx", "__cy"])
-    low = lambda d: F.greatest(F.least(f"a{d}1", f"a{d}2"), F.least(f"b{d}1", f"b{d}2"))
-    high = lambda d: F.least(F.greatest(f"a{d}1", f"a{d}2"), F.greatest(f"b{d}1", f"b{d}2"))
-    own = (F.floor(low("x") / cell) == F.col("__cx")) & (F.floor(low("y") / cell) == F.col("__cy"))
-    pairs = pairs.where((low("x") <= high("x")) & (low("y") <= high("y")) & own)
+    """Crossing points of two sets of legs. Legs meet in the grid cells on their lines; a crossing counts
+    in the cell that holds it, or one beside it where it is on the border."""
+    pairs = null_safe_join(_celled(legs_a, keys, cell, "a"), _celled(legs_b, keys, cell, "b"), [*keys, "__cx", "__cy"])
     rx, ry = F.col("ax2") - F.col("ax1"), F.col("ay2") - F.col("ay1")
     sx, sy = F.col("bx2") - F.col("bx1"), F.col("by2") - F.col("by1")
     qx, qy = F.col("bx1") - F.col("ax1"), F.col("by1") - F.col("ay1")
@@ -146,73 +136,55 @@ def _crossings(legs_a: DataFrame, legs_b: DataFrame, keys: list[str], cell: floa
 
 
 def conflict_point(path_a, path_b, by, t: str, cell: float, tie=()) -> DataFrame:
-    """The first crossing along the first path, per entity: by, t_a, t_b, x, y.
-
-    On large input the first path is tried piece by piece from its start, each piece eight times as
-    long as the one before, and an entity is done at its first hit. So long paths never meet leg by
-    leg as a whole.
-    """
+    """The first crossing along the first path, per entity: by, t_a, t_b, x, y."""
     keys = names(by)
-    legs_a, legs_b = segments(path_a, by, t, tie), segments(path_b, by, t, tie)
-
-    def first(part, other):
-        found = _crossings(part, other, keys, cell)
-        return found.groupBy(*keys).agg(F.min(F.struct("t_a", "t_b", "x", "y")).alias("__c")).select(*keys, "__c.*")
-
-    if is_small(legs_a.unionByName(legs_b)):
-        return first(legs_a, legs_b)
-    todo = cut(Ordered.of(legs_a, by, "t1").number("__n").df)
-    longest = todo.agg(F.max("__n")).first()[0] or 0
-    begin, size, done = 0, 256, None
-    while begin < longest:
-        piece = todo.where((F.col("__n") > begin) & (F.col("__n") <= begin + size)).drop("__n")
-        hits = cut(first(piece, legs_b.join(todo.select(*keys).distinct(), keys, "left_semi")))
-        done = hits if done is None else done.unionByName(hits)
-        todo = todo.join(hits.select(*keys), keys, "left_anti")
-        begin, size = begin + size, size * 8
-    return done if done is not None else first(legs_a, legs_b)
-
-
-def offset_search(ref: DataFrame, sensor: DataFrame, by, idx: str, search: int, error) -> DataFrame:
+    found = _crossings(segments(path_a, by, t, tie), segments(path_b, by, t, tie), keys, cell)
+    return found.groupBy(*keys).agg(F.min(F.struct("t_a", "t_b", "x", "y")).alias("__c")).select(*keys, "__c.*")
+
+
+def offset_search(ref: DataFrame, sensor: DataFrame, by, idx: str, error, search: int | None = None) -> DataFrame:
     """Mean error of the sensor track laid over the reference at every row offset, and the best one.
 
-    Offsets run from 0 to where the shorter sensor track ends inside the reference, at most `search`
-    of them. `error(ref column, sensor column)` takes two functions from name to Column.
+    Offsets run from 0 to where the shorter sensor track ends inside the reference; `search` limits them for a caller who
+    knows that the tracks begin together. `error(ref column, sensor column)` takes two functions from name to Column.
+    Errors are summed per offset before they are shuffled.
     """
     keys = names(by)
     n_ref = ref.groupBy(*keys).agg(F.count(F.lit(1)).alias("__nr"))
     n_sensor = sensor.groupBy(*keys).agg(F.count(F.lit(1)).alias("__ns"))
-    room = n_ref.join(n_sensor, keys).select(*keys, F.least(F.lit(search), F.col("__nr") - F.col("__ns")).alias("__room"))
-    moved = sensor.join(room.where("__room > 0"), keys).withColumn("offset", F.explode(F.sequence(F.lit(0), F.col("__room") - 1)))
+    free = F.col("__nr") - F.col("__ns")
+    room = null_safe_join(n_ref, n_sensor, keys).select(*keys, (free if search is None else F.least(F.lit(search), free)).alias("__room"))
+    moved = null_safe_join(sensor, room.where("__room > 0"), keys).withColumn("offset", F.explode(F.sequence(F.lit(0), F.col("__room") - 1)))
     moved = moved.select(*keys, "offset", (F.col(idx) + F.col("offset")).alias("__i"),
                          *[F.col(c).alias(f"__s_{c}") for c in sensor.columns if c not in keys])
-    laid = moved.join(ref.withColumn("__i", F.col(idx)), [*keys, "__i"])
+    laid = null_safe_join(moved, ref.withColumn("__i", F.col(idx)), [*keys, "__i"])
     errors = laid.groupBy(*keys, "offset").agg(F.avg(error(F.col, lambda c: F.col(f"__s_{c}"))).alias("error"))
     return errors.groupBy(*keys).agg(F.min(F.struct("error", "offset")).alias("__b")).select(
         *keys, F.col("__b.offset").cast("long").alias("offset"), F.col("__b.error").alias("error"))
 
 
-def danger_times(own: DataFrame, other: DataFrame, by, t: str, radius: float, horizon: float, tie=()) -> DataFrame:
-    """For own path points of a time slot, the times in it when the other track is closer than `radius`.
+def danger_times(own: DataFrame, other: DataFrame, by, t: str, radius: float, tie=()) -> DataFrame:
+    """For own path points, the times when the other track is closer than `radius`: own columns, t_from, t_to.
 
-    `own` has the slot (of `horizon` length) in which the point may be reached. The other track is
-    linear between its rows; a standstill is one leg, however many rows it has. Points meet only the
-    legs of the same slot in nearby grid cells.
+    The other track is linear between its rows; a standstill is one leg, however many rows it has. Points
+    meet only the legs in nearby grid cells.
     """
     keys = names(by)
     o = Ordered.of(other, by, t, tie).prev(__x0="x", __y0="y").next(__x2="x", __y2="y")
     rests = (F.col("x") == F.col("__x0")) & (F.col("y") == F.col("__y0")) & (F.col("x") == F.col("__x2")) & (F.col("y") == F.col("__y2"))
     corners = o.where(~F.coalesce(rests, F.lit(False)))
     o = corners.next(__x2="x", __y2="y", __t2=t)
-    legs = o.df.where(F.col("__t2") > F.col(t))
+    legs = o.df.where((F.col("__t2") > F.col(t)) & F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("__x2").isNotNull() & F.col("__y2").isNotNull())
     reach, size = F.lit(float(radius)), F.lit(2.0 * radius)
     legs = legs.select(*keys, F.col("x").alias("__x1"), F.col("y").alias("__y1"), F.col(t).alias("__t1"), "__x2", "__y2", "__t2")
-    legs = legs.withColumn("slot", F.explode(_cells(F.col("__t1"), F.col("__t2"), F.lit(float(horizon)))))
-    for axis in ("x", "y"):
-        low, high = F.least(f"__{axis}1", f"__{axis}2") - reach, F.greatest(f"__{axis}1", f"__{axis}2") + reach
-        legs = legs.withColumn(f"__c{axis}", F.explode(_cells(low, high, size)))
-    here = own.withColumns({"__cx": F.floor(F.col("x") / size), "__cy": F.floor(F.col("y") / size)})
-    pairs = here.join(legs, [*keys, "slot", "__cx", "__cy"])
+    # the cells on the line and those around them hold all points closer than the radius
+    lined = along_line(legs, *[F.col(c).cast("double") for c in ("__x1", "__y1", "__x2", "__y2")], size, size, "__lx", "__ly")
+    around = F.explode(F.sequence(F.lit(-1), F.lit(1)))
+    legs = lined.withColumn("__dx", around).withColumn("__dy", around)
+    legs = legs.select(*keys, "__x1", "__y1", "__t1", "__x2", "__y2", "__t2", (F.col("__lx") + F.col("__dx")).alias("__cx"),
+                       (F.col("__ly") + F.col("__dy")).alias("__cy")).distinct()
+    here = own.where("x is not null and y is not null").withColumns({"__cx": F.floor(F.col("x") / size), "__cy": F.floor(F.col("y") / size)})
+    pairs = null_safe_join(here, legs, [*keys, "__cx", "__cy"])
     px, py = F.col("__x1") - F.col("x"), F.col("__y1") - F.col("y")
     vx, vy = F.col("__x2") - F.col("__x1"), F.col("__y2") - F.col("__y1")
     a, b, c = vx * vx + vy * vy, 2 * (px * vx + py * vy), px * px + py * py - reach * reach
@@ -227,15 +199,19 @@ def danger_times(own: DataFrame, other: DataFrame, by, t: str, radius: float, ho
     return near.select(*own.columns, at("__u0").alias("t_from"), at("__u1").alias("t_to"))
 
 
-def conflict_scan(own: DataFrame, other: DataFrame, by, t: str, radius: float, horizon: float, *, unit: float = 1000.0,
+def conflict_scan(own: DataFrame, other: DataFrame, by, t: str, radius: float, horizon: float | None = None, *, unit: float = 1000.0,
                   tie=(), still: float = 0.01) -> DataFrame:
-    """Time to collision of every own row (null when none within the horizon).
+    """Time to collision of every own row (null when there is none, or none within a horizon if one is given).
 
     The vehicle keeps the speed `v` of the row along its own later path; a conflict is the first later
     path point at which it would arrive while the other track is closer than `radius`. A standing
     vehicle conflicts (0) when the other one is that close at that moment, which is one interpolation
-    per row. Moving rows meet only the dangerous path points whose danger times fall into the row's
-    horizon; points without motion are no path points, so a parked vehicle adds none.
+    per row. Points without motion are no path points, so a parked vehicle adds none.
+
+    In the plane of way and time a danger is an upright piece (a path point and the times when the other
+    track is close), and a moving row is a straight line from its own place with the slope of its speed. Both
+    meet in the cells of a grid over the dangers of the entity: a line is walked cell by cell, so a row
+    is compared with the dangers on its line only. The grid has at most 64 columns, fewer for few dangers.
     """
     from .trajectory import interpolate_at
 
@@ -243,28 +219,39 @@ def conflict_scan(own: DataFrame, other: DataFrame, by, t: str, radius: float, h
     o = Ordered.of(own, by, t, tie).prev(__px="x", __py="y")
     step = F.coalesce(F.hypot(F.col("x") - F.col("__px"), F.col("y") - F.col("__py")), F.lit(0.0))
     path = o.with_columns(__step=step).running(__s=("sum", "__step")).number("__i").df.drop("__px", "__py")
-    slot = lambda c: F.floor(c / F.lit(float(horizon)))
-    way = F.col("v") * F.lit(horizon / unit)
-    moves = path.where(F.col("v") >= still)
-    stretch = moves.agg(F.max(way)).first()[0] or 1.0
-    part = lambda c: F.floor(c / F.lit(stretch))
-    # a start can reach its own and the next stretch of the path, in its own and the next time slot
-    starts = moves.withColumn("slot", F.explode(F.sequence(slot(F.col(t)), slot(F.col(t)) + 1)))
-    starts = starts.withColumn("part", F.explode(F.sequence(part(F.col("__s")), part(F.col("__s") + way))))
-    sought = starts.select(*keys, "part", "slot").distinct()
-    points = path.where("__step > 0").select(*keys, "x", "y", "__s", "__i", part(F.col("__s")).alias("part"))
-    danger = danger_times(points.join(sought, [*keys, "part"]), other, by, t, radius, horizon, tie)
-    spots = danger.select(*keys, "part", "slot", F.col("__s").alias("__sj"), F.col("__i").alias("__j"), "t_from", "t_to")
+    points = path.where("__step > 0").select(*keys, "x", "y", "__s", "__i")
+    danger = danger_times(points, other, by, t, radius, tie).select(*keys, F.col("__s").alias("__sj"), F.col("__i").alias("__j"), "t_from", "t_to")
+    extent = danger.groupBy(*keys).agg(
+        F.min("__sj").alias("__s0"), F.max("__sj").alias("__s1"), F.min("t_from").alias("__t0"), F.max("t_to").alias("__t1"),
+        F.least(F.lit(64), F.ceil(F.sqrt(F.count(F.lit(1))) / 4)).alias("__cells"))
+    wide = lambda low, high: F.greatest((F.col(high) - F.col(low)) / F.col("__cells"), F.lit(1e-6))
+    grid = extent.select(*keys, "__s0", "__s1", "__t0", "__t1", wide("__s0", "__s1").alias("__ds"), wide("__t0", "__t1").cast("double").alias("__dt"))
+    sized = null_safe_join(danger, grid, keys)
+    spots = sized.withColumn("__cs", F.floor((F.col("__sj") - F.col("__s0")) / F.col("__ds"))).withColumn(
+        "__ct", F.explode(_cells(F.col("t_from") - F.col("__t0"), F.col("t_to") - F.col("__t0"), F.col("__dt"))))
+    moves = null_safe_join(path.where((F.col("v") >= still) & F.col(t).isNotNull()).select(*keys, t, "v", "__s", "__i"), grid, keys)
+    when = lambda s: F.col(t) + (s - F.col("__s")) / F.col("v") * F.lit(unit)
+    # the line from the row, or from where the dangers begin, to the last danger in way and time
+    begin = F.greatest(F.col("__s"), F.col("__s0"), F.col("__s") + (F.col("__t0") - F.col(t)) * F.col("v") / F.lit(unit))
+    end = F.least(F.col("__s1"), F.col("__s") + (F.col("__t1") - F.col(t)) * F.col("v") / F.lit(unit))
+    if horizon is not None:
+        end = F.least(end, F.col("__s") + F.lit(horizon / unit) * F.col("v"))
+    lines = moves.withColumn("__b", begin).withColumn("__e", end).where("__b <= __e * (1 + 1e-12) + 1e-9").withColumn("__e", F.greatest("__b", "__e"))
+    lined = along_line(lines, F.col("__b") - F.col("__s0"), when(F.col("__b")) - F.col("__t0"), F.col("__e") - F.col("__s0"), when(F.col("__e")) - F.col("__t0"),
+                       F.col("__ds"), F.col("__dt"), "__cs", "__ct")
+    met = null_safe_join(lined.select(*keys, t, "v", "__s", "__i", "__cs", "__ct"), spots.select(*keys, "__sj", "__j", "t_from", "t_to", "__cs", "__ct"), [*keys, "__cs", "__ct"])
     travel = (F.col("__sj") - F.col("__s")) / F.col("v") * F.lit(unit)
     arrives = F.col(t) + travel
-    meets = (F.col("__j") > F.col("__i")) & (travel <= horizon) & (arrives > F.col("t_from")) & (arrives < F.col("t_to"))
-    moving = starts.join(spots, [*keys, "part", "slot"]).where(meets).select(*keys, "__i", travel.alias("ttc"))
+    meets = (F.col("__j") > F.col("__i")) & (arrives > F.col("t_from")) & (arrives < F.col("t_to"))
+    if horizon is not None:
+        meets = meets & (travel <= horizon)
+    moving = met.where(meets).select(*keys, "__i", travel.alias("ttc"))
     stands = path.where(F.abs(F.col("v")) < still).select(*keys, t, "__i", F.col("x").alias("__x"), F.col("y").alias("__y"))
     beside = interpolate_at(other, stands, by, t, ["x", "y"], tie=tie)
     close = F.hypot(F.col("x") - F.col("__x"), F.col("y") - F.col("__y")) < radius
     hits = moving.unionByName(beside.where(close).select(*keys, "__i", F.lit(0.0).alias("ttc")))
     first = hits.groupBy(*keys, "__i").agg(F.min("ttc").alias("ttc"))
-    return path.join(first, [*keys, "__i"], "left").select(*own.columns, "ttc")
+    return null_safe_join(path, first, [*keys, "__i"], "left").select(*own.columns, "ttc")
 
 
 def path_driven(visits: DataFrame, edges: DataFrame, by, t: str, tie, node: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import Ordered, as_column, is_small, names, row_budget
+from .ordered import Ordered, as_column, is_small, names, null_safe_join, row_budget
 
 
 def quantiles(df: DataFrame, by, value, points: list[float]) -> DataFrame:
@@ -29,7 +29,7 @@ def quantiles(df: DataFrame, by, value, points: list[float]) -> DataFrame:
     counted = counted if keys else counted.withColumn("__all", F.lit(0))
     o = Ordered.of(counted, scope, "__v").running(__to=("sum", "__c"))
     totals = counted.groupBy(*scope).agg(F.sum("__c").alias("n"))
-    ranked = o.df.join(totals, scope)
+    ranked = null_safe_join(o.df, totals, scope)
     picks = []
     for i, p in enumerate(points):
         place = F.lit(float(p)) * (F.col("n") - 1)
@@ -52,7 +52,7 @@ def group_stats(df: DataFrame, by, value) -> DataFrame:
         F.avg("__v").alias("mean"), F.min("__v").alias("min"), F.max("__v").alias("max"),
         F.stddev_samp("__v").alias("std"), F.count("__v").alias("count"))
     middle = quantiles(data, keys, "__v", [0.5]).select(*keys, F.col("q")[0].alias("median"))
-    return basic.join(middle, keys, "left") if keys else basic.crossJoin(F.broadcast(middle))
+    return null_safe_join(basic, middle, keys, "left") if keys else basic.crossJoin(F.broadcast(middle))
 
 
 def describe(df: DataFrame, by, value) -> DataFrame:
@@ -63,7 +63,7 @@ def describe(df: DataFrame, by, value) -> DataFrame:
         F.count("__v").alias("count"), F.avg("__v").alias("mean"), F.stddev_samp("__v").alias("std"))
     marks = quantiles(data, keys, "__v", [0.0, 0.25, 0.5, 0.75, 1.0])
     marks = marks.select(*keys, *[F.col("q")[i].alias(c) for i, c in enumerate(["min", "q25", "q50", "q75", "max"])])
-    return basic.join(marks, keys, "left") if keys else basic.crossJoin(F.broadcast(marks))
+    return null_safe_join(basic, marks, keys, "left") if keys else basic.crossJoin(F.broadcast(marks))
 
 
 def pass_share(df: DataFrame, by, value, limit: float, share: float = 90.0) -> DataFrame:
@@ -95,7 +95,8 @@ def histogram_bins(df: DataFrame, by, value, bins: int) -> DataFrame:
     v = as_column(value)
     data = df.select(*keys, v.alias("__v"))
     ends = data.groupBy(*keys).agg(F.min("__v").alias("lo"), F.max("__v").alias("hi"))
-    joined = data.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("c")).join(ends, keys)
+    joined = data.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("c"))
+    joined = null_safe_join(joined, ends, keys) if keys else joined.crossJoin(ends)
     place = F.floor(F.try_divide((F.col("__v") - F.col("lo")) * bins, F.col("hi") - F.col("lo")))
     slot = F.least(F.lit(bins - 1), F.coalesce(place, F.lit(0)))
     return joined.groupBy(*keys, slot.cast("long").alias("slot")).agg(F.sum("c").alias("n"))

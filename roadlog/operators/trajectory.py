@@ -128,15 +128,26 @@ def zone_times(track: DataFrame, by, t: str, tie, inside: Column) -> DataFrame:
     return o.df.groupBy(*keys).agg(F.min("__enter").alias("t_enter"), F.min(out).alias("t_exit"))
 
 
-def first_crossing(track: DataFrame, by, t: str, x_line: float, y_line: float, direction: str) -> DataFrame:
-    """First time beyond a line in one of eight compass directions (x east, y north)."""
+def _beyond(x_line: float, y_line: float, direction: str) -> Column:
     rules = {
         "N": F.col("y") >= y_line, "S": F.col("y") <= y_line, "E": F.col("x") >= x_line, "W": F.col("x") <= x_line,
     }
     beyond = rules[direction[0]]
     for letter in direction[1:]:
         beyond = beyond & rules[letter]
-    return track.groupBy(*names(by)).agg(F.min(F.when(beyond, F.col(t))).alias("t_cross"))
+    return beyond
+
+
+def first_crossing(track: DataFrame, by, t: str, x_line: float, y_line: float, direction: str) -> DataFrame:
+    """First time beyond a line in one of eight compass directions (x east, y north)."""
+    return track.groupBy(*names(by)).agg(F.min(F.when(_beyond(x_line, y_line, direction), F.col(t))).alias("t_cross"))
+
+
+def crossings(track: DataFrame, by, t: str, x_line: float, y_line: float) -> DataFrame:
+    """First times beyond the lines in all eight directions, from one aggregate: by, direction, t_cross."""
+    cells = [F.struct(F.lit(d).alias("direction"), F.min(F.when(_beyond(x_line, y_line, d), F.col(t))).alias("t_cross"))
+             for d in ("N", "S", "E", "W", "NE", "SE", "SW", "NW")]
+    return track.groupBy(*names(by)).agg(F.array(*cells).alias("__c")).select(*names(by), F.inline("__c"))
 
 
 def track_error(a: DataFrame, b: DataFrame, by, t: str, tie, step: float) -> DataFrame:

@@ -5,6 +5,9 @@ An hour of the events becomes 0.1 s of recording, so that a user's month is a ru
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import metrics
@@ -74,21 +77,22 @@ for _name in USE_CASES:
     _register(_name)
 
 
-@query("scorecard", "run_id:i c01:s c02:s c07:s c14:s", f"""
-SELECT run_id, max(verdict) FILTER (metric_id = 'SV-01') AS c01, max(verdict) FILTER (metric_id = 'SV-02') AS c02,
- max(verdict) FILTER (metric_id = 'SV-07') AS c07, max(verdict) FILTER (metric_id = 'SV-14') AS c14
+_CARD = [m.id for m in USE_CASES["scale_vehicle"].metrics]
+_NAMES = {i: "c" + i.removeprefix("SV-").replace("-", "_") for i in _CARD}
+
+
+@query("scorecard", "run_id:i " + " ".join(f"{n}:s" for n in _NAMES.values()), f"""
+SELECT run_id, {", ".join(f"max(verdict) FILTER (metric_id = '{i}') AS {n}" for i, n in _NAMES.items())}
 FROM ({metric_sql.use_case_sql(USE_CASES['scale_vehicle'], MSG, VIEWS)}) GROUP BY run_id""")
 def scorecard(spark, sf):
     results = results_of(USE_CASES["scale_vehicle"], recording(spark, sf))
-    card = metrics.scorecard(results, ["SV-01", "SV-02", "SV-07", "SV-14"])
-    return card.withColumnsRenamed({f"SV-{i}": f"c{i}" for i in ("01", "02", "07", "14")})
+    return metrics.scorecard(results, _CARD).withColumnsRenamed(_NAMES)
 
 
 @query("scorecard_rollup", "use_case:s metric_id:s n:i n_passed:i n_skipped:i", f"""
 SELECT use_case, metric_id, count(*) AS n, count(*) FILTER (verdict = 'passed') AS n_passed, count(*) FILTER (verdict = 'not_evaluated') AS n_skipped
-FROM (SELECT * FROM ({metric_sql.use_case_sql(USE_CASES['platooning'], MSG, VIEWS)}) UNION ALL SELECT * FROM ({metric_sql.use_case_sql(USE_CASES['intersection'], MSG, VIEWS)}))
+FROM ({" UNION ALL ".join(f"SELECT * FROM ({metric_sql.use_case_sql(u, MSG, VIEWS)})" for u in USE_CASES.values())})
 GROUP BY ROLLUP (use_case, metric_id)""")
 def scorecard_rollup(spark, sf):
     msg = recording(spark, sf)
-    one, two = (results_of(USE_CASES[n], msg) for n in ("platooning", "intersection"))
-    return metrics.summary(one.unionByName(two))
+    return metrics.summary(reduce(DataFrame.unionByName, (results_of(u, msg) for u in USE_CASES.values())))

@@ -104,14 +104,14 @@ def segment_crossing(spark, sf):
 @query("offset_search", "run_id:i shift:i error:f", f"""
 WITH {_P}, a AS (SELECT run_id, row_number() OVER {W} AS i, value AS x, CAST(k AS DOUBLE) AS y FROM ev WHERE topic <> 'view'),
 n AS (SELECT r.run_id, m - count(*) AS room FROM r JOIN (SELECT run_id, count(*) AS m FROM a GROUP BY run_id) c ON r.run_id = c.run_id GROUP BY r.run_id, m),
-o AS (SELECT run_id, unnest(range(0, least(room, 20))) AS shift FROM n),
+o AS (SELECT run_id, unnest(range(0, greatest(room, 0))) AS shift FROM n),
 e AS (SELECT o.run_id, o.shift, avg(sqrt((a.x - r.x) ** 2 + (a.y - r.y) ** 2)) AS error FROM o JOIN r ON r.run_id = o.run_id JOIN a ON a.run_id = o.run_id AND a.i = r.place + o.shift GROUP BY ALL)
 SELECT run_id, shift, error FROM e QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY error, shift) = 1""")
 def offset_search(spark, sf):
     rows = messages(spark, sf).where("topic <> 'view'")
     ref = _numbered(rows.select("run_id", "t", "seq", F.col("value").alias("x"), F.col("k").cast("double").alias("y")), "i").select("run_id", "i", "x", "y")
     sensor = _numbered(_track(spark, sf, "view"), "i").select("run_id", "i", "x", "y")
-    return spatial.offset_search(ref, sensor, RUN, "i", 20, lambda a, b: F.hypot(a("x") - b("x"), a("y") - b("y"))).withColumnRenamed("offset", "shift")
+    return spatial.offset_search(ref, sensor, RUN, "i", lambda a, b: F.hypot(a("x") - b("x"), a("y") - b("y"))).withColumnRenamed("offset", "shift")
 
 
 @query("densify", "run_id:i place:i sample:i x:f y:f", f"""
@@ -177,11 +177,7 @@ UNION ALL SELECT run_id, 'E', min(t) FILTER (value >= 60) FROM ev GROUP BY run_i
 UNION ALL SELECT run_id, 'NE', min(t) FILTER (k >= 60 AND value >= 60) FROM ev GROUP BY run_id UNION ALL SELECT run_id, 'SE', min(t) FILTER (k <= 60 AND value >= 60) FROM ev GROUP BY run_id
 UNION ALL SELECT run_id, 'SW', min(t) FILTER (k <= 60 AND value <= 60) FROM ev GROUP BY run_id UNION ALL SELECT run_id, 'NW', min(t) FILTER (k >= 60 AND value <= 60) FROM ev GROUP BY run_id""")
 def compass_crossing(spark, sf):
-    track, out = _track(spark, sf), None
-    for direction in ("N", "S", "E", "W", "NE", "SE", "SW", "NW"):
-        one = trajectory.first_crossing(track, RUN, T, 60.0, 60.0, direction).withColumn("direction", F.lit(direction))
-        out = one if out is None else out.unionByName(one)
-    return out
+    return trajectory.crossings(_track(spark, sf), RUN, T, 60.0, 60.0)
 
 
 @query("max_speed", "run_id:i max_speed:f", f"""
@@ -193,7 +189,7 @@ def max_speed(spark, sf):
 @query("conflict_scan", "run_id:i seq:i ttc:f", f"""
 WITH {_P}, o AS (SELECT *, x / 50.0 AS v, coalesce(sqrt((x - lag(x) OVER {W}) ** 2 + (y - lag(y) OVER {W}) ** 2), 0) AS step, row_number() OVER {W} AS i FROM p),
 q AS (SELECT *, sum(step) OVER {W} AS s FROM o), a AS (SELECT x.run_id, x.seq, x.t, (y.s - x.s) / x.v * {float(H)} AS travel, y.x AS px, y.y AS py
- FROM q x JOIN q y ON x.run_id = y.run_id AND y.i > x.i WHERE x.v >= 0.01 AND y.step > 0 AND (y.s - x.s) / x.v * {float(H)} <= {6*H}),
+ FROM q x JOIN q y ON x.run_id = y.run_id AND y.i > x.i WHERE x.v >= 0.01 AND y.step > 0),
 l AS (SELECT run_id, t, lead(t) OVER w AS nt, x, y, lead(x) OVER w AS nx, lead(y) OVER w AS ny FROM r WINDOW w AS (PARTITION BY run_id ORDER BY t, seq)),
 m AS (SELECT a.*, l.x + (l.nx - l.x) * ((a.t + travel - l.t) / (l.nt - l.t)) AS ox, l.y + (l.ny - l.y) * ((a.t + travel - l.t) / (l.nt - l.t)) AS oy
  FROM a JOIN l ON a.run_id = l.run_id AND a.t + travel > l.t AND a.t + travel < l.nt),
@@ -203,7 +199,7 @@ h AS (SELECT run_id, seq, min(travel) AS ttc FROM m WHERE sqrt((ox - px) ** 2 +
 SELECT q.run_id, q.seq, h.ttc / {float(H)} AS ttc FROM q LEFT JOIN h ON q.seq = h.seq""")
 def conflict_scan(spark, sf):
     own = _track(spark, sf, "click").withColumn("v", F.col("x") / 50.0)
-    out = spatial.conflict_scan(own, _track(spark, sf, "view"), RUN, T, 15.0, 6.0 * H, unit=float(H), tie=SEQ)
+    out = spatial.conflict_scan(own, _track(spark, sf, "view"), RUN, T, 15.0, unit=float(H), tie=SEQ)
     return out.withColumn("ttc", F.col("ttc") / F.lit(float(H)))
 
 
@@ -288,7 +284,7 @@ def localisation_spread(spark, sf):
 def encroachment(spark, sf):
     hours = lambda topic: _track(spark, sf, topic).withColumn("t", (F.col("t") - F.lit(1704067200000000)) / F.lit(float(H)))
     return trajectory.encroachment(hours("click"), hours("view"), RUN, T, SEQ, zone=10.0, cell=50.0, enter_step=0.5, exit_step=1.0, accel=3.0,
-                                   top_speed=13.41, buffer=3.0, unit=1.0, smooth=False)
+                                   top_speed=13.41, buffer=3.0, unit=1.0)
 
 
 @query("sensor_accuracy", "run_id:i measure:s mean:f sd:f pct_under:f passed:b", f"""
@@ -298,7 +294,7 @@ g AS (SELECT *, unnest(range((t + {DAY} - 1) // {DAY}, least((nt + {DAY} - 1) //
 v AS (SELECT run_id, topic, row_number() OVER (PARTITION BY run_id, topic ORDER BY gt) AS i, x + (nx - x) * ((gt - t) / (nt - t)) AS x, y + (ny - y) * ((gt - t) / (nt - t)) AS y,
  speed + (ns - speed) * ((gt - t) / (nt - t)) AS speed FROM g),
 n AS (SELECT a.run_id, na - ns AS room FROM (SELECT run_id, count(*) AS na FROM v WHERE topic = 'view' GROUP BY run_id) a JOIN (SELECT run_id, count(*) AS ns FROM v WHERE topic = 'click' GROUP BY run_id) b USING (run_id)),
-o AS (SELECT run_id, unnest(range(0, least(room, 5))) AS shift FROM n),
+o AS (SELECT run_id, unnest(range(0, greatest(room, 0))) AS shift FROM n),
 m AS (SELECT o.run_id, o.shift, avg(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)) AS err FROM o JOIN v b ON b.run_id = o.run_id AND b.topic = 'click' JOIN v a ON a.run_id = o.run_id AND a.topic = 'view' AND a.i = b.i + o.shift GROUP BY ALL),
 best AS (SELECT run_id, shift FROM m QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY err, shift) = 1),
 j AS (SELECT b.run_id, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS p, abs(a.speed - b.speed) * 2.23694 AS s FROM best JOIN v b ON b.run_id = best.run_id AND b.topic = 'click' JOIN v a ON a.run_id = b.run_id AND a.topic = 'view' AND a.i = b.i + shift)
@@ -309,7 +305,7 @@ def sensor_accuracy(spark, sf):
     from .. import sensor
 
     track = lambda topic: _track(spark, sf, topic).withColumn("speed", F.col("x") / 10).withColumn("heading", F.lit(90.0))
-    matched = sensor.matched_tracks(track("click"), track("view"), RUN, T, SEQ, DAY, 5)
+    matched = sensor.matched_tracks(track("click"), track("view"), RUN, T, SEQ, DAY)
     return sensor.accuracy(matched, RUN, limits=(40.0, 8.0, 3.0), share=50.0)
 
 

@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.units import MPS_TO_MPH
-from ..operators import rolling, spatial, stats, trajectory
+from ..operators import rolling, spatial, trajectory
 from ..operators.ordered import Ordered, names
 
 # fixed values: m, mph, degrees, Hz, percent
 POSITION_LIMIT, SPEED_LIMIT, HEADING_LIMIT, LOWEST_RATE, SHARE = 0.3, 3.0, 3.0, 27.0, 90.0
 
 
-def matched_tracks(sensor: DataFrame, reference: DataFrame, by, t: str, tie, step: float, search: int) -> DataFrame:
+def matched_tracks(sensor: DataFrame, reference: DataFrame, by, t: str, tie, step: float, search: int | None = None) -> DataFrame:
     """Both tracks on one grid, the sensor's moved to the row offset with the least mean distance.
 
     Tracks have x, y, speed and heading; heading is unwrapped before it is resampled.
@@ -27,7 +27,7 @@ def matched_tracks(sensor: DataFrame, reference: DataFrame, by, t: str, tie, ste
 
     a, b = grid(reference), grid(sensor)
     error = lambda r, s: F.hypot(r("x") - s("x"), r("y") - s("y"))
-    best = spatial.offset_search(a.select(*keys, "i", "x", "y"), b.select(*keys, "i", "x", "y"), by, "i", search, error)
+    best = spatial.offset_search(a.select(*keys, "i", "x", "y"), b.select(*keys, "i", "x", "y"), by, "i", error, search)
     moved = b.join(best, keys).select(*keys, (F.col("i") + F.col("offset")).alias("i"), "offset", *[F.col(c).alias(f"s_{c}") for c in columns])
     return a.join(moved, [*keys, "i"])
 
@@ -40,11 +40,11 @@ def accuracy(matched: DataFrame, by, limits=(POSITION_LIMIT, SPEED_LIMIT, HEADIN
         "speed": F.abs(F.col("speed") - F.col("s_speed")) * F.lit(MPS_TO_MPH),
         "heading": F.least(turn, 360 - turn),
     }
-    out = None
+    cells = []
     for (name, error), limit in zip(errors.items(), limits):
-        one = stats.pass_share(matched.withColumn("e", error), by, "e", limit, share).withColumn("measure", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    return out
+        under = F.count_if(error < limit) * 100.0 / F.count(error)
+        cells.append(F.struct(F.lit(name).alias("measure"), F.avg(error).alias("mean"), F.stddev_pop(error).alias("sd"), under.alias("pct_under")))
+    return matched.groupBy(*names(by)).agg(F.array(*cells).alias("__m")).select(*names(by), F.inline("__m")).withColumn("passed", F.col("pct_under") >= share)
 
 
 def detection_rate(sensor: DataFrame, by, t: str, unit: float, lowest: float = LOWEST_RATE, share: float = SHARE) -> DataFrame:

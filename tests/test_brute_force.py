@@ -73,16 +73,41 @@ def test_split_mode_really_cuts(spark, mode):
     assert (chunk_width(df, ["id"], "t") is not None) == (mode == "split")
 
 
-def test_null_entity_is_refused_when_cut(spark):
-    spark.conf.set("spark.roadlog.chunkRows", "3")
-    spark.conf.set("spark.roadlog.smallBytes", "0")
+def odd_log(spark):
+    """A log with a null entity, null times, times that are no number and a hot entity."""
+    rng = random.Random(4)
+    data = [(rng.choice([None, 1, 1, 1, 2]), rng.choice([None, *[float(x) for x in range(30)], float("nan")]), i, float(rng.randint(0, 5))) for i in range(90)]
+    return spark.createDataFrame(data, "id long, t double, seq long, v double")
+
+
+def test_null_entities_and_times_are_the_same_cut_and_uncut(spark):
+    df = odd_log(spark)
+
+    def results():
+        o = Ordered.of(df, "id", "t", "seq").prev(p="v").next(n="v").number("rn").running(total=("sum", "v"), low=("min", "v"))
+        o = o.span(3, 1, near=lambda w: F.count(F.lit(1)).over(w)).rows(1, 1, around=lambda w: F.sum("v").over(w))
+        marks = stats.quantiles(df, "id", "v", [0.0, 0.25, 0.5, 1.0])
+        return (rows_of(o.df, "seq", "p", "n", "rn", "total", "low", "near", "around"), rows_of(marks, "id", "n", "q"),
+                rows_of(stats.group_stats(df, "id", "v"), "id", "median", "count"), rows_of(stats.describe(df, "id", "v"), "id", "q25", "q50", "max"),
+                rows_of(hysteresis.hysteresis_changes(df.where("not isnan(t)"), "id", "t", "seq", "v", 1.0), "id", "seq", "value"))
+
+    plain = results()
+    assert len(plain[0]) == 90 and {r[0] for r in plain[1]} == {None, 1, 2} and all(r[1] is not None for r in plain[2])
+    names = {"spark.roadlog.chunkRows": "7", "spark.roadlog.smallBytes": "0", "spark.roadlog.buckets": "3"}
+    for name, value in names.items():
+        spark.conf.set(name, value)
     try:
-        df = spark.createDataFrame([(None, i) for i in range(20)], "id long, t long")
-        with pytest.raises(Exception, match="null in entity columns"):
-            Ordered.of(df, "id", "t").number("n").df.collect()
+        assert results() == plain
     finally:
-        spark.conf.unset("spark.roadlog.chunkRows")
-        spark.conf.unset("spark.roadlog.smallBytes")
+        for name in names:
+            spark.conf.unset(name)
+
+
+def test_hysteresis_skips_missing_values(spark, mode):
+    data = [(1, i, i, v) for i, v in enumerate([None, 1.0, float("nan"), 5.0, None, 9.0, 9.5, 2.0, 20.0])]
+    df = spark.createDataFrame(data, "id long, t long, seq long, v double")
+    got = rows_of(hysteresis.hysteresis_changes(df, "id", "t", "seq", "v", 1.0), "t", "value")
+    same(got, [(1, 1.0), (3, 5.0), (5, 9.0), (7, 2.0), (8, 20.0)])
 
 
 @pytest.mark.parametrize("seed", range(2))
@@ -262,21 +287,51 @@ def test_spline_reproduces_a_quintic():
     assert trajectory.spline_values(x, polynomial(x), at, 5) == pytest.approx(polynomial(at))
 
 
-@pytest.mark.parametrize("limit", [2000, 3])
-def test_nearest_point_by_array_and_by_grid(spark, mode, limit, monkeypatch):
-    monkeypatch.setattr(spatial, "ROUTE_POINTS", limit)
+@pytest.mark.parametrize("block", [64, 1, 5])
+def test_nearest_point(spark, mode, block, monkeypatch):
+    monkeypatch.setattr(spatial, "LEAST_BLOCK", block)
     rng = random.Random(9)
-    route = [(e, i, rng.uniform(0, 50), rng.uniform(0, 50)) for e in (1, 2) for i in range(2 if e == 2 else 40)]
+    route = [(e, i, rng.uniform(0, 50), rng.uniform(0, 50)) for e in (1, 2) for i in range(2 if e == 2 else 400)]
     points = [(rng.choice([1, 2]), i, rng.uniform(-80, 130), rng.uniform(-80, 130)) for i in range(40)]
-    r = spark.createDataFrame(route, "id long, place long, x double, y double")
+    points += [(1, 100, 7.0, 7.0), (1, 101, 7.0, 7.0), (1, 102, None, 7.0), (1, 102, None, 7.0), (3, 103, 1.0, 1.0)]
+    r = spark.createDataFrame([*route, (1, 900, None, 5.0)], "id long, place long, x double, y double")
     p = spark.createDataFrame(points, "id long, seq long, x double, y double")
     expected = []
     for e, seq, x, y in points:
-        near = min((np.hypot(a - x, b - y), i) for k, i, a, b in route if k == e)
-        expected.append((seq, near[1]))
+        if e != 3:
+            near = min((np.hypot(a - x, b - y), i) for k, i, a, b in route if k == e) if x is not None else (None, None)
+            expected.append((seq, near[1]))
     same(rows_of(spatial.nearest_point(p, r, "id", place="place"), "seq", "near_place"), expected)
 
 
+def test_crossings_of_random_paths(spark, mode):
+    rng = random.Random(12)
+    walk = lambda n: [(1, t, rng.uniform(-500, 500) if t % 9 == 0 else rng.uniform(0, 40), rng.uniform(-60, 60)) for t in range(n)]
+    a, b = walk(40), walk(40)
+    schema = "id long, t long, x double, y double"
+    found = []
+    for (_, t, x, y), (_, _, x2, y2) in zip(a, a[1:]):
+        for (_, u, z, w), (_, _, z2, w2) in zip(b, b[1:]):
+            turn = (x2 - x) * (w2 - w) - (y2 - y) * (z2 - z)
+            p = ((z - x) * (w2 - w) - (w - y) * (z2 - z)) / turn if turn else -1
+            q = ((z - x) * (y2 - y) - (w - y) * (x2 - x)) / turn if turn else -1
+            if 0 <= p <= 1 and 0 <= q <= 1:
+                found.append((t + p, u + q))
+    for cell in (3.0, 50.0):
+        hit = spatial.conflict_point(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema), "id", "t", cell).first()
+        assert (hit.t_a, hit.t_b) == pytest.approx(min(found))
+
+
+def test_offset_search_tries_the_whole_overlap(spark):
+    rng = random.Random(3)
+    ref = [(1, i, rng.uniform(0, 9), rng.uniform(0, 9)) for i in range(1, 101)]
+    sensor = [(1, i - 45, x, y) for _, i, x, y in ref if 45 < i <= 85]
+    schema = "id long, i long, x double, y double"
+    got = spatial.offset_search(spark.createDataFrame(ref, schema), spark.createDataFrame(sensor, schema), "id", "i",
+                                lambda a, b: F.hypot(a("x") - b("x"), a("y") - b("y"))).first()
+    assert (got.offset, got.error) == (45, 0.0)
+
+
 def test_first_crossing_of_paths(spark, mode):
     a = [(1, t, float(t), 0.0) for t in range(40)]
     b = [(1, t, 17.5, float(t - 10)) for t in range(20)]
@@ -306,12 +361,50 @@ def test_conflict_scan_sees_standing_and_moving(spark, mode):
     other = [(1, t * 1000, 62.0, 20.0 - t * 2) for t in range(10)] + [(2, t * 1000, float(20 - t * 4), 0.0) for t in range(10)]
     o = spark.createDataFrame(own, "id long, t long, x double, y double, v double")
     w = spark.createDataFrame(other, "id long, t long, x double, y double")
-    got = {(r.id, r.t): r.ttc for r in spatial.conflict_scan(o, w, "id", "t", 5.0, 20_000.0).collect()}
+    got = {(r.id, r.t): r.ttc for r in spatial.conflict_scan(o, w, "id", "t", 5.0).collect()}
     # the other one is 20 - 2t away from the path at x = 62: closer than 5 from 7.5 s on
     assert got[(1, 0)] is None
     assert [got[(2, t * 1000)] for t in range(7)] == [None, None, None, None, 0.0, 0.0, 0.0]
 
 
+@pytest.mark.parametrize("horizon", [None, 6.0])
+def test_conflict_scan_against_all_pairs(spark, mode, horizon):
+    rng = random.Random(8)
+    own, other = [], []
+    for e in (1, 2):
+        x = y = 0.0
+        for t in range(40):
+            own.append((e, float(t), x, y, rng.choice([0.0, 1.0, 3.0])))
+            x, y = x + rng.choice([0.0, 1.0, 2.0]), y + rng.uniform(-1, 1)
+        other += [(e, 2.0 * t, rng.uniform(0, 40), rng.uniform(-3, 3)) for t in range(30)]
+    expected = []
+    for e in (1, 2):
+        path, track = [r for r in own if r[0] == e], [r for r in other if r[0] == e]
+        way = [0.0]
+        for a, b in zip(path, path[1:]):
+            way.append(way[-1] + float(np.hypot(b[2] - a[2], b[3] - a[3])))
+
+        def close(at, px, py):
+            for a, b in zip(track, track[1:]):
+                if a[1] <= at <= b[1]:
+                    u = (at - a[1]) / (b[1] - a[1])
+                    return np.hypot(a[2] + u * (b[2] - a[2]) - px, a[3] + u * (b[3] - a[3]) - py) < 2.0
+            return False
+
+        for i, (_, t, x, y, v) in enumerate(path):
+            hits = [0.0] if v < 0.01 and close(t, x, y) else []
+            for j in range(i + 1, len(path)):
+                if v >= 0.01 and way[j] > way[j - 1]:
+                    travel = (way[j] - way[i]) / v
+                    if (horizon is None or travel <= horizon) and close(t + travel, path[j][2], path[j][3]):
+                        hits.append(travel)
+            expected.append((e, t, round(min(hits), 6) if hits else None))
+    o = spark.createDataFrame(own, "id long, t double, x double, y double, v double")
+    w = spark.createDataFrame(other, "id long, t double, x double, y double")
+    got = spatial.conflict_scan(o, w, "id", "t", 2.0, horizon, unit=1.0)
+    same([(r.id, r.t, None if r.ttc is None else round(r.ttc, 6)) for r in got.collect()], expected)
+
+
 def test_sync_check(spark):
     steps = [(1, s, src, 1000 * s // 100 + d) for s in (0, 100, 200, 300) for src, d in (("a", 0), ("b", 3))]
     steps = [x for x in steps if x[1:3] != (300, "b")] + [(1, 100, "a", 5000)]

@@ -5,14 +5,16 @@ from compare import connect, difference
 from conftest import SF
 
 import __spark_entry__ as entry
+from roadlog.plans import registry
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = registry.QUERIES, registry.ORACLES
 WITHOUT_SQL = {"spline_resample", "encroachment"}      # tested against brute force in test_brute_force
 SPLIT = [
     "gap_coverage", "state_intervals", "longest_band_run", "consecutive_increase", "resetting_sum", "rolling_mean_full",
     "moving_average_centered", "sliding_frequency", "unwrap", "gradient", "settle_time", "ordered_sequence", "debounced_plateau",
     "asof_nearest", "last_known_merge", "ordinal_pairing", "fifo_match", "fifo_match_bounded", "hysteresis_changes", "drop_repeats",
-    "interval_join", "group_stats", "box_numbers", "resample_linear", "segment_crossing", "conflict_scan", "request_chain", "fill_gaps",
+    "interval_join", "group_stats", "describe", "box_numbers", "resample_linear", "segment_crossing", "conflict_scan", "nearest_point", "cross_track",
+    "offset_search", "request_chain", "fill_gaps",
 ]
 
 
@@ -21,6 +23,10 @@ def con():
     return connect(SF)
 
 
+def test_entry_has_all_queries():
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
+
+
 def test_every_query_but_the_listed_has_sql():
     assert set(QUERIES) - set(ORACLES) == WITHOUT_SQL
     assert set(ORACLES) <= set(QUERIES)
