@@ -23,6 +23,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,6 +53,23 @@ def coded(text: str) -> tuple[np.ndarray, np.ndarray]:
     return w, mixed(before * np.uint64(0x9E3779B97F4A7C15) + w) & ~np.uint64(1)          # words are odd, bigrams even
 
 
+def packed(numbers: np.ndarray) -> bytes:
+    """Numbers as compressed byte planes: what they have in common costs next to nothing."""
+    planes = np.ascontiguousarray(numbers).view(np.uint8).reshape(len(numbers), numbers.itemsize).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def unpacked(data: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(planes.reshape(size, -1).T).reshape(-1).view(kind)
+
+
+def steps(keys: np.ndarray) -> np.ndarray:
+    """Sorted keys as the steps between them."""
+    return np.diff(keys, prepend=np.uint64(0))
+
+
 class Group:
     """The documents of a group: their words and bigrams, and the distinct keys in the order in which shards get them."""
 
@@ -80,15 +98,15 @@ def _listing(shards: int):
             return as_table([], _LISTS)
         g = Group(table, marks, shards)
         group = table.column("__lm_group")[0].as_py()
-        return as_table([(shard, group, g.keys[p].tobytes(), g.in_target[p].astype(np.int32).tobytes(), g.all[p].astype(np.int32).tobytes())
+        return as_table([(shard, group, packed(steps(g.keys[p])), packed(g.in_target[p].astype(np.int32)), packed(g.all[p].astype(np.int32)))
                          for shard, p in g.parts.items()], _LISTS)
     return run
 
 
 def _adding(table: pa.Table) -> pa.Table:
     """For each list the totals of its keys, where a key occurs more than once."""
-    lists = [np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()]
-    add = lambda name, at: np.bincount(at, np.concatenate([np.frombuffer(x, np.int32) for x in table.column(name).to_pylist()]))
+    lists = [np.cumsum(unpacked(x, np.uint64), dtype=np.uint64) for x in table.column("keys").to_pylist()]
+    add = lambda name, at: np.bincount(at, np.concatenate([unpacked(x, np.int32) for x in table.column(name).to_pylist()])).astype(np.int64)
     _, at = np.unique(np.concatenate(lists), return_inverse=True)
     target, every = add("target", at), add("all", at)
     rows, begin = [], 0
@@ -96,7 +114,7 @@ def _adding(table: pa.Table) -> pa.Table:
         mine = at[begin:begin + len(keys)]
         begin += len(keys)
         known = every[mine] > 1
-        rows.append((group, shard, np.packbits(known).tobytes(), target[mine[known]].astype(np.int64).tobytes(), every[mine[known]].astype(np.int64).tobytes()))
+        rows.append((group, shard, np.packbits(known).tobytes(), packed(target[mine[known]]), packed(every[mine[known]])))
     return as_table(rows, _TOTALS)
 
 
@@ -112,7 +130,7 @@ def _scoring(shards: int, sizes: dict[str, float], out: T.StructType):
             part = g.parts[row["shard"]]
             known = part[np.unpackbits(np.frombuffer(row["known"], np.uint8), count=len(part)).astype(bool)]
             for name in count:
-                count[name][known] = np.frombuffer(row[name], np.int64)
+                count[name][known] = unpacked(row[name], np.int64)
         rows = {f.name: [] for f in SCORES}
         for (w, _), places, own_target in zip(g.docs, g.places, g.target):
             n = len(w)
