@@ -97,6 +97,21 @@ def ordered_sequence(df: DataFrame, by, t: str, tie, value, wanted: list) -> Dat
     return o.df.where(match).select(*keys, start.alias("start"), F.col(t).alias("end"))
 
 
+def listed_sequence(df: DataFrame, by, t: str, tie, level: str, lists: DataFrame, wanted: str, longest: int = 16) -> DataFrame:
+    """Rows at which the last change points of an entity are the values its list `wanted` names, in order.
+
+    `lists` has one row per entity; lists have at most `longest` values, longer ones raise an error.
+    """
+    keys = names(by)
+    changes = change_points(df, by, t, tie, F.col(level)).drop("previous")
+    o = Ordered.of(changes, by, t, tie).rows(longest - 1, 0, __last=lambda w: F.collect_list(level).over(w))
+    size = F.size(wanted)
+    checked = F.when(size > longest, F.raise_error(F.lit(f"a list of more than {longest} values"))).otherwise(size)
+    joined = o.df.join(lists, keys).withColumn("__n", checked)
+    hit = (F.col("__n") > 0) & (F.size("__last") >= F.col("__n")) & (F.slice("__last", F.greatest(F.size("__last") - F.col("__n") + 1, F.lit(1)), F.greatest("__n", F.lit(0))) == F.col(wanted))
+    return joined.where(hit).select(*keys, t, *names(tie), level)
+
+
 def settle_time(df: DataFrame, by, t: str, tie, in_band: Column) -> DataFrame:
     """First in-band time after the last out-of-band time, per entity; null when never settled."""
     keys = names(by)

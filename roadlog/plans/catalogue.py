@@ -5,7 +5,12 @@ route(lanelets), route_event(event), geofence(is_on, advisory), twist(speed), pl
 actual_gap, desired_gap), op_in and op_out(strategy, operation), request_out, response_in
 (plan_type, accepted), control(choice, closed, maxspeed, msgnum, part), ack(part), spat(phase),
 bsm(siren, light, part2), erv(detected, action), maneuver(type), trajectory(planner), pose(x, y),
-speed_target(speed, target), call and plan (empty), warning (empty).
+speed_target(speed, target), call and plan (empty), warning (empty), ui(popup).
+
+What differs from run to run is no constant here but a column of the run manifest: original_lanes,
+closed_lanes, lane_order and port_order (lists of lanelets), right_lane and port_lane (the first lanelet of
+the right lane, and that behind the port), stop_x, stop_y and stop_offset (the goal of a stop in the map and the
+distance from it to the reported point), opposing (whether the emergency vehicle comes the other way).
 """
 
 from __future__ import annotations
@@ -54,10 +59,10 @@ def _driving(accel: str, distance: str, steady: str, outside: str, advisory: str
 
 
 BASIC_TRAVEL = UseCase("basic_travel", ENGAGEMENT + FENCE + CONTROL + PLATOON, (
-    Metric("B-1", "route", {"view": "route", "column": "lanelets", "which": "first", "members": [3, 4], "relation": "contains"}),
+    Metric("B-1", "route", {"view": "route", "column": "lanelets", "which": "first", "members": "original_lanes", "relation": "contains"}),
     Metric("B-2", "always", {"view": "route_state", "holds": f"abs(speed_limit - {ADVISORY_LIMIT}) < 0.01", "window": ("enter", "exit", 0, 0.8)}),
     Metric("B-3", "value_at", {"view": "twist", "value": f"(speed * speed - {ADVISORY_LIMIT} * {ADVISORY_LIMIT}) / 100", "at": "first_control", "high": 2.0}),
-    Metric("B-5", "order", {"view": "route_state", "column": "lanelet_id", "values": [9, 3, 4]}),
+    Metric("B-5", "order", {"view": "route_state", "column": "lanelet_id", "values": "lane_order"}),
     Metric("B-6", "anchor_gap", {"first": "accepted", "second": "asked_again", "low": 0.0}),
     Metric("B-7", "anchor_gap", {"first": "asked", "second": "accepted", "low": 0.0}),
     Metric("B-8", "value_at", {"view": "platoon", "value": "actual_gap / desired_gap * 2.5", "at": "joined", "low": 0.5, "high": 4.5, "where": "state = 5 AND actual_gap > 0"}),
@@ -80,8 +85,8 @@ WORK_ZONE = UseCase("work_zone", ENGAGEMENT + FENCE + CONTROL + (
     Anchor("stopped", "first", "twist", "speed < 0.3", after="start"),
     Anchor("green", "first", "spat", "phase = 6", after="stopped"),
 ), (
-    Metric("WZ-1", "route", {"view": "route", "column": "lanelets", "which": "first", "members": [4], "relation": "contains"}),
-    Metric("WZ-reroute", "route", {"view": "route", "column": "lanelets", "which": "last", "members": [4], "relation": "avoids"}),
+    Metric("WZ-1", "route", {"view": "route", "column": "lanelets", "which": "first", "members": "original_lanes", "relation": "contains"}),
+    Metric("WZ-reroute", "route", {"view": "route", "column": "lanelets", "which": "last", "members": "closed_lanes", "relation": "avoids"}),
     Metric("WZ-2", "steady_before", {"view": "twist", "holds": STEADY, "event": "first_control", "seconds": 10.0, "begin": "start"}),
     Metric("WZ-4", "exists", {"view": "control", "holds": "choice = 5 AND closed = 1"}),
     Metric("WZ-5", "exists", {"view": "control", "holds": "choice = 7"}),
@@ -92,7 +97,7 @@ WORK_ZONE = UseCase("work_zone", ENGAGEMENT + FENCE + CONTROL + (
     Metric("WZ-10", "gap_max", {"view": "spat", "limit": 1.0, "window": ("start", "finish")}),
     Metric("WZ-11", "section", {"view": "twist", "value": "speed", "begins": NEAR_LIMIT, "ends": "speed < 0.3", "high": -1.0, "window": ("start", "stopped")}),
     Metric("WZ-11-second", "second_rate", {"view": "twist", "value": "speed", "limit": 2.0, "window": ("start", "stopped")}),
-    Metric("WZ-12", "value_at", {"view": "pose", "value": "(50 - x) * 3.28084", "at": "stopped", "low": 0.0, "high": 15.0}),
+    Metric("WZ-12", "value_at", {"view": "pose", "value": "(stop_x - x) * 3.28084", "at": "stopped", "low": 0.0, "high": 15.0}),
     Metric("WZ-13", "wait", {"since": "green", "view": "twist", "holds": "speed > 0.5", "seconds": 4.0}),
     Metric("WZ-14", "section", {"view": "twist", "value": "speed", "begins": "speed > 0.5", "ends": NEAR_LIMIT, "low": 1.0, "window": ("green", "finish")}),
     Metric("WZ-15", "value_at", {"view": "twist", "value": "speed", "at": "green", "low": ADVISORY_LIMIT - MPH_2, "high": ADVISORY_LIMIT + MPH_2}),
@@ -103,8 +108,8 @@ WORK_ZONE = UseCase("work_zone", ENGAGEMENT + FENCE + CONTROL + (
 ))
 
 FREIGHT_WORK_ZONE = UseCase("freight_work_zone", ENGAGEMENT + FENCE + CONTROL, (
-    Metric("FWZ-1", "route", {"view": "route", "column": "lanelets", "which": "first", "members": [4], "relation": "contains"}),
-    Metric("FWZ-8", "route", {"view": "route", "column": "lanelets", "which": "last", "members": [4], "relation": "avoids"}),
+    Metric("FWZ-1", "route", {"view": "route", "column": "lanelets", "which": "first", "members": "original_lanes", "relation": "contains"}),
+    Metric("FWZ-8", "route", {"view": "route", "column": "lanelets", "which": "last", "members": "closed_lanes", "relation": "avoids"}),
     Metric("FWZ-2", "steady_before", {"view": "twist", "holds": STEADY, "event": "first_control", "seconds": 5.0, "begin": "start"}),
     Metric("FWZ-7", "always", {"view": "route_state", "holds": f"abs(speed_limit - {ADVISORY_LIMIT}) < 0.03", "window": ("enter", "exit", 2.0, 2.0)}),
     Metric("FWZ-9", "exists", {"view": "control", "holds": "choice = 5"}),
@@ -126,7 +131,7 @@ FREIGHT_EMERGENCY = UseCase("freight_emergency", ENGAGEMENT + (
     Anchor("detected", "first", "erv", "detected", after="siren_on"),
     Anchor("attempt", "first", "erv", "action = 'Attempting'", after="start"),
     Anchor("planned", "first", "maneuver", "type = 1", after="attempt"),
-    Anchor("lane_left", "first", "route_state", "lanelet_id >= 5", after="planned"),
+    Anchor("lane_left", "first", "route_state", "lanelet_id >= right_lane", after="planned"),
     Anchor("hazard", "first", "warning", "t >= 0", after="start"),
     Anchor("hazard_ack", "first", "ack", "part >= 0", after="hazard"),
 ), (
@@ -138,16 +143,17 @@ FREIGHT_EMERGENCY = UseCase("freight_emergency", ENGAGEMENT + (
     Metric("FER-8", "exists", {"view": "bsm", "holds": "part2 AND siren AND light"}),
     Metric("FER-9", "mean_frequency", {"view": "bsm", "hz": 8.0, "where": "siren AND light"}),
     Metric("FER-10", "anchor_gap", {"first": "siren_on", "second": "detected", "high": 1.0}),
+    Metric("FER-11", "exists_as", {"view": "erv", "holds": "detected", "unless": "opposing"}),
     Metric("FER-12", "never", {"view": "erv", "holds": "detected AND action = 'Opposing'"}),
     Metric("FER-14", "exists", {"view": "erv", "holds": "action = 'Attempting'", "window": ("start", None)}),
     Metric("FER-15", "anchor_gap", {"first": "attempt", "second": "planned", "high": 1.05}),
     Metric("FER-16", "wait", {"since": "planned", "view": "trajectory", "holds": "planner = ''", "seconds": 0.25}),
-    Metric("FER-22", "order", {"view": "route_state", "column": "CASE WHEN lanelet_id >= 5 THEN 'right' ELSE 'middle' END", "values": ["right", "middle"]}),
-    Metric("FER-23", "section", {"view": "route_state", "value": "cross_track", "begins": "lanelet_id < 5", "ends": "lanelet_id >= 5", "low": 0.5, "high": 1.25, "window": ("planned", None)}),
+    Metric("FER-22", "order", {"view": "route_state", "column": "CASE WHEN lanelet_id >= right_lane THEN 'right' ELSE 'middle' END", "values": ["right", "middle"]}),
+    Metric("FER-23", "section", {"view": "route_state", "value": "cross_track", "begins": "lanelet_id < right_lane", "ends": "lanelet_id >= right_lane", "low": 0.5, "high": 1.25, "window": ("planned", None)}),
     Metric("FER-26", "held", {"view": "twist", "holds": NEAR_ADVISORY, "seconds": 1.0, "window": ("detected", "finish")}),
     Metric("FER-27", "section", {"view": "twist", "value": "speed", "begins": NEAR_LIMIT, "ends": NEAR_ADVISORY, "low": -1.0, "window": ("detected", "finish")}),
     Metric("FER-28", "second_rate", {"view": "twist", "value": "speed", "limit": 2.0, "window": ("detected", "finish")}),
-    Metric("FER-29", "order", {"view": "route_state", "column": "CASE WHEN lanelet_id >= 5 THEN 'right' ELSE 'middle' END", "values": ["right", "middle", "right"]}),
+    Metric("FER-29", "order", {"view": "route_state", "column": "CASE WHEN lanelet_id >= right_lane THEN 'right' ELSE 'middle' END", "values": ["right", "middle", "right"]}),
     Metric("FER-30", "begins_within", {"view": "twist", "value": "speed", "sign": 1, "k": 3, "window": ("lane_left", "finish"), "seconds": 10.0}),
     Metric("FER-32", "wait", {"since": "detected", "view": "warning", "holds": "t >= 0", "seconds": 0.1}),
     Metric("FER-33", "begins_within", {"view": "twist", "value": "speed", "sign": -1, "k": 3, "window": ("hazard", "finish"), "seconds": 10.0}),
@@ -157,8 +163,8 @@ FREIGHT_EMERGENCY = UseCase("freight_emergency", ENGAGEMENT + (
 ))
 
 TRAFFIC_INCIDENT = UseCase("traffic_incident", ENGAGEMENT + FENCE + CONTROL, (
-    Metric("TIM-1", "route", {"view": "route", "column": "lanelets", "which": "first", "members": [4], "relation": "contains"}),
-    Metric("TIM-11", "route", {"view": "route", "column": "lanelets", "which": "last", "members": [4], "relation": "avoids"}),
+    Metric("TIM-1", "route", {"view": "route", "column": "lanelets", "which": "first", "members": "original_lanes", "relation": "contains"}),
+    Metric("TIM-11", "route", {"view": "route", "column": "lanelets", "which": "last", "members": "closed_lanes", "relation": "avoids"}),
     Metric("TIM-2", "steady_before", {"view": "twist", "holds": STEADY, "event": "first_control", "seconds": 10.0, "begin": "start"}),
     Metric("TIM-10", "always", {"view": "route_state", "holds": f"abs(speed_limit - {ADVISORY_LIMIT}) < 0.01", "window": ("enter", "exit", 0, 0.8)}),
     Metric("TIM-28", "exists", {"view": "control", "holds": f"choice = 12 AND abs(maxspeed - {ADVISORY_LIMIT}) < 0.01"}),
@@ -186,24 +192,28 @@ PORT_DRAYAGE = UseCase("port_drayage", ENGAGEMENT + (
     Anchor("stopped", "first", "twist", "speed < 0.3", after="start"),
 ), (
     Metric("PD-1", "exists", {"view": "twist", "holds": STEADY, "window": ("start", "finish")}),
-    Metric("PD-4", "order", {"view": "route_state", "column": "lanelet_id", "values": [1, 2], "where": "speed_limit BETWEEN 8.94 AND 11.18"}),
-    Metric("PD-19", "always", {"view": "route_state", "holds": f"abs(speed_limit - {ADVISORY_LIMIT}) < 0.5", "where": "lanelet_id < 5", "window": ("start", "finish")}),
+    Metric("PD-4", "order", {"view": "route_state", "column": "lanelet_id", "values": "port_order", "where": "speed_limit BETWEEN 8.94 AND 11.18"}),
+    Metric("PD-19", "always", {"view": "route_state", "holds": f"abs(speed_limit - {ADVISORY_LIMIT}) < 0.5", "where": "lanelet_id < port_lane", "window": ("start", "finish")}),
     Metric("PD-23", "section", {"view": "twist", "value": "speed", "begins": "speed > 0.1", "ends": NEAR_LIMIT, "low": 1.0, "window": ("start", "finish")}),
     Metric("PD-23-second", "second_rate", {"view": "twist", "value": "speed", "limit": 2.0, "window": ("start", "finish")}),
     Metric("PD-24", "section", {"view": "twist", "value": "speed", "begins": NEAR_LIMIT, "ends": "speed < 0.3", "high": -1.0, "window": ("start", "completed")}),
     Metric("PD-24-second", "second_rate", {"view": "twist", "value": "speed", "limit": 2.0, "window": ("start", "completed")}),
     Metric("PD-25", "wait", {"since": "completed", "view": "op_out", "holds": "operation IS NOT NULL", "seconds": 3.0}),
-    Metric("PD-18", "anchor_gap", {"first": "arrival", "second": "next_goal", "high": 1.5}),
-    Metric("PD-9", "anchor_gap", {"first": "next_goal", "second": "route_set", "high": 3.0}),
-    Metric("PD-2", "value_at", {"view": "pose", "value": "sqrt((x - 50) * (x - 50) + (y - 50) * (y - 50)) - 5", "at": "stopped", "high": 3.0}),
-    Metric("PD-11", "value_at", {"view": "pose", "value": "sqrt((x - 50) * (x - 50) + (y - 50) * (y - 50)) - 5", "at": "stopped", "high": 10.0}),
+    Metric("PD-18", "exists", {"view": "op_out", "holds": "operation = 'PICKUP'", "window": ("start", None)}),
+    Metric("PD-9", "exists", {"view": "op_in", "holds": "operation = 'DROPOFF'", "window": ("arrival", None)}),
+    Metric("PD-20", "exists", {"view": "op_in", "holds": "operation = 'DROPOFF'", "window": ("arrival", None)}),
+    Metric("PD-10", "wait", {"since": "next_goal", "view": "ui", "holds": "popup", "seconds": 5.0}),
+    Metric("PD-21", "anchor_gap", {"first": "arrival", "second": "next_goal", "high": 1.5}),
+    Metric("PD-22", "anchor_gap", {"first": "next_goal", "second": "route_set", "high": 3.0}),
+    Metric("PD-2", "value_at", {"view": "pose", "value": "sqrt((x - stop_x) * (x - stop_x) + (y - stop_y) * (y - stop_y)) - stop_offset", "at": "stopped", "high": 3.0}),
+    Metric("PD-11", "value_at", {"view": "pose", "value": "sqrt((x - stop_x) * (x - stop_x) + (y - stop_y) * (y - stop_y)) - stop_offset", "at": "stopped", "high": 10.0}),
 ))
 
 INTERSECTION = UseCase("intersection", ENGAGEMENT, (
     Metric("M1.2-signal", "window_band", {"view": "spat", "seconds": 1.0, "low": 9.0, "high": 11.0, "window": ("start", "finish")}),
     Metric("M1.2-map", "window_band", {"view": "map", "seconds": 5.0, "low": 0.5, "high": 1.5, "window": ("start", "finish")}),
-    Metric("M2.1", "order", {"view": "route_state", "column": "lanelet_id", "values": [1, 2, 3], "window": ("start", "finish")}),
-    Metric("M2.3", "never", {"view": "entry", "holds": "lanelet_id = 5 AND phase <> 6", "window": ("start", "finish")}),
+    Metric("M2.1", "order", {"view": "route_state", "column": "lanelet_id", "values": "lane_order", "window": ("start", "finish")}),
+    Metric("M2.3", "never", {"view": "entry", "holds": "lanelet_id = right_lane AND phase <> 6", "window": ("start", "finish")}),
     Metric("M2.5", "second_rate", {"view": "twist", "value": "speed", "limit": 3.0, "window": ("start", "finish")}),
 ))
 

@@ -1,12 +1,13 @@
 """Declarative pass/fail metrics over typed topic views, and the scorecard made of them.
 
-A view is a DataFrame with run_id, t (ns), seq and the fields of one topic. Anchors are named times of
-a run. A metric names a rule of `rules` with its parameters; conditions are SQL expressions over the
+A view is a DataFrame with run_id, t (ns), seq and the fields of one topic. The runs are a manifest: a row per
+run with its parameters, which conditions may name. Anchors are named times of a run. A metric names a rule of `rules` with its parameters; conditions are SQL expressions over the
 view's columns. All runs are evaluated in one job; a run without the needed rows is not_evaluated.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -53,7 +54,7 @@ class UseCase:
 
 def anchor_times(anchors, views: dict[str, DataFrame], runs: DataFrame) -> DataFrame:
     """One row per run with a column per anchor (null when it never happened)."""
-    out = runs.select("run_id").distinct()
+    out = runs.dropDuplicates(["run_id"])
     pick = {"first": F.min, "last": F.max}
     waiting = list(anchors)
     while waiting:
@@ -73,6 +74,26 @@ def anchor_times(anchors, views: dict[str, DataFrame], runs: DataFrame) -> DataF
     return out
 
 
+def named_in(use_case: UseCase, view: str, parameters) -> list[str]:
+    """The run parameters that conditions and values over a view name."""
+    texts = [a.where for a in use_case.anchors if a.view == view]
+    for m in use_case.metrics:
+        if view in [m.params.get(p) for p in ("view", "place_view", "acks", "calls", "responses")]:
+            texts += [x for x in m.params.values() if isinstance(x, str)]
+    words = {w for text in texts for w in re.findall(r"\w+", text)}
+    return [p for p in parameters if p in words]
+
+
+def with_parameters(use_case: UseCase, views: dict[str, DataFrame], runs: DataFrame) -> dict[str, DataFrame]:
+    """The views a use case reads, those whose conditions need it with parameters of the run."""
+    parameters = [c for c in runs.columns if c != "run_id"]
+    out = {}
+    for name in views_of(use_case):
+        needed = [p for p in named_in(use_case, name, parameters) if p not in views[name].columns]
+        out[name] = views[name].join(runs.select("run_id", *needed), "run_id") if needed else views[name]
+    return out
+
+
 def views_of(use_case: UseCase) -> set[str]:
     """Names of the views a use case reads."""
     named = ("view", "place_view", "acks", "calls", "responses")
@@ -82,9 +103,10 @@ def views_of(use_case: UseCase) -> set[str]:
 def evaluate(use_case: UseCase, views: dict[str, DataFrame], runs: DataFrame) -> DataFrame:
     """use_case, run_id, metric_id, value, verdict for every run and metric.
 
-    Anchors (one row per run) are written out once and shared by all metrics. Counting metrics of the
+    `runs` has one row per run and a column per parameter that the use case names. Anchors (one row per run) are written out once and shared by all metrics. Counting metrics of the
     same view and window are taken in one pass.
     """
+    views = with_parameters(use_case, views, runs)
     scope = rules.Scope(views, cut(anchor_times(use_case.anchors, views, runs)))
     batches: dict[tuple, list[Metric]] = {}
     results = []

@@ -78,6 +78,50 @@ def item_log(spark, sf):
     return logs.item_log(rows.select(F.col("seq").alias("event_id"), line.alias("line")), ["event_id"], "line", "fer-13")
 
 
+def _cloud_lines(spark, sf):
+    head = F.concat(F.lit("2024 t"), F.col("k").cast("string"), F.lit(" x - "))
+    seq, k = F.col("seq").cast("string"), F.col("k").cast("string")
+    text = (F.when(F.col("topic") == "click", F.concat(F.lit("Received: BSMRequest [v2xhub_port=4444"), (F.col("k") % 3 + 4).cast("string"), F.lit(",id="), seq, F.lit(",x=1]")))
+            .when(F.col("topic") == "view", F.concat(F.lit("FER-14: number of RSUs: "), k, F.lit("; FER-14: RSU Names: a_b_1,c_2,")))
+            .when(F.col("topic") == "purchase", F.concat(F.lit("FER-15: sent to V2xHub: "), seq, F.lit(" to port : 44445!")))
+            .otherwise(F.lit("IGNORE already Processed BSM: x")))
+    return messages(spark, sf).select("run_id", F.col("seq").alias("event_id"), F.concat(head, text).alias("line"))
+
+
+@query("cloud_request_log", "event_id:i time:s place:i name:s value:s", f"""
+WITH {EV} SELECT seq AS event_id, 't' || k AS time, 0 AS place, 'v2xhub_port' AS name, '4444' || (k % 3 + 4) AS value FROM ev WHERE topic = 'click'
+UNION ALL SELECT seq, 't' || k, 0, 'Received: BSMRequest', CAST(seq AS VARCHAR) FROM ev WHERE topic = 'click'""")
+def cloud_request_log(spark, sf):
+    return logs.item_log(_cloud_lines(spark, sf).drop("run_id"), ["event_id"], "line", logs.RECEIVED)
+
+
+@query("cloud_sent_log", "event_id:i time:s place:i name:s value:s", f"""
+WITH {EV} SELECT seq AS event_id, 't' || k AS time, 0 AS place, 'sent_to_V2xHub' AS name, CAST(seq AS VARCHAR) || '  ' AS value FROM ev WHERE topic = 'purchase'
+UNION ALL SELECT seq, 't' || k, 0, 'port', '44445' FROM ev WHERE topic = 'purchase'""")
+def cloud_sent_log(spark, sf):
+    return logs.item_log(_cloud_lines(spark, sf).drop("run_id"), ["event_id"], "line", "FER-15")
+
+
+@query("cloud_counts", "run_id:i n_received:i n_ignored:i n_identified:i n_sent:i n_units:i", f"""
+WITH {EV} SELECT run_id, count(*) FILTER (topic = 'click') AS n_received, count(*) FILTER (topic IN ('error', 'signup')) AS n_ignored, count(*) FILTER (topic = 'view') AS n_identified,
+ count(*) FILTER (topic = 'purchase') AS n_sent, coalesce(sum(k) FILTER (topic = 'view'), 0) AS n_units FROM ev GROUP BY run_id""")
+def cloud_counts(spark, sf):
+    return logs.cloud_counts(_cloud_lines(spark, sf), ["run_id"], "line")
+
+
+@query("roadside_log", "run_id:i event_id:i title:s value:s", f"""
+WITH {EV}, l AS (SELECT *, lead(seq) OVER w AS nseq FROM ev WINDOW w AS (PARTITION BY run_id ORDER BY t, seq))
+SELECT run_id, seq AS event_id, 'Receive BSM' AS title, ' <BasicSafetyMessage>' || nseq AS value FROM l WHERE topic = 'click'
+UNION ALL SELECT run_id, seq, 'Forwarding message to cloud via curl', '<BSMRequest>' || seq FROM l WHERE topic = 'view' AND k >= 50""")
+def roadside_log(spark, sf):
+    # every line ends with what a body line has, so that the line after a title is one
+    body = F.concat(F.lit(" : a : <BasicSafetyMessage>"), F.col("seq").cast("string"), F.lit(": z"))
+    curl = F.concat(F.when(F.col("k") >= 50, "<BSMRequest>").otherwise("<Other>"), F.col("seq").cast("string"))
+    head = F.when(F.col("topic") == "click", F.lit("Receive BSM: x")).when(F.col("topic") == "view", F.concat(F.lit("Forwarding message to cloud via curl: "), curl)).otherwise("Other: y")
+    rows = messages(spark, sf).select("run_id", "t", F.col("seq").alias("event_id"), F.concat(F.lit("[now] plugin - INFO: "), head, body).alias("line"))
+    return logs.keyword_log(rows, "run_id", ["t", "event_id"], "line", ["Receive BSM", "Forwarding message to cloud via curl"], ["Receive BSM"])
+
+
 @query("fixed_offset_log", "o_orderkey:i time:s reqid:s msgnum:s", """
 SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS time, lpad(CAST(o_custkey AS VARCHAR), 8, '0') AS reqid, substr(o_orderpriority, 1, 1) AS msgnum FROM orders""")
 def fixed_offset_log(spark, sf):

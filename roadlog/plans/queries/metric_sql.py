@@ -3,6 +3,8 @@ definitions; each function returns SELECT run_id, value, passed."""
 
 from __future__ import annotations
 
+from ..metrics import named_in
+
 S = 1_000_000_000
 W = "(PARTITION BY run_id ORDER BY t, seq)"
 FEET = 3.28084
@@ -139,7 +141,17 @@ def anchor_gap(first, second, low=None, high=None):
     return judged("anchors", f"({second} - {first}) / {S}", low, high)
 
 
+def exists_as(view, holds, unless, where=None, window=None):
+    return f"""SELECT run_id, count(*) FILTER ({holds}) AS value, CASE WHEN bool_or({unless}) THEN count(*) FILTER ({holds}) = 0 ELSE count(*) FILTER ({holds}) > 0 END AS passed
+ FROM {rows(view, where, window)} GROUP BY run_id"""
+
+
 def order(view, column, values, where=None, window=None):
+    if isinstance(values, str):
+        return f"""WITH r AS (SELECT run_id, t, seq, {column} AS v FROM {rows(view, where, window)}), a AS (SELECT *, lag(v) OVER {W} AS p FROM r),
+ c AS (SELECT run_id, list(v) OVER (PARTITION BY run_id ORDER BY t, seq ROWS BETWEEN 15 PRECEDING AND CURRENT ROW) AS l FROM a WHERE p IS DISTINCT FROM v),
+ d AS (SELECT c.run_id, l, runs.{values} AS w FROM c JOIN runs USING (run_id)),
+ e AS (SELECT run_id, CAST(count(*) FILTER (len(l) >= len(w) AND l[len(l) - len(w) + 1:len(l)] = w) AS DOUBLE) AS x FROM d GROUP BY run_id) {judged('e', 'x', low=1)}"""
     n = len(values)
     lags = ", ".join(f"lag(v, {i}) OVER {W} AS l{i}" for i in range(1, n))
     quoted = [f"'{v}'" if isinstance(v, str) else str(v) for v in values]
@@ -151,9 +163,9 @@ def order(view, column, values, where=None, window=None):
 
 def route(view, column, which, members, relation, where=None):
     pick = "first" if which == "first" else "last"
-    low, high = (len(set(members)), None) if relation == "contains" else (None, 0)
-    return f"""WITH r AS (SELECT run_id, {pick}({column} ORDER BY t, seq) AS l FROM {rows(view, where)} GROUP BY run_id)
- {judged('r', f'len(list_intersect(l, {list(members)}))', low, high)}"""
+    test = f"x = len(list_distinct({members}))" if relation == "contains" else "x = 0"
+    return f"""WITH r AS (SELECT run_id, {pick}({column} ORDER BY t, seq) AS l FROM {rows(view, where)} GROUP BY run_id),
+ h AS (SELECT run_id, {members}, len(list_intersect(l, {members})) AS x FROM r JOIN runs USING (run_id)) SELECT run_id, CAST(x AS DOUBLE) AS value, {test} AS passed FROM h"""
 
 
 def complete(view, part, n, where=None, window=None):
@@ -238,8 +250,13 @@ def anchors_sql(anchors):
     return ", ".join(parts)
 
 
-def use_case_sql(use_case, msg, views):
-    ctes = [msg, *[f'"{n}" AS ({s})' for n, s in views.items()], anchors_sql(use_case.anchors)]
+def use_case_sql(use_case, msg, views, runs):
+    """`runs` gives the parameters of a run as name: SQL over msg."""
+    ctes = [msg, "runs AS (SELECT run_id, " + ", ".join(f"any_value({sql}) AS {n}" for n, sql in runs.items()) + " FROM msg GROUP BY run_id)"]
+    for name, sql in views.items():
+        needed = named_in(use_case, name, runs)
+        ctes.append(f'"{name}" AS (SELECT v.*{"".join(f", runs.{p}" for p in needed)} FROM ({sql}) v JOIN runs USING (run_id))' if needed else f'"{name}" AS ({sql})')
+    ctes.append(anchors_sql(use_case.anchors))
     for i, m in enumerate(use_case.metrics):
         ctes.append(f"m{i} AS ({globals()[m.rule](**m.params)})")
     every = " UNION ALL ".join(f"SELECT run_id, '{m.id}' AS metric_id, CAST(value AS DOUBLE) AS value, passed FROM m{i}" for i, m in enumerate(use_case.metrics))

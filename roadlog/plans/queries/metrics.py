@@ -44,9 +44,22 @@ VIEWS = {
     "call": "SELECT run_id, t, seq FROM msg WHERE topic = 'click'",
     "plan": "SELECT run_id, t, seq FROM msg WHERE topic = 'view'",
     "ops": "SELECT run_id, t, seq, value AS x, k * 1.0 AS y, CASE topic WHEN 'click' THEN 'goal' WHEN 'purchase' THEN 'ack' END AS side FROM msg",
+    "ui": "SELECT run_id, t, seq, k > 20 AS popup FROM msg WHERE topic = 'signup'",
     "warning": "SELECT run_id, t, seq FROM msg WHERE topic = 'error' AND k > 50",
 }
 MSG = f"""{EV}, msg AS (SELECT run_id, ((t - {T0}) * 250) // 9 AS t, seq, topic, value, k, k // 10 AS tens, [k // 10, k % 10, (k + 3) % 10] AS lanes FROM ev)"""
+# the run manifest: runs of even and odd number have different parameters (name: Spark SQL, DuckDB SQL)
+_LISTS = {"original_lanes": ("3, 4", "4, 9"), "closed_lanes": ("4", "2, 7"), "lane_order": ("9, 3, 4", "1, 2"), "port_order": ("1, 2", "7, 3")}
+_NUMBERS = {"right_lane": ("5", "7"), "port_lane": ("5", "3"), "stop_x": ("50.0", "20.0"), "stop_y": ("50.0", "70.0"), "stop_offset": ("5.0", "0.0"), "opposing": ("false", "true")}
+_EITHER = "CASE WHEN run_id % 2 = 0 THEN {} ELSE {} END"
+RUNS = {**{n: _EITHER.format(f"[{a}]", f"[{b}]") for n, (a, b) in _LISTS.items()}, **{n: _EITHER.format(a, b) for n, (a, b) in _NUMBERS.items()}}
+
+
+def manifest(msg):
+    """One row per run with its parameters."""
+    long_list = lambda x: f"array({', '.join(f'{v.strip()}L' for v in x.split(','))})"
+    columns = {**{n: _EITHER.format(long_list(a), long_list(b)) for n, (a, b) in _LISTS.items()}, **{n: _EITHER.format(a, b) for n, (a, b) in _NUMBERS.items()}}
+    return msg.select("run_id").distinct().select("run_id", *[F.expr(sql).alias(n) for n, sql in columns.items()])
 
 
 def recording(spark, sf):
@@ -61,12 +74,12 @@ def results_of(use_case, msg):
     """Verdicts of a use case over the views of a message log."""
     spark = msg.sparkSession
     views = {name: spark.sql(VIEWS[name].replace("FROM msg", "FROM {msg}"), msg=msg) for name in metrics.views_of(use_case)}
-    return metrics.evaluate(use_case, views, msg.select("run_id").distinct())
+    return metrics.evaluate(use_case, views, manifest(msg))
 
 
 def _register(name):
     use_case = USE_CASES[name]
-    sql = metric_sql.use_case_sql(use_case, MSG, VIEWS)
+    sql = metric_sql.use_case_sql(use_case, MSG, VIEWS, RUNS)
 
     @query(f"metrics_{name}", "use_case:s run_id:i metric_id:s value:f verdict:s", sql)
     def run(spark, sf):
@@ -83,7 +96,7 @@ _NAMES = {i: "c" + i.removeprefix("SV-").replace("-", "_") for i in _CARD}
 
 @query("scorecard", "run_id:i " + " ".join(f"{n}:s" for n in _NAMES.values()), f"""
 SELECT run_id, {", ".join(f"max(verdict) FILTER (metric_id = '{i}') AS {n}" for i, n in _NAMES.items())}
-FROM ({metric_sql.use_case_sql(USE_CASES['scale_vehicle'], MSG, VIEWS)}) GROUP BY run_id""")
+FROM ({metric_sql.use_case_sql(USE_CASES['scale_vehicle'], MSG, VIEWS, RUNS)}) GROUP BY run_id""")
 def scorecard(spark, sf):
     results = results_of(USE_CASES["scale_vehicle"], recording(spark, sf))
     return metrics.scorecard(results, _CARD).withColumnsRenamed(_NAMES)
@@ -91,7 +104,7 @@ def scorecard(spark, sf):
 
 @query("scorecard_rollup", "use_case:s metric_id:s n:i n_passed:i n_skipped:i", f"""
 SELECT use_case, metric_id, count(*) AS n, count(*) FILTER (verdict = 'passed') AS n_passed, count(*) FILTER (verdict = 'not_evaluated') AS n_skipped
-FROM ({" UNION ALL ".join(f"SELECT * FROM ({metric_sql.use_case_sql(u, MSG, VIEWS)})" for u in USE_CASES.values())})
+FROM ({" UNION ALL ".join(f"SELECT * FROM ({metric_sql.use_case_sql(u, MSG, VIEWS, RUNS)})" for u in USE_CASES.values())})
 GROUP BY ROLLUP (use_case, metric_id)""")
 def scorecard_rollup(spark, sf):
     msg = recording(spark, sf)

@@ -102,7 +102,13 @@ def count_limit(holds, most):
     return lambda on: (F.count_if(on & ok), F.count_if(on & ok) <= most)
 
 
-COUNTING = {"always": always, "never": never, "exists": exists, "count_limit": count_limit}
+def exists_as(holds, unless):
+    """A condition holds on some row, or on none in runs whose parameter `unless` is true."""
+    ok = F.expr(holds)
+    return lambda on: (F.count_if(on & ok), F.when(F.bool_or(F.expr(unless)), F.count_if(on & ok) == 0).otherwise(F.count_if(on & ok) > 0))
+
+
+COUNTING = {"always": always, "never": never, "exists": exists, "count_limit": count_limit, "exists_as": exists_as}
 
 
 def counted(s: Scope, view: str, window: tuple | None, metrics: list) -> DataFrame:
@@ -173,20 +179,25 @@ def anchor_gap(s, first, second, low=None, high=None):
 
 
 def order(s, view, column, values, where=None, window=None):
-    """Values follow one another as given; value is how often."""
+    """Values follow one another as given, or as a list of the run manifest says; value is how often."""
     df = rows(s, view, where, window).select(RUN, T, SEQ, F.expr(column).alias("level"))
-    hits = intervals.ordered_sequence(df, RUN, T, SEQ, "level", values).groupBy(RUN).agg(F.count(F.lit(1)).alias("__n"))
+    if isinstance(values, str):
+        found = intervals.listed_sequence(df, RUN, T, SEQ, "level", s.anchors.select(RUN, values), values)
+    else:
+        found = intervals.ordered_sequence(df, RUN, T, SEQ, "level", values)
+    hits = found.groupBy(RUN).agg(F.count(F.lit(1)).alias("__n"))
     out = df.select(RUN).distinct().join(hits, RUN, "left")
     return _judge(out, F.coalesce("__n", F.lit(0)).cast("double"), low=1)
 
 
 def route(s, view, column, which, members, relation, where=None):
-    """The first or last route contains all, or avoids all, of some lanes; value is how many it has."""
+    """The first or last route contains all, or avoids all, of the lanes that `members` names in the run
+    manifest; value is how many it has."""
     pick = F.min_by if which == "first" else F.max_by
-    one = rows(s, view, where).groupBy(RUN).agg(pick(column, F.struct(T, SEQ)).alias("__r"))
-    has = F.size(F.array_intersect("__r", F.array(*[F.lit(m).cast("long") for m in members])))
-    low, high = (len(set(members)), None) if relation == "contains" else (None, 0)
-    return _judge(one, has.cast("double"), low, high)
+    one = rows(s, view, where).groupBy(RUN).agg(pick(column, F.struct(T, SEQ)).alias("__r")).join(s.anchors.select(RUN, members), RUN)
+    has = F.size(F.array_intersect("__r", members))
+    passed = has == F.size(F.array_distinct(members)) if relation == "contains" else has == 0
+    return one.select(RUN, has.cast("double").alias("value"), passed.alias("passed"))
 
 
 def settle(s, view, holds, seconds, window):

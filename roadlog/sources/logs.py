@@ -12,7 +12,12 @@ from pyspark.sql import functions as F
 from ..functions.text import digits, unescape
 from ..operators.ordered import Ordered
 
+# fixed values: marks of the log formats
 MARK = "CreateTime"
+BODY_MARKS = {"Incoming BSM is not from Emergency Response Vehicle (ERV)": "<BasicSafetyMessage>", "Receive BSM": "<BasicSafetyMessage>"}
+NEEDED_MARKS = {"Successfully forwarded message to cloud via curl": "<BSMRequest>", "Forwarding message to cloud via curl": "<BSMRequest>"}
+REQUEST, PORTS = "Received: BSMRequest", "44444|44445|44446"
+RECEIVED, IGNORED, IDENTIFIED, SENT = f"{REQUEST} [v2xhub_port=", "IGNORE already Processed BSM", "FER-14", "FER-15"
 
 
 def read_lines(spark: SparkSession, path, **options) -> DataFrame:
@@ -46,7 +51,9 @@ def parse_topic_dump(records: DataFrame, schema: str, record: str = "record") ->
 def keyword_log(lines: DataFrame, file: str, order: list[str], text: str, keywords: list[str], next_line_titles: list[str]) -> DataFrame:
     """Lines `time ... - LEVEL: title: value` whose title equals a keyword (letter case ignored).
 
-    For the listed titles the value is the next line of the file. Returns file, order, time, title, value.
+    For the listed titles the value is the next line of the file, or the last of its parts between colons that holds
+    the mark of the title in `BODY_MARKS`. Lines of the titles in `NEEDED_MARKS` count only with that mark in their
+    value. Returns file, order, time, title, value.
     """
     levels = ["INFO", "DEBUG", "ERROR"]
     part = F.get(F.split(F.trim(text), " - "), F.lit(1))
@@ -60,27 +67,61 @@ def keyword_log(lines: DataFrame, file: str, order: list[str], text: str, keywor
     hit = o.df.where(F.lower(title).isin(low) & (F.size(fields) > 1))
     clean = lambda c: F.trim(F.regexp_replace(unescape(F.trim(c)), r'stream|["\n,]', ""))
     chosen = F.when(title.isin(next_line_titles), F.col("__following")).otherwise(value)
-    return hit.select(file, *order, time.alias("time"), title.alias("title"), clean(chosen).alias("value"))
+    out = hit.select(file, *order, time.alias("time"), title.alias("title"), clean(chosen).alias("value"))
+    for name, mark in BODY_MARKS.items():
+        if name in next_line_titles:
+            parts = F.filter(F.split("value", ":"), _holding(mark))
+            out = out.withColumn("value", F.when((F.col("title") == name) & (F.size(parts) > 0), F.element_at(parts, -1)).otherwise(F.col("value")))
+    for name, mark in NEEDED_MARKS.items():
+        out = out.where((F.col("title") != name) | F.col("value").contains(mark))
+    return out
+
+
+def _holding(mark: str):
+    return lambda x: x.contains(mark)
 
 
 def item_log(lines: DataFrame, keep: list[str], text: str, keyword: str) -> DataFrame:
     """Lines containing a keyword, as name-value rows of their `;`-separated items.
 
-    An item is `k:v` or `a:k:v` (the first field is then a label). Random suffixes after the last `_`
-    of receiver names are removed.
+    An item is `k:v` or `a:k:v` (the first field is then a label); of the latter the words to, V2xHub and port are
+    taken out of the value, and a fourth field is the port where the item names one of the known ports. A received
+    request yields its port and its id. Random suffixes after the last `_` of receiver names are removed.
     """
     part = F.get(F.split(F.trim(text), " - "), F.lit(1))
     time = F.get(F.split(F.trim(F.get(F.split(F.trim(text), " - "), F.lit(0))), r"\s+"), F.lit(1))
     hits = lines.where(F.lower(part).contains(keyword.strip().lower()))
     items = hits.select(*keep, time.alias("time"), F.posexplode(F.split(part, ";")).alias("place", "__item"))
     fields = F.transform(F.split(F.trim("__item"), ":"), lambda x: F.trim(x))
-    two = F.size(fields) == 2
-    name = F.regexp_replace(F.when(two, fields[0]).otherwise(F.get(fields, F.lit(1))), " ", "_")
-    value = F.when(two, fields[1]).otherwise(F.get(fields, F.lit(2)))
-    rows = items.where(F.size(fields) >= 2).select(*keep, "time", "place", name.alias("name"), value.alias("value"))
+    pair = lambda name, value: F.struct(name.alias("name"), value.alias("value"))
+    n = F.size(fields)
+    after = lambda mark: lambda x: F.element_at(F.split(x, mark), 2)
+    commas = F.split(F.trim("__item"), ",")
+    ports = F.transform(F.filter(commas, _holding("v2xhub_port=")), after("v2xhub_port="))
+    ids = F.transform(F.filter(commas, lambda x: x.contains("id=") & ~x.contains("v2xhub_port=")), after("id="))
+    request = F.concat(F.transform(ports, lambda v: pair(F.lit("v2xhub_port"), v)), F.transform(ids, lambda v: pair(F.lit(REQUEST), v)))
+    plain = lambda c: F.replace(c, F.lit(" "), F.lit("_"))
+    two = F.array(pair(plain(F.get(fields, F.lit(0))), F.get(fields, F.lit(1))))
+    worded = F.regexp_replace(F.get(fields, F.lit(2)), "to|V2xHub|port", "")
+    three = F.array(pair(plain(F.get(fields, F.lit(1))), worded))
+    port = F.when((n == 4) & F.col("__item").rlike(PORTS), F.array(pair(F.lit("port"), F.replace(F.get(fields, F.lit(3)), F.lit("!"), F.lit("")))))
+    found = (F.when(F.col("__item").contains(RECEIVED), request).when(n == 2, two)
+             .when(n >= 3, F.concat(three, F.coalesce(port, F.array().cast("array<struct<name:string,value:string>>")))))
+    rows = items.select(*keep, "time", "place", F.inline(found))
     return rows.withColumn("value", F.when(F.col("name").contains("RSU_Names"), plain_names(F.col("value"))).otherwise(F.col("value")))
 
 
+def cloud_counts(lines: DataFrame, by: list[str], text: str) -> DataFrame:
+    """Requests received, ignored, used to find roadside units and sent on, and the units found, per group."""
+    part = F.lower(F.get(F.split(F.trim(text), " - "), F.lit(1)))
+    has = lambda mark: F.coalesce(part.contains(mark.lower()), F.lit(False))
+    first = F.get(F.split(part, ";"), F.lit(0))
+    number = F.when(has(IDENTIFIED), F.trim(F.element_at(F.split(first, ":"), -1)).try_cast("long"))
+    return lines.groupBy(*by).agg(F.count_if(has(RECEIVED)).alias("n_received"), F.count_if(has(IGNORED)).alias("n_ignored"),
+                                  F.count_if(has(IDENTIFIED)).alias("n_identified"), F.count_if(has(SENT)).alias("n_sent"),
+                                  F.coalesce(F.sum(number), F.lit(0)).alias("n_units"))
+
+
 def plain_names(text: Column) -> Column:
     """Names of a comma list without the part after their last underscore."""
     kept = F.filter(F.split(text, ","), lambda x: x != "")

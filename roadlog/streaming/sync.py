@@ -2,7 +2,8 @@
 
 A step is (entity, sim_time); every tool logs the system time at which it got the step. Step T is in
 step with T + step when the first tool to get T + step did so after the last tool got T (within a
-tolerance). Both forms keep the first report of a tool per step.
+tolerance). Both forms keep the first report of a tool per step: the least system time, on a stream of those
+that came together.
 """
 
 from __future__ import annotations
@@ -54,30 +55,47 @@ def missing_steps(steps: DataFrame, by, step: float, tolerance: float) -> DataFr
 def sync_check_stream(steps: DataFrame, by, n_sources: int, step: int = 100, tolerance: int = 10, *, late: int = 60_000) -> DataFrame:
     """The same check on a stream: a pair of steps is emitted when both are complete.
 
-    State per entity holds the steps still open. A step is dropped when its pair was judged or when
-    its sim_time is `late` behind the newest one, so state stays bounded when a source stops.
+    State per entity holds the steps still open. A step is closed when its pair was judged. One whose
+    sim_time is `late` behind the newest is given up, so state stays bounded when a source stops: it is emitted
+    with `incomplete` true and without a verdict. The newest step is one that at least two sources have reported (where there
+    are two), so a single time stamp that is wrong gives up nothing; such a step itself is given up when it lies
+    `late` away from all that two sources reported since. A report for a step that was closed opens it no more.
     """
     keys = names(by)
     key_types = ", ".join(f"`{k}` {steps.schema[k].dataType.simpleString()}" for k in keys)
-    out = f"{key_types}, sim_time long, first_next long, last_here long, lag long, synced boolean"
+    out = f"{key_types}, sim_time long, first_next long, last_here long, lag long, synced boolean, incomplete boolean"
+    confirmed = min(2, n_sources)
 
     def judge(key, batches, state):
-        opened = {s: {k: v for k, v in zip(a, b)} for s, a, b in zip(*state.get)} if state.exists else {}
-        judged = []
+        opened, newest, closed = {}, None, None
+        if state.exists:
+            sims, sources, times, newest, closed = state.get
+            opened = {s: dict(zip(a, b)) for s, a, b in zip(sims, sources, times)}
+        before = {s: set(v) for s, v in opened.items()}
+        rows_out = []
         for rows in batches:
             for sim, source, system in zip(rows["sim_time"].tolist(), rows["source"].tolist(), rows["system_time"].tolist()):
+                if closed is not None and sim <= closed and sim not in opened:
+                    continue
                 seen = opened.setdefault(sim, {})
-                seen[source] = min(system, seen.get(source, system))
+                if source not in before.get(sim, ()):           # what came in an earlier batch was first
+                    seen[source] = min(system, seen.get(source, system))
         for sim in sorted(opened):
             here, following = opened[sim], opened.get(sim + step, {})
             if len(here) == n_sources and len(following) == n_sources:
                 first_next, last_here = min(following.values()), max(here.values())
-                judged.append([*key, sim, first_next, last_here, first_next - last_here, first_next - last_here > -tolerance])
-        done = {row[len(key)] for row in judged}
-        newest = max(opened) if opened else 0
-        opened = {s: v for s, v in opened.items() if s not in done and s >= newest - late}
-        state.update((list(opened), [list(v) for v in opened.values()], [list(v.values()) for v in opened.values()]))
-        yield pd.DataFrame(judged, columns=[*keys, "sim_time", "first_next", "last_here", "lag", "synced"])
+                rows_out.append([*key, sim, first_next, last_here, first_next - last_here, first_next - last_here > -tolerance, False])
+        done = {row[len(key)] for row in rows_out}
+        sure = [s for s, v in opened.items() if len(v) >= confirmed]
+        newest = max([*sure, *([newest] if newest is not None else [])], default=None)
+        lost = [] if newest is None else [s for s, v in opened.items() if s not in done and (s < newest - late or (len(v) < confirmed and s > newest + late and s in before))]
+        rows_out += [[*key, s, None, None, None, None, True] for s in sorted(lost)]
+        if newest is not None:
+            closed = max([newest - late, *([closed] if closed is not None else [])])
+        opened = {s: v for s, v in opened.items() if s not in done and s not in lost}
+        state.update((list(opened), [list(v) for v in opened.values()], [list(v.values()) for v in opened.values()], newest, closed))
+        frame = pd.DataFrame(rows_out, columns=[*keys, "sim_time", "first_next", "last_here", "lag", "synced", "incomplete"])
+        yield frame.astype({"first_next": "Int64", "last_here": "Int64", "lag": "Int64", "synced": "boolean", "incomplete": "boolean"})
 
     return steps.groupBy(*keys).applyInPandasWithState(
-        judge, out, "sims array<long>, sources array<array<string>>, times array<array<long>>", "append", "NoTimeout")
+        judge, out, "sims array<long>, sources array<array<string>>, times array<array<long>>, newest long, closed long", "append", "NoTimeout")

@@ -53,8 +53,21 @@ def drive(spark):
     }
 
 
+def manifest(drive, run_id_view="state"):
+    lanes = {"original_lanes": [3, 4], "closed_lanes": [4], "lane_order": [9, 3, 4]}
+    rows = drive[run_id_view].select("run_id").distinct()
+    return rows.withColumns({n: F.array(*[F.lit(x).cast("long") for x in v]) for n, v in lanes.items()})
+
+
+def test_verdicts_follow_the_parameters_of_the_run(spark, drive):
+    lists = lambda a, b: F.when(F.col("run_id") == 1, F.array(*[F.lit(x).cast("long") for x in a])).otherwise(F.array(*[F.lit(x).cast("long") for x in b]))
+    runs = manifest(drive).withColumn("original_lanes", lists([3, 77], [8])).withColumn("lane_order", lists([3, 9], [3, 4]))
+    got = {(r.run_id, r.metric_id): r.verdict for r in metrics.evaluate(catalogue.BASIC_TRAVEL, drive, runs).collect()}
+    assert (got[(1, "B-1")], got[(2, "B-1")], got[(1, "B-5")], got[(2, "B-5")]) == ("failed", "passed", "failed", "passed")
+
+
 def test_basic_travel_verdicts(spark, drive):
-    runs = drive["state"].select("run_id")
+    runs = manifest(drive)
     got = {(r.run_id, r.metric_id): r.verdict for r in metrics.evaluate(catalogue.BASIC_TRAVEL, drive, runs).collect()}
     good = {m: v for (run, m), v in got.items() if run == 1}
     expected = {m.id: "passed" for m in catalogue.BASIC_TRAVEL.metrics}
@@ -66,7 +79,7 @@ def test_basic_travel_verdicts(spark, drive):
 
 
 def test_scorecard_and_summary(spark, drive):
-    results = metrics.evaluate(catalogue.BASIC_TRAVEL, drive, drive["state"].select("run_id"))
+    results = metrics.evaluate(catalogue.BASIC_TRAVEL, drive, manifest(drive))
     card = {r.run_id: r.asDict() for r in metrics.scorecard(results, ["B-1", "B-16"]).collect()}
     assert card[1]["B-1"] == "passed" and card[2]["B-16"] == "not_evaluated"
     top = metrics.summary(results).where(F.col("use_case").isNull()).first()

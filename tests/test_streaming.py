@@ -13,7 +13,7 @@ def test_step_logs_as_a_stream_equal_the_batch(spark, tmp_path):
         (tmp_path / f"{tool}.log").write_text("\n".join(["noise", *lines, lines[0]]) + "\n")
     component = F.regexp_extract("file", r"([a-z]+)\.log$", 1)
     stream = tail.tail_steps(spark, str(tmp_path), component, [F.lit(1).alias("run")])
-    live = tail.replay(sync.sync_check_stream(stream, "run", len(tools)))
+    live = tail.replay(sync.sync_check_stream(stream, "run", len(tools))).where("not incomplete")
     rows = spark.read.text(str(tmp_path)).select(F.col("_metadata.file_path").alias("file"), "value")
     from roadlog.sources.logs import step_lines
 
@@ -40,6 +40,20 @@ def test_sync_state_survives_batches(spark, tmp_path):
     assert got == [(0, 93, True), (100, 100, True)]
 
 
+def test_a_wrong_time_stamp_gives_up_nothing(spark, tmp_path):
+    source = tmp_path / "steps"
+    parts = [[(0, "a", 1), (10**12, "a", 5)], [(0, "b", 2), (100, "a", 101)], [(100, "b", 103), (200, "a", 201)],
+             [(500, "a", 501), (500, "b", 502)], [(600, "a", 601), (600, "b", 602), (200, "b", 203)]]
+    for part in parts:
+        df = spark.createDataFrame([(7, *r) for r in part], "run long, sim_time long, source string, system_time long")
+        df.coalesce(1).write.mode("append").parquet(str(source))
+    schema = "run long, sim_time long, source string, system_time long"
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(source))
+    got = sorted((r.sim_time, r.synced, r.incomplete) for r in tail.replay(sync.sync_check_stream(stream, "run", 2, late=250)).collect())
+    # 200 never met its partner in time and 100 no complete follower; the far step was given up alone
+    assert got == [(0, True, False), (100, None, True), (200, None, True), (500, True, False), (10**12, None, True)]
+
+
 def test_rate_alarm_and_first_reports(spark, tmp_path):
     rows = [(1, s, "a") for s in range(0, 30) if not 10 <= s < 14] * 2
     df = spark.createDataFrame(rows, "run long, s long, source string").withColumn("at", F.timestamp_seconds(F.col("s") + 3600)).withColumn("sim_time", F.col("s"))
@@ -48,17 +62,17 @@ def test_rate_alarm_and_first_reports(spark, tmp_path):
     first = tail.replay(tail.first_reports(stream, "run", "at", "1 hour"))
     assert first.count() == 26
     stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/rows")
-    alarms = tail.replay(tail.rate_alarm(stream, "run", "at", "5 seconds", "1 second", "10 seconds", 4), "complete")
+    alarms = tail.replay(tail.rate_alarm(stream, "run", "at", "5 seconds", "1 second", "1 second", 4))
     quiet = sorted(r["from"].second for r in alarms.where("alarm").collect() if 3600 <= r["from"].timestamp() < 3625)
-    assert quiet == [9, 10]
+    assert quiet == [9, 10] and max(r.to.second for r in alarms.collect()) <= 28
 
 
 def test_session_stream(spark, tmp_path):
     df = spark.createDataFrame([(1, s, v) for s, v in ((0, 4), (1, 4), (2, 0), (20, 4))], "run long, s long, state long").withColumn("at", F.timestamp_seconds(F.col("s") + 3600))
     df.write.parquet(f"{tmp_path}/rows")
     stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/rows")
-    out = tail.replay(tail.state_sessions(stream, "run", "at", F.col("state") == 4, "5 seconds", "1 second"), "complete")
-    assert sorted((r["from"].second, r.n) for r in out.collect()) == [(0, 2), (20, 1)]
+    out = tail.replay(tail.state_sessions(stream, "run", "at", F.col("state") == 4, "5 seconds", "1 second"))
+    assert sorted((r["from"].second, r.n) for r in out.collect()) == [(0, 2)]         # the last one is still open
 
 
 def test_two_second_batches_fill_gaps(spark, tmp_path):
