@@ -194,7 +194,8 @@ def sketched(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: st
 
 def near(sketches: DataFrame, similarity: float = 0.8, bucket: int = 8) -> DataFrame:
     """Linked pairs (a, b) of the distinct shingle sets of `sketches`, a written table as of `sketched`."""
-    sets = sketches.groupBy("fp").agg(F.first("blocks").alias("blocks"))
+    # one row for each set of shingles before anything is joined, so copies make no hot key
+    sets = cut(sketches.groupBy("fp").agg(F.first("blocks").alias("blocks"), F.first("wide").alias("wide")))
     keyed = sets.select("fp", F.explode("blocks").alias("key"))
     ends = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("low"), F.max("fp").alias("high")).filter("n > 1")
     shared = cut(keyed.join(ends, "key"))
@@ -204,7 +205,7 @@ def near(sketches: DataFrame, similarity: float = 0.8, bucket: int = 8) -> DataF
     pairs = pairs.unionByName(ends.select(F.least("fp", "end").alias("a"), F.greatest("fp", "end").alias("b"))).distinct()
     known = cut(pairs)
     touched = known.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    wide = sketches.join(touched, "fp", "left_semi").groupBy("fp").agg(F.first("wide").alias("wide"))
+    wide = cut(sets.join(touched, "fp", "left_semi").select("fp", "wide"))      # written, so that joins can split a hot pivot
     both = known.join(wide.select(F.col("fp").alias("a"), F.col("wide").alias("x")), "a").join(
         wide.select(F.col("fp").alias("b"), F.col("wide").alias("y")), "b")
     distance = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, v: s + v)
