@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .sequential import _entities
-from .ordered import for_python, is_small, names, row_budget
+from .ordered import for_python, names
 
 
 def anchored_windows(df: DataFrame, by, t: str, *, slot: int, length: int) -> DataFrame:
@@ -40,9 +40,7 @@ def anchored_windows(df: DataFrame, by, t: str, *, slot: int, length: int) -> Da
             made[key] = rows[key].to_numpy()[made["at"].to_numpy()] if len(made) else []
         return made[[f.name for f in schema.fields]]
 
-    # entities go to Python in groups of about the row budget
+    # several entities go to Python together
     groups = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    if not is_small(df):
-        groups = max(groups, 1 + counted.count() // row_budget(df))
     packed = counted.withColumn("__group", F.pmod(F.xxhash64(*keys), F.lit(groups)))
     return for_python(packed, "__group").groupBy("__group").applyInPandas(cut, schema)

@@ -10,22 +10,24 @@ frames) in two ways with equal results:
   run per (entity, chunk), and what a chunk needs from its neighbours is taken from a summary of
   one row per chunk, or, for frames, from a few rows copied over the chunk border.
 
-The choice is made from the size of the tables read, and above a limit from one pre-aggregated
-count per entity. Null entities are one entity, rows without a time stand before all others of their entity, and
-both hold whether or not an entity is cut.
+The choice is made from row counts per entity, in one pass over the log. `planned` makes it once for a log and
+all operators that are built inside of it. Null entities are one entity, rows without a time stand before all
+others of their entity, and both hold whether or not an entity is cut.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK = "__chunk"
 ROWS_CONF, ROWS_DEFAULT = "spark.roadlog.chunkRows", 4_000_000
-BYTES_CONF, BYTES_DEFAULT = "spark.roadlog.smallBytes", 32 * 1024 * 1024
+MARKS = 1000        # quantiles of time that tell how dense an entity is
 
 
 def names(value: str | Sequence[str] | None) -> list[str]:
@@ -43,63 +45,78 @@ def row_budget(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get(ROWS_CONF, str(ROWS_DEFAULT)))
 
 
-def is_small(df: DataFrame) -> bool:
-    """True when the tables a plan reads are so small that one task could take them whole."""
-    limit = int(df.sparkSession.conf.get(BYTES_CONF, str(BYTES_DEFAULT)))
-    if limit <= 0 or not hasattr(df, "_jdf"):
-        return False
-    tables = df._jdf.queryExecution().analyzed().collectLeaves()
-    return sum(int(str(tables.apply(i).stats().sizeInBytes())) for i in range(tables.size())) <= limit
-
-
 def for_python(df: DataFrame, *columns: str) -> DataFrame:
     """Spread groups that go to Python over all shuffle partitions, however small their bytes are."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
 
 
-_WIDTHS: dict[tuple, float | None] = {}
+class Plan:
+    """The chunk width of a log, measured when it is first needed."""
+
+    def __init__(self, log: Callable[[], DataFrame], by: Sequence[str], t: str):
+        self._log, self.by, self.t = log, list(by), t
+        self._found: DataFrame | None = None
+        self._width: list[float | None] = []
+
+    @property
+    def log(self) -> DataFrame:
+        if self._found is None:
+            self._found = self._log()
+        return self._found
+
+    def fits(self, df: DataFrame, by: Sequence[str], t: str) -> bool:
+        """Whether an operator orders rows of this log: the same time, by the same or by parts of its entities."""
+        return t == self.t and set(self.by) <= set(by) and df.schema[t].dataType == self.log.schema[self.t].dataType
+
+    def width(self) -> float | None:
+        if not self._width:
+            self._width.append(measure_width(self.log, self.by, self.t, row_budget(self.log)))
+        return self._width[0]
+
+
+_PLANS: ContextVar[tuple[Plan, ...]] = ContextVar("plans", default=())
+
+
+@contextmanager
+def planned(log: Callable[[], DataFrame], by, t: str) -> Iterator[None]:
+    """Operators built inside take the chunk width of this log, which is measured once at most.
+
+    `log` has the entities and times of the rows from which all tables used inside are derived without more rows.
+    """
+    token = _PLANS.set((Plan(log, names(by), t), *_PLANS.get()))
+    try:
+        yield
+    finally:
+        _PLANS.reset(token)
 
 
 def chunk_width(df: DataFrame, by: Sequence[str], t: str) -> float | None:
-    """Width of the time chunks that keep every (entity, chunk) near the row budget.
+    """Width of the time chunks that keep every (entity, chunk) near the row budget; None when nothing is cut.
 
-    None when no entity needs cutting. The finest chunk is one instant of one entity. The answer is
-    kept per plan; it decides only how work is spread, never a result.
+    The finest chunk is one instant of one entity. The width decides only how work is spread, never a result.
     """
-    if is_small(df):
-        return None
-    budget = row_budget(df)
-    known = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), tuple(by), t, budget)
-    if known not in _WIDTHS:
-        _WIDTHS[known] = _measure_width(df, by, t, budget)
-    return _WIDTHS[known]
-
-
-def _measure_width(df: DataFrame, by: Sequence[str], t: str, budget: int) -> float | None:
-    sizes = df.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.min(t).alias("lo"), F.max(t).alias("hi")
-    )
-    top = sizes.agg(F.max_by(F.struct("n", "lo", "hi"), F.col("n")).alias("top")).first()
-    if top is None or top.top is None or top.top.n <= budget or top.top.lo is None or not math.isfinite(top.top.hi - top.top.lo):
+    for plan in _PLANS.get():
+        if plan.fits(df, by, t):
+            return plan.width()
+    return measure_width(df, by, t, row_budget(df))
+
+
+def measure_width(df: DataFrame, by: Sequence[str], t: str, budget: int) -> float | None:
+    """The chunk width from one aggregate: the least time that any budget of rows of an entity takes.
+
+    Quantiles of time show where an entity is dense; only entities over the budget count.
+    """
+    shares = F.array(*[F.lit(i / MARKS) for i in range(MARKS + 1)])
+    rows = df.select(*by, F.col(t).alias("__t")).where(F.col("__t").isNotNull() & ~F.isnan(F.col("__t").cast("double")))
+    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"), F.percentile_approx("__t", shares, F.lit(20 * MARKS)).alias("__q"))
+    hot = sizes.where(F.col("__n") > budget)
+    step = F.least(F.greatest(F.floor(F.lit(budget * MARKS) / F.col("__n")), F.lit(1)), F.lit(MARKS)).cast("int")
+    gaps = F.transform(F.sequence(F.lit(0), F.lit(MARKS) - step), lambda i: F.get("__q", i + step) - F.get("__q", i))
+    found = hot.agg(F.min(F.array_min(F.filter(gaps, lambda g: g > 0))).alias("__w"), F.count(F.lit(1)).alias("__hot")).first()
+    if not found["__hot"] or found["__w"] is None or not math.isfinite(found["__w"]):
         return None
-    whole = not isinstance(top.top.lo, float)
-    span = float(top.top.hi - top.top.lo) + (1 if whole else 0)
-    width = span * budget / top.top.n
-    for _ in range(6):
-        if whole:
-            width = max(1, math.floor(width))
-        if width <= 0:
-            return None
-        fullest = (
-            df.groupBy(*by, F.floor(F.col(t) / F.lit(width)).alias(CHUNK))
-            .agg(F.count(F.lit(1)).alias("n"))
-            .agg(F.max("n"))
-            .first()[0]
-        )
-        if fullest <= 2 * budget or (whole and width == 1):
-            break
-        width = width * budget / fullest
-    return width
+    whole = df.schema[t].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint")
+    return max(1, math.floor(found["__w"])) if whole else float(found["__w"])
 
 
 def chunk_of(t: str, width: float) -> Column:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .ordered import CHUNK, chunk_of, chunk_width, for_python, is_small, names, null_safe_join, row_budget
+from .ordered import CHUNK, chunk_of, chunk_width, for_python, names, null_safe_join, row_budget
 
 BUCKETS_CONF = "spark.roadlog.buckets"      # four per shuffle partition when not set
 
@@ -35,8 +35,6 @@ def scan(df: DataFrame, by, t: str, tie, out_schema: str, *, run: Callable, summ
     buckets = int(conf.get(BUCKETS_CONF, None) or 4 * int(conf.get("spark.sql.shuffle.partitions")))
     schema = T.StructType([df.schema[k] for k in keys] + list(T.StructType.fromDDL(out_schema).fields))
     width = chunk_width(df, keys, t)
-    if not is_small(df) and not conf.get(BUCKETS_CONF, None):
-        buckets = max(buckets, 1 + df.count() // row_budget(df))
     packed = df.withColumn("__bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
 
     def outputs(rows: pd.DataFrame, state_at: Callable) -> pd.DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import Ordered, as_column, is_small, names, null_safe_join, row_budget
+from .ordered import Ordered, as_column, names, null_safe_join, row_budget
 
 
 def quantiles(df: DataFrame, by, value, points: list[float]) -> DataFrame:
@@ -19,8 +19,6 @@ def quantiles(df: DataFrame, by, value, points: list[float]) -> DataFrame:
     data = df.select(*keys, as_column(value).cast("double").alias("__v")).where(F.col("__v").isNotNull())
     built_in = lambda d: d.groupBy(*keys).agg(
         F.count("__v").alias("n"), F.percentile("__v", F.array(*[F.lit(float(p)) for p in points])).alias("q"))
-    if is_small(data):
-        return built_in(data)
     largest = data.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
     if largest is None or largest <= row_budget(data):
         return built_in(data)

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import intervals
+from ..operators.ordered import planned
 from ..session import cut
 from . import rules
 
@@ -107,6 +108,11 @@ def evaluate(use_case: UseCase, views: dict[str, DataFrame], runs: DataFrame) ->
     same view and window are taken in one pass.
     """
     views = with_parameters(use_case, views, runs)
+    with planned(lambda: reduce(DataFrame.unionByName, [v.select("run_id", "t") for v in views.values()]), "run_id", "t"):
+        return _evaluated(use_case, views, runs)
+
+
+def _evaluated(use_case: UseCase, views: dict[str, DataFrame], runs: DataFrame) -> DataFrame:
     scope = rules.Scope(views, cut(anchor_times(use_case.anchors, views, runs)))
     batches: dict[tuple, list[Metric]] = {}
     results = []

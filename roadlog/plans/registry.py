@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ordered import planned
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -65,7 +67,9 @@ def query(name: str, columns: str, sql: str | None = None) -> Callable[[Query],
             raise ValueError(f"query {name} is registered twice")
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return build(spark, sf_dir).select(*[_spark_column(n, k) for n, k in kinds])
+            # the message log is measured once, when a step of the query needs to know how dense it is
+            with planned(lambda: messages(spark, sf_dir), "run_id", "t"):
+                return build(spark, sf_dir).select(*[_spark_column(n, k) for n, k in kinds])
 
         QUERIES[name] = run
         if sql is not None:

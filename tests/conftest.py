@@ -24,7 +24,7 @@ def spark(tmp_path_factory):
 @pytest.fixture(params=["plain", "split"])
 def mode(request, spark):
     """Every test with this fixture runs with plain windows and with hot entities cut into tiny chunks."""
-    names = {"spark.roadlog.chunkRows": "7", "spark.roadlog.smallBytes": "0", "spark.roadlog.buckets": "3"}
+    names = {"spark.roadlog.chunkRows": "7", "spark.roadlog.buckets": "3"}
     if request.param == "split":
         for name, value in names.items():
             spark.conf.set(name, value)

@@ -93,7 +93,7 @@ def test_null_entities_and_times_are_the_same_cut_and_uncut(spark):
 
     plain = results()
     assert len(plain[0]) == 90 and {r[0] for r in plain[1]} == {None, 1, 2} and all(r[1] is not None for r in plain[2])
-    names = {"spark.roadlog.chunkRows": "7", "spark.roadlog.smallBytes": "0", "spark.roadlog.buckets": "3"}
+    names = {"spark.roadlog.chunkRows": "7", "spark.roadlog.buckets": "3"}
     for name, value in names.items():
         spark.conf.set(name, value)
     try:

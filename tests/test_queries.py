@@ -43,7 +43,7 @@ def test_query_equals_sql(spark, con, name):
 
 @pytest.mark.parametrize("name", SPLIT)
 def test_query_equals_sql_with_hot_entities_cut(spark, con, name):
-    settings = {"spark.roadlog.chunkRows": "5", "spark.roadlog.smallBytes": "0", "spark.roadlog.buckets": "3"}
+    settings = {"spark.roadlog.chunkRows": "5", "spark.roadlog.buckets": "3"}
     for key, value in settings.items():
         spark.conf.set(key, value)
     try:
