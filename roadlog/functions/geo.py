@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 # fixed values
 EARTH_RADIUS_M = 6371000.0
 METRES_PER_DEGREE = 111111.0
+WGS84_FLATTENING = 1 / 298.257223563
 
 
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
@@ -26,6 +27,22 @@ def bearing(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     return F.pmod(F.degrees(F.atan2(y, x)) + F.lit(360.0), F.lit(360.0))
 
 
+def azimuth(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
+    """Initial bearing on the WGS84 ellipsoid in degrees, 0 to 360.
+
+    It is the direction of the second point in the horizon plane of the first one, within a thousandth of a
+    degree of the geodesic up to some hundred kilometres.
+    """
+    e2 = F.lit(WGS84_FLATTENING * (2 - WGS84_FLATTENING))
+    a, b, turn = F.radians(lat1), F.radians(lat2), F.radians(lon2 - lon1)
+    radius = lambda x: F.lit(1.0) / F.sqrt(F.lit(1.0) - e2 * F.sin(x) * F.sin(x))
+    n1, n2 = radius(a), radius(b)
+    across = n2 * F.cos(b) * F.cos(turn) - n1 * F.cos(a)
+    up = (F.lit(1.0) - e2) * (n2 * F.sin(b) - n1 * F.sin(a))
+    east, north = n2 * F.cos(b) * F.sin(turn), F.cos(a) * up - F.sin(a) * across
+    return F.pmod(F.degrees(F.atan2(east, north)) + F.lit(360.0), F.lit(360.0))
+
+
 def to_plane(lat: Column, lon: Column, lat0: float, lon0: float) -> tuple[Column, Column]:
     """East and north metres from an origin, on the local plane."""
     east = (lon - F.lit(lon0)) * F.lit(METRES_PER_DEGREE) * F.cos(F.radians(F.lit(lat0)))

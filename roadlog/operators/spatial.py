@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -279,3 +282,82 @@ def path_driven(visits: DataFrame, edges: DataFrame, by, t: str, tie, node: str)
     best = one.unionByName(two).unionByName(three).groupBy("src", "dst").agg(
         F.min(F.struct("hops", "via")).alias("__w")).select("src", "dst", F.col("__w.hops").alias("hops"), F.col("__w.via").alias("via"))
     return steps.join(best, ["src", "dst"], "left")
+
+
+def path_reached(visits: DataFrame, edges: DataFrame, by, t: str, tie, node: str) -> DataFrame:
+    """Visited nodes as a way through the graph that waits at branches: by, t, src, dst, hops, via.
+
+    From a node with one way on, the next node counts when it is a neighbour. From a node with several ways on, its
+    neighbours and theirs are held back, as the nearest node flickers between the branches there; the first
+    visit three edges on tells the branch, and the two nodes before it (the least ids, when several ways are
+    equal) are `via`. Other visits are passed over. What a visit can follow is joined to it beforehand, so the scan holds
+    one entity's position only.
+    """
+    from . import sequential
+    from .intervals import change_points
+
+    keys = names(by)
+    seen = change_points(visits.where(F.col(node).isNotNull()), by, t, tie, F.col(node)).drop("previous").select(*keys, t, *names(tie), F.col(node).alias("__at"))
+    e = edges.select("src", "dst").distinct().where("src <> dst")
+    nodes = seen.select("__at").distinct()
+    one = e.groupBy(F.col("dst").alias("__at")).agg(F.collect_set("src").alias("__from"))
+    ways = e.groupBy(F.col("src").alias("__at")).agg(F.count(F.lit(1)).alias("__ways"))
+    two = e.select("src", F.col("dst").alias("m")).join(e.select(F.col("src").alias("m"), "dst"), "m")
+    near = e.unionByName(two.select("src", "dst")).distinct()
+    third = two.select("src", "m", F.col("dst").alias("m2")).join(e.select(F.col("src").alias("m2"), "dst"), "m2").where("src <> dst")
+    third = third.join(nodes.withColumnRenamed("__at", "dst"), "dst", "left_semi").join(near, ["src", "dst"], "left_anti")
+    best = third.groupBy("src", "dst").agg(F.min(F.struct("m", "m2")).alias("w"))
+    far = best.groupBy(F.col("dst").alias("__at")).agg(F.to_json(F.collect_list(F.struct(F.col("src").alias("b"), "w.m", "w.m2"))).alias("__far"))
+    ready = seen.join(one, "__at", "left").join(ways, "__at", "left").join(far, "__at", "left")
+    kind = seen.schema["__at"].dataType.simpleString()
+    tie_types = ", ".join(f"`{c}` {seen.schema[c].dataType.simpleString()}" for c in [t, *names(tie)])
+    rows = ready.withColumn("__from", F.to_json("__from"))
+    return sequential.scan(rows, by, t, tie, f"{tie_types}, src {kind}, dst {kind}, hops int, via string",
+                           run=_walk, summarise=_walks, enter=_walked, start=None)
+
+
+def _moves(columns, i: int) -> tuple[list, dict, bool]:
+    """Nodes from which the visit is the next one, branches it settles with their ways, whether it is a branch."""
+    load = lambda c: json.loads(columns[c][i]) if isinstance(columns[c][i], str) else []
+    return load("__from"), {w["b"]: [w["m"], w["m2"]] for w in load("__far")}, columns["__ways"][i] > 1
+
+
+def _walk(columns, state):
+    """The visits that count, from the state (node, whether it is a branch still open)."""
+    places, out = [], {"src": [], "dst": [], "hops": [], "via": []}
+    at, waits = state if state is not None else (None, False)
+    for i, v in enumerate(columns["__at"].tolist()):
+        before, far, branch = _moves(columns, i)
+        if at is None:
+            at, waits = v, branch
+            continue
+        if waits and at in far or not waits and v != at and at in before:
+            places.append(i)
+            way = far[at] if waits else []
+            for name, value in (("src", at), ("dst", v), ("hops", len(way) + 1), ("via", "-".join(map(str, way)))):
+                out[name].append(value)
+            at, waits = v, branch and not waits
+    return places, {n: np.array(x, dtype=object) for n, x in out.items()}
+
+
+def _walks(columns) -> str:
+    """Where every state ends; states that no visit moves are left out."""
+    first, ends = None, {}                              # current state: the states it began as
+    for i, v in enumerate(columns["__at"].tolist()):
+        before, far, branch = _moves(columns, i)
+        if first is None:
+            first = json.dumps([v, bool(branch)])
+        moved = []
+        for state, target in [([p, False], [v, bool(branch)]) for p in before if p != v] + [([b, True], [v, False]) for b in far]:
+            name = json.dumps(state)
+            moved += [(target, began) for began in [*ends.pop(name, []), *([name] if not any(name in x for x in ends.values()) else [])]]
+        for target, began in moved:
+            ends.setdefault(json.dumps(target), []).append(began)
+    return json.dumps({"ends": {began: end for end, all_ in ends.items() for began in all_}, "first": first})
+
+
+def _walked(text: str, state):
+    maps = json.loads(text)
+    if state is None:
+        state = json.loads(maps["first"])
+    return json.loads(maps["ends"].get(json.dumps(list(state)), json.dumps(list(state))))

@@ -12,6 +12,7 @@ from .asof import asof_join
 from .ordered import Ordered, for_python, names
 
 SPLINE_ROWS, SPLINE_HALO = 192, 48
+MERGE_FEET = 3.28           # fixed value: feet per metre in the distance of a lane merge
 
 
 def resample_linear(df: DataFrame, by, t: str, tie, columns: list[str], step: float, *, tolerance: float = 0.0) -> DataFrame:
@@ -197,3 +198,27 @@ def encroachment(vehicle: DataFrame, walker: DataFrame, by, t: str, tie, *, zone
     expected = F.when(ramp >= d, F.sqrt(2 * d / accel)).otherwise(v / accel + F.try_divide(d - ramp, v))
     return full.select(*keys, "vehicle_enter", "walker_exit", (F.col("vehicle_enter") - F.col("walker_exit")).alias("pet"),
                        d.alias("distance"), ((expected + F.lit(buffer)) * F.lit(unit)).alias("expected_pet"))
+
+
+def merge_distance(points: DataFrame, by, t: str, tie, planner: str, merging: list[str], zone: tuple[float, float], least_step: float = 0.001) -> DataFrame:
+    """Where the lane merge of a planned trajectory ends, and its distance to a zone in feet: by, x, y, feet.
+
+    The merge ends at the last point of a merging planner before another planner's, or at the last point
+    of the trajectory. A point less than `least_step` after the one before it is no such other point.
+    """
+    keys = names(by)
+    merges = F.coalesce(F.col(planner).isin(merging), F.lit(False))
+    o = Ordered.of(points, by, t, tie).with_columns(__m=merges).prev(__pt=t).next(__nt=t, __nm="__m")
+    leaves = F.col("__m") & ~F.col("__nm") & (F.col("__nt") - F.col(t) > least_step)
+    ends = F.col("__m") & F.col("__nt").isNull() & (F.col(t) - F.col("__pt") > least_step)
+    first = F.min_by(F.struct("x", "y"), F.struct(t, *names(tie))).alias("__e")
+    out = o.df.where(F.coalesce(leaves, F.lit(False)) | F.coalesce(ends, F.lit(False))).groupBy(*keys).agg(first).select(*keys, "__e.*")
+    return out.withColumn("feet", F.hypot(F.col("x") - F.lit(zone[0]), F.col("y") - F.lit(zone[1])) * F.lit(MERGE_FEET))
+
+
+def resample_by_length(df: DataFrame, by, t: str, tie, step: float, degree: int = 3) -> DataFrame:
+    """Points of the cubic spline of a path over the way along it: by, s, x, y at multiples of `step`."""
+    from .rolling import path_length
+
+    along = path_length(df, by, t, tie, "x", "y", name="s")
+    return resample_spline(along.select(*names(by), F.col("s").cast("double").alias("s"), t, *names(tie), "x", "y"), by, "s", [t, *names(tie)], ["x", "y"], step, degree).withColumnRenamed("t", "s")

@@ -1,3 +1,3 @@
 """The registered queries, by family."""
 
-from . import aggregates, joins, logs, metrics, reshape, space, streams, windows  # noqa: F401
+from . import aggregates, files, joins, logs, metrics, reshape, space, streams, windows  # noqa: F401

@@ -26,7 +26,7 @@ def topic_inventory(spark, sf):
     return tables.topic_counts(messages(spark, sf), ["run_id"])
 
 
-def _dump(spark, sf):
+def dump_records(spark, sf):
     rows = messages(spark, sf)
     body = F.concat(F.lit('{"run": '), F.col("run_id").cast("string"), F.lit(',\n  "type": "'), "topic", F.lit('",\n  "pos": {"x": '),
                     F.col("value").cast("string"), F.lit(', "y": '), F.col("k").cast("string"), F.lit("}}"))
@@ -34,20 +34,20 @@ def _dump(spark, sf):
     return rows.withColumn("body", body).select("run_id", F.concat(F.lit(":"), F.col("seq").cast("string"), F.lit("\tkey:null "), broken, F.lit("\n")).alias("record"))
 
 
-_DUMP = "run long, type string, pos struct<x: double, y: long>"
+DUMP = "run long, type string, pos struct<x: double, y: long>"
 
 
 @query("topic_dump", "created_ms:i run:i type:s x:f y:i", f"""
 WITH {EV} SELECT seq AS created_ms, run_id AS run, topic AS type, value AS x, k AS y FROM ev WHERE topic <> 'error'""")
-def topic_dump(spark, sf):
-    good, _ = logs.parse_topic_dump(_dump(spark, sf), _DUMP)
+def topicdump_records(spark, sf):
+    good, _ = logs.parse_topic_dump(dump_records(spark, sf), DUMP)
     return good.select("created_ms", "message.run", "message.type", "message.pos.x", "message.pos.y")
 
 
 @query("skipped_records", "run_id:i n_good:i n_skipped:i", f"""
 WITH {EV} SELECT run_id, count(*) FILTER (topic <> 'error') AS n_good, count(*) FILTER (topic = 'error') AS n_skipped FROM ev GROUP BY run_id""")
 def skipped_records(spark, sf):
-    good, bad = logs.parse_topic_dump(_dump(spark, sf), _DUMP)
+    good, bad = logs.parse_topic_dump(dump_records(spark, sf), DUMP)
     return quality.bad_share(good, bad, ["run_id"])
 
 

@@ -218,6 +218,67 @@ def path_driven(spark, sf):
         "via", F.when(F.col("hops").isNotNull(), F.col("via")))
 
 
+@query("path_reached", "run_id:i t:i src:i dst:i hops:i via:s", f"""
+WITH RECURSIVE {EV}, v AS (SELECT run_id, t, seq, k // 10 AS node, lag(k // 10) OVER {W} AS p FROM ev), c AS (SELECT run_id, t, node, row_number() OVER {W} AS n FROM v WHERE p IS DISTINCT FROM node),
+e AS (SELECT DISTINCT src, dst FROM (SELECT s_nationkey % 10 AS src, (s_nationkey % 10 + 1 + CASE WHEN s_nationkey % 10 < 4 THEN s_suppkey % 2 ELSE 0 END) % 10 AS dst FROM supplier) WHERE src <> dst),
+w AS (SELECT src, count(*) > 1 AS branch FROM e GROUP BY src), e2 AS (SELECT a.src, a.dst AS m, b.dst FROM e a JOIN e b ON a.dst = b.src), near AS (SELECT src, dst FROM e UNION SELECT src, dst FROM e2),
+far AS (SELECT a.src, b.dst, min((a.m, a.dst)) AS w FROM e2 a JOIN e b ON a.dst = b.src WHERE a.src <> b.dst AND NOT EXISTS (SELECT 1 FROM near WHERE near.src = a.src AND near.dst = b.dst) GROUP BY a.src, b.dst),
+x AS (SELECT run_id, n, t, node, coalesce(branch, false) AS branch FROM c LEFT JOIN w ON w.src = c.node),
+z AS (SELECT run_id, n, t, node AS at_, branch AS waits, NULL::BIGINT AS src, NULL::INTEGER AS hops, NULL::VARCHAR AS via FROM x WHERE n = 1
+ UNION ALL SELECT x.run_id, x.n, x.t, CASE WHEN e.dst IS NOT NULL OR far.dst IS NOT NULL THEN x.node ELSE z.at_ END, CASE WHEN e.dst IS NOT NULL THEN x.branch WHEN far.dst IS NOT NULL THEN false ELSE z.waits END,
+ CASE WHEN e.dst IS NOT NULL OR far.dst IS NOT NULL THEN z.at_ END, CASE WHEN e.dst IS NOT NULL THEN 1 WHEN far.dst IS NOT NULL THEN 3 END,
+ CASE WHEN e.dst IS NOT NULL THEN '' WHEN far.dst IS NOT NULL THEN far.w[1] || '-' || far.w[2] END
+ FROM z JOIN x ON x.run_id = z.run_id AND x.n = z.n + 1 LEFT JOIN e ON NOT z.waits AND e.src = z.at_ AND e.dst = x.node LEFT JOIN far ON z.waits AND far.src = z.at_ AND far.dst = x.node)
+SELECT run_id, t, src, at_ AS dst, hops, via FROM z WHERE src IS NOT NULL""")
+def path_reached(spark, sf):
+    visits = messages(spark, sf).select("run_id", "t", "seq", F.floor(F.col("k") / 10).alias("node"))
+    here = F.col("s_nationkey").cast("long") % 10
+    # the first nodes of the ring have two ways on
+    skip = F.when(here < 4, F.col("s_suppkey") % 2).otherwise(0)
+    edges = load(spark, sf, "supplier").select(here.alias("src"), ((here + 1 + skip) % 10).cast("long").alias("dst"))
+    return spatial.path_reached(visits, edges, RUN, T, SEQ, "node")
+
+
+@query("azimuth", "c_custkey:i azimuth:f", """
+WITH a AS (SELECT c_custkey, radians(47 + c_acctbal / 100000) AS a, radians(47.6) AS b, radians(-122.1 - (-122 - c_nationkey / 100)) AS l, (1 / 298.257223563) * (2 - 1 / 298.257223563) AS e2 FROM customer),
+n AS (SELECT *, 1 / sqrt(1 - e2 * sin(a) * sin(a)) AS n1, 1 / sqrt(1 - e2 * sin(b) * sin(b)) AS n2 FROM a),
+u AS (SELECT *, n2 * cos(b) * cos(l) - n1 * cos(a) AS across, (1 - e2) * (n2 * sin(b) - n1 * sin(a)) AS up FROM n),
+z AS (SELECT c_custkey, degrees(atan2(n2 * cos(b) * sin(l), cos(a) * up - sin(a) * across)) + 360 AS az FROM u) SELECT c_custkey, az - 360 * floor(az / 360) AS azimuth FROM z""")
+def azimuth(spark, sf):
+    lat = F.lit(47.0) + F.col("c_acctbal") / 100000
+    lon = F.lit(-122.0) - F.col("c_nationkey") / 100
+    return load(spark, sf, "customer").select("c_custkey", geo.azimuth(lat, lon, F.lit(47.6), F.lit(-122.1)).alias("azimuth"))
+
+
+@query("merge_distance", "l_orderkey:i x:f y:f feet:f", """
+WITH a AS (SELECT l_orderkey, row_number() OVER w AS n, epoch_us(CAST(l_shipdate AS TIMESTAMP)) / 1e6 AS t, l_quantity AS x, CAST(l_linenumber AS DOUBLE) AS y, l_returnflag <> 'N' AS m FROM lineitem
+ WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag)),
+b AS (SELECT *, lag(t) OVER (PARTITION BY l_orderkey ORDER BY n) AS pt, lead(t) OVER (PARTITION BY l_orderkey ORDER BY n) AS nt, lead(m) OVER (PARTITION BY l_orderkey ORDER BY n) AS nm FROM a),
+c AS (SELECT * FROM b WHERE m AND ((NOT nm AND nt - t > 0.001) OR (nt IS NULL AND t - pt > 0.001)) QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY n) = 1)
+SELECT l_orderkey, x, y, sqrt((x - 25) ** 2 + (y - 3) ** 2) * 3.28 AS feet FROM c""")
+def merge_distance(spark, sf):
+    # the lines of an order as the points of a planned trajectory, returned lines as those of the merging planner
+    points = load(spark, sf, "lineitem").select(
+        "l_orderkey", (F.unix_micros(F.to_utc_timestamp(F.col("l_shipdate").cast("timestamp"), F.current_timezone())) / 1e6).alias("t"), "l_linenumber", "l_partkey", "l_suppkey",
+        F.col("l_quantity").cast("double").alias("x"), "l_returnflag", F.col("l_linenumber").cast("double").alias("y"))
+    return trajectory.merge_distance(points, "l_orderkey", "t", ["l_linenumber", "l_partkey", "l_suppkey", "x", "l_returnflag"], "l_returnflag", ["A", "R"], (25.0, 3.0))
+
+
+@query("spline_by_length", "run_id:i s:f x:f y:f")
+def spline_by_length(spark, sf):
+    return trajectory.resample_by_length(_track(spark, sf, "view"), RUN, T, SEQ, 25.0)
+
+
+@query("runs_by_speed", "n_nationkey:i c_custkey:i place:i", """
+SELECT c_nationkey AS n_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey) AS place FROM customer""")
+def runs_by_speed(spark, sf):
+    from ...operators.reshape import rank_in
+
+    # customers of a nation as the runs of a vehicle, their balance as the speed
+    runs = load(spark, sf, "customer")
+    return runs.select(F.col("c_nationkey").alias("n_nationkey"), "c_custkey", rank_in("c_nationkey", "c_acctbal", "c_custkey").alias("place"))
+
+
 @query("stop_location", "run_id:i t_stop:i distance:f passed:b", f"""
 WITH {EV}, s AS (SELECT run_id, min(t) AS t_stop FROM ev WHERE value < 3 GROUP BY run_id), p AS (SELECT run_id, t, value, k FROM ev WHERE topic = 'view')
 SELECT s.run_id, t_stop, sqrt((p.value - 50) ** 2 + (p.k - 50) ** 2) - 5 AS distance, sqrt((p.value - 50) ** 2 + (p.k - 50) ** 2) - 5 <= 40 AS passed

@@ -332,6 +332,35 @@ def test_offset_search_tries_the_whole_overlap(spark):
     assert (got.offset, got.error) == (45, 0.0)
 
 
+def test_spline_by_length_follows_a_straight_path(spark, mode):
+    rng = random.Random(3)
+    way = [0.0]
+    for _ in range(60):
+        way.append(way[-1] + rng.uniform(0.5, 2.0))
+    df = spark.createDataFrame([(1, i, 0.6 * s, 0.8 * s) for i, s in enumerate(way)], "id long, t long, x double, y double")
+    got = trajectory.resample_by_length(df, "id", "t", (), 1.0).collect()
+    assert len(got) > 30 and all((r.x, r.y) == pytest.approx((0.6 * r.s, 0.8 * r.s)) for r in got)
+
+
+def test_azimuth_on_the_ellipsoid(spark):
+    from roadlog.functions import geo
+
+    lit = lambda *v: [F.lit(x) for x in v]
+    row = spark.range(1).select(geo.azimuth(*lit(0.0, 0.0, 0.0, 1.0)).alias("east"), geo.azimuth(*lit(10.0, 5.0, 11.0, 5.0)).alias("north"),
+                                geo.azimuth(*lit(45.0, 0.0, 45.01, 0.01)).alias("a"), geo.bearing(*lit(45.0, 0.0, 45.01, 0.01)).alias("b")).first()
+    # one hundredth of a degree at 45 degrees north: 1111.4 m north, 788.5 m east on the ellipsoid
+    assert (row.east, row.north) == pytest.approx((90.0, 0.0)) and row.a == pytest.approx(np.degrees(np.arctan2(788.47, 1111.32)), abs=0.02) and 0.05 < abs(row.a - row.b) < 0.3
+
+
+def test_path_reached_waits_at_branches(spark, mode):
+    # 0 forks to 1 and 5; 1-2-3-4 and 5-6-7 are single ways
+    edges = spark.createDataFrame([(0, 1), (0, 5), (1, 2), (2, 3), (3, 4), (5, 6), (6, 7)], "src long, dst long")
+    visits = [0, 1, 5, 1, 2, 3, 9, 4, 2, 0] + [4] * 12
+    df = spark.createDataFrame([(1, i, i, v) for i, v in enumerate(visits)] + [(2, i, i, v) for i, v in enumerate([0, 5, 6, 7])], "id long, t long, seq long, node long")
+    got = [tuple(r) for r in spatial.path_reached(df, edges, "id", "t", "seq", "node").select("id", "src", "dst", "hops", "via").orderBy("id", "t").collect()]
+    assert got == [(1, 0, 3, 3, "1-2"), (1, 3, 4, 1, ""), (2, 0, 7, 3, "5-6")]
+
+
 def test_first_crossing_of_paths(spark, mode):
     a = [(1, t, float(t), 0.0) for t in range(40)]
     b = [(1, t, 17.5, float(t - 10)) for t in range(20)]

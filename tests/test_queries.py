@@ -8,13 +8,13 @@ import __spark_entry__ as entry
 from roadlog.plans import registry
 
 QUERIES, ORACLES = registry.QUERIES, registry.ORACLES
-WITHOUT_SQL = {"spline_resample", "encroachment"}      # tested against brute force in test_brute_force
+WITHOUT_SQL = {"spline_resample", "spline_by_length", "encroachment"}      # tested against brute force in test_brute_force
 SPLIT = [
     "gap_coverage", "state_intervals", "longest_band_run", "consecutive_increase", "resetting_sum", "rolling_mean_full",
     "moving_average_centered", "sliding_frequency", "unwrap", "gradient", "settle_time", "ordered_sequence", "debounced_plateau",
     "asof_nearest", "last_known_merge", "ordinal_pairing", "fifo_match", "fifo_match_bounded", "hysteresis_changes", "drop_repeats",
     "interval_join", "group_stats", "describe", "box_numbers", "resample_linear", "segment_crossing", "conflict_scan", "nearest_point", "cross_track",
-    "offset_search", "request_chain", "fill_gaps",
+    "offset_search", "path_reached", "merge_distance", "request_chain", "fill_gaps",
 ]
 
 
