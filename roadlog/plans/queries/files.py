@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ...operators import reshape
-from ...session import shared_dir
+from ...session import shared_dir, written
 from ...sources import logs, sinks, tables
 from ...streaming import tail
 from ..registry import EV, load, messages, query
@@ -18,7 +18,7 @@ from ..catalogue import USE_CASES
 
 
 def _folder(spark, name):
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return written(spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
 
 
 @query("csv_files", "o_orderkey:i o_custkey:i o_orderstatus:s o_totalprice:f", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders")

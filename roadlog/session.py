@@ -43,6 +43,25 @@ def shared_dir(spark: SparkSession) -> str:
     raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
 
 
+_WRITTEN: dict[str, list[str]] = {}
+
+
+def written(spark: SparkSession, path: str) -> str:
+    """Note a folder as one that `clear` may remove."""
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clear(spark: SparkSession) -> int:
+    """Remove the tables that this session has cut so far; for when no DataFrame made from them is used any more."""
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in paths:
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(conf).delete(target, True)
+    return len(paths)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write `df` as a table to the shared folder and read on from there.
 
@@ -50,6 +69,6 @@ def cut(df: DataFrame) -> DataFrame:
     table's size.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    path = written(spark, f"{shared_dir(spark)}/table-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

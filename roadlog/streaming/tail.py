@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ordered import names
-from ..session import shared_dir
+from ..session import shared_dir, written
 from ..sources.logs import step_lines
 
 
@@ -60,7 +60,7 @@ def replay(stream: DataFrame, mode: str = "append") -> DataFrame:
     from the last finished batch.
     """
     spark = stream.sparkSession
-    base = f"{shared_dir(spark)}/replay-{uuid.uuid4().hex}"
+    base = written(spark, f"{shared_dir(spark)}/replay-{uuid.uuid4().hex}")
     if mode == "append":
         started = stream.writeStream.format("parquet").option("checkpointLocation", f"{base}/progress").trigger(
             availableNow=True).start(f"{base}/rows")

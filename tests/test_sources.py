@@ -159,3 +159,15 @@ def test_failed_table_does_not_stop_the_others(spark, tmp_path):
 def test_field_dictionary(spark):
     schema = spark.createDataFrame([], "a long, b struct<c: double, d: array<struct<e: string>>>").schema
     assert reshape.field_dictionary(schema, "/t") == [("/t", "a", "bigint"), ("/t", "b.c", "double"), ("/t", "b.d[].e", "string")]
+
+
+def test_cut_tables_can_be_cleared(spark):
+    import os
+
+    from roadlog import session
+
+    session.clear(spark)
+    table = session.cut(spark.range(5))
+    folder = table.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert table.count() == 5 and os.path.isdir(folder)
+    assert session.clear(spark) == 1 and not os.path.exists(folder)
