@@ -6,8 +6,8 @@ the last `window` words are in some item, and the covered words form the spans.
 the window is a window of its own length.
 
 The test set is split into blocks of items of about `block_words` words by their ids. Blocks are taken to
-the executors one after the other, so that neither the driver nor a task holds more than one block; the
-hits of earlier blocks travel with the documents. A document is read by one task, without any shuffle.
+the executors one after the other, each in a pass over the documents that is written before the next one, so that neither
+the driver nor a task holds more than one block; the hits of earlier blocks travel with the documents. Nothing is shuffled.
 
 Cases: null and empty texts have no words and are clean; a null item id is kept as a null that no list
 shows; an item without words matches nothing; repeated items count once per id; empty tables give empty
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from roadlog.llm.common import field, id_text, pieces, sliced
+from roadlog.llm.common import cut, field, id_text, pieces, sliced
 
 WINDOW = 10
 BLOCK_WORDS = 400_000
@@ -146,14 +146,14 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def item_blocks(items: DataFrame, id_col: str, text_col: str, block_words: int) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """The items in blocks of a bounded number of words, one block at a time."""
+def item_blocks(items: DataFrame, id_col: str, text_col: str, block_words: int) -> Iterator[tuple[list[tuple[str, list[bytes]]], bool]]:
+    """The items in blocks of a bounded number of words, one block at a time, and whether it is the last."""
     rows = items.select(F.col(id_col).cast("string").alias("name"), F.col(text_col).cast("string").alias("text")).filter("text is not null")
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = pieces(chars, 4 * block_words)
     for k in range(blocks):
         part = rows.filter(F.pmod(F.xxhash64("name", "text"), F.lit(blocks)) == k).collect()
-        yield [(r["name"], words(r["text"])) for r in part]
+        yield [(r["name"], words(r["text"])) for r in part], k == blocks - 1
 
 
 def spans(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text",
@@ -165,10 +165,9 @@ def spans(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str =
         none("array<string>").alias("items"))
     out = T.StructType([rows.schema["doc_id"], rows.schema["text"], *SPANS])
     last = T.StructType([rows.schema["doc_id"], *SPANS])
-    blocks = list(item_blocks(items, item_id, item_text, block_words)) or [[]]
-    for k, block in enumerate(blocks):
-        final = k == len(blocks) - 1
+    for block, final in item_blocks(items, item_id, item_text, block_words):
         rows = rows.mapInArrow(_pass(block, window, final), last if final else out)
+        rows = rows if final else cut(rows)         # the plan lets go of this block
     return rows
 
 
@@ -204,8 +203,9 @@ def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_coverage:
     """
     kind = docs.schema
     at = kind.fieldNames().index(text_col)
-    for block in item_blocks(items, item_id, item_text, block_words):
+    for block, final in item_blocks(items, item_id, item_text, block_words):
         docs = docs.mapInArrow(_cutter(block, window, max_coverage, at), kind)
+        docs = docs if final else cut(docs)
     return docs
 
 
