@@ -54,7 +54,9 @@ def _summary(values: np.ndarray, band: float) -> str:
     """Where an incoming state can first be left, and the state at the end from there.
 
     The first row outside the band around some incoming value is always a new greatest or a new least
-    value of the chunk, so these records with their outcomes describe the chunk for every state.
+    value of the chunk, so these records with their outcomes describe the chunk for every state. A state
+    more than a band from the first value is left at once, so records more than two bands from it are never asked
+    for, but the first of them.
     """
     outcome: dict[int, float] = {}
 
@@ -75,6 +77,8 @@ def _summary(values: np.ndarray, band: float) -> str:
     bottom = np.minimum.accumulate(values)
     rises = [0, *(np.flatnonzero(np.diff(top) > 0) + 1).tolist()]
     falls = [0, *(np.flatnonzero(np.diff(bottom) < 0) + 1).tolist()]
+    far = lambda places: next((n + 1 for n, i in enumerate(places) if abs(values[i] - values[0]) > 2 * band), len(places))
+    rises, falls = rises[:far(rises)], falls[:far(falls)]
     return json.dumps({name: [[i, float(values[i]), follow(i)] for i in places]
                        for name, places in (("up", rises), ("down", falls))})
 

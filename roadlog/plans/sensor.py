@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.units import MPS_TO_MPH
 from ..operators import rolling, spatial, trajectory
 from ..operators.ordered import Ordered, names
+from ..session import cut
 
 # fixed values: m, mph, degrees, Hz, percent
 POSITION_LIMIT, SPEED_LIMIT, HEADING_LIMIT, LOWEST_RATE, SHARE = 0.3, 3.0, 3.0, 27.0, 90.0
@@ -25,7 +26,7 @@ def matched_tracks(sensor: DataFrame, reference: DataFrame, by, t: str, tie, ste
         even = trajectory.resample_linear(smooth, by, t, tie, columns, step)
         return Ordered.of(even, by, "t").number("i").df
 
-    a, b = grid(reference), grid(sensor)
+    a, b = cut(grid(reference)), cut(grid(sensor))      # both are read by the search and by the match
     error = lambda r, s: F.hypot(r("x") - s("x"), r("y") - s("y"))
     best = spatial.offset_search(a.select(*keys, "i", "x", "y"), b.select(*keys, "i", "x", "y"), by, "i", error, search)
     moved = b.join(best, keys).select(*keys, (F.col("i") + F.col("offset")).alias("i"), "offset", *[F.col(c).alias(f"s_{c}") for c in columns])

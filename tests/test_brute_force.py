@@ -103,6 +103,15 @@ def test_null_entities_and_times_are_the_same_cut_and_uncut(spark):
             spark.conf.unset(name)
 
 
+def test_hysteresis_summary_of_a_steady_rise_is_short():
+    values = np.arange(20_000) * 0.5
+    text = hysteresis._summary(values, 10.0)
+    assert len(text) < 5_000
+    for state in (-30.0, -5.0, 0.0, 3.3, 9.0, 12.0, 500.0):
+        last, kept = state, hysteresis._accepted(values, state, 10.0)[0]
+        assert hysteresis._enter(text, state, 10.0) == (values[kept[-1]] if kept else last)
+
+
 def test_hysteresis_skips_missing_values(spark, mode):
     data = [(1, i, i, v) for i, v in enumerate([None, 1.0, float("nan"), 5.0, None, 9.0, 9.5, 2.0, 20.0])]
     df = spark.createDataFrame(data, "id long, t long, seq long, v double")
