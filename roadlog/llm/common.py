@@ -38,6 +38,20 @@ def pieces(rows: int, per_piece: int, least: int = 1) -> int:
     return max(least, -(-rows // per_piece))
 
 
+GROUP_CHARS = 4_000_000
+
+
+def groups_of(docs: DataFrame, text_col: str, group_rows: int, shard_rows: int) -> tuple[int, int]:
+    """How many groups and shards the documents make.
+
+    A group has about `group_rows` documents, fewer where texts are long: no more than about four million characters.
+    Shards grow with the number of documents and with the characters alike.
+    """
+    n, chars = docs.agg(F.count(F.lit(1)), F.sum(F.length(F.col(text_col).cast("string")).cast("long"))).first()
+    return (max(pieces(n, group_rows), pieces(chars or 0, GROUP_CHARS)),
+            max(pieces(n, shard_rows), pieces(chars or 0, GROUP_CHARS * shard_rows // group_rows)))
+
+
 def smallest(rows: DataFrame, key: str, ties: Sequence[str], size: int) -> DataFrame:
     """The `size` rows with the smallest 64-bit hash `key`. `rows` is a written table, as it is counted first.
 

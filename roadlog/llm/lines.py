@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from roadlog.llm.common import field, pieces
+from roadlog.llm.common import field, groups_of
 
 LEAST_CHARS = 20
 LEAST_DOCS = 3
@@ -205,8 +205,7 @@ def remove(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int = LE
     `least_docs` documents or more stays only in the document with the largest id.
     """
     docs = docs.withColumns({id_col: F.col(id_col).cast("long"), text_col: F.col(text_col).cast("string")})
-    n = docs.count()
-    blocks, shards = pieces(n, block_rows), pieces(n, shard_rows)
+    blocks, shards = groups_of(docs, text_col, block_rows, shard_rows)
     names = docs.columns
     dealt = docs.withColumn("__line_block", F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("long")).repartition("__line_block")
     lists = dealt.groupBy("__line_block").applyInArrow(_listing(id_col, text_col, least_chars, shards), _LISTS)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from roadlog.llm.common import cut, field, id_text, map_texts, pieces
+from roadlog.llm.common import cut, field, groups_of, id_text, map_texts
 from roadlog.llm.decontaminate import words
 from roadlog.llm.lines import as_table
 from roadlog.llm.rlz import mixed
@@ -36,8 +36,8 @@ from roadlog.llm.rlz import mixed
 PRIOR = 10.0
 FLOOR = 0.05
 VOCABULARY = 1 << 20
-GROUP_ROWS = 1024
-SHARD_ROWS = 2048
+GROUP_ROWS = 512
+SHARD_ROWS = 1024
 
 _START = np.uint64(0x5851F42D4C957F2D)          # the context of a text's first word
 _LISTS = T.StructType([field("__lm_shard", "long"), field("__lm_group", "long"), field("keys", "binary"), field("target", "binary"), field("all", "binary")])
@@ -162,8 +162,7 @@ def score(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col:
     of_target = counted.join(marked, "doc_id", "left_semi")
     sums = [x.agg(F.count("*").alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("words")).first() for x in (of_target, counted)]
     sizes = {f"{what}_{name}": float(s[what]) for s, name in zip(sums, ("target", "all")) for what in ("docs", "words")}
-    n = docs.count()
-    groups, shards = pieces(n, group_rows), pieces(n, shard_rows)
+    groups, shards = groups_of(docs, text_col, group_rows, shard_rows)
     group = F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("long")
     dealt = rows.withColumn("__lm_group", group).repartition("__lm_group")
     marks = marked.withColumn("__lm_group", group)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from roadlog.llm.common import field, pieces
+from roadlog.llm.common import field, groups_of
 from roadlog.llm.lines import as_table
 
 WINDOW = 20
@@ -307,8 +307,7 @@ def parse(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_co
     if window < ANCHOR:
         raise ValueError(f"a window has at least {ANCHOR} words")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    n = docs.count()
-    groups, shards = pieces(n, group_rows), pieces(n, shard_rows)
+    groups, shards = groups_of(docs, text_col, group_rows, shard_rows)
     dealt = rows.withColumn("__rlz_group", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("long")).repartition("__rlz_group")
     by_group = dealt.groupBy("__rlz_group")
     firsts = by_group.applyInArrow(_blocks(window, shards), _LISTS).groupBy("__rlz_shard").applyInArrow(_firsts(1), _FIRSTS)
