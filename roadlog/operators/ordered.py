@@ -115,14 +115,17 @@ def chunk_width(df: DataFrame, by: Sequence[str], t: str) -> float | None:
 
 
 def measure_width(df: DataFrame, by: Sequence[str], t: str, budget: int) -> float | None:
-    """The chunk width from one aggregate: the least time that any budget of rows of an entity takes.
+    """The chunk width: the least time that any budget of rows of an entity takes; None without an entity over it.
 
-    Quantiles of time show where an entity is dense; only entities over the budget count.
+    One count per entity tells whether there is such an entity. Only then, quantiles of time of those entities
+    show where they are dense.
     """
-    shares = F.array(*[F.lit(i / MARKS) for i in range(MARKS + 1)])
     rows = df.select(*by, F.col(t).alias("__t")).where(F.col("__t").isNotNull() & ~F.isnan(F.col("__t").cast("double")))
-    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"), F.percentile_approx("__t", shares, F.lit(20 * MARKS)).alias("__q"))
-    hot = sizes.where(F.col("__n") > budget)
+    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > budget)
+    if sizes.isEmpty():
+        return None
+    shares = F.array(*[F.lit(i / MARKS) for i in range(MARKS + 1)])
+    hot = null_safe_join(rows, sizes, by).groupBy(*by, "__n").agg(F.percentile_approx("__t", shares, F.lit(20 * MARKS)).alias("__q"))
     step = F.least(F.greatest(F.floor(F.lit(budget * MARKS) / F.col("__n")), F.lit(1)), F.lit(MARKS)).cast("int")
     gaps = F.transform(F.sequence(F.lit(0), F.lit(MARKS) - step), lambda i: F.get("__q", i + step) - F.get("__q", i))
     found = hot.agg(F.min(F.array_min(F.filter(gaps, lambda g: g > 0))).alias("__w"), F.count(F.lit(1)).alias("__hot")).first()
