@@ -5,17 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from roadlog import session
 
-# fixed values: the white space that parts words, as a regular expression and as characters
-WORD = r"[^\x20\x09-\x0D]+"
-ASCII_SPACE = " \t\n\x0b\x0c\r"
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-LOWER = "abcdefghijklmnopqrstuvwxyz"
+WORD = r"[^\x20\x09-\x0D]+"          # fixed value: words are what ASCII white space parts
 
 cut = session.cut
 
@@ -29,10 +25,6 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def ascii_lower(text: Column) -> Column:
-    return F.translate(text, UPPER, LOWER)
-
-
 def pieces(rows: int, per_piece: int, least: int = 1) -> int:
     """How many pieces of about `per_piece` rows the rows make: grows in proportion, at least `least`."""
     return max(least, -(-rows // per_piece))

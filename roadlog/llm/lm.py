@@ -36,8 +36,8 @@ from roadlog.llm.rlz import mixed
 PRIOR = 10.0
 FLOOR = 0.05
 VOCABULARY = 1 << 20
-GROUP_ROWS = 512
-SHARD_ROWS = 1024
+GROUP_ROWS = 768
+SHARD_ROWS = 1536
 
 _START = np.uint64(0x5851F42D4C957F2D)          # the context of a text's first word
 _LISTS = T.StructType([field("__lm_shard", "long"), field("__lm_group", "long"), field("keys", "binary"), field("target", "binary"), field("all", "binary")])
