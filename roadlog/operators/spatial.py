@@ -26,7 +26,7 @@ def nearest_point(points: DataFrame, route: DataFrame, by, *, place: str, x: str
     without one are no candidates; points of an entity without a route are left out. `trim_ends` blanks
     the match at the first and last route point, where the recording has not reached or has left the route.
 
-    A route lies in blocks of about the root of its length. A point is compared with the boxes of the blocks
+    A route lies in blocks of about the root of its length, made of points that lie together. A point is compared with the boxes of the blocks
     first, then with the points of those blocks only that may hold the nearest one. So neither a row nor a
     task has a whole long route, and all lengths take the same way. Equal points are looked up once.
     """
@@ -35,8 +35,13 @@ def nearest_point(points: DataFrame, route: DataFrame, by, *, place: str, x: str
     known = route.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, place, x, y)
     ends = route.groupBy(*keys).agg(F.min(place).alias("__first"), F.max(place).alias("__last"))
     sizes = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("__size"))
-    numbered = null_safe_join(Ordered.of(known, by, place, [x, y]).number("__n").df, sizes, keys)
-    block = F.floor((F.col("__n") - 1) / F.greatest(F.lit(LEAST_BLOCK), F.ceil(F.sqrt("__size"))))
+    # strips by x, blocks by y inside of a strip: boxes are small however the route winds
+    block_rows = F.greatest(F.lit(LEAST_BLOCK), F.ceil(F.sqrt("__size")))
+    strips = F.ceil(F.sqrt(F.ceil(F.col("__size") / block_rows)))
+    across_x = null_safe_join(Ordered.of(known, by, x, [y, place]).number("__nx").df, sizes, keys)
+    strip = across_x.withColumn("__strip", F.floor((F.col("__nx") - 1) * strips / F.col("__size")))
+    numbered = Ordered.of(strip, [*keys, "__strip"], y, [x, place]).number("__ny").df
+    block = F.struct("__strip", F.floor((F.col("__ny") - 1) / block_rows).alias("n"))
     blocks = numbered.withColumn("__block", block).groupBy(*keys, "__block").agg(
         F.collect_list(F.struct(place, x, y)).alias("__part"), F.min(x).alias("__x0"), F.max(x).alias("__x1"),
         F.min(y).alias("__y0"), F.max(y).alias("__y1"))
