@@ -9,9 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import side
+from ..session import cut
 from .ordered import Ordered, names, null_safe_join
 
 LEAST_BLOCK = 64        # route points in the smallest block of a route
+FIRST_LEGS = 256        # legs of a path that are tried first for a crossing
 
 
 def _cells(low: Column, high: Column, size: Column) -> Column:
@@ -144,10 +146,34 @@ def _crossings(legs_a: DataFrame, legs_b: DataFrame, keys: list[str], cell: floa
 
 
 def conflict_point(path_a, path_b, by, t: str, cell: float, tie=()) -> DataFrame:
-    """The first crossing along the first path, per entity: by, t_a, t_b, x, y."""
+    """The first crossing along the first path, per entity: by, t_a, t_b, x, y.
+
+    The first path is tried piece by piece from its start, each piece eight times as long as the one before,
+    and an entity is done at its first hit. So long paths never meet leg by leg as a whole. Each piece is a written table;
+    a path of up to `FIRST_LEGS` legs is one piece.
+    """
     keys = names(by)
-    found = _crossings(segments(path_a, by, t, tie), segments(path_b, by, t, tie), keys, cell)
-    return found.groupBy(*keys).agg(F.min(F.struct("t_a", "t_b", "x", "y")).alias("__c")).select(*keys, "__c.*")
+    todo = cut(Ordered.of(segments(path_a, by, t, tie), by, "t1", ["x1", "y1", "x2", "y2"]).number("__n").df)
+    legs_b = segments(path_b, by, t, tie)
+    longest = todo.agg(F.max("__n")).first()[0] or 0
+    begin, size, done = 0, FIRST_LEGS, None
+    while True:
+        piece = todo.where((F.col("__n") > begin) & (F.col("__n") <= begin + size)).drop("__n")
+        found = _crossings(piece, legs_b, keys, cell)
+        hits = found.groupBy(*keys).agg(F.min(F.struct("t_a", "t_b", "x", "y")).alias("__c")).select(*keys, "__c.*")
+        begin, size = begin + size, size * 8
+        if begin >= longest:
+            return hits if done is None else done.unionByName(hits)
+        hits = cut(hits)
+        done = hits if done is None else done.unionByName(hits)
+        todo = without(todo, hits, keys)
+        legs_b = without(legs_b, hits, keys)
+
+
+def without(rows: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of entities that are not in `found`; null keys are equal."""
+    marked = null_safe_join(rows, found.select(*keys, F.lit(True).alias("__found")), keys, "left")
+    return marked.where(F.col("__found").isNull()).drop("__found")
 
 
 def offset_search(ref: DataFrame, sensor: DataFrame, by, idx: str, error, search: int | None = None) -> DataFrame:

@@ -313,7 +313,9 @@ def test_nearest_point(spark, mode, block, monkeypatch):
     same(rows_of(spatial.nearest_point(p, r, "id", place="place"), "seq", "near_place"), expected)
 
 
-def test_crossings_of_random_paths(spark, mode):
+@pytest.mark.parametrize("legs", [256, 3])
+def test_crossings_of_random_paths(spark, mode, legs, monkeypatch):
+    monkeypatch.setattr(spatial, "FIRST_LEGS", legs)
     rng = random.Random(12)
     walk = lambda n: [(1, t, rng.uniform(-500, 500) if t % 9 == 0 else rng.uniform(0, 40), rng.uniform(-60, 60)) for t in range(n)]
     a, b = walk(40), walk(40)
