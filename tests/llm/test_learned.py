@@ -6,7 +6,7 @@ import zlib
 import brute
 import corpus_pipeline
 import pytest
-from conftest import prose
+from oddities import prose
 from pyspark.sql import functions as F
 
 from roadlog.llm import simhash, toxicity
