@@ -16,8 +16,8 @@ from ..operators.ordered import Ordered
 MARK = "CreateTime"
 BODY_MARKS = {"Incoming BSM is not from Emergency Response Vehicle (ERV)": "<BasicSafetyMessage>", "Receive BSM": "<BasicSafetyMessage>"}
 NEEDED_MARKS = {"Successfully forwarded message to cloud via curl": "<BSMRequest>", "Forwarding message to cloud via curl": "<BSMRequest>"}
-REQUEST, PORTS = "Received: BSMRequest", "44444|44445|44446"
-RECEIVED, IGNORED, IDENTIFIED, SENT = f"{REQUEST} [v2xhub_port=", "IGNORE already Processed BSM", "FER-14", "FER-15"
+REQUEST, PORTS, PORT_FIELD, ADDRESSING = "Received: BSMRequest", "44444|44445|44446", "v2xhub_port", "to|V2xHub|port"
+RECEIVED, IGNORED, IDENTIFIED, SENT = f"{REQUEST} [{PORT_FIELD}=", "IGNORE already Processed BSM", "FER-14", "FER-15"
 
 
 def read_lines(spark: SparkSession, path, **options) -> DataFrame:
@@ -84,7 +84,7 @@ def _holding(mark: str):
 def item_log(lines: DataFrame, keep: list[str], text: str, keyword: str) -> DataFrame:
     """Lines containing a keyword, as name-value rows of their `;`-separated items.
 
-    An item is `k:v` or `a:k:v` (the first field is then a label); of the latter the words to, V2xHub and port are
+    An item is `k:v` or `a:k:v` (the first field is then a label); of the latter the words of `ADDRESSING` are
     taken out of the value, and a fourth field is the port where the item names one of the known ports. A received
     request yields its port and its id. Random suffixes after the last `_` of receiver names are removed.
     """
@@ -97,12 +97,12 @@ def item_log(lines: DataFrame, keep: list[str], text: str, keyword: str) -> Data
     n = F.size(fields)
     after = lambda mark: lambda x: F.element_at(F.split(x, mark), 2)
     commas = F.split(F.trim("__item"), ",")
-    ports = F.transform(F.filter(commas, _holding("v2xhub_port=")), after("v2xhub_port="))
-    ids = F.transform(F.filter(commas, lambda x: x.contains("id=") & ~x.contains("v2xhub_port=")), after("id="))
-    request = F.concat(F.transform(ports, lambda v: pair(F.lit("v2xhub_port"), v)), F.transform(ids, lambda v: pair(F.lit(REQUEST), v)))
+    ports = F.transform(F.filter(commas, _holding(f"{PORT_FIELD}=")), after(f"{PORT_FIELD}="))
+    ids = F.transform(F.filter(commas, lambda x: x.contains("id=") & ~x.contains(f"{PORT_FIELD}=")), after("id="))
+    request = F.concat(F.transform(ports, lambda v: pair(F.lit(PORT_FIELD), v)), F.transform(ids, lambda v: pair(F.lit(REQUEST), v)))
     plain = lambda c: F.replace(c, F.lit(" "), F.lit("_"))
     two = F.array(pair(plain(F.get(fields, F.lit(0))), F.get(fields, F.lit(1))))
-    worded = F.regexp_replace(F.get(fields, F.lit(2)), "to|V2xHub|port", "")
+    worded = F.regexp_replace(F.get(fields, F.lit(2)), ADDRESSING, "")
     three = F.array(pair(plain(F.get(fields, F.lit(1))), worded))
     port = F.when((n == 4) & F.col("__item").rlike(PORTS), F.array(pair(F.lit("port"), F.replace(F.get(fields, F.lit(3)), F.lit("!"), F.lit("")))))
     found = (F.when(F.col("__item").contains(RECEIVED), request).when(n == 2, two)
