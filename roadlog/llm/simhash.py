@@ -13,9 +13,10 @@ fingerprint has a block of 64 bits for each share of about `SHARE` shingles, dea
 at most, so documents that differ in fewer shingles than they have blocks share one; at most `BLOCKS` blocks are compared, which
 leaves a pair of similarity 0.8 without a common block about once in a thousand times from 150 words on. Documents that share a block
 are verified by the Hamming distance of a fingerprint of 2048 bits, whose expected share of differing bits is the angle of the sets;
-its standard deviation is 0.8 hundredths, or 0.02 of similarity. Up to `bucket` documents of a block are compared in pairs. In a larger
-group all are compared with the two that have the least and the greatest hash, in every block they share, so work stays linear
-in the documents; a member that is similar to neither in any block is compared in its smaller blocks only.
+its standard deviation is 0.8 hundredths, or 0.02 of similarity. Up to `bucket` documents of a block are joined in pairs. A larger
+group goes to tasks in pairs of pieces of about `PIECE` documents, so that every two of its documents meet in one; there they are searched
+from document to document, and those reached are not compared again, so a group of similar documents costs little more than its size.
+Blocks with the same documents are compared once.
 
 Cases: null and empty texts, like texts without words, have fingerprint zero and link with each other; fewer
 words than a shingle make one shingle; equal rows have equal classes; ids that are null never name a class unless all of
@@ -25,7 +26,7 @@ names that start with `__sim_` are taken.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -43,6 +44,7 @@ BUCKET = 64
 WIDE = 2048
 SHARE = 6
 BLOCKS = 32
+PIECE = 4096
 
 
 def shingles(text: str, size: int) -> list[bytes]:
@@ -192,24 +194,55 @@ def sketched(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: st
     return map_texts(id_text(docs, id_col, text_col), work, [field("fp", "long"), field("blocks", "long[]"), field("wide", "long[]")])
 
 
-def near(sketches: DataFrame, similarity: float = 0.8, bucket: int = 8) -> DataFrame:
-    """Linked pairs (a, b) of the distinct shingle sets of `sketches`, a written table as of `sketched`."""
+def spanning(n: int, alike: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
+    """Links that hold together what `alike` (a member, others: which of them it links with) does, each found from a member reached before."""
+    rest, out = np.arange(n), []
+    while len(rest):
+        reached, rest = [int(rest[0])], rest[1:]
+        while reached and len(rest):
+            at = reached.pop()
+            hit = alike(at, rest)
+            found = rest[hit].tolist()
+            out += [(at, x) for x in found]
+            reached += found
+            rest = rest[~hit]
+    return out
+
+
+def _met(similarity: float):
+    bound = differing(similarity)
+
+    def run(table: pa.Table) -> pa.Table:
+        fp = table.column("fp").to_numpy()
+        wide = table.column("wide").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(fp), -1)
+        found = spanning(len(fp), lambda at, rest: np.bitwise_count(wide[rest] ^ wide[at]).sum(axis=1, dtype=np.int32) <= bound)
+        ends = fp[np.array(found, np.int64).reshape(-1, 2)]
+        return pa.table({"a": ends.min(axis=1), "b": ends.max(axis=1)})
+    return run
+
+
+def near(sketches: DataFrame, similarity: float = 0.8, bucket: int = 8, piece: int = PIECE) -> DataFrame:
+    """Linked pairs (a, b) of the distinct shingle sets of `sketches`, a written table as of `sketched`, enough to hold every class together."""
     # one row for each set of shingles before anything is joined, so copies make no hot key
     sets = cut(sketches.groupBy("fp").agg(F.first("blocks").alias("blocks"), F.first("wide").alias("wide")))
     keyed = sets.select("fp", F.explode("blocks").alias("key"))
-    ends = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("low"), F.max("fp").alias("high")).filter("n > 1")
-    shared = cut(keyed.join(ends, "key"))
+    groups = keyed.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor("fp").alias("x"), F.bit_xor(F.xxhash64("fp")).alias("y")).filter("n > 1")
+    groups = groups.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", "n")       # one block of those with the same members
+    shared = cut(keyed.join(groups, "key"))
     few = shared.filter(F.col("n") <= bucket).select("key", "fp")
-    pairs = few.withColumnRenamed("fp", "a").join(few.withColumnRenamed("fp", "b"), "key").filter("a < b").select("a", "b")
-    ends = shared.filter(F.col("n") > bucket).select("fp", F.explode(F.array("low", "high")).alias("end")).filter("fp <> end")
-    pairs = pairs.unionByName(ends.select(F.least("fp", "end").alias("a"), F.greatest("fp", "end").alias("b"))).distinct()
+    pairs = few.withColumnRenamed("fp", "a").join(few.withColumnRenamed("fp", "b"), "key").filter("a < b").select("a", "b").distinct()
     known = cut(pairs)
     touched = known.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    wide = cut(sets.join(touched, "fp", "left_semi").select("fp", "wide"))      # written, so that joins can split a hot pivot
+    wide = cut(sets.join(touched, "fp", "left_semi").select("fp", "wide"))
     both = known.join(wide.select(F.col("fp").alias("a"), F.col("wide").alias("x")), "a").join(
         wide.select(F.col("fp").alias("b"), F.col("wide").alias("y")), "b")
     distance = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, v: s + v)
-    return both.filter(distance <= differing(similarity)).select("a", "b")
+    verified = both.filter(distance <= differing(similarity)).select("a", "b")
+    crowded = shared.filter(F.col("n") > bucket).withColumn("parts", F.ceil(F.col("n") / piece).cast("int"))
+    crowded = crowded.withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
+    dealt = crowded.filter("parts = 1 or mine <> other").select("key", F.least("mine", "other").alias("one"), F.greatest("mine", "other").alias("two"), "fp")
+    met = dealt.join(sets.select("fp", "wide"), "fp").groupBy("key", "one", "two").applyInArrow(_met(similarity), "a long, b long")
+    return verified.unionByName(met.distinct())
 
 
 def distinct(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 from oddities import prose
 from pyspark.sql import functions as F
 
-from roadlog.llm import simhash, toxicity
+from roadlog.llm import graph, simhash, toxicity
 from roadlog.llm.common import cut, load
 
 INSULTS = ["idiot", "moron", "scum", "trash"]
@@ -91,6 +91,25 @@ def test_near_copies(copies):
             assert len(similar) > 50 and len(found & similar) >= 0.95 * len(similar)
 
 
+@pytest.mark.parametrize("sizes", [{}, {"piece": 64}])
+def test_copies_of_one_text_that_differ_from_each_other(spark, sizes):
+    rng = random.Random(5)
+    base = prose(rng, 600)
+    base = [f"{w}{rng.randrange(100)}" for w in base]
+    rows = [(0, " ".join(base))]
+    for k in range(1, 301):
+        words = list(base)
+        for at in rng.sample(range(len(words)), 10):
+            words[at] = f"edit{rng.randrange(10 ** 9)}"
+        rows.append((k, " ".join(words)))
+    assert all(brute.jaccard(rows[0][1], t) >= 0.8 for _, t in rows) and brute.jaccard(rows[1][1], rows[2][1]) < 0.78
+    sketches = cut(simhash.sketched(spark.createDataFrame(rows, "doc_id long, text string")))
+    links = graph.components(cut(simhash.near(sketches, **sizes))).collect()
+    root = {r.node: r.root for r in links}
+    hub = simhash._set_id(simhash._hashes(rows[0][1], 5))
+    assert hub in root and sum(x == root[hub] for x in root.values()) >= 0.99 * len(rows)
+
+
 def test_one_of_each_group_stays(copies, odd, pairs):
     docs, rows = copies
     kept = [r.doc_id for r in simhash.distinct(docs).collect()]
