@@ -11,12 +11,16 @@ and at most 65 fingerprints meet in one entry, so this way is exact too and line
 `near` links documents whose shingle sets are similar (0.8 or more by default), which is too far for 64 bits: there, ten bits differ. Its
 fingerprint has a block of 64 bits for each share of about `SHARE` shingles, dealt by their hashes. A changed shingle spoils one block
 at most, so documents that differ in fewer shingles than they have blocks share one; at most `BLOCKS` blocks are compared, which
-leaves a pair of similarity 0.8 without a common block about once in a thousand times from 150 words on. Documents that share a block
-are verified by the Hamming distance of a fingerprint of 2048 bits, whose expected share of differing bits is the angle of the sets;
-its standard deviation is 0.8 hundredths, or 0.02 of similarity. Up to `bucket` documents of a block are joined in pairs. A larger
+leaves a pair of similarity 0.8 without a common block about once in a thousand times from 150 words on. Sets of up to `SHORT` shingles
+have too few blocks for that. Their keys are the first shingles in one order of all shingles, one more than a similar set may lack, so
+that two similar sets always share a key; shingles that are frequent in a sample of the sets come last in that order, which decides how
+many sets share a key but not which pairs meet. Sets beyond `SHORT` that a set of `SHORT` may be similar to have both kinds of keys.
+
+Two sets that carry their shingles, as 32-bit hashes, are verified exactly. Other documents that share a key are verified by the Hamming distance of a fingerprint of 2048 bits, whose expected share of differing bits is the angle of the sets;
+its standard deviation is 0.8 hundredths, or 0.02 of similarity. Up to `bucket` documents of a key are joined in pairs. A larger
 group goes to tasks in pairs of pieces of about `PIECE` documents, so that every two of its documents meet in one; there they are searched
 from document to document, and those reached are not compared again, so a group of similar documents costs little more than its size.
-Blocks with the same documents are compared once.
+Keys with the same documents are compared once.
 
 Cases: null and empty texts, like texts without words, have fingerprint zero and link with each other; fewer
 words than a shingle make one shingle; equal rows have equal classes; ids that are null never name a class unless all of
@@ -45,6 +49,8 @@ WIDE = 2048
 SHARE = 6
 BLOCKS = 32
 PIECE = 4096
+SHORT = 128
+SAMPLE = 20_000
 
 
 def shingles(text: str, size: int) -> list[bytes]:
@@ -131,15 +137,20 @@ def _set_id(hashes: np.ndarray) -> int:
 
 
 def _shares(n: float) -> int:
-    """Into how many shares the shingles of a document of n go: a power of two; below 9, one change is too many for any similarity of 0.8."""
-    return 1 if n < 9 else 1 << max(0, round(np.log2(n / SHARE)))
+    """Into how many shares the shingles of a document of n go: a power of two."""
+    return 1 << max(0, round(np.log2(n / SHARE)))
+
+
+def _longest(similarity: float) -> int:
+    """The most shingles that a set similar to one of `SHORT` may have."""
+    return int(SHORT / similarity + 1e-9)
 
 
 def block_keys(hashes: np.ndarray, similarity: float) -> list[int]:
-    """The blocks of a document as signed numbers, for each number of shares that a similar document may have."""
+    """The blocks of a document beyond `SHORT` as signed numbers, for each number of shares that a similar document may have."""
     out = []
     n = len(hashes)
-    for shares in sorted({_shares(n * similarity), _shares(n), _shares(n / similarity)}) if n else []:
+    for shares in sorted({_shares(n * similarity), _shares(n), _shares(n / similarity)}) if n > SHORT else []:
         share = (hashes >> np.uint64(20)) & np.uint64(shares - 1)
         mine = share < BLOCKS
         order = np.argsort(share[mine], kind="stable")
@@ -152,11 +163,19 @@ def block_keys(hashes: np.ndarray, similarity: float) -> list[int]:
         ones = np.add.reduceat(bits, start, axis=0, dtype=np.int32)
         blocks = np.packbits(2 * ones > size[:, None], axis=1)
         for number, block, count in zip(share[start].tolist(), blocks, size.tolist()):
-            if count >= 2 or shares == 1:
+            if count >= 2:
                 out.append(xxhash.xxh64_intdigest(block.tobytes() + bytes([shares.bit_length(), number]), SEED) - (1 << 63))
     return out
 
 
+def prefix_keys(few: np.ndarray, similarity: float, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first shingles of a set, rare ones before those of `common` (sorted, with counts): any set as similar has one of its first ones among them."""
+    at = np.minimum(np.searchsorted(common, few), max(len(common) - 1, 0))
+    frequency = np.where(common[at] == few, counts[at], 0) if len(common) else np.zeros(len(few), np.int64)
+    first = len(few) - int(np.ceil(similarity * len(few) - 1e-9)) + 1
+    return few[np.lexsort((few, frequency))[:first]].astype(np.int64)
+
+
 def wide_fingerprints(sets: list[np.ndarray]) -> np.ndarray:
     """Fingerprints of WIDE bits, rows of signed 64-bit numbers: the signs of random sums over the shingles.
 
@@ -173,7 +192,7 @@ def wide_fingerprints(sets: list[np.ndarray]) -> np.ndarray:
         x *= signs[k]
         half = 1
         while half < WIDE:
-            pair = x.reshape(len(x), -1, 2, half)
+            pair = x.reshape(len(x), WIDE // (2 * half), 2, half)
             x = np.stack([pair[:, :, 0] + pair[:, :, 1], pair[:, :, 0] - pair[:, :, 1]], axis=2).reshape(len(x), WIDE)
             half *= 2
     return np.packbits(x > 0, axis=1).view(">i8").astype(np.int64)
@@ -186,12 +205,43 @@ def differing(similarity: float) -> int:
 
 
 def sketched(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (the number of the shingle set), blocks and the wide fingerprint."""
+    """doc_id, fp (the number of the shingle set), blocks and the wide fingerprint of longer sets, the shingles of shorter ones."""
+    longest = _longest(similarity)
+
     def work(texts: list[str]) -> dict:
         sets = [_hashes(t, size) for t in texts]
-        return {"fp": [_set_id(h) for h in sets], "blocks": [block_keys(h, similarity) for h in sets], "wide": wide_fingerprints(sets).tolist()}
+        wide = iter(wide_fingerprints([h for h in sets if len(h) > SHORT]).tolist())
+        return {"fp": [_set_id(h) for h in sets], "blocks": [block_keys(h, similarity) for h in sets],
+                "wide": [next(wide) if len(h) > SHORT else None for h in sets],
+                "few": [np.unique(h.astype(np.uint32)).view(np.int32).tolist() if len(h) <= longest else None for h in sets]}
+
+    return map_texts(id_text(docs, id_col, text_col), work, [field("fp", "long"), field("blocks", "long[]"), field("wide", "long[]"), field("few", "int[]")])
+
 
-    return map_texts(id_text(docs, id_col, text_col), work, [field("fp", "long"), field("blocks", "long[]"), field("wide", "long[]")])
+def _common(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that are frequent in the sample of sets with the smallest number, sorted, and how often they are there."""
+    carried = sets.filter("few is not null")
+    n = carried.count()
+    share = min(1.0, SAMPLE / max(n, 1))
+    sample = carried if share == 1.0 else carried.filter(F.col("fp") < int(-(1 << 63) + share * (1 << 64)))
+    counted = sample.select(F.explode("few").alias("x")).groupBy("x").agg(F.count("*").alias("n")).filter("n > 4")
+    rows = counted.orderBy(F.desc("n"), "x").limit(100_000).toArrow().sort_by("x")
+    return rows.column("x").to_numpy(), rows.column("n").to_numpy()
+
+
+def _keyed(sets: DataFrame, similarity: float) -> DataFrame:
+    """fp and key of each block, and of each shingle in the prefix of a set that carries its shingles."""
+    common, counts = _common(sets)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in sliced(batch):
+                few = [np.array(x, np.int32) for x in part.column(1).to_pylist()]
+                keys = [prefix_keys(x, similarity, common, counts) if len(x) else np.zeros(0, np.int64) for x in few]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), [len(k) for k in keys])), pa.array(np.concatenate(keys))], ["fp", "key"])
+
+    prefixes = sets.filter("few is not null").select("fp", "few").mapInArrow(run, "fp long, key long")
+    return sets.select("fp", F.explode("blocks").alias("key")).unionByName(prefixes)
 
 
 def spanning(n: int, alike: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
@@ -209,14 +259,38 @@ def spanning(n: int, alike: Callable[[int, np.ndarray], np.ndarray]) -> list[tup
     return out
 
 
-def _met(similarity: float):
-    bound = differing(similarity)
+class _Alike:
+    """Which sets of a group are similar to one of them."""
+
+    def __init__(self, table: pa.Table, similarity: float):
+        self.similarity, self.bound = similarity, differing(similarity)
+        few, wide = table.column("few").combine_chunks(), table.column("wide").combine_chunks()
+        self.carries, self.broad = ~few.is_null().to_numpy(False), ~wide.is_null().to_numpy(False)
+        self.wide = np.zeros((len(table), WIDE // 64), np.uint64)
+        self.wide[self.broad] = wide.flatten().to_numpy().view(np.uint64).reshape(-1, WIDE // 64)
+        self.size = np.where(self.carries, few.value_lengths().fill_null(0).to_numpy(False), 0)
+        self.end = np.cumsum(self.size)
+        every, self.coded = np.unique(few.flatten().to_numpy(), return_inverse=True)
+        self.mark = np.zeros(len(every), bool)
+
+    def __call__(self, at: int, rest: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(rest), bool)
+        exact = self.carries[rest] if self.carries[at] else out
+        if exact.any():
+            self.mark[mine := self.coded[self.end[at] - self.size[at]:self.end[at]]] = True
+            hits = np.concatenate(([0], np.cumsum(self.mark[self.coded])))
+            self.mark[mine] = False
+            both = hits[self.end[rest]] - hits[self.end[rest] - self.size[rest]]
+            out = exact & (both >= self.similarity * (self.size[at] + self.size[rest] - both) - 1e-9)
+        if self.broad[at] and (other := self.broad[rest] & ~exact).any():
+            out[other] = np.bitwise_count(self.wide[rest[other]] ^ self.wide[at]).sum(axis=1, dtype=np.int32) <= self.bound
+        return out
+
 
+def _met(similarity: float):
     def run(table: pa.Table) -> pa.Table:
         fp = table.column("fp").to_numpy()
-        wide = table.column("wide").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(fp), -1)
-        found = spanning(len(fp), lambda at, rest: np.bitwise_count(wide[rest] ^ wide[at]).sum(axis=1, dtype=np.int32) <= bound)
-        ends = fp[np.array(found, np.int64).reshape(-1, 2)]
+        ends = fp[np.array(spanning(len(fp), _Alike(table, similarity)), np.int64).reshape(-1, 2)]
         return pa.table({"a": ends.min(axis=1), "b": ends.max(axis=1)})
     return run
 
@@ -224,24 +298,26 @@ def _met(similarity: float):
 def near(sketches: DataFrame, similarity: float = 0.8, bucket: int = 8, piece: int = PIECE) -> DataFrame:
     """Linked pairs (a, b) of the distinct shingle sets of `sketches`, a written table as of `sketched`, enough to hold every class together."""
     # one row for each set of shingles before anything is joined, so copies make no hot key
-    sets = cut(sketches.groupBy("fp").agg(F.first("blocks").alias("blocks"), F.first("wide").alias("wide")))
-    keyed = sets.select("fp", F.explode("blocks").alias("key"))
+    sets = cut(sketches.groupBy("fp").agg(*[F.first(c).alias(c) for c in ("blocks", "wide", "few")]))
+    keyed = cut(_keyed(sets, similarity))
     groups = keyed.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor("fp").alias("x"), F.bit_xor(F.xxhash64("fp")).alias("y")).filter("n > 1")
-    groups = groups.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", "n")       # one block of those with the same members
+    groups = groups.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", "n")       # one key of those with the same members
     shared = cut(keyed.join(groups, "key"))
     few = shared.filter(F.col("n") <= bucket).select("key", "fp")
     pairs = few.withColumnRenamed("fp", "a").join(few.withColumnRenamed("fp", "b"), "key").filter("a < b").select("a", "b").distinct()
     known = cut(pairs)
     touched = known.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    wide = cut(sets.join(touched, "fp", "left_semi").select("fp", "wide"))
-    both = known.join(wide.select(F.col("fp").alias("a"), F.col("wide").alias("x")), "a").join(
-        wide.select(F.col("fp").alias("b"), F.col("wide").alias("y")), "b")
+    held = cut(sets.join(touched, "fp", "left_semi").select("fp", "wide", "few"))
+    both = known.join(held.select(F.col("fp").alias("a"), F.col("wide").alias("x"), F.col("few").alias("s")), "a").join(
+        held.select(F.col("fp").alias("b"), F.col("wide").alias("y"), F.col("few").alias("t")), "b")
     distance = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, v: s + v)
-    verified = both.filter(distance <= differing(similarity)).select("a", "b")
+    common = F.size(F.array_intersect("s", "t"))
+    exact = common >= similarity * (F.size("s") + F.size("t") - common) - 1e-9
+    verified = both.filter(F.when(F.col("s").isNotNull() & F.col("t").isNotNull(), exact).otherwise(distance <= differing(similarity))).select("a", "b")
     crowded = shared.filter(F.col("n") > bucket).withColumn("parts", F.ceil(F.col("n") / piece).cast("int"))
     crowded = crowded.withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
     dealt = crowded.filter("parts = 1 or mine <> other").select("key", F.least("mine", "other").alias("one"), F.greatest("mine", "other").alias("two"), "fp")
-    met = dealt.join(sets.select("fp", "wide"), "fp").groupBy("key", "one", "two").applyInArrow(_met(similarity), "a long, b long")
+    met = dealt.join(sets.select("fp", "wide", "few"), "fp").groupBy("key", "one", "two").applyInArrow(_met(similarity), "a long, b long")
     return verified.unionByName(met.distinct())
 
 

@@ -110,6 +110,32 @@ def test_copies_of_one_text_that_differ_from_each_other(spark, sizes):
     assert hub in root and sum(x == root[hub] for x in root.values()) >= 0.99 * len(rows)
 
 
+@pytest.mark.parametrize("sizes", [{}, {"bucket": 1, "piece": 8}])
+def test_short_near_copies(spark, sizes):
+    """Short texts against themselves with words added, taken off and changed, also where all hold one passage: every pair, exactly."""
+    rng = random.Random(6)
+    passage, texts = [f"passage{k}" for k in range(6)], set()
+    for n in range(6, 41):
+        for g in range(2):
+            base = [f"{w}{rng.randrange(1000)}" for w in prose(rng, n)]
+            base = base[:-6] + passage if g and n > 12 else base
+            for more in range(1 + n // 4):
+                texts.add(" ".join(base + [f"more{rng.randrange(10 ** 9)}" for _ in range(more)]))
+                texts.add(" ".join([f"more{rng.randrange(10 ** 9)}" for _ in range(more)] + base))
+            words = list(base)
+            words[rng.randrange(n)] = "other"
+            texts.add(" ".join(words))
+    rows = list(enumerate(sorted(texts)))
+    sets = [set(brute.shingles(t, 5)) for _, t in rows]
+    similar = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    expected = brute.classes(rows, similar)
+    number = [simhash._set_id(simhash._hashes(t, 5)) for _, t in rows]
+    sketches = cut(simhash.sketched(spark.createDataFrame(rows, "doc_id long, text string")))
+    named = simhash._named(sketches.select("doc_id", "fp"), simhash.near(sketches, **sizes)).collect()
+    assert {r.doc_id: r.component_id for r in named} == dict(enumerate(expected))
+    assert len(set(number)) == len(rows) > len(set(expected)) + 500
+
+
 def test_one_of_each_group_stays(copies, odd, pairs):
     docs, rows = copies
     kept = [r.doc_id for r in simhash.distinct(docs).collect()]
