@@ -11,7 +11,8 @@ the driver nor a task holds more than one block; the hits of earlier blocks trav
 
 Cases: null and empty texts have no words and are clean; a null item id is kept as a null that no list
 shows; an item without words matches nothing; repeated items count once per id; empty tables give empty
-or all-clean results; only the named columns are read, the others are passed through by `clean` as they are.
+or all-clean results; only the named columns are read, the others are passed through by `clean` as they are; names that
+start with `__leak_` are taken.
 """
 
 from __future__ import annotations
@@ -198,32 +199,42 @@ def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_coverage:
           item_id: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """The documents without the spans found in test items; those covered beyond `max_coverage` go whole.
 
-    Each block of items cuts its own spans and judges coverage against the words the document then has.
+    The spans of all blocks of items are found in the text as it is; the last pass cuts them and judges coverage once.
     Documents without a hit keep their text as it is.
     """
     kind = docs.schema
     at = kind.fieldNames().index(text_col)
+    marked = T.StructType([*kind, field("__leak_starts", "int[]"), field("__leak_ends", "int[]")])
+    first = True
     for block, final in item_blocks(items, item_id, item_text, block_words):
-        docs = docs.mapInArrow(_cutter(block, window, max_coverage, at), kind)
+        docs = docs.mapInArrow(_cutter(block, window, max_coverage, at, len(kind), first, final), kind if final else marked)
         docs = docs if final else cut(docs)
+        first = False
     return docs
 
 
-def _cutter(block: list[tuple[str, list[bytes]]], window: int, max_coverage: float, at: int):
+def _cutter(block: list[tuple[str, list[bytes]]], window: int, max_coverage: float, at: int, width: int, first: bool, final: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = Automaton(block, window)
         for batch in batches:
             for part in sliced(batch):
-                texts, keep = part.column(at).to_pylist(), []
-                for k, text in enumerate(texts):
+                texts, keep, spans = part.column(at).to_pylist(), [], []
+                known = repeat(([], [])) if first else zip(*[part.column(c).to_pylist() for c in (width, width + 1)])
+                for k, (text, (s, e)) in enumerate(zip(texts, known)):
                     ws = words(text or "")
                     found = automaton.match(ws, set())
-                    covered = sum(e - s for s, e in found)
-                    keep.append(covered <= max_coverage * len(ws))
-                    if found:
-                        texts[k] = without(text, found)
-                columns = [*part.columns[:at], pa.array(texts, part.schema.field(at).type), *part.columns[at + 1:]]
-                yield pa.RecordBatch.from_arrays(columns, schema=part.schema).filter(pa.array(keep, pa.bool_()))
+                    whole = merged([*zip(s, e), *found]) if s else found
+                    spans.append(whole)
+                    if final:
+                        keep.append(sum(e - s for s, e in whole) <= max_coverage * len(ws))
+                        if whole:
+                            texts[k] = without(text, whole)
+                if final:
+                    columns = [*part.columns[:at], pa.array(texts, part.schema.field(at).type), *part.columns[at + 1:width]]
+                    yield pa.RecordBatch.from_arrays(columns, names=part.schema.names[:width]).filter(pa.array(keep, pa.bool_()))
+                else:
+                    hits = [pa.array([[x[k] for x in whole] for whole in spans], pa.list_(pa.int32())) for k in (0, 1)]
+                    yield pa.RecordBatch.from_arrays([*part.columns[:width], *hits], names=[*part.schema.names[:width], "__leak_starts", "__leak_ends"])
     return run
 
 

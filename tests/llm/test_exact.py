@@ -114,6 +114,23 @@ def test_leaks(spark, odd, pairs, same, block_words):
     assert not [r for r in decontaminate.spans(odd, empty).collect() if r.starts]
 
 
+def test_blocks_of_items_cut_as_one(spark):
+    rng = random.Random(8)
+    ws = [f"w{k}" for k in range(100)]
+    items = [("a", " ".join(ws[:35])), ("b", " ".join(ws[40:70])), ("c", " ".join(ws[60:75])), ("d", " ".join(ws[30:36] + ws[71:80])), ("e", "x y z"), ("f", "")]
+    texts = [" ".join(ws), " ".join(ws[:35] + ws[80:] * 3), " ".join(ws[25:85] + ws[85:] * 6), "a x y z, b", "nothing", None, ""]
+    texts += [" ".join(ws[rng.randrange(40):rng.randrange(41, 100)] + ws[85:] * rng.randrange(6)) for _ in range(40)]
+    docs = spark.createDataFrame([(n, k, t, "é") for k, (n, t) in enumerate(enumerate(texts))], "doc_id long, n long, text string, lang string")
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    one = decontaminate.clean(docs, bench)
+    expected = sorted(map(str, one.collect()))
+    assert 1 < len(expected) < len(texts)
+    for block_words in (20, 40):
+        many = decontaminate.clean(docs, bench, block_words=block_words)
+        assert many.schema == docs.schema and sorted(map(str, many.collect())) == expected
+    assert 0 not in {r.doc_id for r in one.collect()}
+
+
 def test_media(odd, pairs, same):
     got = mjpeg.described(odd).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32").collect()
     expected = []
