@@ -1,7 +1,8 @@
 """Secrets in texts: fixed patterns, and strings in a sensitive context that a primed compressor cannot shorten.
 
 The fixed patterns are assignments to secret names, access keys and long hexadecimal strings. Beyond them, every string
-of mixed letters and digits after a sensitive word is a candidate. Its novelty is what it adds, in bytes
+of mixed letters and digits after a sensitive word is a candidate, whole however long it is, and so are strings that follow a candidate
+directly, over a dot or a line break, as in web tokens and key files. Its novelty is what it adds, in bytes
 per character, to the zstandard size of the text around it, with a compressor primed with the identifiers that the corpus
 uses most. A copied name or ordinary word costs next to nothing, a random string nearly its full information.
 
@@ -25,6 +26,7 @@ from roadlog.llm.common import field, id_text, map_texts, masked, rewritten
 
 DICTIONARY = 4096
 NOVELTY = 0.7
+CONTINUED = 0.8     # a string that follows a novel one directly needs this share of the novelty
 BEFORE, AFTER, REACH = 160, 80, 40
 
 # fixed values: the patterns of secrets, and the least lengths of what they find
@@ -38,7 +40,11 @@ _SIGNS = [b"passw", b"secret", b"token", b"api"]
 
 _SENSITIVE = re.compile(r"(?<![a-z])(?:pass(?:word|wd|phrase|code)?|pwd|secrets?|tokens?|api|keys?|apikey|auth|authorization|bearer|credentials?|creds|"
                         r"private|signature|salt|cookie|session|webhook|jwt|ssh|rsa)(?![a-z])", re.ASCII | re.IGNORECASE)
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
+LEAST = 12
+_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST)
+_LINE = r"[\x20\t]*(?:\r?\n|\\r|\\n)+[\x20\t]*"
+_STEP = re.compile(rf"(?:\.|{_LINE})(?=[A-Za-z0-9+/_=-]{{{LEAST}}})")
+_TAIL = re.compile(rf"{_LINE}([A-Za-z0-9+/=]+)(?={_LINE}-----END)")       # the last line of a key file
 IDENTIFIER = r"[A-Za-z_][A-Za-z0-9_]{2,39}(?=\x20{0,2}[=:(\[{])"
 
 
@@ -70,18 +76,25 @@ class Novelty:
 
     def spans(self, text: str, known: list[tuple[int, int, str]], least: float) -> list[tuple[int, int, float]]:
         out = []
-        reach = 0
+        reach, follows = 0, -1
         for word in _SENSITIVE.finditer(text):
-            for m in _CANDIDATE.finditer(text, max(reach, word.end()), min(len(text), word.end() + REACH + 512)):
-                if m.start() - word.end() > REACH:
-                    break
+            reach, last = max(reach, word.end()), word.end() + REACH
+            while reach <= last and (near := _CANDIDATE.search(text, reach, min(len(text), last + LEAST))):
+                m = _CANDIDATE.match(text, near.start())        # to its end, however far that is
                 reach = m.end()
                 string = m[0]
                 mixed = any(c.isdigit() for c in string) and any(c.isalpha() for c in string)
+                enough = CONTINUED * least if m.start() == follows else least
+                if mixed and (step := _STEP.match(text, reach)):
+                    last = max(last, step.end())
                 if mixed and not any(s < m.end() and m.start() < e for s, e, _ in known):
                     novelty = self.of(text, m.start(), m.end())
-                    if novelty >= least:
+                    if novelty >= enough:
                         out.append((m.start(), m.end(), novelty))
+                        follows = step.end() if (step := _STEP.match(text, reach)) else -1
+                        if tail := _TAIL.match(text, reach):
+                            out.append((*tail.span(1), novelty))
+                            reach = tail.end()
         return out
 
 
