@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadlog.llm import decontaminate, lines, lm, mixing, mjpeg, pii, rlz, secrets, simhash, toxicity
-from roadlog.llm.common import load
+from roadlog import session
+from roadlog.llm import decontaminate, divergence, exact, lines, lm, mixing, mjpeg, pii, rlz, search, secrets, simhash, toxicity
+from roadlog.llm.common import cut, load
 
 QUERIES: dict[str, object] = {}
 ORACLES: dict[str, str] = {}
@@ -178,3 +181,62 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = lm.score(load(spark, sf_dir, "documents"), target)
     rounded = [(F.round(F.col(c) + 1e-9, 6) + F.lit(0.0)).alias(c) for c in ("loss_target", "loss_background", "score")]
     return scored.select("doc_id", "n_words", *rounded)
+
+
+AUDIT_SQL = r"""WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+ regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+t AS (SELECT r, lang, source, unnest(ws) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS lang_n FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 10),
+c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN k USING (lang, term) GROUP BY lang, source, term),
+g AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT lang, count(*) AS words, sum(lang_n) AS lang_n FROM k GROUP BY lang),
+s AS (SELECT lang, source, sum(n) AS n FROM c GROUP BY lang, source),
+a AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // (coalesce(s.n, 0) + 2 * v.words) AS p,
+ 1 + (1000000000::HUGEINT * (k.lang_n + 2)) // (v.lang_n + 2 * v.words) AS q
+ FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+ LEFT JOIN s ON s.lang = g.lang AND s.source = g.source),
+e AS (SELECT x.lang, x.source, y.source AS item, sum(((x.p - y.p) * (x.p - y.p)) // (x.p + y.p)) AS value
+ FROM a x JOIN a y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY x.lang, x.source, y.source),
+u AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(e.value, 0) AS value
+ FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN e ON e.lang = x.lang AND e.source = x.source AND e.item = y.source
+ UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q)) // (p + q) FROM a WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM u) WHERE part = 'pair' OR rank <= 10"""
+
+
+@query("op11_divergence", AUDIT_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(load(spark, sf_dir, "documents"))
+
+
+COPY_SQL = r"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, length(coalesce(text, '')) AS n, hash(coalesce(text, '')) AS h,
+ sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS k FROM documents),
+p AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY n DESC, doc_id NULLS LAST, h) AS place FROM d)
+SELECT doc_id, first_value(doc_id) OVER (PARTITION BY k ORDER BY place) AS keep_id, count(*) OVER (PARTITION BY k) AS group_size, place = 1 AS kept,
+ k AS text_sha256 FROM p"""
+
+
+@query("op12_exact", COPY_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = cut(exact.digested(load(spark, sf_dir, "documents")))
+    path = session.written(spark, f"{session.shared_dir(spark)}/index-{uuid.uuid4().hex}")
+    decided = exact.DigestIndex.create(spark, path, rows.count()).absorb(rows, "documents")
+    return decided.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+SEARCH_SQL = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS ws FROM documents),
+c AS (SELECT count(*) AS docs, sum(len(ws)) AS length FROM d WHERE len(ws) > 0),
+t AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(ws) AS term FROM d) GROUP BY r, term),
+i AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+w AS (SELECT term, count(*) AS df FROM t GROUP BY term),
+x AS (SELECT item_id, d.r, d.doc_id, sum(CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1)::DOUBLE)) AS BIGINT)
+ * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * len(ws) * docs) // length)))) AS score
+ FROM i JOIN w USING (term) JOIN t USING (term) JOIN d USING (r) CROSS JOIN c GROUP BY item_id, d.r, d.doc_id)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, CAST(score AS BIGINT) AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM x WHERE score > 0) WHERE rank <= 10"""
+
+
+@query("op13_search", SEARCH_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))

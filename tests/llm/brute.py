@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -179,3 +180,71 @@ def cross_entropy(rows, marked, words=ITEM_WORD):
             losses.append(float(-np.log(p).mean()) if ws else 0.0)
         out.append((name, len(ws), *losses, losses[1] - losses[0]))
     return out
+
+
+LETTERS = re.compile("[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
+TERM = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
+
+
+def audit(rows, least_docs=10, top=10):
+    """rows: (text, lang, source)."""
+    held, df = defaultdict(Counter), Counter()
+    groups = sorted({(lang or "", source or "") for _, lang, source in rows})
+    for text, lang, source in rows:
+        ws = LETTERS.findall((text or "").translate(LOWER))
+        held[lang or "", source or ""].update(ws)
+        df.update((lang or "", w) for w in set(ws))
+    out = []
+    shares = {}
+    for lang, source in groups:
+        kept = sorted(w for x, w in df if x == lang and df[x, w] >= least_docs)
+        every = Counter()
+        for g in groups:
+            if g[0] == lang:
+                every.update(held[g])
+        for name, counts in (((lang, source), held[lang, source]), ((lang, None), every)):
+            total = sum(counts[w] for w in kept) + 2 * len(kept)
+            shares[name] = {w: 1 + 10 ** 9 * (counts[w] + 2) // total for w in kept}
+    gap = lambda p, q: (p - q) ** 2 // (p + q)
+    for lang, source in groups:
+        mine, every = shares[lang, source], shares[lang, None]
+        pairs = [(t, sum(gap(mine[w], shares[lang, t][w]) for w in mine)) for x, t in groups if x == lang and t != source]
+        terms = [(w, gap(mine[w], every[w])) for w in mine if held[lang, source][w] and mine[w] > every[w]]
+        for part, found in (("pair", pairs), ("term", terms)):
+            ranked = sorted(found, key=lambda x: (-x[1], x[0].encode()))
+            out += [(lang, source, part, item, value, k) for k, (item, value) in enumerate(ranked[:top] if part == "term" else ranked, 1)]
+    return out
+
+
+def copies(rows):
+    """(doc_id, keep_id, group_size, kept, digest) of (doc_id, text)."""
+    groups = defaultdict(list)
+    for k, (name, text) in enumerate(rows):
+        groups[re.sub("[\x20\x09-\x0d]", "", text or "")].append((-len(text or ""), name is None, name or 0, k))
+    out = [None] * len(rows)
+    for text, members in groups.items():
+        best = min(members)
+        for m in members:
+            out[m[3]] = (rows[m[3]][0], None if best[1] else best[2], len(members), m == best, sha(text))
+    return out
+
+
+def search(docs, items, top=10):
+    """(item_id, rank, doc_id, score) of documents (doc_id, text) and items (item_id, text)."""
+    counted = [(name, Counter(TERM.findall((text or "").translate(LOWER)))) for name, text in docs]
+    counted = [(name, c) for name, c in counted if c]
+    n, length = len(counted), sum(sum(c.values()) for _, c in counted)
+    df = Counter(t for _, c in counted for t in c)
+    asked = defaultdict(set)
+    for item, text in items:
+        asked[item] |= set(TERM.findall((text or "").translate(LOWER)))
+    out = []
+    for item, terms in asked.items():
+        scored = []
+        for name, c in counted:
+            m = 10 + 90 * sum(c.values()) * n // length
+            score = sum(int(1000 * math.log((2 * n + 2) / (2 * df[t] + 1))) * (10 ** 9 * c[t] // (1000 * c[t] + 8 * m)) for t in terms if c[t])
+            if score > 0:
+                scored.append((-score, name is None, name))
+        out += [(item, k, name, -score) for k, (score, _, name) in enumerate(sorted(scored, key=lambda x: (x[0], x[1], x[2] or 0))[:top], 1)]
+    return out
