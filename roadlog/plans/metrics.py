@@ -1,8 +1,9 @@
 """Declarative pass/fail metrics over typed topic views, and the scorecard made of them.
 
 A view is a DataFrame with run_id, t (ns), seq and the fields of one topic. The runs are a manifest: a row per
-run with its parameters, which conditions may name. Anchors are named times of a run. A metric names a rule of `rules` with its parameters; conditions are SQL expressions over the
-view's columns. All runs are evaluated in one job; a run without the needed rows is not_evaluated.
+run with its parameters, which conditions may name. Anchors are named times of a run. A metric names a rule of `rules` with its
+parameters; conditions are SQL expressions over the view's columns. All runs and all metrics, of one use case or of several,
+are evaluated in one pass (see `passes`); a run without the needed rows is not_evaluated.
 """
 
 from __future__ import annotations
@@ -11,27 +12,36 @@ import re
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import intervals
 from ..operators.ordered import planned
 from ..session import cut
-from . import rules
+from . import passes, rules
+from .passes import AT, RUN, S, SEQ, SIDE, T
 
-S = 1_000_000_000
+VIEW_PARAMETERS = ("view", "place_view", "other_view", "acks", "calls", "responses")
 
 
 @dataclass(frozen=True)
 class Anchor:
-    """A named time: the first or last row that meets `where` (after another anchor), or the time at
-    which the first stretch of such rows is left."""
+    """A named time of a run.
+
+    first, last: of the rows that meet `where` (later than the anchor `after`). leave: when the first stretch of such rows
+    is left. switch: the first row whose level `where` is another than that of the first row (from `after` on). moves: the first
+    `k` rises (`sign` 1) or falls in a row of the value `where` between `after` and `until`; `at` picks the row before them
+    (base), the first of them (start) or the last that is needed (kth).
+    """
 
     name: str
     kind: str
     view: str
     where: str
     after: str | None = None
+    until: str | None = None
+    k: int = 1
+    sign: int = 1
+    at: str = "base"
 
 
 @dataclass(frozen=True)
@@ -53,86 +63,194 @@ class UseCase:
     metrics: tuple[Metric, ...]
 
 
-def anchor_times(anchors, views: dict[str, DataFrame], runs: DataFrame) -> DataFrame:
-    """One row per run with a column per anchor (null when it never happened)."""
-    out = runs.dropDuplicates(["run_id"])
-    pick = {"first": F.min, "last": F.max}
-    waiting = list(anchors)
-    while waiting:
-        a = waiting[0]
-        # free first and last anchors of one view are taken in one pass
-        batch = [b for b in waiting if b.view == a.view and b.kind in pick and not b.after] if a.kind in pick and not a.after else [a]
-        waiting = [b for b in waiting if b not in batch]
-        rows = views[a.view]
-        if a.after:
-            rows = rows.join(out.select("run_id", F.col(a.after).alias("__after")), "run_id").where(F.col("t") > F.col("__after"))
-        if a.kind == "leave":
-            spans = intervals.state_intervals(rows, "run_id", "t", "seq", F.expr(a.where)).where("seq = 1")
-            found = spans.select("run_id", F.col("end").alias(a.name))
-        else:
-            found = rows.groupBy("run_id").agg(*[pick[b.kind](F.when(F.expr(b.where), F.col("t"))).alias(b.name) for b in batch])
-        out = out.join(found, "run_id", "left")
-    return out
-
-
 def named_in(use_case: UseCase, view: str, parameters) -> list[str]:
     """The run parameters that conditions and values over a view name."""
     texts = [a.where for a in use_case.anchors if a.view == view]
     for m in use_case.metrics:
-        if view in [m.params.get(p) for p in ("view", "place_view", "acks", "calls", "responses")]:
+        if view in [m.params.get(p) for p in VIEW_PARAMETERS]:
             texts += [x for x in m.params.values() if isinstance(x, str)]
     words = {w for text in texts for w in re.findall(r"\w+", text)}
     return [p for p in parameters if p in words]
 
 
-def with_parameters(use_case: UseCase, views: dict[str, DataFrame], runs: DataFrame) -> dict[str, DataFrame]:
-    """The views a use case reads, those whose conditions need it with parameters of the run."""
-    parameters = [c for c in runs.columns if c != "run_id"]
+def with_parameters(use_cases, views: dict[str, DataFrame], runs: DataFrame) -> dict[str, DataFrame]:
+    """The views the use cases read, those whose conditions need it with parameters of the run."""
+    parameters = [c for c in runs.columns if c != RUN]
     out = {}
-    for name in views_of(use_case):
-        needed = [p for p in named_in(use_case, name, parameters) if p not in views[name].columns]
-        out[name] = views[name].join(runs.select("run_id", *needed), "run_id") if needed else views[name]
+    for name in sorted(set().union(*[views_of(u) for u in use_cases])):
+        needed = [p for p in parameters if p not in views[name].columns and any(p in named_in(u, name, parameters) for u in use_cases)]
+        out[name] = views[name].join(runs.select(RUN, *needed), RUN) if needed else views[name]
     return out
 
 
 def views_of(use_case: UseCase) -> set[str]:
     """Names of the views a use case reads."""
-    named = ("view", "place_view", "acks", "calls", "responses")
-    return {a.view for a in use_case.anchors} | {m.params[p] for m in use_case.metrics for p in named if p in m.params}
+    return {a.view for a in use_case.anchors} | {m.params[p] for m in use_case.metrics for p in VIEW_PARAMETERS if p in m.params}
+
+
+class Scope:
+    """What the rules of one use case see: its anchors, conditions over views, steps over the order and cells per run."""
+
+    def __init__(self, sheet: Sheet, use_case: UseCase, steps: passes.Steps):
+        self.sheet, self.book, self.steps = sheet, sheet.book, steps
+        self.anchors = {a.name: sheet.anchor(a, use_case) for a in use_case.anchors}
+
+    def anchor(self, name: str) -> Column:
+        return F.col(self.anchors[name])
+
+    def column(self, view: str, text: str) -> Column:
+        return self.book.column(view, text)
+
+    def on(self, view: str, where: str | None = None, window: tuple | None = None, side: int = 1) -> Column:
+        """Whether a row is one of the view, meets the condition and lies in the window of anchors."""
+        begin, finish, margins = (None, None, (0, 0)) if not window else (*window[:2], window[2:] or (0, 0))
+        return self.sheet.flag(selected(self.book, view, where, self.anchors.get(begin), self.anchors.get(finish), margins, side))
+
+    def agg(self, column: Column) -> Column:
+        """A cell of the run: an aggregate over its rows."""
+        return self.sheet.cell(column)
+
+
+def selected(book: passes.Book, view: str, where: str | None, begin: str | None, finish: str | None, margins=(0, 0), side: int = 1,
+             strict: bool = False) -> str:
+    """The test of a row for being one of the view, meeting the condition and lying between two anchors."""
+    book.use(view)
+    tests = [f"v_{view} IS NOT NULL", f"{SIDE} = {side}"]
+    if where:
+        tests.append(f"coalesce({book.name(view, where)}, false)")
+    if begin:
+        tests.append(f"coalesce({AT} {'>' if strict else '>='} {begin} + {int(margins[0] * S)}, false)")
+    if finish:
+        tests.append(f"coalesce({AT} <= {finish} - {int(margins[1] * S)}, false)")
+    return " AND ".join(tests)
+
+
+class Sheet:
+    """The anchors and cells of all use cases of an evaluation; equal ones are there once."""
+
+    def __init__(self) -> None:
+        self.book = passes.Book()
+        self.found: dict[tuple, str] = {}
+        self.levels: dict[str, int] = {}
+        self.makers: dict[str, tuple] = {}
+        self.cells: dict[str, tuple[str, Column]] = {}
+        self.flags: dict[str, str] = {}
+
+    def anchor(self, a: Anchor, use_case: UseCase) -> str:
+        """The column of an anchor."""
+        others = {b.name: b for b in use_case.anchors}
+        after, until = (self.anchor(others[n], use_case) if n else None for n in (a.after, a.until))
+        key = (a.kind, a.view, a.where, after, until, a.k, a.sign, a.at)
+        if key not in self.found:
+            name = self.found[key] = f"__a{len(self.found)}"
+            self.levels[name] = max([1 + self.levels[n] for n in (after, until) if n], default=0)
+            self.makers[name] = (a, after, until)
+            self.book.use(a.view)
+            self.book.column(a.view, a.where)
+        return self.found[key]
+
+    def flag(self, test: str) -> Column:
+        """A test of a row as a column."""
+        return F.col(self.flags.setdefault(test, f"__f{len(self.flags)}"))
+
+    def cell(self, column: Column) -> Column:
+        name, _ = self.cells.setdefault(str(column), (f"__g{len(self.cells)}", column))
+        return F.col(name)
+
+    def anchored(self, o):
+        """The rows with all anchors as columns."""
+        for level in sorted(set(self.levels.values())):
+            steps = passes.Steps(f"l{level}")
+            made = {n: _anchor(self.book, steps, *self.makers[n]) for n in self.levels if self.levels[n] == level}
+            o = passes.of_run(steps.apply(o), made).map(lambda df: df.drop(*steps.names()))
+        return o
+
+
+def _anchor(book: passes.Book, steps: passes.Steps, a: Anchor, after: str | None, until: str | None):
+    """The anchor as a function of a wrapper of aggregates."""
+    at = F.col(AT)
+    if a.kind in ("first", "last"):
+        hit = F.when(F.expr(selected(book, a.view, a.where, after, until, strict=True)), at)
+        return (lambda over: over(F.min(hit))) if a.kind == "first" else (lambda over: over(F.max(hit)))
+    rows = F.expr(selected(book, a.view, None, after, until, strict=a.kind == "leave"))
+    value = book.column(a.view, a.where)
+    if a.kind == "leave":
+        holds = F.coalesce(value.cast("boolean"), F.lit(False))
+        seen = steps.running("max", F.when(rows & holds, 1))
+        left, last = F.when(rows & ~holds & (seen == 1), at), F.when(rows & holds, at)
+        return lambda over: F.coalesce(over(F.min(left)), over(F.max(last)))
+    if a.kind == "switch":
+        rows = rows & value.isNotNull()
+        was = steps.before(steps.running("last", F.when(rows, F.struct(value.alias("x")))))
+        other = F.when(rows & (was["x"] != value), at)
+        return lambda over: over(F.min(other))
+    if a.kind == "moves":
+        moves = rules.Moves(steps, rows, value, a.sign)
+        hit = F.when(moves.hit(a.k), {"base": moves.base, "start": moves.start, "kth": lambda: at}[a.at]())
+        order = F.when(moves.hit(a.k), F.struct(T, SEQ))
+        return lambda over: over(F.min_by(hit, order))
+    raise ValueError(f"no anchor is of kind {a.kind}")
+
+
+def anchor_times(anchors, views: dict[str, DataFrame], runs: DataFrame) -> DataFrame:
+    """One row per run with a column per anchor (null when it never happened)."""
+    sheet, use_case = Sheet(), UseCase("anchors", tuple(anchors), ())
+    names = {a.name: sheet.anchor(a, use_case) for a in anchors}
+    rows = passes.tagged(sheet.book, with_parameters([use_case], views, runs))
+    o = sheet.anchored(passes.timeline(rows, set()))
+    found = o.df.groupBy(RUN).agg(*[F.first(c, ignorenulls=True).alias(n) for n, c in names.items()])
+    return runs.dropDuplicates([RUN]).join(found, RUN, "left")
 
 
 def evaluate(use_case: UseCase, views: dict[str, DataFrame], runs: DataFrame) -> DataFrame:
     """use_case, run_id, metric_id, value, verdict for every run and metric.
 
-    `runs` has one row per run and a column per parameter that the use case names. Anchors (one row per run) are written out once and shared by all metrics. Counting metrics of the
-    same view and window are taken in one pass.
+    `runs` has one row per run and a column per parameter that the use case names.
     """
-    views = with_parameters(use_case, views, runs)
-    with planned(lambda: reduce(DataFrame.unionByName, [v.select("run_id", "t") for v in views.values()]), "run_id", "t"):
-        return _evaluated(use_case, views, runs)
-
-
-def _evaluated(use_case: UseCase, views: dict[str, DataFrame], runs: DataFrame) -> DataFrame:
-    scope = rules.Scope(views, cut(anchor_times(use_case.anchors, views, runs)))
-    batches: dict[tuple, list[Metric]] = {}
+    return evaluate_all([use_case], views, runs)
+
+
+def evaluate_all(use_cases, views: dict[str, DataFrame], runs: DataFrame) -> DataFrame:
+    """The verdicts of several use cases over the same runs; every view is read once."""
+    runs = cut(runs.dropDuplicates([RUN]))
+    sheet, steps = Sheet(), passes.Steps("m")
+    judged, own = [], []
+    for u in use_cases:
+        scope = Scope(sheet, u, steps)
+        for m in u.metrics:
+            if m.rule in rules.APART:
+                own.append((u, m, scope, rules.APART[m.rule](scope, **m.params)))
+            else:
+                judged.append((u, m, *rules.PASS[m.rule](scope, **m.params)))
+    rows = passes.tagged(sheet.book, with_parameters(use_cases, views, runs))
+    o = sheet.anchored(passes.timeline(rows, sheet.book.probed))
+    o = steps.apply(o.with_columns(**{name: F.expr(test) for test, name in sheet.flags.items()}))
+    cells = [column.alias(name) for name, column in sheet.cells.values()]
+    per_run = o.df.groupBy(RUN).agg(*[F.first(n, ignorenulls=True).alias(n) for n in sheet.levels], *cells, F.lit(True).alias("__any"))
+    if own:
+        per_run = cut(per_run)
     results = []
-    for m in use_case.metrics:
-        if m.rule in rules.COUNTING:
-            batches.setdefault((m.params["view"], m.params.get("window")), []).append(m)
-        else:
-            found = getattr(rules, m.rule)(scope, **m.params)
-            results.append(found.select("run_id", F.lit(m.id).alias("metric_id"), F.col("value").cast("double").alias("value"), "passed"))
-    results += [rules.counted(scope, view, window, batch) for (view, window), batch in batches.items()]
-    every = reduce(DataFrame.unionByName, results)
-    wanted = scope.anchors.select("run_id", F.explode(F.array(*[F.lit(m.id) for m in use_case.metrics])).alias("metric_id"))
+    if judged:
+        every = F.array(*[_row(u, m, value, passed) for u, m, value, passed in judged])
+        results.append(runs.join(per_run, RUN).select(RUN, F.inline(every)))
+    with planned(lambda: rows.select(RUN, T), RUN, T):
+        for u, m, scope, rule in own:
+            found = rule(rules.Reader(rows, per_run, scope), runs)
+            results.append(found.select(RUN, F.lit(u.name).alias("use_case"), F.lit(m.id).alias("metric_id"), F.col("value").cast("double").alias("value"), "passed"))
+    ids = F.array(*[F.struct(F.lit(u.name).alias("use_case"), F.lit(m.id).alias("metric_id")) for u in use_cases for m in u.metrics])
+    wanted = runs.select(RUN, F.inline(ids))
+    joined = wanted.join(reduce(DataFrame.unionByName, results), [RUN, "use_case", "metric_id"], "left")
     verdict = F.when(F.col("passed").isNull(), "not_evaluated").when(F.col("passed"), "passed").otherwise("failed")
-    joined = wanted.join(every, ["run_id", "metric_id"], "left")
-    return joined.select(F.lit(use_case.name).alias("use_case"), "run_id", "metric_id", "value", verdict.alias("verdict"))
+    return joined.select("use_case", RUN, "metric_id", "value", verdict.alias("verdict"))
+
+
+def _row(u: UseCase, m: Metric, value: Column, passed: Column) -> Column:
+    return F.struct(F.lit(u.name).alias("use_case"), F.lit(m.id).alias("metric_id"), value.cast("double").alias("value"), passed.alias("passed"))
 
 
 def scorecard(results: DataFrame, metric_ids: list[str]) -> DataFrame:
     """One row per run and one verdict column per metric."""
-    return results.groupBy("use_case", "run_id").pivot("metric_id", metric_ids).agg(F.first("verdict"))
+    return results.groupBy("use_case", RUN).pivot("metric_id", metric_ids).agg(F.first("verdict"))
 
 
 def summary(results: DataFrame) -> DataFrame:

@@ -14,7 +14,6 @@ from ..registry import EV, load, messages, query
 from . import metric_sql
 from .logs import DUMP, dump_records
 from .metrics import MSG, RUNS, VIEWS, recording, results_of
-from ..catalogue import USE_CASES
 
 
 def _folder(spark, name):
@@ -42,10 +41,10 @@ def stored_messages(spark, sf):
     return tables.scan(spark.read.parquet(path), ["click"])
 
 
-@query("metric_sheets", "use_case:s run_id:i metric_id:s value:f verdict:s", metric_sql.use_case_sql(USE_CASES["intersection"], MSG, VIEWS, RUNS))
+@query("metric_sheets", "use_case:s run_id:i metric_id:s value:f verdict:s", metric_sql.use_case_sql("intersection", MSG, VIEWS, RUNS))
 def metric_sheets(spark, sf):
     path = _folder(spark, "sheets")
-    sinks.write_sheets(results_of(USE_CASES["intersection"], recording(spark, sf)), path)
+    sinks.write_sheets(results_of(recording(spark, sf), "intersection"), path)
     return spark.read.parquet(path)
 
 

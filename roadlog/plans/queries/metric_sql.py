@@ -1,10 +1,9 @@
 """The metric rules once more as DuckDB SQL, the check on the Spark rules. Written from the rules'
-definitions; each function returns SELECT run_id, value, passed."""
+definitions; each function returns SELECT run_id, value, passed. Which rule judges a metric, with which limits, is said a second
+time in `expected`, by hand."""
 
 from __future__ import annotations
 
-from ..metrics import named_in
-
 S = 1_000_000_000
 W = "(PARTITION BY run_id ORDER BY t, seq)"
 FEET = 3.28084
@@ -56,7 +55,19 @@ def time_share(view, holds, share, window=None):
 
 
 def always(view, holds, where=None, window=None):
-    return f"SELECT run_id, count(*) FILTER ({holds}) * 100.0 / count(*) AS value, bool_and({holds}) AS passed FROM {rows(view, where, window)} GROUP BY run_id"
+    return f"SELECT run_id, count(*) FILTER ({holds}) * 100.0 / count(*) AS value, count(*) FILTER ({holds}) = count(*) AS passed FROM {rows(view, where, window)} GROUP BY run_id"
+
+
+def both(view, one, two, where=None, window=None):
+    return f"""SELECT run_id, least(count(*) FILTER ({one}), count(*) FILTER ({two})) AS value, count(*) FILTER ({one}) > 0 AND count(*) FILTER ({two}) > 0 AS passed
+ FROM {rows(view, where, window)} GROUP BY run_id"""
+
+
+def none_after(view, holds, since, seconds, to=None):
+    until = f' AND v.t <= anchors."{to}"' if to else ""
+    return f"""SELECT anchors.run_id, count(v.run_id) AS value, count(v.run_id) = 0 AS passed FROM anchors
+ LEFT JOIN (SELECT * FROM {view} WHERE {holds}) v ON v.run_id = anchors.run_id AND v.t > anchors."{since}" + {int(seconds * S)}{until}
+ WHERE anchors."{since}" IS NOT NULL GROUP BY anchors.run_id"""
 
 
 def never(view, holds, where=None, window=None):
@@ -78,10 +89,11 @@ def section(view, value, begins, ends, low=None, high=None, window=None):
  {judged('a JOIN z USING (run_id)', f'(v1 - v0) / ((t1 - t0) / {S}.0)', low, high)}"""
 
 
-def second_rate(view, value, limit, window=None):
+def second_rate(view, value, limit, window=None, signed=False):
+    rate = "(f.v - r.v) / ((f.t - r.t) / 1000000000.0)"
     return f"""WITH r AS (SELECT run_id, t, seq, {value} AS v, t + {S} AS at FROM {rows(view, None, window)}),
  f AS (SELECT run_id, t, arg_min(v, seq) AS v FROM r GROUP BY run_id, t),
- j AS (SELECT r.run_id, max(abs((f.v - r.v) / ((f.t - r.t) / {S}.0))) AS x FROM r ASOF LEFT JOIN f ON r.run_id = f.run_id AND r.at <= f.t GROUP BY r.run_id)
+ j AS (SELECT r.run_id, max({rate if signed else f'abs({rate})'}) AS x FROM r ASOF LEFT JOIN f ON r.run_id = f.run_id AND r.at <= f.t GROUP BY r.run_id)
  {judged('j', 'x', high=limit)}"""
 
 
@@ -92,7 +104,20 @@ def _islands(view, holds, window):
 
 def held(view, holds, seconds, window=None):
     return f"""WITH {_islands(view, holds, window)}, c AS (SELECT run_id, isl, max(t) - min(t) AS d FROM b WHERE on_ GROUP BY run_id, isl),
- d AS (SELECT run_id, max(d) / {S} AS x FROM c GROUP BY run_id) {judged('d', 'x', low=seconds)}"""
+ d AS (SELECT a.run_id, max(d) / {S} AS value FROM (SELECT DISTINCT run_id FROM a) a LEFT JOIN c USING (run_id) GROUP BY a.run_id)
+ SELECT run_id, value, coalesce(value >= {seconds}, false) AS passed FROM d"""
+
+
+def row_run(view, holds, k, window=None):
+    return f"""WITH a AS (SELECT run_id, t, seq, coalesce({holds}, false) AS h, row_number() OVER {W} AS n FROM {rows(view, None, window)}),
+ b AS (SELECT run_id, n - row_number() OVER {W} AS g FROM a WHERE h), c AS (SELECT run_id, g, count(*) AS x FROM b GROUP BY run_id, g)
+ SELECT a.run_id, coalesce(max(x), 0) AS value, coalesce(max(x), 0) >= {k} AS passed FROM (SELECT DISTINCT run_id FROM a) a LEFT JOIN c USING (run_id) GROUP BY a.run_id"""
+
+
+def steady_to(view, holds, to, last, seconds):
+    return f"""WITH r AS (SELECT v.run_id, any_value(anchors."{to}") AS e, min(v.t) FILTER ({holds}) AS t0 FROM {view} v JOIN anchors USING (run_id)
+ WHERE v.t >= anchors."{to}" - {int(last * S)} AND v.t <= anchors."{to}" GROUP BY v.run_id)
+ SELECT run_id, (e - t0) / {S} AS value, coalesce((e - t0) / {S} >= {seconds}, false) AS passed FROM r"""
 
 
 def interval_length(view, holds, seconds, window=None):
@@ -100,45 +125,123 @@ def interval_length(view, holds, seconds, window=None):
  d AS (SELECT run_id, max(t1 - t0) / {S} AS x FROM c GROUP BY run_id) {judged('d', 'x', high=seconds)}"""
 
 
-def _settled(view, holds, window):
-    return f"""r AS (SELECT run_id, t, seq, ({holds}) AS ok, row_number() OVER {W} AS n FROM {rows(view, None, window)}),
- l AS (SELECT run_id, coalesce(max(n) FILTER (NOT ok), 0) AS last_out, min(t) AS begin FROM r GROUP BY run_id),
- st AS (SELECT l.run_id, any_value(begin) AS begin, min(t) FILTER (n = last_out + 1) AS settled FROM l JOIN r USING (run_id) GROUP BY l.run_id)"""
+def _settled(view, holds, window, where=None):
+    return f"""r AS (SELECT run_id, t, seq, coalesce({holds}, false) AS ok, row_number() OVER {W} AS n FROM {rows(view, where, window)}),
+ l AS (SELECT run_id, coalesce(max(n) FILTER (NOT ok), 0) AS last_out FROM r GROUP BY run_id),
+ st AS (SELECT l.run_id, min(t) FILTER (n = last_out + 1) AS settled FROM l JOIN r USING (run_id) GROUP BY l.run_id)"""
 
 
 def steady_before(view, holds, event, seconds, begin=None):
-    return f"WITH {_settled(view, holds, (begin, event))} {judged('st JOIN anchors USING (run_id)', f'(anchors.{event} - settled) / {S}', low=seconds)}"
+    x = f'(anchors."{event}" - settled) / {S}'
+    return f"WITH {_settled(view, holds, (begin, event))} SELECT run_id, {x} AS value, coalesce({x} >= {seconds}, false) AS passed FROM st JOIN anchors USING (run_id)"
 
 
-def settle(view, holds, seconds, window):
-    return f"WITH {_settled(view, holds, window)} {judged('st', f'(settled - begin) / {S}', high=seconds)}"
+def settle(view, holds, seconds, window, where=None):
+    x = f'(settled - anchors."{window[0]}") / {S}'
+    return f"WITH {_settled(view, holds, window, where)} SELECT run_id, {x} AS value, coalesce({x} <= {seconds}, false) AS passed FROM st JOIN anchors USING (run_id)"
 
 
-def _consecutive(view, value, sign, k, window):
+def _moves(source, value, sign, k):
+    """base, start and kth of the first stretch of k rises or falls, per run."""
     op = ">" if sign > 0 else "<"
-    return f"""a AS (SELECT run_id, t, seq, coalesce(({value}) {op} lag({value}) OVER {W}, false) AS mv, lag(t) OVER {W} AS pt FROM {rows(view, None, window)}),
- b AS (SELECT *, lag(mv) OVER {W} AS pm FROM a), c AS (SELECT *, sum(CASE WHEN mv AND NOT coalesce(pm, false) THEN 1 ELSE 0 END) OVER {W} AS isl FROM b),
- d AS (SELECT run_id, isl, min(pt) AS base, min(t) AS t1 FROM c WHERE mv GROUP BY run_id, isl HAVING count(*) >= {k}),
- e AS (SELECT run_id, arg_min(base, t1) AS base FROM d GROUP BY run_id)"""
+    return f"""a AS (SELECT run_id, t, seq, coalesce(({value}) {op} lag({value}) OVER {W}, false) AS mv, row_number() OVER {W} AS n FROM {source}),
+ b AS (SELECT run_id, n, n - row_number() OVER {W} AS g FROM a WHERE mv), c AS (SELECT run_id, min(n) AS n0 FROM b GROUP BY run_id, g HAVING count(*) >= {k}),
+ d AS (SELECT run_id, min(n0) AS n0 FROM c GROUP BY run_id),
+ e AS (SELECT run_id, min(t) FILTER (n = n0 - 1) AS base, min(t) FILTER (n = n0) AS start, min(t) FILTER (n = n0 + {k} - 1) AS kth FROM d JOIN a USING (run_id) GROUP BY run_id)"""
+
 
+def begins_within(view, value, sign, k, window, seconds=None, below=None):
+    x = f'(base - anchors."{window[0]}") / {S}'
+    test = f"{x} <= {seconds}" if below is None else f"{x} < {below}"
+    return f"""WITH {_moves(rows(view, None, window), value, sign, k)}, s AS (SELECT DISTINCT run_id FROM a)
+ SELECT s.run_id, {x} AS value, coalesce({test}, false) AS passed FROM s JOIN anchors USING (run_id) LEFT JOIN e USING (run_id)"""
 
-def begins_within(view, value, sign, k, window, seconds):
-    return f"WITH {_consecutive(view, value, sign, k, window)} {judged('e JOIN anchors USING (run_id)', f'(base - anchors.{window[0]}) / {S}', high=seconds)}"
 
+def _due(source, seen, value, test):
+    return f"SELECT run_id, {value} AS value, CASE WHEN {seen} THEN coalesce({test}, false) END AS passed FROM {source}"
 
-def begins_distance(view, value, sign, k, window, place_view, place, feet):
-    return f"""WITH {_consecutive(view, value, sign, k, window)}, p AS (SELECT run_id, t, arg_min({place}, seq) AS p FROM {place_view} GROUP BY run_id, t),
- x AS (SELECT e.run_id, base, anchors.{window[0]} AS s FROM e JOIN anchors USING (run_id)), y AS (SELECT x.run_id, base, p.p AS p0 FROM x ASOF LEFT JOIN p ON x.run_id = p.run_id AND x.s <= p.t),
- z AS (SELECT y.run_id, p0, p.p AS p1 FROM y ASOF LEFT JOIN p ON y.run_id = p.run_id AND y.base <= p.t) {judged('z', f'(p1 - p0) * {FEET}', high=feet)}"""
 
+def _test(value, low=None, high=None, below=None):
+    return " AND ".join([f"{value} >= {low}"] * (low is not None) + [f"{value} <= {high}"] * (high is not None) + [f"{value} < {below}"] * (below is not None)) or f"{value} IS NOT NULL"
 
-def wait(since, view, holds, seconds, low=0.0):
+
+def wait(since, view, holds, seconds=None, low=0.0, below=None):
+    x = f'(hit - anchors."{since}") / {S}'
     return f"""WITH h AS (SELECT run_id, min(t) AS hit FROM {rows(view, holds, (since, None))} GROUP BY run_id)
- {judged('h JOIN anchors USING (run_id)', f'(hit - anchors.{since}) / {S}', low, seconds)}"""
+ {_due('anchors LEFT JOIN h USING (run_id)', f'anchors."{since}" IS NOT NULL', x, _test(x, low, seconds, below))}"""
+
+
+def anchor_gap(first, second, low=None, high=None, below=None):
+    x = f'("{second}" - "{first}") / {S}'
+    return _due("anchors", f'"{first}" IS NOT NULL', x, _test(x, low, high, below))
+
+
+def _at(name, view, value, at, where=None):
+    """The value of the first row at or after an anchor, as a CTE with run_id and x."""
+    return f"""{name} AS (SELECT v.run_id, first({value} ORDER BY v.t, v.seq) AS x FROM (SELECT * FROM {view}{' WHERE ' + where if where else ''}) v JOIN anchors USING (run_id)
+ WHERE v.t >= anchors."{at}" GROUP BY v.run_id)"""
+
 
+def value_gap(view, value, at, other_view, other_value, other_at, low=None, high=None, scale=1.0):
+    x = f"(one.x - two.x) * {scale}"
+    return f"""WITH {_at('one', view, value, at)}, {_at('two', other_view, other_value, other_at)}
+ {_due('anchors LEFT JOIN one USING (run_id) LEFT JOIN two USING (run_id)', f'anchors."{other_at}" IS NOT NULL', x, _test(x, low, high))}"""
 
-def anchor_gap(first, second, low=None, high=None):
-    return judged("anchors", f"({second} - {first}) / {S}", low, high)
+
+def moved_feet(at, since, place_view, place, low=None, high=None):
+    return value_gap(place_view, place, at, place_view, place, since, low, high, FEET)
+
+
+def needed_deceleration(view, value, target, at, place_view, place, to, limit):
+    x = f"(s.x * s.x - {target} * {target}) / nullif(2 * (b.x - a.x), 0)"
+    return f"""WITH {_at('s', view, value, at)}, {_at('a', place_view, place, at)}, {_at('b', place_view, place, to)}, z AS (SELECT run_id, {x} AS x FROM s JOIN a USING (run_id) JOIN b USING (run_id))
+ SELECT run_id, x AS value, abs(x) <= {limit} AS passed FROM z"""
+
+
+def stop_short(view, x, y, goal_x, goal_y, front, at, start, limit):
+    far = lambda p, q, r, s: f"sqrt(({p} - {r}) ** 2 + ({q} - {s}) ** 2)"
+    return f"""WITH {_at('px', view, x, at)}, {_at('py', view, y, at)}, {_at('sx', view, x, start)}, {_at('sy', view, y, start)},
+ d AS (SELECT run_id, {far('px.x', 'py.x', f'runs.{goal_x}', f'runs.{goal_y}')} AS gap, {far('px.x', 'py.x', 'sx.x', 'sy.x')} < {far(f'runs.{goal_x}', f'runs.{goal_y}', 'sx.x', 'sy.x')} AS before, runs.{front} AS f
+ FROM px JOIN py USING (run_id) JOIN sx USING (run_id) JOIN sy USING (run_id) JOIN runs USING (run_id))
+ SELECT run_id, CASE WHEN before THEN gap - f ELSE gap + f END AS value, before AND gap - f >= 0 AND gap - f < {limit} AS passed FROM d"""
+
+
+def lane_speed(view, across, lane, left, taken, begin, low, high):
+    x = "abs((z.v - a.v) / nullif((z.t - a.t) / 1000000000.0, 0))"
+    return f"""WITH a AS (SELECT v.run_id, last(v.t ORDER BY v.t, v.seq) AS t, last({across} ORDER BY v.t, v.seq) AS v FROM (SELECT * FROM {view} WHERE ({lane}) IS NOT NULL) v JOIN anchors USING (run_id)
+ WHERE v.t >= anchors."{begin}" AND v.t < anchors."{left}" GROUP BY v.run_id),
+ z AS (SELECT v.run_id, first(v.t ORDER BY v.t, v.seq) AS t, first({across} ORDER BY v.t, v.seq) AS v FROM {view} v JOIN anchors USING (run_id) WHERE v.t >= anchors."{taken}" GROUP BY v.run_id)
+ SELECT run_id, {x} AS value, {x} BETWEEN {low} AND {high} AS passed FROM a JOIN z USING (run_id)"""
+
+
+def follows(view, column, one, two, where=None, window=None):
+    return f"""WITH r AS (SELECT run_id, {column} AS v, lag({column}) OVER {W} AS p FROM {rows(view, where, window)})
+ SELECT run_id, count(*) FILTER (p = {one} AND v = {two}) AS value, count(*) FILTER (p = {one} AND v = {two}) > 0 AS passed FROM r GROUP BY run_id"""
+
+
+def listed(view, column, where, members, window=None):
+    return f"""WITH r AS (SELECT run_id, t, seq, {column} AS v, lag({column}) OVER {W} AS p, row_number() OVER {W} AS n, coalesce({where}, false) AS inside FROM {rows(view, None, window)}),
+ l AS (SELECT run_id, coalesce(list(v ORDER BY t, seq) FILTER (inside AND (n = 1 OR p IS DISTINCT FROM v)), []) AS l FROM r GROUP BY run_id)
+ SELECT run_id, len(l) AS value, l = {members} AS passed FROM l JOIN runs USING (run_id)"""
+
+
+def merge_start(view, planner, merging, x, y, since, place_view, low=None, high=None):
+    test = f"{planner} IN ({', '.join(repr(m) for m in merging)})"
+    far = "sqrt((mx.x - px.x) ** 2 + (my.x - py.x) ** 2) * 3.28"
+    return f"""WITH {_at('px', place_view, x, since)}, {_at('py', place_view, y, since)}, {_at('mx', view, x, since, test)}, {_at('my', view, y, since, test)}
+ SELECT px.run_id, {far} AS value, coalesce({_test(far, low, high)}, false) AS passed FROM px JOIN py USING (run_id) LEFT JOIN mx USING (run_id) LEFT JOIN my USING (run_id)"""
+
+
+def merge_end(view, plan, target, planner, merging, x, y, window, place_view, low, high):
+    w = "(PARTITION BY run_id, plan ORDER BY target, seq)"
+    names = ", ".join(repr(m) for m in merging)
+    return f"""WITH r AS (SELECT run_id, {plan} AS plan, {target} AS target, seq, {x} AS x, {y} AS y, coalesce({planner} IN ({names}), false) AS m FROM {rows(view, None, window)}),
+ n AS (SELECT *, lead(m) OVER {w} AS nm, lead(target) OVER {w} AS nt, lag(target) OVER {w} AS pt FROM r),
+ e AS (SELECT run_id, plan, first(x ORDER BY target, seq) AS x, first(y ORDER BY target, seq) AS y FROM n
+  WHERE m AND ((NOT nm AND nt - target > 1000000) OR (nt IS NULL AND target - pt > 1000000)) GROUP BY run_id, plan),
+ {_at('px', place_view, x, window[1])}, {_at('py', place_view, y, window[1])},
+ d AS (SELECT run_id, sqrt((e.x - px.x) ** 2 + (e.y - py.x) ** 2) * 3.28 AS feet FROM e JOIN px USING (run_id) JOIN py USING (run_id))
+ SELECT s.run_id, max(feet) AS value, coalesce(min(feet) >= {low} AND max(feet) <= {high}, false) AS passed FROM (SELECT DISTINCT run_id FROM r) s LEFT JOIN d USING (run_id) GROUP BY s.run_id"""
 
 
 def exists_as(view, holds, unless, where=None, window=None):
@@ -146,19 +249,11 @@ def exists_as(view, holds, unless, where=None, window=None):
  FROM {rows(view, where, window)} GROUP BY run_id"""
 
 
-def order(view, column, values, where=None, window=None):
-    if isinstance(values, str):
-        return f"""WITH r AS (SELECT run_id, t, seq, {column} AS v FROM {rows(view, where, window)}), a AS (SELECT *, lag(v) OVER {W} AS p FROM r),
+def order(view, column, values, window=None):
+    return f"""WITH r AS (SELECT run_id, t, seq, {column} AS v FROM {rows(view, None, window)}), a AS (SELECT *, lag(v) OVER {W} AS p FROM r),
  c AS (SELECT run_id, list(v) OVER (PARTITION BY run_id ORDER BY t, seq ROWS BETWEEN 15 PRECEDING AND CURRENT ROW) AS l FROM a WHERE p IS DISTINCT FROM v),
  d AS (SELECT c.run_id, l, runs.{values} AS w FROM c JOIN runs USING (run_id)),
  e AS (SELECT run_id, CAST(count(*) FILTER (len(l) >= len(w) AND l[len(l) - len(w) + 1:len(l)] = w) AS DOUBLE) AS x FROM d GROUP BY run_id) {judged('e', 'x', low=1)}"""
-    n = len(values)
-    lags = ", ".join(f"lag(v, {i}) OVER {W} AS l{i}" for i in range(1, n))
-    quoted = [f"'{v}'" if isinstance(v, str) else str(v) for v in values]
-    match = " AND ".join([f"v = {quoted[-1]}"] + [f"l{i} = {quoted[-1 - i]}" for i in range(1, n)])
-    return f"""WITH r AS (SELECT run_id, t, seq, {column} AS v FROM {rows(view, where, window)}), a AS (SELECT *, lag(v) OVER {W} AS p FROM r),
- c AS (SELECT * FROM a WHERE p IS DISTINCT FROM v), d AS (SELECT run_id, v, {lags} FROM c),
- e AS (SELECT run_id, CAST(count(*) FILTER ({match}) AS DOUBLE) AS x FROM d GROUP BY run_id) {judged('e', 'x', low=1)}"""
 
 
 def route(view, column, which, members, relation, where=None):
@@ -197,8 +292,7 @@ def mean_frequency(view, hz, where=None, window=None):
 
 
 def value_at(view, value, at, low=None, high=None, where=None):
-    return f"""WITH r AS (SELECT run_id, t, arg_min({value}, seq) AS v FROM {rows(view, where)} GROUP BY run_id, t), a AS (SELECT run_id, {at} AS at FROM anchors WHERE {at} IS NOT NULL),
- j AS (SELECT a.run_id, r.v AS x FROM a ASOF LEFT JOIN r ON a.run_id = r.run_id AND a.at <= r.t) {judged('j', 'x', low, high)}"""
+    return f"WITH {_at('j', view, value, at, where)} {judged('j', 'x', low, high)}"
 
 
 def paired_wait(calls, responses, seconds):
@@ -236,31 +330,40 @@ def hysteresis_count(view, value, band, low, high):
 
 
 def anchors_sql(anchors):
+    """`anchors` are dicts: name, kind, view, where and what the kind needs besides."""
     parts = ["a0 AS (SELECT DISTINCT run_id FROM msg)"]
     for i, a in enumerate(anchors, 1):
-        source = f"(SELECT v.* FROM {a.view} v JOIN a{i - 1} USING (run_id) WHERE v.t > a{i - 1}.\"{a.after}\")" if a.after else a.view
-        if a.kind == "leave":
-            found = f"""(WITH x AS (SELECT *, ({a.where}) AS on_ FROM {source}), y AS (SELECT run_id, min(t) FILTER (on_) AS t0 FROM x GROUP BY run_id),
+        known = f"a{i - 1}"
+        later = ">=" if a["kind"] in ("switch", "moves") else ">"
+        tests = [f'v.t {sign} {known}."{a[bound]}"' for bound, sign in (("after", later), ("until", "<=")) if bound in a]
+        source = f"(SELECT v.* FROM {a['view']} v JOIN {known} USING (run_id) WHERE {' AND '.join(tests)})" if tests else a["view"]
+        where = a["where"]
+        if a["kind"] == "leave":
+            found = f"""(WITH x AS (SELECT *, ({where}) AS on_ FROM {source}), y AS (SELECT run_id, min(t) FILTER (on_) AS t0 FROM x GROUP BY run_id),
  z AS (SELECT x.run_id, min(t) FILTER (NOT on_ AND t > t0) AS t1 FROM x JOIN y USING (run_id) GROUP BY x.run_id)
  SELECT x.run_id, coalesce(any_value(t1), max(t) FILTER (on_)) AS at FROM x JOIN z USING (run_id) GROUP BY x.run_id)"""
+        elif a["kind"] == "switch":
+            found = f"""(WITH x AS (SELECT run_id, t, seq, ({where}) AS lv FROM {source}), y AS (SELECT run_id, first(lv ORDER BY t, seq) AS l0 FROM x WHERE lv IS NOT NULL GROUP BY run_id)
+ SELECT x.run_id, min(t) AS at FROM x JOIN y USING (run_id) WHERE lv <> l0 GROUP BY x.run_id)"""
+        elif a["kind"] == "moves":
+            found = f"(WITH {_moves(source, where, a['sign'], a['k'])} SELECT run_id, {a['at']} AS at FROM e)"
         else:
-            found = f"(SELECT run_id, {'min' if a.kind == 'first' else 'max'}(t) AS at FROM {source} WHERE {a.where} GROUP BY run_id)"
-        parts.append(f"a{i} AS (SELECT p.*, f.at AS \"{a.name}\" FROM a{i - 1} p LEFT JOIN {found} f ON f.run_id = p.run_id)")
+            found = f"(SELECT run_id, {'min' if a['kind'] == 'first' else 'max'}(t) AS at FROM {source} WHERE {where} GROUP BY run_id)"
+        parts.append(f"a{i} AS (SELECT p.*, f.at AS \"{a['name']}\" FROM {known} p LEFT JOIN {found} f ON f.run_id = p.run_id)")
     parts.append(f"anchors AS (SELECT * FROM a{len(anchors)})")
     return ", ".join(parts)
 
 
-def use_case_sql(use_case, msg, views, runs):
-    """`runs` gives the parameters of a run as name: SQL over msg."""
+def use_case_sql(name, msg, views, runs):
+    """`runs` gives the parameters of a run as name: SQL over msg; they are columns of every view."""
+    from .expected import ANCHORS, METRICS
+
     ctes = [msg, "runs AS (SELECT run_id, " + ", ".join(f"any_value({sql}) AS {n}" for n, sql in runs.items()) + " FROM msg GROUP BY run_id)"]
-    for name, sql in views.items():
-        needed = named_in(use_case, name, runs)
-        ctes.append(f'"{name}" AS (SELECT v.*{"".join(f", runs.{p}" for p in needed)} FROM ({sql}) v JOIN runs USING (run_id))' if needed else f'"{name}" AS ({sql})')
-    ctes.append(anchors_sql(use_case.anchors))
-    for i, m in enumerate(use_case.metrics):
-        ctes.append(f"m{i} AS ({globals()[m.rule](**m.params)})")
-    every = " UNION ALL ".join(f"SELECT run_id, '{m.id}' AS metric_id, CAST(value AS DOUBLE) AS value, passed FROM m{i}" for i, m in enumerate(use_case.metrics))
-    ids = ", ".join(f"('{m.id}')" for m in use_case.metrics)
+    ctes += [f'"{view}" AS (SELECT v.*, {", ".join(f"runs.{p}" for p in runs)} FROM ({sql}) v JOIN runs USING (run_id))' for view, sql in views.items()]
+    ctes.append(anchors_sql(ANCHORS[name]))
+    ctes += [f"m{i} AS ({sql})" for i, (_, sql) in enumerate(METRICS[name])]
+    every = " UNION ALL ".join(f"SELECT run_id, '{m}' AS metric_id, CAST(value AS DOUBLE) AS value, passed FROM m{i}" for i, (m, _) in enumerate(METRICS[name]))
+    ids = ", ".join(f"('{m}')" for m, _ in METRICS[name])
     return f"""WITH {', '.join(ctes)}, every AS ({every}), wanted AS (SELECT run_id, metric_id FROM a0, (VALUES {ids}) AS i(metric_id))
-SELECT '{use_case.name}' AS use_case, w.run_id, w.metric_id, e.value, CASE WHEN e.passed IS NULL THEN 'not_evaluated' WHEN e.passed THEN 'passed' ELSE 'failed' END AS verdict
+SELECT '{name}' AS use_case, w.run_id, w.metric_id, e.value, CASE WHEN e.passed IS NULL THEN 'not_evaluated' WHEN e.passed THEN 'passed' ELSE 'failed' END AS verdict
 FROM wanted w LEFT JOIN every e ON e.run_id = w.run_id AND e.metric_id = w.metric_id"""

@@ -5,9 +5,6 @@ An hour of the events becomes 0.1 s of recording, so that a user's month is a ru
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import metrics
@@ -36,10 +33,11 @@ VIEWS = {
     "map": "SELECT run_id, t, seq FROM msg",
     "entry": "SELECT run_id, t, seq, tens AS lanelet_id, CASE k % 3 WHEN 0 THEN 3 WHEN 1 THEN 6 ELSE 8 END AS phase FROM msg",
     "bsm": "SELECT run_id, t, seq, k < 50 AS siren, k < 70 AS light, value > 20 AS part2 FROM msg WHERE topic IN ('click', 'error')",
-    "erv": "SELECT run_id, t, seq, k > 30 AS detected, CASE WHEN k > 60 THEN 'Attempting' WHEN k > 58 THEN 'Opposing' ELSE 'None' END AS action FROM msg WHERE topic = 'view'",
-    "maneuver": "SELECT run_id, t, seq, k % 2 AS type FROM msg WHERE topic = 'purchase'",
+    "erv": "SELECT run_id, t, seq, k > 30 AS detected, CASE WHEN k > 60 THEN 'Attempting' WHEN k > 58 THEN 'Opposing' WHEN k > 40 THEN 'possible.' ELSE 'None' END AS action, value / 4 AS passing FROM msg WHERE topic = 'view'",
+    "maneuver": "SELECT run_id, t, seq, k % 2 AS type, tens AS start_lane, k % 10 AS end_lane FROM msg WHERE topic = 'purchase'",
+    "plan_points": "SELECT run_id, t, seq, CAST(floor(t / 4e9) AS BIGINT) AS plan, t AS target, 40 + value / 10 AS x, 48 + k / 20.0 AS y, CASE WHEN k % 3 = 0 THEN 'UnobstructedLaneChangePlugin' WHEN k % 7 = 0 THEN 'CooperativeLaneChangePlugin' ELSE 'inlane' END AS planner FROM msg WHERE topic IN ('view', 'purchase')",
     "trajectory": "SELECT run_id, t, seq, CASE WHEN k > 50 THEN '' ELSE 'inlane' END AS planner FROM msg WHERE topic <> 'purchase'",
-    "pose": "SELECT run_id, t, seq, value AS x, k * 1.0 AS y FROM msg",
+    "pose": "SELECT run_id, t, seq, 45 + value / 20 AS x, 48 + k / 20.0 AS y FROM msg",
     "speed_target": "SELECT run_id, t, seq, value / 20 AS speed, CASE WHEN k < 10 THEN 0.0 WHEN k < 40 THEN 1.0 ELSE 2.5 END AS target FROM msg",
     "call": "SELECT run_id, t, seq FROM msg WHERE topic = 'click'",
     "plan": "SELECT run_id, t, seq FROM msg WHERE topic = 'view'",
@@ -49,8 +47,9 @@ VIEWS = {
 }
 MSG = f"""{EV}, msg AS (SELECT run_id, ((t - {T0}) * 250) // 9 AS t, seq, topic, value, k, k // 10 AS tens, [k // 10, k % 10, (k + 3) % 10] AS lanes FROM ev)"""
 # the run manifest: runs of even and odd number have different parameters (name: Spark SQL, DuckDB SQL)
-_LISTS = {"original_lanes": ("3, 4", "4, 9"), "closed_lanes": ("4", "2, 7"), "lane_order": ("9, 3, 4", "1, 2"), "port_order": ("1, 2", "7, 3")}
-_NUMBERS = {"right_lane": ("5", "7"), "port_lane": ("5", "3"), "stop_x": ("50.0", "20.0"), "stop_y": ("50.0", "70.0"), "stop_offset": ("5.0", "0.0"), "opposing": ("false", "true")}
+_LISTS = {"original_lanes": ("3, 4", "4, 9"), "closed_lanes": ("4", "2, 7"), "lane_order": ("9, 3, 4", "1, 2"), "port_order": ("1, 2", "7, 3"),
+          "right_lanes": ("0, 1, 2", "5, 6"), "middle_lanes": ("3, 4, 2", "0, 1, 9")}
+_NUMBERS = {"right_lane": ("5", "7"), "port_lane": ("5", "3"), "stop_x": ("50.0", "47.0"), "stop_y": ("50.0", "51.0"), "stop_offset": ("5.0", "0.0"), "bumper": ("1.5", "4.0"), "opposing": ("false", "true")}
 _EITHER = "CASE WHEN run_id % 2 = 0 THEN {} ELSE {} END"
 RUNS = {**{n: _EITHER.format(f"[{a}]", f"[{b}]") for n, (a, b) in _LISTS.items()}, **{n: _EITHER.format(a, b) for n, (a, b) in _NUMBERS.items()}}
 
@@ -70,20 +69,19 @@ def recording(spark, sf):
         F.array(tens, F.col("k") % 10, (F.col("k") + 3) % 10).alias("lanes"))
 
 
-def results_of(use_case, msg):
-    """Verdicts of a use case over the views of a message log."""
-    spark = msg.sparkSession
-    views = {name: spark.sql(VIEWS[name].replace("FROM msg", "FROM {msg}"), msg=msg) for name in metrics.views_of(use_case)}
-    return metrics.evaluate(use_case, views, manifest(msg))
+def results_of(msg, *names):
+    """Verdicts of use cases over the views of a message log."""
+    spark, cases = msg.sparkSession, [USE_CASES[n] for n in names]
+    views = {name: spark.sql(VIEWS[name].replace("FROM msg", "FROM {msg}"), msg=msg) for u in cases for name in metrics.views_of(u)}
+    return metrics.evaluate_all(cases, views, manifest(msg))
 
 
 def _register(name):
-    use_case = USE_CASES[name]
-    sql = metric_sql.use_case_sql(use_case, MSG, VIEWS, RUNS)
+    sql = metric_sql.use_case_sql(name, MSG, VIEWS, RUNS)
 
     @query(f"metrics_{name}", "use_case:s run_id:i metric_id:s value:f verdict:s", sql)
     def run(spark, sf):
-        return results_of(use_case, recording(spark, sf))
+        return results_of(recording(spark, sf), name)
 
 
 for _name in USE_CASES:
@@ -96,16 +94,15 @@ _NAMES = {i: "c" + i.removeprefix("SV-").replace("-", "_") for i in _CARD}
 
 @query("scorecard", "run_id:i " + " ".join(f"{n}:s" for n in _NAMES.values()), f"""
 SELECT run_id, {", ".join(f"max(verdict) FILTER (metric_id = '{i}') AS {n}" for i, n in _NAMES.items())}
-FROM ({metric_sql.use_case_sql(USE_CASES['scale_vehicle'], MSG, VIEWS, RUNS)}) GROUP BY run_id""")
+FROM ({metric_sql.use_case_sql('scale_vehicle', MSG, VIEWS, RUNS)}) GROUP BY run_id""")
 def scorecard(spark, sf):
-    results = results_of(USE_CASES["scale_vehicle"], recording(spark, sf))
+    results = results_of(recording(spark, sf), "scale_vehicle")
     return metrics.scorecard(results, _CARD).withColumnsRenamed(_NAMES)
 
 
 @query("scorecard_rollup", "use_case:s metric_id:s n:i n_passed:i n_skipped:i", f"""
 SELECT use_case, metric_id, count(*) AS n, count(*) FILTER (verdict = 'passed') AS n_passed, count(*) FILTER (verdict = 'not_evaluated') AS n_skipped
-FROM ({" UNION ALL ".join(f"SELECT * FROM ({metric_sql.use_case_sql(u, MSG, VIEWS, RUNS)})" for u in USE_CASES.values())})
+FROM ({" UNION ALL ".join(f"SELECT * FROM ({metric_sql.use_case_sql(u, MSG, VIEWS, RUNS)})" for u in USE_CASES)})
 GROUP BY ROLLUP (use_case, metric_id)""")
 def scorecard_rollup(spark, sf):
-    msg = recording(spark, sf)
-    return metrics.summary(reduce(DataFrame.unionByName, (results_of(u, msg) for u in USE_CASES.values())))
+    return metrics.summary(results_of(recording(spark, sf), *USE_CASES))

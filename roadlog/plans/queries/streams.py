@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from ...session import shared_dir, written
+from ...sources import sinks
 from ...streaming import sync, tail
-from ..registry import DAY, EV, H, load, micros, query
+from ..registry import DAY, EV, H, load, messages, micros, query
 
 
 def _stream(spark, sf):
@@ -70,3 +74,23 @@ def step_sync_wrong_clock(spark, sf):
         F.col("topic").alias("source"), F.col("t").alias("system_time"))
     judged = tail.replay(sync.sync_check_stream(steps, "run_id", 5, step=1, tolerance=DAY, late=3))
     return judged.withColumnRenamed("sim_time", "step")
+
+
+@query("tail_appended", "file:s run_id:i sim_time:i n:i first_here:i last_here:i", f"""
+WITH {EV} SELECT topic || '.log' AS file, run_id, t // {3 * DAY} AS sim_time, count(*) AS n, min(t) AS first_here, max(t) AS last_here FROM ev GROUP BY ALL""")
+def tail_appended(spark, sf):
+    """Logs that grow: a replay after each third of the recording, from one progress folder, reads what was appended since."""
+    base = written(spark, f"{shared_dir(spark)}/tail-{uuid.uuid4().hex}")
+    log = messages(spark, sf)
+    low, high = log.agg(F.min("t"), F.max("t")).first()
+    line = F.concat_ws("", F.lit("run "), "run_id", F.lit(" Simulation Time: "), F.floor(F.col("t") / F.lit(3 * DAY)).cast("string"),
+                       F.lit(" where current system time is: "), F.col("t").cast("string"))
+    lines = log.select(F.concat("topic", F.lit(".log")).alias("file"), F.floor((F.col("t") - low) * 3 / F.lit(max(high - low, 1) + 1)).alias("part"), "t", "seq", line.alias("value"))
+    run_id = F.regexp_extract("value", "run ([0-9]+) ", 1).cast("long")
+    steps = None
+    for part in range(3):
+        sinks.append_lines(lines.where(F.col("part") == part), f"{base}/logs", "file", ["t", "seq"], "value")
+        stream = tail.tail_steps(spark, f"{base}/logs", F.regexp_extract("file", "([^/]+)$", 1), [run_id.alias("run_id")], "*.log")
+        steps = tail.replay(stream, base=f"{base}/replay")
+    return steps.groupBy(F.col("source").alias("file"), "run_id", "sim_time").agg(
+        F.count(F.lit(1)).alias("n"), F.min("system_time").alias("first_here"), F.max("system_time").alias("last_here"))
