@@ -53,7 +53,7 @@ SELECT a.run_id, a.step, b.lo AS first_next, a.hi AS last_here, b.lo - a.hi AS l
 FROM g a JOIN g b ON a.run_id = b.run_id AND b.step = a.step + 1 WHERE a.n = 5 AND b.n = 5""")
 def step_sync_stream(spark, sf):
     steps = _stream(spark, sf).select("run_id", F.floor(F.col("t") / F.lit(3 * DAY)).alias("sim_time"), F.col("topic").alias("source"), F.col("t").alias("system_time"))
-    judged = tail.replay(sync.sync_check_stream(steps, "run_id", 5, step=1, tolerance=DAY)).where("not incomplete")
+    judged = tail.replay(sync.sync_check_stream(steps, "run_id", 5, step=1, tolerance=DAY), wall_clock=True).where("not incomplete")
     return judged.withColumnRenamed("sim_time", "step")
 
 
@@ -72,7 +72,7 @@ def step_sync_wrong_clock(spark, sf):
     steps = _stream(spark, sf).join(first, "run_id").select(
         "run_id", (F.floor(F.col("t") / F.lit(3 * DAY)) + F.when(F.col("seq") == F.col("wrong"), 1_000_000).otherwise(0)).alias("sim_time"),
         F.col("topic").alias("source"), F.col("t").alias("system_time"))
-    judged = tail.replay(sync.sync_check_stream(steps, "run_id", 5, step=1, tolerance=DAY, late=3))
+    judged = tail.replay(sync.sync_check_stream(steps, "run_id", 5, step=1, tolerance=DAY, late=3), wall_clock=True)
     return judged.withColumnRenamed("sim_time", "step")
 
 

@@ -11,10 +11,15 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators import rolling
 from ..operators.ordered import names
 
+# state with keys, timers and a time to live needs this provider
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+DAY_MS = 86_400_000
+
 
 def complete_steps(steps: DataFrame, by, n_sources: int) -> DataFrame:
     """Steps that all sources reported, with the first and last system time."""
@@ -52,50 +57,118 @@ def missing_steps(steps: DataFrame, by, step: float, tolerance: float) -> DataFr
     return filled.where("filler").drop("filler")
 
 
-def sync_check_stream(steps: DataFrame, by, n_sources: int, step: int = 100, tolerance: int = 10, *, late: int = 60_000) -> DataFrame:
+class StepJudge(StatefulProcessor):
+    """State of one entity: a map from open step to the reports for it, and the marks that say what is closed.
+
+    A batch reads and writes only the steps that it reports and their neighbours. The other open steps are looked
+    through only when the newest confirmed step leaves the oldest of them behind, or a step far ahead waits.
+    """
+
+    def __init__(self, columns: list[str], n_sources: int, step: int, tolerance: int, late: int, silence_ms: int):
+        self.columns, self.n_sources, self.step, self.tolerance, self.late, self.silence_ms = columns, n_sources, step, tolerance, late, silence_ms
+        self.confirmed = min(2, n_sources)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        # what a timer should have given up is dropped a day later at the latest
+        self.open = handle.getMapState("open", "sim_time long", "sources array<string>, times array<long>", ttlDurationMs=self.silence_ms + DAY_MS)
+        self.marks = handle.getValueState("marks", "newest long, closed long, oldest long, ahead boolean, timer long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        newest, closed, oldest, ahead, timer = self.marks.get() if self.marks.exists() else (None, None, None, False, None)
+        earlier, now = {}, {}
+        for part in rows:
+            for sim, source, system in zip(part["sim_time"].tolist(), part["source"].tolist(), part["system_time"].tolist()):
+                if sim not in now:
+                    earlier[sim] = self._reports(sim)
+                    if earlier[sim] is None and closed is not None and sim <= closed:
+                        continue
+                    now[sim] = dict(earlier[sim] or {})
+                if source not in (earlier[sim] or {}):              # what came in an earlier batch was first
+                    now[sim][source] = min(system, now[sim].get(source, system))
+        for sim in list(now):
+            for neighbour in (sim - self.step, sim + self.step):
+                if neighbour not in now and (found := self._reports(neighbour)) is not None:
+                    now[neighbour] = earlier[neighbour] = found
+        out, done = [], set()
+        for sim in sorted(now):
+            here, following = now[sim], now.get(sim + self.step, {})
+            if len(here) == self.n_sources and len(following) == self.n_sources:
+                first_next, last_here = min(following.values()), max(here.values())
+                out.append([*key, sim, first_next, last_here, first_next - last_here, first_next - last_here > -self.tolerance, False])
+                done.add(sim)
+        sure = [s for s, v in now.items() if len(v) >= self.confirmed]
+        newest = max([*sure, *([newest] if newest is not None else [])], default=None)
+        for sim, reports in now.items():
+            if sim in done:
+                if earlier[sim] is not None:
+                    self.open.removeKey((sim,))
+            elif reports != earlier[sim]:
+                self.open.updateValue((sim,), (list(reports), list(reports.values())))
+        left = [s for s in now if s not in done]
+        oldest = min([*left, *([oldest] if oldest is not None else [])], default=None)
+        ahead = ahead or any(newest is None or s > newest for s in left)
+        if newest is not None:
+            if (oldest is not None and oldest < newest - self.late) or ahead:
+                lost, oldest, ahead = self._left_behind(newest, {s for s, v in earlier.items() if v is None})
+                out += [[*key, s, None, None, None, None, True] for s in lost]
+            closed = max([newest - self.late, *([closed] if closed is not None else [])])
+        if timer is not None:
+            self.handle.deleteTimer(timer)
+        timer = timerValues.getCurrentProcessingTimeInMs() + self.silence_ms
+        self.handle.registerTimer(timer)
+        self.marks.update((newest, closed, oldest, ahead, timer))
+        yield self._frame(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        """All sources of the entity fell silent: what is open is given up."""
+        lost = sorted(s for s, in self.open.keys())
+        self.open.clear()
+        if self.marks.exists():
+            newest, closed, _, _, _ = self.marks.get()
+            self.marks.update((newest, max([*lost, *([closed] if closed is not None else [])], default=None), None, False, None))
+        yield self._frame([[*key, s, None, None, None, None, True] for s in lost])
+
+    def close(self) -> None:
+        pass
+
+    def _reports(self, sim: int) -> dict[str, int] | None:
+        found = self.open.getValue((sim,)) if self.open.containsKey((sim,)) else None
+        return None if found is None else dict(zip(*found))
+
+    def _left_behind(self, newest: int, fresh: set[int]) -> tuple[list[int], int | None, bool]:
+        """Gives up steps; returns them, the oldest step that stays and whether one is ahead of the newest."""
+        lost, oldest, ahead = [], None, False
+        for (sim,), (sources, _) in list(self.open.iterator()):
+            if sim < newest - self.late or (len(sources) < self.confirmed and sim > newest + self.late and sim not in fresh):
+                lost.append(sim)
+                self.open.removeKey((sim,))
+            else:
+                oldest = sim if oldest is None else min(oldest, sim)
+                ahead = ahead or sim > newest
+        return sorted(lost), oldest, ahead
+
+    def _frame(self, rows: list[list]) -> pd.DataFrame:
+        frame = pd.DataFrame(rows, columns=self.columns)
+        return frame.astype({"first_next": "Int64", "last_here": "Int64", "lag": "Int64", "synced": "boolean", "incomplete": "boolean"})
+
+
+def sync_check_stream(steps: DataFrame, by, n_sources: int, step: int = 100, tolerance: int = 10, *, late: int = 60_000,
+                      silence_ms: int = 3_600_000) -> DataFrame:
     """The same check on a stream: a pair of steps is emitted when both are complete.
 
-    State per entity holds the steps still open. A step is closed when its pair was judged. One whose
-    sim_time is `late` behind the newest is given up, so state stays bounded when a source stops: it is emitted
+    State per entity holds the steps still open, each under a key of its own. A step is closed when its pair was judged.
+    One whose sim_time is `late` behind the newest is given up, so state stays bounded when a source stops: it is emitted
     with `incomplete` true and without a verdict. The newest step is one that at least two sources have reported (where there
     are two), so a single time stamp that is wrong gives up nothing; such a step itself is given up when it lies
-    `late` away from all that two sources reported since. A report for a step that was closed opens it no more.
+    `late` away from all that two sources reported since. A report for a step that was closed opens it no more. An entity
+    without any report for `silence_ms` of wall-clock time has all its open steps given up by a timer, and its map of steps has a
+    time to live, so entities that end leave no steps behind.
     """
     keys = names(by)
+    steps.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     key_types = ", ".join(f"`{k}` {steps.schema[k].dataType.simpleString()}" for k in keys)
     out = f"{key_types}, sim_time long, first_next long, last_here long, lag long, synced boolean, incomplete boolean"
-    confirmed = min(2, n_sources)
-
-    def judge(key, batches, state):
-        opened, newest, closed = {}, None, None
-        if state.exists:
-            sims, sources, times, newest, closed = state.get
-            opened = {s: dict(zip(a, b)) for s, a, b in zip(sims, sources, times)}
-        before = {s: set(v) for s, v in opened.items()}
-        rows_out = []
-        for rows in batches:
-            for sim, source, system in zip(rows["sim_time"].tolist(), rows["source"].tolist(), rows["system_time"].tolist()):
-                if closed is not None and sim <= closed and sim not in opened:
-                    continue
-                seen = opened.setdefault(sim, {})
-                if source not in before.get(sim, ()):           # what came in an earlier batch was first
-                    seen[source] = min(system, seen.get(source, system))
-        for sim in sorted(opened):
-            here, following = opened[sim], opened.get(sim + step, {})
-            if len(here) == n_sources and len(following) == n_sources:
-                first_next, last_here = min(following.values()), max(here.values())
-                rows_out.append([*key, sim, first_next, last_here, first_next - last_here, first_next - last_here > -tolerance, False])
-        done = {row[len(key)] for row in rows_out}
-        sure = [s for s, v in opened.items() if len(v) >= confirmed]
-        newest = max([*sure, *([newest] if newest is not None else [])], default=None)
-        lost = [] if newest is None else [s for s, v in opened.items() if s not in done and (s < newest - late or (len(v) < confirmed and s > newest + late and s in before))]
-        rows_out += [[*key, s, None, None, None, None, True] for s in sorted(lost)]
-        if newest is not None:
-            closed = max([newest - late, *([closed] if closed is not None else [])])
-        opened = {s: v for s, v in opened.items() if s not in done and s not in lost}
-        state.update((list(opened), [list(v) for v in opened.values()], [list(v.values()) for v in opened.values()], newest, closed))
-        frame = pd.DataFrame(rows_out, columns=[*keys, "sim_time", "first_next", "last_here", "lag", "synced", "incomplete"])
-        yield frame.astype({"first_next": "Int64", "last_here": "Int64", "lag": "Int64", "synced": "boolean", "incomplete": "boolean"})
-
-    return steps.groupBy(*keys).applyInPandasWithState(
-        judge, out, "sims array<long>, sources array<array<string>>, times array<array<long>>, newest long, closed long", "append", "NoTimeout")
+    columns = [*keys, "sim_time", "first_next", "last_here", "lag", "synced", "incomplete"]
+    judge = StepJudge(columns, n_sources, step, tolerance, late, silence_ms)
+    return steps.groupBy(*keys).transformWithStateInPandas(judge, out, "Append", "ProcessingTime")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,17 +12,19 @@ from pyspark.sql import functions as F
 from ..operators.ordered import names
 from ..session import shared_dir, written
 from ..sources.logs import step_lines
+from ..sources.sinks import uri
+from .appended import AppendedLines
 
 
 def tail_lines(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """New lines of the files in a folder, with the file they come from."""
-    rows = spark.readStream.option("pathGlobFilter", pattern).text(folder)
-    return rows.select(F.col("_metadata.file_path").alias("file"), "value")
+    """Lines of the files in a folder as they come, those appended to known files too: file, at (byte) and value."""
+    spark.dataSource.register(AppendedLines)
+    return spark.readStream.format("appended_lines").options(path=uri(folder), pattern=pattern).load()
 
 
-def tail_steps(spark: SparkSession, folder: str, component: Column, by: list[Column]) -> DataFrame:
+def tail_steps(spark: SparkSession, folder: str, component: Column, by: list[Column], pattern: str = "*") -> DataFrame:
     """Step lines of a folder of tool logs as sim_time, source and system_time."""
-    lines = tail_lines(spark, folder).select(*by, component.alias("source"), "value")
+    lines = tail_lines(spark, folder, pattern).select(*by, component.alias("source"), "value")
     return step_lines(lines, [c for c in lines.columns if c != "value"], "value")
 
 
@@ -53,14 +57,33 @@ def state_sessions(rows: DataFrame, by, ts: str, holds: Column, gap: str, late:
     return grouped.select(*names(by), F.col("w.start").alias("from"), F.col("w.end").alias("to"), "n")
 
 
-def replay(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a stream over everything there is and read back what it wrote.
+def replay(stream: DataFrame, mode: str = "append", base: str | None = None, wall_clock: bool = False) -> DataFrame:
+    """Run a stream over everything there is and read back all it has written so far.
 
-    Output and progress go to a new folder of the shared folder, so a lost executor or driver resumes
-    from the last finished batch.
+    Output and progress go to `base`, a new folder of the shared folder where none is given, so a lost executor or driver
+    resumes from the last finished batch, and a later call with the same folder goes on behind it. With `wall_clock`, for
+    streams with timers of wall-clock time, there are no batches without new rows, as those would never end: such timers fire
+    with the next rows.
     """
     spark = stream.sparkSession
-    base = written(spark, f"{shared_dir(spark)}/replay-{uuid.uuid4().hex}")
+    with _setting(spark, "spark.sql.streaming.noDataMicroBatches.enabled", str(not wall_clock).lower()):
+        return _replayed(stream, mode, base)
+
+
+@contextmanager
+def _setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A setting for what is started inside."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def _replayed(stream: DataFrame, mode: str, base: str | None) -> DataFrame:
+    spark = stream.sparkSession
+    base = base or written(spark, f"{shared_dir(spark)}/replay-{uuid.uuid4().hex}")
     if mode == "append":
         started = stream.writeStream.format("parquet").option("checkpointLocation", f"{base}/progress").trigger(
             availableNow=True).start(f"{base}/rows")

@@ -13,7 +13,7 @@ def test_step_logs_as_a_stream_equal_the_batch(spark, tmp_path):
         (tmp_path / f"{tool}.log").write_text("\n".join(["noise", *lines, lines[0]]) + "\n")
     component = F.regexp_extract("file", r"([a-z]+)\.log$", 1)
     stream = tail.tail_steps(spark, str(tmp_path), component, [F.lit(1).alias("run")])
-    live = tail.replay(sync.sync_check_stream(stream, "run", len(tools))).where("not incomplete")
+    live = tail.replay(sync.sync_check_stream(stream, "run", len(tools)), wall_clock=True).where("not incomplete")
     rows = spark.read.text(str(tmp_path)).select(F.col("_metadata.file_path").alias("file"), "value")
     from roadlog.sources.logs import step_lines
 
@@ -36,7 +36,7 @@ def test_sync_state_survives_batches(spark, tmp_path):
         df.coalesce(1).write.mode("append").parquet(str(source))
     schema = "run long, sim_time long, source string, system_time long"
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(source))
-    got = sorted((r.sim_time, r.lag, r.synced) for r in tail.replay(sync.sync_check_stream(stream, "run", 2)).collect())
+    got = sorted((r.sim_time, r.lag, r.synced) for r in tail.replay(sync.sync_check_stream(stream, "run", 2), wall_clock=True).collect())
     assert got == [(0, 93, True), (100, 100, True)]
 
 
@@ -49,7 +49,7 @@ def test_a_wrong_time_stamp_gives_up_nothing(spark, tmp_path):
         df.coalesce(1).write.mode("append").parquet(str(source))
     schema = "run long, sim_time long, source string, system_time long"
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(source))
-    got = sorted((r.sim_time, r.synced, r.incomplete) for r in tail.replay(sync.sync_check_stream(stream, "run", 2, late=250)).collect())
+    got = sorted((r.sim_time, r.synced, r.incomplete) for r in tail.replay(sync.sync_check_stream(stream, "run", 2, late=250), wall_clock=True).collect())
     # 200 never met its partner in time and 100 no complete follower; the far step was given up alone
     assert got == [(0, True, False), (100, None, True), (200, None, True), (500, True, False), (10**12, None, True)]
 
@@ -85,3 +85,108 @@ def test_two_second_batches_fill_gaps(spark, tmp_path):
     finally:
         running.stop()
     assert sorted(r.sim_time for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [200, 500]
+
+
+def _replayed(spark, folder, base):
+    return sorted((r.file.rsplit("/", 1)[-1], r.value) for r in tail.replay(tail.tail_lines(spark, str(folder)), base=str(base)).collect())
+
+
+def test_tail_follows_appended_rotated_and_truncated_files(spark, tmp_path):
+    logs, base = tmp_path / "logs", tmp_path / "replay"
+    logs.mkdir()
+    (logs / "a.log").write_text("a1\na2\nunfin")
+    (logs / "b.log").write_text("b1\r\n")
+    (logs / "empty.log").write_text("")
+    assert _replayed(spark, logs, base) == [("a.log", "a1"), ("a.log", "a2"), ("b.log", "b1")]
+    assert len(_replayed(spark, logs, base)) == 3                                   # nothing new
+    with (logs / "a.log").open("a") as f:
+        f.write("ished\na4\n")
+    (logs / "b.log").rename(logs / "b.log.1")                                       # rotated, and both go on
+    with (logs / "b.log.1").open("a") as f:
+        f.write("b2\n")
+    (logs / "b.log").write_text("new b1\n")
+    second = _replayed(spark, logs, base)
+    assert second == [("a.log", x) for x in ("a1", "a2", "a4", "unfinished")] + [("b.log", "b1"), ("b.log", "new b1"), ("b.log.1", "b2")]
+    (logs / "a.log").write_text("a1\n")                                             # cut off: read again from its start
+    (logs / "b.log").unlink()
+    assert sorted(set(_replayed(spark, logs, base)) - set(second)) == [] and _replayed(spark, logs, base).count(("a.log", "a1")) == 2
+
+
+def test_splits_of_a_file_lose_no_line(tmp_path):
+    from roadlog.streaming.appended import AppendedReader, read_before
+
+    text = "".join(f"{'x' * (k % 13)}{k}\n" for k in range(400))
+    (tmp_path / "a.log").write_text(text)
+    for split in (1, 7, 64, 10_000):
+        reader = AppendedReader({"path": tmp_path.as_uri(), "splitBytes": str(split)})
+        got = [v for part in reader.partitions({}, reader.latestOffset()) for batch in reader.read(part) for v in batch.column(2).to_pylist()]
+        assert got == text.split("\n")[:-1]
+    same = {"first": 1, "end": 5}
+    assert read_before({"a": same}, {"a": {"first": 1, "end": 9}}) == {"a": 5}
+    assert read_before({"a": same}, {"a": {"first": 2, "end": 9}}) == {"a": 0}
+    assert read_before({"a": same}, {"a.1": {"first": 1, "end": 9}, "a": {"first": 2, "end": 3}}) == {"a.1": 5, "a": 0}
+
+
+def test_lines_that_are_gone(tmp_path):
+    import pytest
+    from roadlog.streaming.appended import AppendedReader
+
+    (tmp_path / "a.log").write_text("one\ntwo\n")
+    for strict in ("true", "false"):
+        reader = AppendedReader({"path": tmp_path.as_uri(), "failOnDataLoss": strict})
+        (part,) = reader.partitions({}, {str(tmp_path / "a.log"): {"first": 5, "end": 8}})
+        if strict == "true":
+            with pytest.raises(OSError):
+                list(reader.read(part))
+        else:
+            assert list(reader.read(part)) == []
+
+
+def test_appending_again_leaves_one_copy(spark, tmp_path):
+    from roadlog.sources import sinks
+
+    rows = spark.createDataFrame([("a.log", k, f"line {k}") for k in range(50)], "file string, t long, value string")
+    sinks.append_lines(rows.where("t < 20"), str(tmp_path), "file", ["t"], "value")
+    with (tmp_path / "a.log").open("a") as f:
+        f.write("half a line of a try that was lost")
+    size = len("".join(f"line {k}\n" for k in range(20)))
+    from pyarrow import fs
+
+    with sinks._reopened(fs.LocalFileSystem(), str(tmp_path / "a.log"), size) as out:
+        out.write(b"line 20\n")
+    assert (tmp_path / "a.log").read_text() == "".join(f"line {k}\n" for k in range(21))
+
+
+def test_step_state_stays_small(spark, tmp_path):
+    """Ten thousand steps, one source stops half way: open steps stay within `late` of the newest."""
+    source = tmp_path / "steps"
+    rows = spark.range(10_000).select(F.lit(7).cast("long").alias("run"), (F.col("id") * 100).alias("sim_time"), F.explode(F.array(*[F.lit(x) for x in "abc"])).alias("source"),
+                                      (F.col("id") * 100 + 5).alias("system_time")).where("source <> 'c' OR sim_time < 500000")
+    for part in range(4):
+        rows.where((F.col("sim_time") >= part * 250_000) & (F.col("sim_time") < (part + 1) * 250_000)).coalesce(1).write.mode("append").parquet(str(source))
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(source))
+    judged = sync.sync_check_stream(stream, "run", 3, late=5_000)
+    with tail._setting(spark, "spark.sql.streaming.noDataMicroBatches.enabled", "false"):
+        query = judged.writeStream.format("memory").queryName("steps_judged").option("checkpointLocation", str(tmp_path / "progress")).trigger(availableNow=True).start()
+        query.awaitTermination(60)
+    sizes = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert len(sizes) >= 4 and max(sizes) <= 200
+    found = spark.table("steps_judged").groupBy("incomplete").count().collect()
+    assert {r.incomplete: r["count"] for r in found} == {False: 4999, True: 4950}
+
+
+def test_silent_entity_is_given_up(spark, tmp_path):
+    import time
+
+    source = tmp_path / "steps"
+    schema = "run long, sim_time long, source string, system_time long"
+    write = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(source))
+    write([(7, 0, "a", 1), (7, 0, "b", 2), (7, 100, "a", 101), (8, 0, "a", 5)])
+    judged = sync.sync_check_stream(spark.readStream.schema(schema).parquet(str(source)), "run", 2, silence_ms=1_000)
+    first = tail.replay(judged, base=str(tmp_path / "replay"), wall_clock=True)
+    assert first.count() == 0
+    time.sleep(1.5)
+    write([(9, 0, "a", 1)])
+    judged = sync.sync_check_stream(spark.readStream.schema(schema).parquet(str(source)), "run", 2, silence_ms=1_000)
+    second = tail.replay(judged, base=str(tmp_path / "replay"), wall_clock=True)
+    assert sorted((r.run, r.sim_time, r.incomplete) for r in second.collect()) == [(7, 0, True), (7, 100, True), (8, 0, True)]
