@@ -32,7 +32,7 @@ LEAST_DOCS = 10
 TOP = 10
 UNIT = 1_000_000_000
 SLICE_BYTES = 8 << 20
-CELLS = 1_000_000
+CELLS = 100_000
 LONG_WORD = 64
 
 _LETTERS = np.array([b if b >= 0x80 or chr(b).isalpha() else 0 for b in range(256)], np.uint8)
