@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import json
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .sequential import _entities
-from .ordered import for_python, names
+from . import sequential
+from .ordered import Ordered, gridded, names
 
 
 def anchored_windows(df: DataFrame, by, t: str, *, slot: int, length: int) -> DataFrame:
@@ -16,31 +17,46 @@ def anchored_windows(df: DataFrame, by, t: str, *, slot: int, length: int) -> Da
 
     The first event opens a window; the first event at least `length` slots after the opening one
     opens the next. Time counts in whole slots (the logs have seconds), so rows are first counted per
-    entity and slot: what reaches one task per entity is at most the recording's number of slots, no
-    matter how many rows there are. The last window has closed = false.
+    entity and slot; rows without a time belong to no window. The last window has closed = false.
+
+    Where a window opens follows from the slot of the one before alone. A chunk of a long recording is therefore summarised by
+    the last opening that each of its first `length` slots leads to; with the openings known, a slot's window is the last
+    opening before it, and windows are counted like any group.
     """
     keys = names(by)
-    counted = df.groupBy(*keys, F.floor(F.col(t) / F.lit(slot)).alias("slot")).agg(F.count(F.lit(1)).alias("c"))
-    schema = T.StructType([df.schema[k] for k in keys] + [
-        T.StructField("start", T.LongType()), T.StructField("n", T.LongType()), T.StructField("closed", T.BooleanType())])
-
-    def cut(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, bounds = _entities(rows, keys, ["slot"])
-        slots, counts, out = rows["slot"].tolist(), rows["c"].tolist(), []
-        for low, high in bounds:
-            start, n = slots[low], 0
-            for place in range(low, high):
-                if slots[place] >= start + length:
-                    out.append([low, start, n, True])
-                    start, n = slots[place], 0
-                n += counts[place]
-            out.append([low, start, n, False])
-        made = pd.DataFrame(out, columns=["at", "start", "n", "closed"])
-        for key in keys:
-            made[key] = rows[key].to_numpy()[made["at"].to_numpy()] if len(made) else []
-        return made[[f.name for f in schema.fields]]
-
-    # several entities go to Python together
-    groups = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    packed = counted.withColumn("__group", F.pmod(F.xxhash64(*keys), F.lit(groups)))
-    return for_python(packed, "__group").groupBy("__group").applyInPandas(cut, schema)
+    timed = df.where(F.col(t).isNotNull())
+    counted = timed.groupBy(*keys, F.floor(F.col(t) / F.lit(slot)).cast("long").alias("slot")).agg(F.count(F.lit(1)).alias("c"))
+    with gridded(timed, by, t, slot, "slot", 1):
+        opened = sequential.scan(
+            counted, by, "slot", (), "slot long, c long, opens long", run=lambda rows, last: _openings(rows["slot"], last, length),
+            summarise=lambda rows: _summary(rows["slot"], length), enter=lambda text, last: _enter(text, last, length), start=None)
+        windows = Ordered.of(opened, by, "slot").running(start=("last", "opens")).df.groupBy(*keys, "start").agg(F.sum("c").alias("n"))
+        followed = Ordered.of(windows.withColumn("slot", F.col("start")), by, "slot").next(__next="start").df
+    return followed.select(*keys, "start", "n", F.col("__next").isNotNull().alias("closed"))
+
+
+def _openings(slots: np.ndarray, last: int | None, length: int):
+    """All places, and the slots of those that open a window, after a window that opened at `last`."""
+    opens = np.full(len(slots), None, dtype=object)
+    at = 0 if last is None else int(np.searchsorted(slots, last + length))
+    while at < len(slots):
+        opens[at] = slots[at]
+        at = int(np.searchsorted(slots, slots[at] + length))
+    return np.arange(len(slots)), {"opens": opens}
+
+
+def _summary(slots: np.ndarray, length: int) -> str:
+    """The slots with events among the chunk's first `length` and the one behind these, each with the last opening it leads to."""
+    after = np.searchsorted(slots, slots + length).tolist()
+    last = slots.tolist()
+    for at in range(len(last) - 1, -1, -1):
+        if after[at] < len(last):
+            last[at] = last[after[at]]
+    entries = int(np.searchsorted(slots, slots[0] + length)) + 1
+    return json.dumps([slots[:entries].tolist(), last[:entries]])
+
+
+def _enter(text: str, last: int | None, length: int) -> int:
+    slots, leads = json.loads(text)
+    at = 0 if last is None else int(np.searchsorted(slots, last + length))
+    return leads[at] if at < len(slots) else last

@@ -94,7 +94,8 @@ _PLANS: ContextVar[tuple[Plan, ...]] = ContextVar("plans", default=())
 def planned(log: Callable[[], DataFrame], by, t: str) -> Iterator[None]:
     """Operators built inside take the chunk width of this log, which is measured once at most.
 
-    `log` has the entities and times of the rows from which all tables used inside are derived without more rows.
+    `log` has the entities and times of the rows from which all tables used inside are derived without more rows; for
+    grids over it see `gridded`.
     """
     token = _PLANS.set((Plan(log, names(by), t), *_PLANS.get()))
     try:
@@ -103,6 +104,39 @@ def planned(log: Callable[[], DataFrame], by, t: str) -> Iterator[None]:
         _PLANS.reset(token)
 
 
+class Grid(Plan):
+    """The chunk width of a grid over the tracks of a log: its rows are as far apart as the grid is wide."""
+
+    def __init__(self, log: Callable[[], DataFrame], by: Sequence[str], t: str, step: float, name: str, unit: float):
+        super().__init__(log, by, t)
+        self.step, self.name, self.unit = step, name, unit
+
+    def fits(self, df: DataFrame, by: Sequence[str], t: str) -> bool:
+        return t == self.name and set(self.by) <= set(by)
+
+    def width(self) -> float | None:
+        if not self._width:
+            budget = row_budget(self.log)
+            spans = self.log.groupBy(*self.by).agg((F.max(self.t) - F.min(self.t)).alias("__span"))
+            longest = spans.agg(F.max("__span")).first()[0]
+            self._width.append(None if longest is None or longest <= budget * self.step else budget * self.unit)
+        return self._width[0]
+
+
+@contextmanager
+def gridded(log: DataFrame, by, t: str, step: float, name: str = "t", unit: float | None = None) -> Iterator[None]:
+    """Operators built inside order a grid of `step` over the tracks of a log by the column `name`.
+
+    The grid has more rows than the log, so the log's own width is none for it, and it is not made a second time to be counted: a
+    chunk has as many grid points as the budget. `unit` is how far `name` advances from a grid point to the next.
+    """
+    token = _PLANS.set((Grid(lambda: log, names(by), t, step, name, step if unit is None else unit), *_PLANS.get()))
+    try:
+        yield
+    finally:
+        _PLANS.reset(token)
+
+
 def chunk_width(df: DataFrame, by: Sequence[str], t: str) -> float | None:
     """Width of the time chunks that keep every (entity, chunk) near the row budget; None when nothing is cut.
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -58,22 +60,30 @@ def drop_null_fields(df: DataFrame, check_values: bool = False) -> DataFrame:
     return df.select(*kept)
 
 
-def copy_tables(spark, steps: list[tuple[str, str, list[Mapping]]], read, write) -> list[tuple[str, str]]:
-    """Run one read, map, resolve and write step per table; a failing table does not stop the others.
+def copy_tables(spark, steps: list[tuple[str, str, list[Mapping]]], read, write, at_once: int = 8) -> list[tuple[str, str]]:
+    """Run one read, map, resolve and write step per table, several `at_once`; a failing table does not stop the others.
 
-    Returns (table, "ok" or the error text). A target named twice is written once.
+    Returns (table, "ok" or the error text) in the order of the steps. A target named twice is written once. Each step has a
+    scheduler pool of its own, so with fair scheduling a long step does not hold up the short ones.
     """
-    status, done = [], set()
+    first: dict[str, tuple] = {}
     for source, target, mappings in steps:
-        if target in done:
-            continue
-        done.add(target)
+        first.setdefault(target, (source, mappings))
+
+    @inheritable_thread_target(spark)
+    def run(target: str) -> tuple[str, str]:
+        source, mappings = first[target]
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"copy-{target}")
         try:
             write(drop_null_fields(apply_mapping(read(spark, source), mappings)), target)
-            status.append((target, "ok"))
+            return target, "ok"
         except Exception as error:  # noqa: BLE001 - the status table carries the reason
-            status.append((target, str(error).splitlines()[0]))
-    return status
+            return target, str(error).splitlines()[0]
+        finally:
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", None)
+
+    with ThreadPoolExecutor(at_once) as pool:
+        return list(pool.map(run, first))
 
 
 def flatten_pairs(df: DataFrame, keys: list[str], text: str, fields: list[str], line: str = "\n", pair: str = ":") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .asof import asof_join
-from .ordered import Ordered, for_python, names
+from .ordered import Ordered, for_python, gridded, names
 
 SPLINE_ROWS, SPLINE_HALO = 192, 48
 MERGE_FEET = 3.28           # fixed value: feet per metre in the distance of a lane merge
@@ -121,7 +121,7 @@ def resample_spline(df: DataFrame, by, t: str, tie, columns: list[str], step: fl
 
 
 def zone_times(track: DataFrame, by, t: str, tie, inside: Column) -> DataFrame:
-    """First time inside a zone and first time outside after that, per entity."""
+    """First time inside a zone and first time outside after that, per entity. For a resampled track see `gridded`."""
     keys = names(by)
     o = Ordered.of(track, by, t, tie).with_columns(__in=F.coalesce(inside, F.lit(False)))
     o = o.running(__enter=("min", F.when(F.col("__in"), F.col(t))))
@@ -183,11 +183,13 @@ def encroachment(vehicle: DataFrame, walker: DataFrame, by, t: str, tie, *, zone
     point = conflict_point(vehicle, walker, by, t, cell, tie).select(*keys, F.col("x").alias("__cx"), F.col("y").alias("__cy"))
     half = F.lit(zone / 2)
     inside = (F.abs(F.col("x") - F.col("__cx")) < half) & (F.abs(F.col("y") - F.col("__cy")) < half)
-    walk = zone_times(sample(walker, exit_step).join(point, keys), by, "t", (), inside).select(*keys, F.col("t_exit").alias("walker_exit"))
+    with gridded(walker, by, t, exit_step):
+        walk = zone_times(sample(walker, exit_step).join(point, keys), by, "t", (), inside).select(*keys, F.col("t_exit").alias("walker_exit"))
     fine = sample(vehicle, enter_step).join(point, keys)
     drive = fine.groupBy(*keys).agg(F.min(F.when(inside, F.col("t"))).alias("vehicle_enter"))
     times = drive.join(walk, keys).where("vehicle_enter is not null and walker_exit is not null")
-    o = Ordered.of(fine.select(*keys, "t", "x", "y"), by, "t").prev(__px="x", __py="y")
+    with gridded(vehicle, by, t, enter_step):
+        o = Ordered.of(fine.select(*keys, "t", "x", "y"), by, "t").prev(__px="x", __py="y")
     step = F.hypot(F.col("x") - F.col("__px"), F.col("y") - F.col("__py"))
     between = (F.col("t") > F.col("walker_exit")) & (F.col("t") < F.col("vehicle_enter"))
     left = o.df.join(times, keys).where(between).groupBy(*keys).agg(F.sum(step).alias("distance"))

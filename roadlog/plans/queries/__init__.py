@@ -11,6 +11,7 @@ CUT = [
     "hysteresis_changes", "drop_repeats", "interval_join", "group_stats", "describe", "box_numbers", "series_stats", "resample_linear", "interpolate_at",
     "segment_crossing", "conflict_scan", "nearest_point", "cross_track", "offset_search", "path_reached", "request_chain", "fill_gaps",
     "missing_durations", "message_frequency", "change_points", "last_before_code_change", "metrics_work_zone",
+    "zone_times", "sensor_accuracy", "anchored_windows",
 ]
 for _name in CUT:
     cut_twin(_name, 20)

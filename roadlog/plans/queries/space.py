@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ...functions import geo
 from ...operators import asof, matching, spatial, trajectory
-from ...operators.ordered import Ordered
+from ...operators.ordered import Ordered, gridded
 from ..registry import DAY, EV, H, load, messages, query
 
 RUN, T, SEQ = ["run_id"], "t", ["seq"]
@@ -166,8 +166,10 @@ WITH {_RS.replace('COND', 'view')}, a AS (SELECT run_id, gt, x + (nx - x) * ((gt
 e1 AS (SELECT run_id, min(gt) FILTER (x < 30) AS t_enter FROM a GROUP BY run_id)
 SELECT run_id, any_value(t_enter) AS t_enter, min(gt) FILTER (NOT x < 30 AND gt > t_enter) AS t_exit FROM a JOIN e1 USING (run_id) GROUP BY run_id""")
 def zone_times(spark, sf):
-    track = trajectory.resample_linear(_track(spark, sf, "view"), RUN, T, SEQ, ["x", "y"], DAY)
-    return trajectory.zone_times(track, RUN, "t", (), F.col("x") < 30)
+    track = _track(spark, sf, "view")
+    even = trajectory.resample_linear(track, RUN, T, SEQ, ["x", "y"], DAY)
+    with gridded(track, RUN, T, DAY):
+        return trajectory.zone_times(even, RUN, "t", (), F.col("x") < 30)
 
 
 @query("compass_crossing", "run_id:i direction:s t_cross:i", f"""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.units import MPS_TO_MPH
 from ..operators import rolling, spatial, trajectory
-from ..operators.ordered import Ordered, names
+from ..operators.ordered import Ordered, gridded, names
 from ..session import cut
 
 # fixed values: m, mph, degrees, Hz, percent
@@ -24,7 +24,8 @@ def matched_tracks(sensor: DataFrame, reference: DataFrame, by, t: str, tie, ste
     def grid(track):
         smooth = rolling.unwrap(track, by, t, tie, "heading", 360, 270).drop("heading").withColumnRenamed("unwrapped", "heading")
         even = trajectory.resample_linear(smooth, by, t, tie, columns, step)
-        return Ordered.of(even, by, "t").number("i").df
+        with gridded(track, by, t, step):
+            return Ordered.of(even, by, "t").number("i").df
 
     a, b = cut(grid(reference)), cut(grid(sensor))      # both are read by the search and by the match
     error = lambda r, s: F.hypot(r("x") - s("x"), r("y") - s("y"))

@@ -171,3 +171,22 @@ def test_cut_tables_can_be_cleared(spark):
     folder = table.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
     assert table.count() == 5 and os.path.isdir(folder)
     assert session.clear(spark) == 1 and not os.path.exists(folder)
+
+
+def test_copy_steps_overlap(spark, tmp_path):
+    """Two steps that wait for each other both end, a failing one stops neither, and statuses come in the order of the steps."""
+    import threading
+
+    meeting = threading.Barrier(2, timeout=30)
+
+    def read(s, name):
+        if name == "lost":
+            raise ValueError("no such table\nat all")
+        meeting.wait()
+        return s.range(3).select(F.col("id").alias("a"))
+
+    mappings = [reshape.Mapping("a", "long", "b", "string")]
+    steps = [("one", "x", mappings), ("lost", "y", mappings), ("two", "z", mappings), ("one", "x", mappings)]
+    status = reshape.copy_tables(spark, steps, read, lambda df, name: df.write.parquet(f"{tmp_path}/{name}"))
+    assert status == [("x", "ok"), ("y", "no such table"), ("z", "ok")]
+    assert spark.read.parquet(f"{tmp_path}/z").columns == ["b"]
