@@ -197,6 +197,70 @@ def offset_search(ref: DataFrame, sensor: DataFrame, by, idx: str, error, search
         *keys, F.col("__b.offset").cast("long").alias("offset"), F.col("__b.error").alias("error"))
 
 
+def _distance(a, b) -> Column:
+    return F.hypot(a("x") - b("x"), a("y") - b("y"))
+
+
+def offset_room(ref: DataFrame, sensor: DataFrame, by, search: int | None = None) -> DataFrame:
+    """by, offset, n: every row offset at which the whole sensor track lies inside the reference, and its rows."""
+    keys = names(by)
+    n_ref = ref.groupBy(*keys).agg(F.count(F.lit(1)).alias("__nr"))
+    n_sensor = sensor.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    free = F.col("__nr") - F.col("n")
+    room = null_safe_join(n_ref, n_sensor, keys).select(*keys, "n", (free if search is None else F.least(F.lit(search), free)).alias("__room"))
+    return room.where("__room > 0").select(*keys, "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__room").cast("long") - 1)).alias("offset"))
+
+
+def laid_errors(ref: DataFrame, sensor: DataFrame, offsets: DataFrame, by, idx: str) -> DataFrame:
+    """by, offset, error: the mean distance of the sensor track at the offsets given."""
+    keys = names(by)
+    moved = null_safe_join(sensor.select(*keys, idx, "x", "y"), offsets.select(*keys, "offset"), keys)
+    moved = moved.select(*keys, "offset", (F.col(idx) + F.col("offset")).alias("__i"), F.col("x").alias("__s_x"), F.col("y").alias("__s_y"))
+    laid = null_safe_join(moved, ref.select(*keys, F.col(idx).alias("__i"), "x", "y"), [*keys, "__i"])
+    return laid.groupBy(*keys, "offset").agg(F.avg(_distance(F.col, lambda c: F.col(f"__s_{c}"))).alias("error"))
+
+
+def offset_candidates(ref: DataFrame, sensor: DataFrame, by, idx: str, search: int | None = None, blocks: tuple[int, ...] = (64, 8)) -> DataFrame:
+    """by, offset: the offsets that can have the least mean distance.
+
+    The distance of two block sums is at most the sum of the distances of the blocks' rows. Sums of sensor blocks against
+    sums of the reference, which are differences of its running sums, so bound the error of an offset from below with a row per block in
+    place of one per row; what the best of them really has bounds the least error from above. Offsets bounded beyond that go, and the
+    rest is tried with finer blocks. Rows are numbered from 1 without holes; a block with a row without place bounds nothing.
+    """
+    keys = names(by)
+    left = cut(offset_room(ref, sensor, by, search))
+    gone = lambda: (F.col("x").isNull() | F.col("y").isNull()).cast("long")
+    sums = Ordered.of(ref.select(*keys, idx, "x", "y").withColumn("__gone", gone()), by, idx).running(
+        __px=("sum", "x"), __py=("sum", "y"), __pn=("sum", "__gone")).df.select(*keys, F.col(idx).alias("__at"), "__px", "__py", "__pn")
+    sums = cut(sums)
+    ends = lambda name: sums.select(*keys, F.col("__at").alias(f"__{name}"), F.struct(F.coalesce("__px", F.lit(0.0)).alias("x"),
+                                                                                       F.coalesce("__py", F.lit(0.0)).alias("y"), F.col("__pn").alias("n")).alias(name))
+    for size in blocks:
+        parts = sensor.groupBy(*keys, F.floor((F.col(idx) - 1) / F.lit(size)).alias("__k")).agg(
+            F.sum("x").alias("__sx"), F.sum("y").alias("__sy"), F.min(idx).alias("__lo"), F.max(idx).alias("__hi"), F.sum(gone()).alias("__sn"))
+        cells = null_safe_join(parts, left, keys).withColumns({"__before": F.col("__lo") + F.col("offset") - 1, "__last": F.col("__hi") + F.col("offset")})
+        met = null_safe_join(null_safe_join(cells, ends("last"), [*keys, "__last"]), ends("before"), [*keys, "__before"], "left")
+        part = lambda c: F.col(f"last.{c}") - F.coalesce(F.col(f"before.{c}"), F.lit(0))
+        whole = (F.col("__sn") == 0) & (part("n") == 0)
+        far = F.when(whole, F.hypot(F.col("__sx") - part("x"), F.col("__sy") - part("y"))).otherwise(0.0)
+        bound = cut(met.groupBy(*keys, "offset", "n").agg((F.sum(far) / F.col("n")).alias("least")))
+        likely = bound.groupBy(*keys).agg(F.min(F.struct("least", "offset"))["offset"].alias("offset"))
+        reached = laid_errors(ref, sensor, likely, by, idx).select(*keys, "error")
+        left = cut(null_safe_join(bound, reached, keys).where(F.col("error").isNull() | (F.col("least") <= F.col("error") * (1 + 1e-9) + 1e-9)).select(*keys, "offset", "n"))
+    return left
+
+
+def track_offset(ref: DataFrame, sensor: DataFrame, by, idx: str, search: int | None = None, blocks: tuple[int, ...] = (64, 8)) -> DataFrame:
+    """by, offset, error: the row offset at which a sensor track with x and y has the least mean distance from a reference track.
+
+    The answer of `offset_search` for the distance in the plane; only the offsets that block sums leave over are laid out row by row.
+    """
+    keys = names(by)
+    errors = laid_errors(ref, sensor, offset_candidates(ref, sensor, by, idx, search, blocks), by, idx)
+    return errors.groupBy(*keys).agg(F.min(F.struct("error", "offset")).alias("__b")).select(*keys, F.col("__b.offset").alias("offset"), F.col("__b.error").alias("error"))
+
+
 def danger_times(own: DataFrame, other: DataFrame, by, t: str, radius: float, tie=()) -> DataFrame:
     """For own path points, the times when the other track is closer than `radius`: own columns, t_from, t_to.
 

@@ -101,12 +101,15 @@ def segment_crossing(spark, sf):
     return out.withColumn("t_a", (F.col("t_a") - F.lit(1704067200000000)) / F.lit(float(H)))
 
 
-@query("offset_search", "run_id:i shift:i error:f", f"""
+_OFFSETS = f"""
 WITH {_P}, a AS (SELECT run_id, row_number() OVER {W} AS i, value AS x, CAST(k AS DOUBLE) AS y FROM ev WHERE topic <> 'view'),
 n AS (SELECT r.run_id, m - count(*) AS room FROM r JOIN (SELECT run_id, count(*) AS m FROM a GROUP BY run_id) c ON r.run_id = c.run_id GROUP BY r.run_id, m),
 o AS (SELECT run_id, unnest(range(0, greatest(room, 0))) AS shift FROM n),
 e AS (SELECT o.run_id, o.shift, avg(sqrt((a.x - r.x) ** 2 + (a.y - r.y) ** 2)) AS error FROM o JOIN r ON r.run_id = o.run_id JOIN a ON a.run_id = o.run_id AND a.i = r.place + o.shift GROUP BY ALL)
-SELECT run_id, shift, error FROM e QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY error, shift) = 1""")
+SELECT run_id, shift, error FROM e QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY error, shift) = 1"""
+
+
+@query("offset_search", "run_id:i shift:i error:f", _OFFSETS)
 def offset_search(spark, sf):
     rows = messages(spark, sf).where("topic <> 'view'")
     ref = _numbered(rows.select("run_id", "t", "seq", F.col("value").alias("x"), F.col("k").cast("double").alias("y")), "i").select("run_id", "i", "x", "y")
@@ -114,6 +117,14 @@ def offset_search(spark, sf):
     return spatial.offset_search(ref, sensor, RUN, "i", lambda a, b: F.hypot(a("x") - b("x"), a("y") - b("y"))).withColumnRenamed("offset", "shift")
 
 
+@query("track_offset", "run_id:i shift:i error:f", _OFFSETS)
+def track_offset(spark, sf):
+    rows = messages(spark, sf).where("topic <> 'view'")
+    ref = _numbered(rows.select("run_id", "t", "seq", F.col("value").alias("x"), F.col("k").cast("double").alias("y")), "i").select("run_id", "i", "x", "y")
+    sensor = _numbered(_track(spark, sf, "view"), "i").select("run_id", "i", "x", "y")
+    return spatial.track_offset(ref, sensor, RUN, "i", blocks=(4, 2)).withColumnRenamed("offset", "shift")
+
+
 @query("densify", "run_id:i place:i sample:i x:f y:f", f"""
 WITH {_P}, l AS (SELECT run_id, place, lag(x) OVER w AS px, lag(y) OVER w AS py, x, y FROM r WINDOW w AS (PARTITION BY run_id ORDER BY place)), s AS (SELECT unnest(range(1, 9)) AS sample)
 SELECT run_id, place, sample, (1 - sample / 9.0) * px + sample / 9.0 * x AS x, (1 - sample / 9.0) * py + sample / 9.0 * y AS y FROM l, s WHERE px IS NOT NULL""")

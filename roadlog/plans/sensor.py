@@ -28,8 +28,7 @@ def matched_tracks(sensor: DataFrame, reference: DataFrame, by, t: str, tie, ste
             return Ordered.of(even, by, "t").number("i").df
 
     a, b = cut(grid(reference)), cut(grid(sensor))      # both are read by the search and by the match
-    error = lambda r, s: F.hypot(r("x") - s("x"), r("y") - s("y"))
-    best = spatial.offset_search(a.select(*keys, "i", "x", "y"), b.select(*keys, "i", "x", "y"), by, "i", error, search)
+    best = spatial.track_offset(a.select(*keys, "i", "x", "y"), b.select(*keys, "i", "x", "y"), by, "i", search)
     moved = b.join(best, keys).select(*keys, (F.col("i") + F.col("offset")).alias("i"), "offset", *[F.col(c).alias(f"s_{c}") for c in columns])
     return a.join(moved, [*keys, "i"])
 

@@ -480,3 +480,22 @@ def test_samples_in_intervals(spark, mode):
     spans = spark.createDataFrame([(1, 2, 4, "a"), (1, 6, 6, "b"), (2, 0, 9, "c")], "id long, start long, end long, name string")
     got = rows_of(intervals.in_intervals(samples, spans, "id", "t", "seq", carry=("name",)).where("name is not null"), "t", "name")
     assert got == [(2, "a"), (3, "a"), (4, "a"), (6, "b")]
+
+
+def test_track_offset_lays_out_few_offsets(spark):
+    """A smooth track, a part of it with noise and gaps: the same offset as by all offsets, from few of them."""
+    rng = np.random.default_rng(4)
+    walk = np.cumsum(rng.normal(0, 1, (3000, 2)) + 0.5, axis=0)
+    part = walk[1234:2234] + rng.normal(0, 0.3, (1000, 2))
+    rows = lambda points, run: [(run, k, float(x), float(y)) for k, (x, y) in enumerate(points, 1)]
+    schema = "id long, i long, x double, y double"
+    ref = spark.createDataFrame(rows(walk, 1) + rows(walk[:50], 2), schema)
+    odd = [(1, k, None if k % 300 == 0 else x, y) for _, k, x, y in rows(part, 1)]
+    sensor = spark.createDataFrame(odd + rows(walk[7:40], 2), schema)
+    left = spatial.offset_candidates(ref, sensor, "id", "i").groupBy("id").count().collect()
+    assert {r.id: r["count"] for r in left}[1] <= 40
+    got = {r.id: (r.offset, round(r.error, 9)) for r in spatial.track_offset(ref, sensor, "id", "i").collect()}
+    assert got[1][0] == 1234 and got[2] == (7, 0.0)
+    some = ref.where("id = 2"), sensor.where("id = 2")
+    every = spatial.offset_search(*some, "id", "i", lambda a, b: F.hypot(a("x") - b("x"), a("y") - b("y"))).first()
+    assert (every.offset, round(every.error, 9)) == got[2]
