@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import json
+import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import side
@@ -13,6 +14,7 @@ from ..session import cut
 from .ordered import Ordered, names, null_safe_join
 
 LEAST_BLOCK = 64        # route points in the smallest block of a route
+FAN = 32                # boxes inside of a box of the next level
 FIRST_LEGS = 256        # legs of a path that are tried first for a crossing
 
 
@@ -20,17 +22,33 @@ def _cells(low: Column, high: Column, size: Column) -> Column:
     return F.sequence(F.floor(low / size), F.floor(high / size))
 
 
+def _around(x0: str, y0: str, x1: str, y1: str) -> list[Column]:
+    """The box around points or boxes, as aggregates."""
+    return [F.min(x0).alias("__x0"), F.max(x1).alias("__x1"), F.min(y0).alias("__y0"), F.max(y1).alias("__y1")]
+
+
+def _levels(points: int, fan: int) -> int:
+    """How many levels of boxes stand over the blocks of a route of so many points, beyond the first."""
+    rows = max(LEAST_BLOCK, math.ceil(math.sqrt(points)))
+    strips = math.ceil(math.sqrt(max(1, math.ceil(points / rows))))
+    blocks, levels = strips * (math.ceil(points / strips / rows) + 1), 0
+    while blocks > fan ** (levels + 1):
+        levels += 1
+    return levels
+
+
 def nearest_point(points: DataFrame, route: DataFrame, by, *, place: str, x: str = "x", y: str = "y",
-                  trim_ends: bool = False) -> DataFrame:
+                  trim_ends: bool = False, fan: int = FAN) -> DataFrame:
     """Points with the nearest route point of their entity (near_<place>, near_x, near_y, near_d).
 
     Equal distances go to the lower place. Points without a coordinate stay, with nulls; route points
     without one are no candidates; points of an entity without a route are left out. `trim_ends` blanks
     the match at the first and last route point, where the recording has not reached or has left the route.
 
-    A route lies in blocks of about the root of its length, made of points that lie together. A point is compared with the boxes of the blocks
-    first, then with the points of those blocks only that may hold the nearest one. So neither a row nor a
-    task has a whole long route, and all lengths take the same way. Equal points are looked up once.
+    A route lies in blocks of about the root of its length, made of points that lie together; `fan` blocks that are neighbours
+    have a box around them, and so on, until a route has no more than `fan` boxes. A point goes down these levels, from
+    boxes that may hold its nearest point to the boxes inside them, and is compared with the points of those blocks only that are
+    left. A row carries `fan` boxes at most, and neither a row nor a task has a whole long route. Equal points are looked up once.
     """
     keys = names(by)
     at = [*keys, x, y]
@@ -43,19 +61,32 @@ def nearest_point(points: DataFrame, route: DataFrame, by, *, place: str, x: str
     across_x = null_safe_join(Ordered.of(known, by, x, [y, place]).number("__nx").df, sizes, keys)
     strip = across_x.withColumn("__strip", F.floor((F.col("__nx") - 1) * strips / F.col("__size")))
     numbered = Ordered.of(strip, [*keys, "__strip"], y, [x, place]).number("__ny").df
-    block = F.struct("__strip", F.floor((F.col("__ny") - 1) / block_rows).alias("n"))
-    blocks = numbered.withColumn("__block", block).groupBy(*keys, "__block").agg(
-        F.collect_list(F.struct(place, x, y)).alias("__part"), F.min(x).alias("__x0"), F.max(x).alias("__x1"),
-        F.min(y).alias("__y0"), F.max(y).alias("__y1"))
-    boxes = blocks.groupBy(*keys).agg(F.collect_list(F.struct("__block", "__x0", "__x1", "__y0", "__y1")).alias("__boxes"))
+    per_strip = F.ceil(F.ceil(F.col("__size") / strips) / block_rows) + 1
+    block = F.col("__strip") * per_strip + F.floor((F.col("__ny") - 1) / block_rows)
+    blocks = numbered.withColumn("__id", block.cast("long")).groupBy(*keys, "__id").agg(F.collect_list(F.struct(place, x, y)).alias("__part"), *_around(x, y, x, y))
+    levels = _levels(sizes.agg(F.max("__size")).first()[0] or 0, fan)
+    blocks = cut(blocks) if levels else blocks
     outside = lambda v, low, high: F.greatest(low - v, v - high, F.lit(0.0))
     across = lambda v, low, high: F.greatest(F.abs(v - low), F.abs(v - high))
     reach = lambda f: lambda b: F.hypot(f(F.col(x), b["__x0"], b["__x1"]), f(F.col(y), b["__y0"], b["__y1"]))
+    near = F.explode(F.transform(F.filter("__boxes", lambda b: reach(outside)(b) <= F.col("__bound") * (1 + 1e-9) + 1e-9), lambda b: b["__id"]))
+
+    def boxes(level: int, within: Column | None) -> DataFrame:
+        """The boxes of a level, by the box of the next level that they are in."""
+        ids = blocks.withColumn("__id", F.floor(F.col("__id") / F.lit(fan ** level)))
+        own = ids.groupBy(*keys, "__id").agg(*_around("__x0", "__y0", "__x1", "__y1"))
+        parent = [] if within is None else [within.alias("__in")]
+        return own.groupBy(*keys, *parent).agg(F.collect_list(F.struct("__id", "__x0", "__x1", "__y0", "__y1")).alias("__boxes"))
+
     spots = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*at).distinct()
-    bounded = null_safe_join(spots, boxes, keys).withColumn("__bound", F.array_min(F.transform("__boxes", reach(across))))
-    near = F.filter("__boxes", lambda b: reach(outside)(b) <= F.col("__bound") * (1 + 1e-9) + 1e-9)
-    tried = bounded.select(*at, F.explode(F.transform(near, lambda b: b["__block"])).alias("__block"))
-    held = null_safe_join(tried, blocks.select(*keys, "__block", "__part"), [*keys, "__block"])
+    tried = null_safe_join(spots, boxes(levels, None), keys).withColumn("__bound", F.array_min(F.transform("__boxes", reach(across))))
+    tried = tried.select(*at, "__bound", near.alias("__id"))
+    for level in reversed(range(levels)):
+        inner = boxes(level, F.floor(F.col("__id") / F.lit(fan)))
+        met = null_safe_join(tried.withColumnRenamed("__id", "__in"), inner, [*keys, "__in"])
+        best = F.min(F.array_min(F.transform("__boxes", reach(across)))).over(Window.partitionBy(*at))
+        tried = met.withColumn("__bound", F.least("__bound", best)).select(*at, "__bound", near.alias("__id"))
+    held = null_safe_join(tried.drop("__bound"), blocks.select(*keys, "__id", "__part"), [*keys, "__id"])
     gap = lambda p: F.hypot(p[x] - F.col(x), p[y] - F.col(y))
     best = F.array_min(F.transform("__part", lambda p: F.struct(gap(p).alias("d"), p[place].alias("p"), p[x].alias("x"), p[y].alias("y"))))
     found = held.groupBy(*at).agg(F.min(best).alias("__b"))

@@ -499,3 +499,20 @@ def test_track_offset_lays_out_few_offsets(spark):
     some = ref.where("id = 2"), sensor.where("id = 2")
     every = spatial.offset_search(*some, "id", "i", lambda a, b: F.hypot(a("x") - b("x"), a("y") - b("y"))).first()
     assert (every.offset, round(every.error, 9)) == got[2]
+
+
+def test_nearest_point_through_levels_of_boxes(spark, monkeypatch):
+    """Boxes of two, so that a route of 700 points stands under several levels."""
+    monkeypatch.setattr(spatial, "LEAST_BLOCK", 4)
+    rng = np.random.default_rng(3)
+    path = np.round(np.cumsum(rng.normal(0, 1, (700, 2)), axis=0), 1)
+    spots = np.round(rng.normal(0, 15, (60, 2)), 1)
+    assert spatial._levels(700, 2) >= 3
+    route = spark.createDataFrame([(run, k, float(x), float(y)) for run, n in ((1, 700), (2, 9)) for k, (x, y) in enumerate(path[:n])], "id long, place long, x double, y double")
+    points = spark.createDataFrame([(run, k, float(x), float(y)) for run in (1, 2, 3) for k, (x, y) in enumerate(spots)], "id long, seq long, x double, y double")
+    got = {(r.id, r.seq): (r.near_place, round(r.near_d, 9)) for r in spatial.nearest_point(points, route, "id", place="place", fan=2).collect()}
+    for run, n in ((1, 700), (2, 9)):
+        for k, (x, y) in enumerate(spots):
+            far = np.hypot(path[:n, 0] - x, path[:n, 1] - y)
+            assert got[run, k] == (int(np.argmin(far)), round(float(far.min()), 9))
+    assert len(got) == 120
