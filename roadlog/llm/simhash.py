@@ -16,8 +16,10 @@ have too few blocks for that. Their keys are the first shingles in one order of
 that two similar sets always share a key; shingles that are frequent in a sample of the sets come last in that order, which decides how
 many sets share a key but not which pairs meet. Sets beyond `SHORT` that a set of `SHORT` may be similar to have both kinds of keys.
 
-Two sets that carry their shingles, as 32-bit hashes, are verified exactly. Other documents that share a key are verified by the Hamming distance of a fingerprint of 2048 bits, whose expected share of differing bits is the angle of the sets;
-its standard deviation is 0.8 hundredths, or 0.02 of similarity. Up to `bucket` documents of a key are joined in pairs. A larger
+Two sets that carry their shingles, as 32-bit hashes, are verified exactly. For other documents that share a key the Hamming distance of a fingerprint of
+2048 bits preselects: its expected share of differing bits is the angle of the sets, with a standard deviation of 0.8 hundredths, or 0.02 of similarity.
+Pairs `DEVIATIONS` of these from the threshold are decided by it. Those between stay open; where the sure links leave
+the two apart, the shingles of their texts are made again and decide exactly. Up to `bucket` documents of a key are joined in pairs. A larger
 group goes to tasks in pairs of pieces of about `PIECE` documents, so that every two of its documents meet in one; there they are searched
 from document to document, and those reached are not compared again, so a group of similar documents costs little more than its size.
 Keys with the same documents are compared once.
@@ -51,6 +53,8 @@ BLOCKS = 32
 PIECE = 4096
 SHORT = 128
 SAMPLE = 20_000
+DEVIATIONS = 3.5            # how far from the threshold wide fingerprints decide alone
+LOAD = 4_000_000            # shingles of an undecided group that go to one task, at most two such parts
 
 
 def shingles(text: str, size: int) -> list[bytes]:
@@ -131,6 +135,11 @@ def _hashes(text: str, size: int) -> np.ndarray:
     return np.unique(np.array([hashed(p, SEED) for p in shingles(text, size)], np.uint64))
 
 
+def _short(hashes: np.ndarray) -> np.ndarray:
+    """A set of shingle hashes as distinct 32-bit numbers."""
+    return np.unique(hashes.astype(np.uint32)).view(np.int32)
+
+
 def _set_id(hashes: np.ndarray) -> int:
     """One number for a set of shingles."""
     return xxhash.xxh64_intdigest(hashes.tobytes(), SEED) - (1 << 63) if len(hashes) else 0
@@ -198,10 +207,10 @@ def wide_fingerprints(sets: list[np.ndarray]) -> np.ndarray:
     return np.packbits(x > 0, axis=1).view(">i8").astype(np.int64)
 
 
-def differing(similarity: float) -> int:
-    """Up to how many of the WIDE bits may differ: the angle of sets of this similarity and one standard deviation."""
+def differing(similarity: float, deviations: float = 0.0) -> int:
+    """How many of the WIDE bits differ between sets of this similarity, and this many standard deviations more."""
     share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(WIDE * share + np.sqrt(WIDE * share * (1 - share)))
+    return int(WIDE * share + deviations * np.sqrt(WIDE * share * (1 - share)))
 
 
 def sketched(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -213,7 +222,7 @@ def sketched(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: st
         wide = iter(wide_fingerprints([h for h in sets if len(h) > SHORT]).tolist())
         return {"fp": [_set_id(h) for h in sets], "blocks": [block_keys(h, similarity) for h in sets],
                 "wide": [next(wide) if len(h) > SHORT else None for h in sets],
-                "few": [np.unique(h.astype(np.uint32)).view(np.int32).tolist() if len(h) <= longest else None for h in sets]}
+                "few": [_short(h).tolist() if len(h) <= longest else None for h in sets]}
 
     return map_texts(id_text(docs, id_col, text_col), work, [field("fp", "long"), field("blocks", "long[]"), field("wide", "long[]"), field("few", "int[]")])
 
@@ -244,59 +253,140 @@ def _keyed(sets: DataFrame, similarity: float) -> DataFrame:
     return sets.select("fp", F.explode("blocks").alias("key")).unionByName(prefixes)
 
 
-def spanning(n: int, alike: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
-    """Links that hold together what `alike` (a member, others: which of them it links with) does, each found from a member reached before."""
-    rest, out = np.arange(n), []
+def spanning(n: int, alike: Callable[[int, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Links that hold together what `alike` (a member, others: which of them it links with, which it may) does, and the open members.
+
+    Each link is found from a member reached before. Open are the members that may link with one of another part.
+    """
+    rest, out, opened = np.arange(n), [], np.zeros(n, bool)
     while len(rest):
         reached, rest = [int(rest[0])], rest[1:]
+        unsure, may = [], np.zeros(n, bool)
         while reached and len(rest):
             at = reached.pop()
-            hit = alike(at, rest)
+            hit, perhaps = alike(at, rest)
             found = rest[hit].tolist()
             out += [(at, x) for x in found]
             reached += found
+            if perhaps.any():
+                unsure.append(at)
+                may[rest[perhaps]] = True
             rest = rest[~hit]
-    return out
+        if may[rest].any():
+            opened[unsure] = True
+            opened[rest[may[rest]]] = True
+    return out, opened
+
+
+class _Exact:
+    """Which sets of a group are similar to one of them, by their shingles."""
+
+    def __init__(self, sets: pa.ListArray, similarity: float):
+        self.similarity = similarity
+        self.size = sets.value_lengths().fill_null(0).to_numpy(False)
+        self.end = np.cumsum(self.size)
+        every, self.coded = np.unique(sets.flatten().to_numpy(), return_inverse=True)
+        self.mark = np.zeros(len(every), bool)
+
+    def __call__(self, at: int, rest: np.ndarray) -> np.ndarray:
+        self.mark[mine := self.coded[self.end[at] - self.size[at]:self.end[at]]] = True
+        hits = np.concatenate(([0], np.cumsum(self.mark[self.coded])))
+        self.mark[mine] = False
+        both = hits[self.end[rest]] - hits[self.end[rest] - self.size[rest]]
+        return both >= self.similarity * (self.size[at] + self.size[rest] - both) - 1e-9
 
 
 class _Alike:
-    """Which sets of a group are similar to one of them."""
+    """Which sets of a group are surely similar to one of them, and which may be."""
 
     def __init__(self, table: pa.Table, similarity: float):
-        self.similarity, self.bound = similarity, differing(similarity)
+        self.sure, self.perhaps = differing(similarity, -DEVIATIONS), differing(similarity, DEVIATIONS)
         few, wide = table.column("few").combine_chunks(), table.column("wide").combine_chunks()
         self.carries, self.broad = ~few.is_null().to_numpy(False), ~wide.is_null().to_numpy(False)
         self.wide = np.zeros((len(table), WIDE // 64), np.uint64)
         self.wide[self.broad] = wide.flatten().to_numpy().view(np.uint64).reshape(-1, WIDE // 64)
-        self.size = np.where(self.carries, few.value_lengths().fill_null(0).to_numpy(False), 0)
-        self.end = np.cumsum(self.size)
-        every, self.coded = np.unique(few.flatten().to_numpy(), return_inverse=True)
-        self.mark = np.zeros(len(every), bool)
+        self.exact = _Exact(few, similarity)
 
-    def __call__(self, at: int, rest: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(rest), bool)
-        exact = self.carries[rest] if self.carries[at] else out
-        if exact.any():
-            self.mark[mine := self.coded[self.end[at] - self.size[at]:self.end[at]]] = True
-            hits = np.concatenate(([0], np.cumsum(self.mark[self.coded])))
-            self.mark[mine] = False
-            both = hits[self.end[rest]] - hits[self.end[rest] - self.size[rest]]
-            out = exact & (both >= self.similarity * (self.size[at] + self.size[rest] - both) - 1e-9)
-        if self.broad[at] and (other := self.broad[rest] & ~exact).any():
-            out[other] = np.bitwise_count(self.wide[rest[other]] ^ self.wide[at]).sum(axis=1, dtype=np.int32) <= self.bound
-        return out
+    def __call__(self, at: int, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        hit, perhaps = np.zeros(len(rest), bool), np.zeros(len(rest), bool)
+        carried = self.carries[rest] if self.carries[at] else hit
+        if carried.any():
+            hit = carried & self.exact(at, rest)
+        if self.broad[at] and (other := self.broad[rest] & ~carried).any():
+            distance = np.bitwise_count(self.wide[rest[other]] ^ self.wide[at]).sum(axis=1, dtype=np.int32)
+            hit[other] = distance <= self.sure
+            perhaps[other] = (distance > self.sure) & (distance <= self.perhaps)
+        return hit, perhaps
 
 
 def _met(similarity: float):
+    """Links (a, b) of a group, and its open members (a) under a number of all of them (open)."""
     def run(table: pa.Table) -> pa.Table:
         fp = table.column("fp").to_numpy()
-        ends = fp[np.array(spanning(len(fp), _Alike(table, similarity)), np.int64).reshape(-1, 2)]
+        found, opened = spanning(len(fp), _Alike(table, similarity))
+        ends, left = fp[np.array(found, np.int64).reshape(-1, 2)], np.sort(fp[opened])
+        number = xxhash.xxh64_intdigest(left.tobytes(), SEED) - (1 << 63)
+        return pa.table({"a": pa.array(np.concatenate((ends.min(axis=1), left))),
+                         "b": pa.array([*ends.max(axis=1).tolist(), *[None] * len(left)], pa.int64()),
+                         "open": pa.array([None] * len(ends) + [number] * len(left), pa.int64())})
+    return run
+
+
+def _settled(similarity: float):
+    """Links (a, b) between members of a group that have different roots, by their shingles."""
+    def run(table: pa.Table) -> pa.Table:
+        fp, root = table.column("fp").to_numpy(), table.column("root").to_numpy()
+        exact = _Exact(table.column("shingles").combine_chunks(), similarity)
+
+        def alike(at: int, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            return (root[rest] == root[at]) | exact(at, rest), np.zeros(len(rest), bool)
+
+        found = np.array(spanning(len(fp), alike)[0], np.int64).reshape(-1, 2)
+        ends = fp[found[root[found[:, 0]] != root[found[:, 1]]]]
         return pa.table({"a": ends.min(axis=1), "b": ends.max(axis=1)})
     return run
 
 
-def near(sketches: DataFrame, similarity: float = 0.8, bucket: int = 8, piece: int = PIECE) -> DataFrame:
-    """Linked pairs (a, b) of the distinct shingle sets of `sketches`, a written table as of `sketched`, enough to hold every class together."""
+def _dealt(members: DataFrame, group: str) -> DataFrame:
+    """(group, fp) with `parts` in pairs of parts (one, two) of its group, so that every two of its members meet in one."""
+    placed = members.withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
+    return placed.filter("parts = 1 or mine <> other").select(group, F.least("mine", "other").alias("one"), F.greatest("mine", "other").alias("two"), "fp")
+
+
+def _whole(fps: DataFrame, sketches: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """(fp, shingles) of the sets `fps`, from the text of one document of each."""
+    first = sketches.join(fps, "fp", "left_semi").groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("m"))
+    ids = first.select(F.col("m.doc_id").alias("__sim_id")).distinct()
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in sliced(batch):
+                sets = [_hashes(x or "", size) for x in part.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array([_set_id(h) for h in sets], pa.int64()), pa.array([_short(h) for h in sets], pa.list_(pa.int32()))], ["fp", "shingles"])
+
+    chosen = texts.join(ids, F.col("doc_id").eqNullSafe(F.col("__sim_id")), "left_semi").select("text")
+    found = chosen.mapInArrow(work, "fp long, shingles array<int>").join(fps, "fp", "left_semi")
+    return cut(found.groupBy("fp").agg(F.first("shingles").alias("shingles")))
+
+
+def _reopened(undecided: DataFrame, sure: DataFrame, sketches: DataFrame, texts: DataFrame, size: int, similarity: float, load: int) -> DataFrame:
+    """Links (a, b) in the groups `undecided` (open, fp) that the links `sure` leave apart, from all shingles of these sets."""
+    rooted = undecided.join(components(sure).withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = cut(rooted)
+    apart = rooted.groupBy("open").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("open")
+    members = cut(rooted.join(apart, "open", "left_semi"))
+    whole = _whole(cut(members.select("fp").distinct()), sketches, texts, size)
+    weights = members.join(whole.select("fp", F.size("shingles").alias("n")), "fp").groupBy("open").agg(F.ceil(F.sum("n") / load).cast("int").alias("parts"))
+    dealt = _dealt(members.select("open", "fp").join(weights, "open"), "open")
+    held = members.select("fp", "root").distinct().join(whole, "fp")
+    return dealt.join(held, "fp").groupBy("open", "one", "two").applyInArrow(_settled(similarity), "a long, b long")
+
+
+def near(sketches: DataFrame, texts: DataFrame, size: int = 5, similarity: float = 0.8, bucket: int = 8, piece: int = PIECE, load: int = LOAD) -> DataFrame:
+    """Linked pairs (a, b) of the distinct shingle sets of `sketches`, enough to hold every class together.
+
+    `sketches` is a written table as of `sketched`, `texts` (doc_id, text) are the documents it was made of.
+    """
     # one row for each set of shingles before anything is joined, so copies make no hot key
     sets = cut(sketches.groupBy("fp").agg(*[F.first(c).alias(c) for c in ("blocks", "wide", "few")]))
     keyed = cut(_keyed(sets, similarity))
@@ -313,18 +403,23 @@ def near(sketches: DataFrame, similarity: float = 0.8, bucket: int = 8, piece: i
     distance = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, v: s + v)
     common = F.size(F.array_intersect("s", "t"))
     exact = common >= similarity * (F.size("s") + F.size("t") - common) - 1e-9
-    verified = both.filter(F.when(F.col("s").isNotNull() & F.col("t").isNotNull(), exact).otherwise(distance <= differing(similarity))).select("a", "b")
-    crowded = shared.filter(F.col("n") > bucket).withColumn("parts", F.ceil(F.col("n") / piece).cast("int"))
-    crowded = crowded.withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
-    dealt = crowded.filter("parts = 1 or mine <> other").select("key", F.least("mine", "other").alias("one"), F.greatest("mine", "other").alias("two"), "fp")
-    met = dealt.join(sets.select("fp", "wide", "few"), "fp").groupBy("key", "one", "two").applyInArrow(_met(similarity), "a long, b long")
-    return verified.unionByName(met.distinct())
+    off = F.when(F.col("s").isNotNull() & F.col("t").isNotNull(), F.when(exact, 0)).otherwise(distance)
+    judged = both.select("a", "b", off.alias("off")).filter(F.col("off") <= differing(similarity, DEVIATIONS))
+    judged = judged.select("a", F.when(F.col("off") <= differing(similarity, -DEVIATIONS), F.col("b")).alias("b"), F.xxhash64("a", "b").alias("open"), F.col("b").alias("c"))
+    judged = judged.select(F.explode(F.when(F.col("b").isNotNull(), F.array(F.struct("a", "b", F.lit(None).cast("long").alias("open")))).otherwise(
+        F.array(*[F.struct(F.col(x).alias("a"), F.lit(None).cast("long").alias("b"), "open") for x in ("a", "c")]))).alias("e")).select("e.*")
+    crowded = _dealt(shared.filter(F.col("n") > bucket).withColumn("parts", F.ceil(F.col("n") / piece).cast("int")), "key")
+    met = crowded.join(sets.select("fp", "wide", "few"), "fp").groupBy("key", "one", "two").applyInArrow(_met(similarity), "a long, b long, open long")
+    found = cut(judged.unionByName(met.distinct()))
+    sure = found.filter("b is not null").select("a", "b")
+    undecided = found.filter("b is null").select("open", F.col("a").alias("fp"))
+    return sure.unionByName(_reopened(undecided, sure, sketches, texts, size, similarity, load))
 
 
 def distinct(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each class by `near`, with all its columns: that of the smallest id, one row of it if rows repeat."""
     sketches = cut(sketched(docs, size, similarity, id_col, text_col))
-    heads = _named(sketches.select("doc_id", "fp"), near(sketches, similarity)).filter("keeper").select(F.col("doc_id").alias("__sim_id"), F.col("fp").alias("__sim_fp")).distinct()
+    heads = _named(sketches.select("doc_id", "fp"), near(sketches, id_text(docs, id_col, text_col), size, similarity)).filter("keeper").select(F.col("doc_id").alias("__sim_id"), F.col("fp").alias("__sim_fp")).distinct()
     at = docs.schema.fieldNames().index(text_col)
     out = T.StructType([*docs.schema, field("__sim_at", "long"), field("__sim_n", "long")])
 
