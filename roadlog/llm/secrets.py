@@ -1,15 +1,17 @@
 """Secrets in texts: fixed patterns, and strings in a sensitive context that a primed compressor cannot shorten.
 
 The fixed patterns are assignments to secret names, access keys and long hexadecimal strings. Beyond them, every string
-of mixed letters and digits after a sensitive word is a candidate, whole however long it is, and so are strings that follow a candidate
+of mixed letters and digits, or with `LETTERS` letters in a row, which ordinary words do not reach, is a candidate after a sensitive word, whole however long it is, and so are strings that follow a candidate
 directly, over a dot or a line break, as in web tokens and key files. Its novelty is what it adds, in bytes
 per character, to the zstandard size of the text around it, with a compressor primed with the identifiers that the corpus
-uses most. A copied name or ordinary word costs next to nothing, a random string nearly its full information.
+uses most. A copied name or ordinary word costs next to nothing, a random string nearly its full information, which is
+less a sign where a string has letters alone, so the threshold is too. More words than the
+dictionary has would change little: a name that is rare in the whole corpus is found near its other uses, in the text around.
 
 The identifier dictionary is counted over all documents by Spark; only its fixed number of most frequent words (`DICTIONARY`)
 goes to the tasks. Documents are then read once, each by itself.
 
-Cases: a null or empty text has no spans; offsets are code points with the end exclusive; overlapping spans of different kinds are
+Cases: a null or empty text has no spans; very long texts are searched whole, each string is scored against the same short surroundings; offsets are code points with the end exclusive; overlapping spans of different kinds are
 all reported, a novel string only where it touches no span of a pattern; equal rows give equal results; empty tables give no rows;
 only id and text are read, `redacted` passes all other columns through.
 """
@@ -17,6 +19,7 @@ only id and text are read, `redacted` passes all other columns through.
 from __future__ import annotations
 
 import re
+from math import log
 
 import zstandard
 from pyspark.sql import DataFrame
@@ -40,8 +43,9 @@ _SIGNS = [b"passw", b"secret", b"token", b"api"]
 
 _SENSITIVE = re.compile(r"(?<![a-z])(?:pass(?:word|wd|phrase|code)?|pwd|secrets?|tokens?|api|keys?|apikey|auth|authorization|bearer|credentials?|creds|"
                         r"private|signature|salt|cookie|session|webhook|jwt|ssh|rsa)(?![a-z])", re.ASCII | re.IGNORECASE)
-LEAST = 12
+LEAST, LETTERS = 12, 20
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST)
+_LETTERS = re.compile(r"[A-Za-z]{%d}" % LETTERS)
 _LINE = r"[\x20\t]*(?:\r?\n|\\r|\\n)+[\x20\t]*"
 _STEP = re.compile(rf"(?:\.|{_LINE})(?=[A-Za-z0-9+/_=-]{{{LEAST}}})")
 _TAIL = re.compile(rf"{_LINE}([A-Za-z0-9+/=]+)(?={_LINE}-----END)")       # the last line of a key file
@@ -59,6 +63,13 @@ def patterns(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
+def richness(string: str) -> float:
+    """What a random sign of the string's kinds tells, as a share of one of letters in both cases and digits: less for letters alone."""
+    if not string.isalpha():
+        return 1.0
+    return log(26 if string.islower() or string.isupper() else 52, 62)
+
+
 class Novelty:
     """Marginal compressed size against a primed dictionary and the text around."""
 
@@ -83,11 +94,11 @@ class Novelty:
                 m = _CANDIDATE.match(text, near.start())        # to its end, however far that is
                 reach = m.end()
                 string = m[0]
-                mixed = any(c.isdigit() for c in string) and any(c.isalpha() for c in string)
-                enough = CONTINUED * least if m.start() == follows else least
-                if mixed and (step := _STEP.match(text, reach)):
+                scored = (any(c.isdigit() for c in string) and any(c.isalpha() for c in string)) or _LETTERS.search(string)
+                enough = richness(string) * (CONTINUED * least if m.start() == follows else least)
+                if scored and (step := _STEP.match(text, reach)):
                     last = max(last, step.end())
-                if mixed and not any(s < m.end() and m.start() < e for s, e, _ in known):
+                if scored and not any(s < m.end() and m.start() < e for s, e, _ in known):
                     novelty = self.of(text, m.start(), m.end())
                     if novelty >= enough:
                         out.append((m.start(), m.end(), novelty))

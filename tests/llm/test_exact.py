@@ -209,6 +209,20 @@ def test_long_and_continued_secrets():
     assert covered(f"a token, and so on for many more words than the reach has, then {drawn(30)}") == ""
 
 
+def test_strings_of_letters_alone():
+    rng = random.Random(13)
+    find = secrets._finder(["connection_factory", "authenticationManagerFactory", "defaultConnectionListener"], secrets.NOVELTY)
+    covered = lambda text: "".join(text[s:e] for s, e, _, _ in find(text))
+    for signs in ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"):
+        for n in (20, 32, 600):
+            string = "".join(rng.choice(signs) for _ in range(n))
+            assert covered(f"the session cookie {string} was set") == string
+    for plain in ("authenticationManagerFactory", "z" * 40, "well-known-authentication-mechanisms", "src/main/resources/configuration", "internationalization"[:19]):
+        assert covered(f"the session cookie {plain} was set") == "", plain
+    word = "unconstitutionalitarianisms"
+    assert covered(f"{word} again, and the session cookie {word} was set") == ""
+
+
 PERSONAL = ["mail a.b@c.de, x@y, @z.de a@@b.cc", "1.2.3.4 1.2.3.256 1.2.3.4.5.6.7.8 001.002.003.004", "4111 1111 1111 1111 and 4111-1111-1111-1112", "+1 (988) 555-2485 +12 +1234567890123456",
             "a@b.c.d-e. next@b.c@d.e.f", "9" * 5000 + ".1.1.1", "x" * 20000 + "@", None, "", "call +49 (0) 30 123456-78) and 10.0.0.1.", "4111111111111111" * 2, "a%b+c@x-y.zz"]
 
