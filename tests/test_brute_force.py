@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from roadlog.operators import anchored, asof, hysteresis, intervals, matching, rates, rolling, spatial, stats, trajectory
-from roadlog.operators.ordered import Ordered, chunk_width
+from roadlog.operators.ordered import Ordered, chunk_width, row_limit
 from roadlog.streaming import sync
 
 
@@ -516,3 +516,27 @@ def test_nearest_point_through_levels_of_boxes(spark, monkeypatch):
             far = np.hypot(path[:n, 0] - x, path[:n, 1] - y)
             assert got[run, k] == (int(np.argmin(far)), round(float(far.min()), 9))
     assert len(got) == 120
+
+
+def test_scans_stream_many_small_chunks(spark):
+    """A cut log has no Python group per chunk; groups that reach over batches and nulls in keys are whole."""
+    rng = random.Random(5)
+    rows = [(None if e == 0 else e, t, n, float(rng.randrange(9))) for e in range(12) for n, t in enumerate(sorted(rng.sample(range(400), 90)))]
+    df = spark.createDataFrame(rows, "id long, t long, seq long, v double")
+    found = lambda out: sorted((r.id is not None, r.id or 0, r.t, r.seq, r.value) for r in out.collect())
+    whole = found(hysteresis.hysteresis_changes(df, "id", "t", "seq", "v", 3.0))
+    want, last = [], {}
+    for e, t, n, v in rows:
+        if e not in last or abs(v - last[e]) > 3.0:
+            want.append((e is not None, e or 0, t, n, v))
+            last[e] = v
+    assert whole == sorted(want)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        with row_limit(20):
+            cut = hysteresis.hysteresis_changes(df, "id", "t", "seq", "v", 3.0)
+            assert found(cut) == sorted(want)
+            assert "FlatMapGroups" not in cut._jdf.queryExecution().toString()
+        assert found(hysteresis.hysteresis_changes(df, "id", "t", "seq", "v", 3.0)) == sorted(want)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
