@@ -109,3 +109,18 @@ def test_acks_and_pairs(spark):
     assert got[(1, "ack")] == (pytest.approx(0.9), "passed") and got[(2, "ack")] == (None, "failed")
     assert got[(1, "parts")][1] == "passed" and got[(2, "parts")][1] == "not_evaluated"
     assert got[(1, "reroute")] == (float("inf"), "failed")
+
+
+def test_runs_are_dealt_over_as_many_tasks_as_their_rows_need(spark, monkeypatch):
+    """However few bytes the shuffled rows have, a task orders a bounded number of rows; a run stays whole."""
+    from pyspark.sql import functions as F
+
+    from roadlog.plans import passes
+
+    monkeypatch.setattr(passes, "TASK_ROWS", 50)
+    rows = spark.range(1000).select(F.lit("a").alias("view"), (F.col("id") % 100).alias("run_id"), F.col("id").alias("t"), F.col("id").alias("seq"),
+                                    F.struct(F.lit(True).alias("c0")).alias("v_a"))
+    dealt = passes.timeline(rows, set()).df.withColumn("task", F.spark_partition_id())
+    assert dealt.rdd.getNumPartitions() == 20
+    assert dealt.groupBy("run_id").agg(F.count_distinct("task").alias("n")).agg(F.max("n")).first()[0] == 1
+    assert dealt.count() == 1000
