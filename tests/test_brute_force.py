@@ -540,3 +540,25 @@ def test_scans_stream_many_small_chunks(spark):
         assert found(hysteresis.hysteresis_changes(df, "id", "t", "seq", "v", 3.0)) == sorted(want)
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_splines_stream_many_tracks(spark):
+    """Tracks have no Python group each; those that reach over batches give the values of the whole solution."""
+    rng = random.Random(8)
+    tracks = {e: [(float(k), rng.uniform(0, 9), rng.uniform(0, 9)) for k in range(4 + e)] for e in range(15)}
+    df = spark.createDataFrame([(e, t, 0, x, y) for e, rows in tracks.items() for t, x, y in rows], "id long, t double, seq long, x double, y double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        out = trajectory.resample_spline(df, "id", "t", "seq", ["x", "y"], 0.5)
+        assert "FlatMapGroups" not in out._jdf.queryExecution().toString()
+        got = {(r.id, r.t): (r.x, r.y) for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {k[0] for k in got} == {e for e, rows in tracks.items() if len(rows) > 5}
+    for e, rows in tracks.items():
+        if len(rows) > 5:
+            a = np.array(rows)
+            span = a[-1, 0]
+            at = np.array([0.5 * k for k in range(2 * (len(rows) - 1))])
+            values = trajectory.spline_values(a[:, 0] / span, a[:, 1:], at / span, 5)
+            assert all(np.allclose(got[e, t], v) for t, v in zip(at.tolist(), values))
