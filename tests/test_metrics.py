@@ -124,3 +124,28 @@ def test_runs_are_dealt_over_as_many_tasks_as_their_rows_need(spark, monkeypatch
     assert dealt.rdd.getNumPartitions() == 20
     assert dealt.groupBy("run_id").agg(F.count_distinct("task").alias("n")).agg(F.max("n")).first()[0] == 1
     assert dealt.count() == 1000
+
+
+def test_rows_of_a_view_carry_no_columns_of_others(spark, monkeypatch):
+    """Every view is ordered on its own; probes are ordered for the rules that ask for them only."""
+    from roadlog.plans import passes
+
+    seen, whole = [], passes.timeline
+
+    def timeline(rows, probed, *args):
+        seen.append(([c for c in rows.columns if c.startswith("v_")], len(probed)))
+        return whole(rows, probed, *args)
+
+    monkeypatch.setattr(passes, "timeline", timeline)
+    views = {"a": view(spark, "x double", [(1, 1.0, 1.0), (1, 3.0, 2.0), (2, 1.0, 5.0)]), "b": view(spark, "y double", [(1, 2.0, 7.0), (1, 2.5, 9.0)])}
+    case = metrics.UseCase("x", (metrics.Anchor("go", "first", "b", "y > 8"),), (
+        metrics.Metric("late", "value_at", {"view": "a", "value": "x", "at": "go", "low": 2.0}),
+        metrics.Metric("rate", "second_rate", {"view": "a", "value": "x", "limit": 0.4}),
+        metrics.Metric("step", "value_gap", {"view": "a", "value": "x", "at": "go", "other_view": "b", "other_value": "y", "other_at": "go", "low": -8.0}),
+    ))
+    runs = views["a"].select("run_id").distinct()
+    got = {(r.run_id, r.metric_id): (r.value, r.verdict) for r in metrics.evaluate(case, views, runs).collect()}
+    assert got[1, "late"] == (2.0, "passed") and got[1, "rate"] == (0.5, "failed") and got[1, "step"] == (-7.0, "passed")
+    assert {v for (run, _), (_, v) in got.items() if run == 2} == {"not_evaluated"} and len(got) == 6
+    assert seen and all(len(columns) == 1 for columns, _ in seen)
+    assert sorted(n for columns, n in seen if columns == ["v_a"]) == [0, 1]
