@@ -233,53 +233,107 @@ def _distance(a, b) -> Column:
 
 
 def offset_room(ref: DataFrame, sensor: DataFrame, by, search: int | None = None) -> DataFrame:
-    """by, offset, n: every row offset at which the whole sensor track lies inside the reference, and its rows."""
+    """by, n, room: the sensor track's rows and how many row offsets it has inside the reference, where there is one."""
     keys = names(by)
     n_ref = ref.groupBy(*keys).agg(F.count(F.lit(1)).alias("__nr"))
     n_sensor = sensor.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     free = F.col("__nr") - F.col("n")
-    room = null_safe_join(n_ref, n_sensor, keys).select(*keys, "n", (free if search is None else F.least(F.lit(search), free)).alias("__room"))
-    return room.where("__room > 0").select(*keys, "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__room").cast("long") - 1)).alias("offset"))
+    room = null_safe_join(n_ref, n_sensor, keys).select(*keys, "n", (free if search is None else F.least(F.lit(search).cast("long"), free)).alias("room"))
+    return room.where("room > 0")
 
 
-def laid_errors(ref: DataFrame, sensor: DataFrame, offsets: DataFrame, by, idx: str) -> DataFrame:
-    """by, offset, error: the mean distance of the sensor track at the offsets given."""
-    keys = names(by)
-    moved = null_safe_join(sensor.select(*keys, idx, "x", "y"), offsets.select(*keys, "offset"), keys)
-    moved = moved.select(*keys, "offset", (F.col(idx) + F.col("offset")).alias("__i"), F.col("x").alias("__s_x"), F.col("y").alias("__s_y"))
-    laid = null_safe_join(moved, ref.select(*keys, F.col(idx).alias("__i"), "x", "y"), [*keys, "__i"])
-    return laid.groupBy(*keys, "offset").agg(F.avg(_distance(F.col, lambda c: F.col(f"__s_{c}"))).alias("error"))
+TILE = 1024     # sensor rows and offsets that one tile takes
+
+
+class Tiles:
+    """Sensor rows against the reference rows that some offsets lay them on, a row for each part of the track and of the offsets.
+
+    A tile holds up to `side` sensor rows and the twice as many reference rows they meet at up to `side` offsets, in arrays,
+    with the reference's running sums. So the rows of a track are dealt out once for every `side` offsets, not once for each.
+    """
+
+    def __init__(self, ref: DataFrame, sensor: DataFrame, by, idx: str, search: int | None, blocks: tuple[int, ...]):
+        self.keys, self.blocks = names(by), blocks
+        unit = math.lcm(*blocks)
+        self.side = side = unit * max(1, TILE // unit)
+        room = offset_room(ref, sensor, by, search)
+        gone = (F.col("x").isNull() | F.col("y").isNull()).cast("long")
+        sums = Ordered.of(ref.select(*self.keys, idx, "x", "y").withColumn("__gone", gone), by, idx).running(
+            __px=("sum", "x"), __py=("sum", "y"), __pn=("sum", "__gone")).df
+        place = (F.col(idx) - 1).cast("long")
+        part = F.floor(F.col("__p") / F.lit(side))
+        parts, rooms = F.ceil(F.col("n") / F.lit(side)), F.ceil(F.col("room") / F.lit(side))
+        laid = null_safe_join(sensor.select(*self.keys, place.alias("__p"), "x", "y"), room, self.keys)
+        laid = laid.withColumn("__w", F.explode(F.sequence(F.lit(0).cast("long"), rooms - 1))).select(
+            *self.keys, "n", "room", "__w", part.alias("__k"), F.struct((F.col("__p") % side).alias("j"), "x", "y").alias("__s"))
+        # a tile begins with the row before its first, for the difference of running sums
+        under = null_safe_join(sums.select(*self.keys, place.alias("__p"), "x", "y", "__px", "__py", "__pn"), room, self.keys)
+        begins = F.array_compact(F.array(part - 1, part, F.when(F.col("__p") % side == side - 1, part + 1)))
+        under = under.withColumn("__a", F.explode(begins)).where((F.col("__a") >= 0) & (F.col("__a") <= parts + rooms - 2))
+        under = under.withColumn("__k", F.explode(F.sequence(F.greatest(F.lit(0), F.col("__a") - rooms + 1), F.least(parts - 1, F.col("__a"))))).select(
+            *self.keys, "n", "room", (F.col("__a") - F.col("__k")).alias("__w"), "__k",
+            F.struct((F.col("__p") - F.col("__a") * side).alias("j"), "x", "y", F.coalesce("__px", F.lit(0.0)).alias("px"),
+                     F.coalesce("__py", F.lit(0.0)).alias("py"), F.col("__pn").alias("pn")).alias("__r"))
+        both = laid.unionByName(under, allowMissingColumns=True)
+        self.df = cut(both.groupBy(*self.keys, "__w", "__k", "n", "room").agg(
+            F.sort_array(F.collect_list("__s")).alias("__s"), F.sort_array(F.collect_list("__r")).alias("__r")))
+
+    def at(self, offsets: DataFrame | None) -> DataFrame:
+        """The tiles with the offsets that are asked for, all where none are named, as `__d` from the tile's first."""
+        if offsets is None:
+            here = F.sequence(F.lit(0).cast("long"), F.least(F.lit(self.side).cast("long"), F.col("room") - F.col("__w") * self.side) - 1)
+            return self.df.withColumn("__ds", here)
+        own = offsets.select(*self.keys, F.floor(F.col("offset") / F.lit(self.side)).alias("__w"), (F.col("offset") % self.side).alias("__d"))
+        return null_safe_join(self.df, own.groupBy(*self.keys, "__w").agg(F.collect_list("__d").alias("__ds")), [*self.keys, "__w"])
+
+    def _met(self, row) -> Column:
+        """The reference row at a place in the tile."""
+        return F.get("__r", (row + F.col("__d") - F.col("__r")[0]["j"]).cast("int"))
+
+    def errors(self, offsets: DataFrame) -> DataFrame:
+        """by, offset, error: the mean distance of the sensor track at the offsets given."""
+        rows = self.at(offsets).withColumn("__d", F.explode("__ds")).withColumn("__e", F.explode("__s"))
+        rows = rows.select(*self.keys, (F.col("__w") * self.side + F.col("__d")).alias("offset"), "__e", self._met(F.col("__e.j")).alias("__m")).where("__m is not null")
+        return rows.groupBy(*self.keys, "offset").agg(F.avg(F.hypot(F.col("__m.x") - F.col("__e.x"), F.col("__m.y") - F.col("__e.y"))).alias("error"))
+
+    def bounds(self, offsets: DataFrame | None, size: int) -> DataFrame:
+        """by, offset, n, least: what the mean distance at an offset is not under, from sums of `size` rows."""
+        total = lambda rows, of: F.aggregate(rows, F.lit(0.0), lambda a, e: a + F.coalesce(of(e), F.lit(0.0)))
+        lost = lambda rows: F.exists(rows, lambda e: e["x"].isNull() | e["y"].isNull())
+        block = lambda rows: F.struct(total(rows, lambda e: e["x"].cast("double")).alias("x"), total(rows, lambda e: e["y"].cast("double")).alias("y"),
+                                      rows[0]["j"].alias("lo"), F.element_at(rows, -1)["j"].alias("hi"), lost(rows).alias("lost"))
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size("__s") - 1) / F.lit(size)).cast("int")),
+                             lambda m: block(F.slice("__s", m * F.lit(size) + 1, F.lit(size))))
+        rows = self.at(offsets).withColumn("__b", blocks).drop("__s")
+        rows = rows.withColumn("__d", F.explode("__ds")).withColumn("__e", F.explode("__b"))
+        rows = rows.select(*self.keys, "n", (F.col("__w") * self.side + F.col("__d")).alias("offset"), "__e",
+                           self._met(F.col("__e.hi")).alias("__last"), self._met(F.col("__e.lo") - 1).alias("__before"))
+        between = lambda c: F.col(f"__last.{c}") - F.coalesce(F.col(f"__before.{c}"), F.lit(0))
+        far = F.hypot(F.col("__e.x") - between("px"), F.col("__e.y") - between("py"))
+        far = F.when(~F.col("__e.lost") & (between("pn") == 0), far).otherwise(0.0)
+        return rows.groupBy(*self.keys, "offset", "n").agg((F.sum(far) / F.col("n")).alias("least"))
+
+    def candidates(self) -> DataFrame:
+        """by, offset, n: the offsets that can have the least mean distance."""
+        left = None
+        for size in self.blocks:
+            bound = cut(self.bounds(left, size))
+            likely = bound.groupBy(*self.keys).agg(F.min(F.struct("least", "offset"))["offset"].alias("offset"))
+            reached = self.errors(likely).select(*self.keys, "error")
+            left = cut(null_safe_join(bound, reached, self.keys).where(
+                F.col("error").isNull() | (F.col("least") <= F.col("error") * (1 + 1e-9) + 1e-9)).select(*self.keys, "offset", "n"))
+        return left
 
 
 def offset_candidates(ref: DataFrame, sensor: DataFrame, by, idx: str, search: int | None = None, blocks: tuple[int, ...] = (64, 8)) -> DataFrame:
     """by, offset: the offsets that can have the least mean distance.
 
     The distance of two block sums is at most the sum of the distances of the blocks' rows. Sums of sensor blocks against
-    sums of the reference, which are differences of its running sums, so bound the error of an offset from below with a row per block in
+    sums of the reference, which are differences of its running sums, so bound the error of an offset from below with a term per block in
     place of one per row; what the best of them really has bounds the least error from above. Offsets bounded beyond that go, and the
     rest is tried with finer blocks. Rows are numbered from 1 without holes; a block with a row without place bounds nothing.
     """
-    keys = names(by)
-    left = cut(offset_room(ref, sensor, by, search))
-    gone = lambda: (F.col("x").isNull() | F.col("y").isNull()).cast("long")
-    sums = Ordered.of(ref.select(*keys, idx, "x", "y").withColumn("__gone", gone()), by, idx).running(
-        __px=("sum", "x"), __py=("sum", "y"), __pn=("sum", "__gone")).df.select(*keys, F.col(idx).alias("__at"), "__px", "__py", "__pn")
-    sums = cut(sums)
-    ends = lambda name: sums.select(*keys, F.col("__at").alias(f"__{name}"), F.struct(F.coalesce("__px", F.lit(0.0)).alias("x"),
-                                                                                       F.coalesce("__py", F.lit(0.0)).alias("y"), F.col("__pn").alias("n")).alias(name))
-    for size in blocks:
-        parts = sensor.groupBy(*keys, F.floor((F.col(idx) - 1) / F.lit(size)).alias("__k")).agg(
-            F.sum("x").alias("__sx"), F.sum("y").alias("__sy"), F.min(idx).alias("__lo"), F.max(idx).alias("__hi"), F.sum(gone()).alias("__sn"))
-        cells = null_safe_join(parts, left, keys).withColumns({"__before": F.col("__lo") + F.col("offset") - 1, "__last": F.col("__hi") + F.col("offset")})
-        met = null_safe_join(null_safe_join(cells, ends("last"), [*keys, "__last"]), ends("before"), [*keys, "__before"], "left")
-        part = lambda c: F.col(f"last.{c}") - F.coalesce(F.col(f"before.{c}"), F.lit(0))
-        whole = (F.col("__sn") == 0) & (part("n") == 0)
-        far = F.when(whole, F.hypot(F.col("__sx") - part("x"), F.col("__sy") - part("y"))).otherwise(0.0)
-        bound = cut(met.groupBy(*keys, "offset", "n").agg((F.sum(far) / F.col("n")).alias("least")))
-        likely = bound.groupBy(*keys).agg(F.min(F.struct("least", "offset"))["offset"].alias("offset"))
-        reached = laid_errors(ref, sensor, likely, by, idx).select(*keys, "error")
-        left = cut(null_safe_join(bound, reached, keys).where(F.col("error").isNull() | (F.col("least") <= F.col("error") * (1 + 1e-9) + 1e-9)).select(*keys, "offset", "n"))
-    return left
+    return Tiles(ref, sensor, by, idx, search, blocks).candidates()
 
 
 def track_offset(ref: DataFrame, sensor: DataFrame, by, idx: str, search: int | None = None, blocks: tuple[int, ...] = (64, 8)) -> DataFrame:
@@ -287,8 +341,8 @@ def track_offset(ref: DataFrame, sensor: DataFrame, by, idx: str, search: int |
 
     The answer of `offset_search` for the distance in the plane; only the offsets that block sums leave over are laid out row by row.
     """
-    keys = names(by)
-    errors = laid_errors(ref, sensor, offset_candidates(ref, sensor, by, idx, search, blocks), by, idx)
+    keys, tiles = names(by), Tiles(ref, sensor, by, idx, search, blocks)
+    errors = tiles.errors(tiles.candidates())
     return errors.groupBy(*keys).agg(F.min(F.struct("error", "offset")).alias("__b")).select(*keys, F.col("__b.offset").alias("offset"), F.col("__b.error").alias("error"))
 
 

@@ -562,3 +562,18 @@ def test_splines_stream_many_tracks(spark):
             at = np.array([0.5 * k for k in range(2 * (len(rows) - 1))])
             values = trajectory.spline_values(a[:, 0] / span, a[:, 1:], at / span, 5)
             assert all(np.allclose(got[e, t], v) for t, v in zip(at.tolist(), values))
+
+
+def test_track_offset_over_several_tiles(spark, monkeypatch):
+    """Small tiles: parts of tracks and of offsets meet over their borders; no row of the search holds a single pair of rows."""
+    monkeypatch.setattr(spatial, "TILE", 8)
+    rng = np.random.default_rng(8)
+    schema, walks = "id long, i long, x double, y double", {None: (61, 40), 1: (64, 8), 2: (9, 8), 3: (8, 8), 4: (50, 1)}
+    rows = lambda m: [(run, k, *map(float, rng.normal(0, 5, 2))) for run, sizes in walks.items() for k in range(1, sizes[m] + 1)]
+    ref = spark.createDataFrame(rows(0), schema)
+    sensor = spark.createDataFrame([(r, k, None if k == 5 else x, y) for r, k, x, y in rows(1)], schema)
+    tiles = spatial.Tiles(ref, sensor, "id", "i", None, (4, 2))
+    assert tiles.side == 8 and tiles.df.where("id is null").count() == 5 * 3
+    got = {r.id: (r.offset, round(r.error, 9)) for r in spatial.track_offset(ref, sensor, "id", "i", blocks=(4, 2)).collect()}
+    every = spatial.offset_search(ref, sensor, "id", "i", lambda a, b: F.hypot(a("x") - b("x"), a("y") - b("y")))
+    assert got == {r.id: (r.offset, round(r.error, 9)) for r in every.collect()} and set(got) == {None, 1, 2, 4}
