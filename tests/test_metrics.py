@@ -149,3 +149,17 @@ def test_rows_of_a_view_carry_no_columns_of_others(spark, monkeypatch):
     assert {v for (run, _), (_, v) in got.items() if run == 2} == {"not_evaluated"} and len(got) == 6
     assert seen and all(len(columns) == 1 for columns, _ in seen)
     assert sorted(n for columns, n in seen if columns == ["v_a"]) == [0, 1]
+
+
+def test_a_view_is_cut_for_its_own_rows(spark):
+    """Runs that are over the row budget in one view are cut there only, as wide as that view's rows ask for."""
+    from roadlog.operators.ordered import row_limit
+    from roadlog.plans import passes
+
+    rows = {v: spark.range(n).select(F.lit(v).alias("view"), F.lit(1).cast("long").alias("run_id"), F.col("id").alias("t"), F.col("id").alias("seq"),
+                                     F.struct(F.lit(True).alias("c0")).alias(f"v_{v}")) for v, n in (("a", 15), ("b", 100))}
+    with row_limit(20):
+        log = passes.Log(rows)
+        assert log.width("a") is None and 10 <= log.width("b") <= 30
+        assert log.times().count() == 100
+        assert log.ordered("a", False, None, []).width is None and log.ordered("b", False, None, []).df.count() == 100
