@@ -163,3 +163,42 @@ def test_a_view_is_cut_for_its_own_rows(spark):
         assert log.width("a") is None and 10 <= log.width("b") <= 30
         assert log.times().count() == 100
         assert log.ordered("a", False, None, []).width is None and log.ordered("b", False, None, []).df.count() == 100
+
+
+def test_rows_are_ordered_only_where_the_order_is_asked(spark, monkeypatch):
+    """First rows and counts are aggregated where the rows lie; methods stay small enough to be compiled while views are evaluated."""
+    from roadlog.plans import passes
+
+    dealt, limits, deal, write = [], [], passes.by_run, metrics.cut
+    monkeypatch.setattr(passes, "by_run", lambda rows, n: dealt.append([c for c in rows.columns if c.startswith("v_")]) or deal(rows, n))
+    monkeypatch.setattr(metrics, "cut", lambda df: limits.append(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) or write(df))
+    views = {"a": view(spark, "x double", [(1, 1.0, 1.0), (1, 3.0, 2.0), (None, 1.0, 5.0)]), "b": view(spark, "y double", [(1, 2.0, 7.0), (1, 2.5, 9.0)])}
+    case = metrics.UseCase("x", (metrics.Anchor("go", "first", "b", "y > 8"),), (
+        metrics.Metric("late", "value_at", {"view": "a", "value": "x", "at": "go", "low": 2.0}),
+        metrics.Metric("gap", "gap_max", {"view": "b", "limit": 1.0}),
+    ))
+    before = spark.conf.get("spark.sql.codegen.hugeMethodLimit")
+    got = {(r.run_id, r.metric_id): (r.value, r.verdict) for r in metrics.evaluate(case, views, views["a"].select("run_id").distinct()).collect()}
+    assert got == {(1, "late"): (2.0, "passed"), (1, "gap"): (0.5, "passed"), (None, "late"): (None, "not_evaluated"), (None, "gap"): (None, "not_evaluated")}
+    assert dealt == [["v_b"]]
+    assert set(limits) == {"8000"} and spark.conf.get("spark.sql.codegen.hugeMethodLimit") == before
+
+
+def test_a_cut_view_is_written_once_a_depth(spark, monkeypatch):
+    """Running columns, those of the row before and those ahead take one step over a cut view, with the rows of an uncut one."""
+    from roadlog.operators.ordered import Ordered
+    from roadlog.plans import passes
+
+    written, write = [], passes.cut
+    monkeypatch.setattr(passes, "cut", lambda df: written.append(1) or write(df))
+    rows = [(i % 3, None if i % 17 == 0 else i // 2 * 10, i, None if i % 4 == 1 else i) for i in range(90)]
+    df = spark.createDataFrame(rows, "run_id long, t long, seq long, x long")
+    found = []
+    for width in (None, 100):
+        steps = passes.Steps("s")
+        was, n, then = steps.before(F.col("x")), steps.running("count", F.col("x")), steps.ahead(F.when(F.col("x") > 40, F.col("x")))
+        late = steps.late("max", F.when(was < 50, n))
+        o = steps.apply(Ordered(df, "run_id", "t", "seq", width, 3))
+        found.append(sorted(map(str, o.df.select("run_id", "seq", was.alias("was"), n.alias("n"), then.alias("then"), late.alias("late")).collect())))
+        assert len(written) == (0 if width is None else 2)
+    assert found[0] == found[1] and len(found[0]) == 90
