@@ -162,8 +162,9 @@ def _celled(legs: DataFrame, keys: list[str], cell: float, tag: str) -> DataFram
 
 def _crossings(legs_a: DataFrame, legs_b: DataFrame, keys: list[str], cell: float) -> DataFrame:
     """Crossing points of two sets of legs. Legs meet in the grid cells on their lines; a crossing counts
-    in the cell that holds it, or one beside it where it is on the border."""
-    pairs = null_safe_join(_celled(legs_a, keys, cell, "a"), _celled(legs_b, keys, cell, "b"), [*keys, "__cx", "__cy"])
+    in the cell that holds it, or one beside it where it is on the border. A leg has a row for each of its cells, which
+    its size does not tell, so neither side is broadcast."""
+    pairs = null_safe_join(_celled(legs_a, keys, cell, "a").hint("merge"), _celled(legs_b, keys, cell, "b"), [*keys, "__cx", "__cy"])
     rx, ry = F.col("ax2") - F.col("ax1"), F.col("ay2") - F.col("ay1")
     sx, sy = F.col("bx2") - F.col("bx1"), F.col("by2") - F.col("by1")
     qx, qy = F.col("bx1") - F.col("ax1"), F.col("by1") - F.col("ay1")

@@ -396,6 +396,37 @@ def test_encroachment_on_straight_paths(spark):
     assert out.expected_pet == pytest.approx((5 / 3 + (metres - 25 / 6) / 5 + 3) * 1000, abs=30)
 
 
+def below(plan, wanted, stop):
+    """Whether a node of the physical plan has one named `wanted` under it, not looking beyond those named `stop`."""
+    if plan.nodeName().startswith(wanted):
+        return True
+    children = plan.children()
+    return not plan.nodeName().endswith(stop) and any(below(children.apply(i), wanted, stop) for i in range(children.size()))
+
+
+def broadcasts(plan):
+    """The nodes under each broadcast of a physical plan."""
+    plan = plan.initialPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan
+    children = plan.children()
+    found = [children.apply(i) for i in range(children.size())]
+    return (found if plan.nodeName() == "BroadcastExchange" else []) + [b for c in found for b in broadcasts(c)]
+
+
+@pytest.mark.parametrize("smooth", [True, False])
+def test_encroachment_broadcasts_no_grid(spark, tmp_path, smooth):
+    # tables in files, as Spark takes their grids for as small as the files
+    schema = "id long, t double, x double, y double"
+    for name, rows in (("walker", [(1, t * 100.0, 20.0, -20.0 + t * 0.1) for t in range(400)]), ("vehicle", [(1, t * 100.0, -111.0 + t * 0.5, 0.0) for t in range(400)])):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}")
+    walker, vehicle = (spark.read.parquet(f"{tmp_path}/{name}") for name in ("walker", "vehicle"))
+    out = trajectory.encroachment(vehicle, walker, "id", "t", (), zone=2.0, cell=5.0, enter_step=10.0, exit_step=100.0, accel=3.0, top_speed=13.41,
+                                  buffer=3.0, smooth=smooth)
+    crossing = spatial._crossings(spatial.segments(vehicle, "id", "t"), spatial.segments(walker, "id", "t"), ["id"], 5.0)
+    sent = [b for df in (out, crossing) for b in broadcasts(df._jdf.queryExecution().executedPlan())]
+    assert not [b.treeString() for b in sent if below(b, "MapInPandas", "Aggregate") or below(b, "Generate", "Aggregate")]
+    assert out.count() == 1
+
+
 def test_conflict_scan_sees_standing_and_moving(spark, mode):
     own = [(1, t * 1000, float(t * 10), 0.0, 10.0) for t in range(10)] + [(2, t * 1000, 0.0, 0.0, 0.0) for t in range(10)]
     other = [(1, t * 1000, 62.0, 20.0 - t * 2) for t in range(10)] + [(2, t * 1000, float(20 - t * 4), 0.0) for t in range(10)]
