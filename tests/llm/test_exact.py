@@ -6,10 +6,11 @@ import zlib
 
 import brute
 import compare
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from roadlog.llm import decontaminate, graph, lines, lm, mixing, mjpeg, pii, queries, rlz, secrets, simhash
+from roadlog.llm import boosting, decontaminate, graph, lines, lm, mixing, mjpeg, pii, queries, rlz, secrets, simhash
 from roadlog.llm.common import cut
 
 SF = "/root/testdata/sf0.001"
@@ -283,6 +284,33 @@ def test_trees_find_what_the_checks_do_not_see(spark):
     assert cleaned[at] == rows[at][1][:s] + f"<{'spelled' if '[at]' in rows[at][1] else 'digits'}>" + rows[at][1][e:]
 
 
+def test_every_sure_example_is_learned_from(spark):
+    """More than 30 000 examples, 24 of them of a rare shape: all count, so the shape is known."""
+    rng = random.Random(11)
+    number = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    texts = [", ".join(f"+1 ({number(3)}) 555-{number(4)}" for _ in range(100)) for _ in range(152)]
+    texts += [f"call +{rng.randint(10, 99)} {number(2)} {number(6)} now" for _ in range(24)] + ["on 2024-01-05 and 2024-02-06"] * 4
+    model = pii.fit(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4))
+    assert {"1:1 (3) 3-4", "1:(3) 3-4", "1:2 2 6", "1:2 6"} == model.shapes
+
+
+def test_trees_do_not_depend_on_parts(spark, monkeypatch):
+    """Passes over many parts of the rows give the trees of one part, and bounds are those of the rows one by one."""
+    rng = np.random.default_rng(3)
+    x = np.column_stack([rng.integers(0, 2, 600), rng.integers(0, 60, 600), rng.integers(0, 5, 600) ** 3])
+    hit = (x[:, 1] > 20) ^ (x[:, 2] > 8) ^ (rng.random(600) < 0.1)
+    values, times = np.unique(x[:, 1], return_counts=True)
+    assert boosting.bin_bounds(values, times, 32).tolist() == np.unique(np.quantile(x[:, 1], np.linspace(0, 1, 33)[1:-1])).tolist()
+    rows = [(" ".join(map(str, r)), bool(h), k % 4 == 0, 1 + k % 3) for k, (r, h) in enumerate(zip(x.tolist(), hit))]
+    df = spark.createDataFrame(rows, "features string, hit boolean, held boolean, n long")
+    one, left = boosting.learned(df)
+    monkeypatch.setattr(boosting, "PART", 40)
+    many, same = boosting.learned(df)
+    assert (one.base, one.trees) == (many.base, many.trees) and sorted(left.collect()) == sorted(same.collect())
+    p, weight = one.calibrate(*(np.array([float(r[c]) for r in left.collect()]) for c in ("margin", "hit", "n"))).probability(x.astype(float)), np.array([r[3] for r in rows])
+    assert ((p > 0.5) == hit).mean() > 0.85 and sum(r.n for r in left.collect()) == weight[::4].sum()
+
+
 def test_examples_do_not_give_their_check_away():
     for text, hidden in (("call +1 (415) 555-1234 now", "call 1 (415) 555-1234 now"), ("write to ann.b@mail1.example.com now", "write to ann.b at mail1 dot example dot com now")):
         (_, personal, shape, known), *_ = pii.examples(text)
