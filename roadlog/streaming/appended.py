@@ -41,7 +41,7 @@ class Stretch(InputPartition):
 
 
 class AppendedLines(DataSource):
-    """`spark.readStream.format("appended_lines")` with the options path, pattern, splitBytes and failOnDataLoss."""
+    """`spark.readStream.format("appended_lines")` with the options path (folders, * and ? in their names), pattern, splitBytes and failOnDataLoss."""
 
     @classmethod
     def name(cls) -> str:
@@ -64,7 +64,7 @@ class AppendedReader(DataSourceStreamReader):
 
     def _files(self) -> tuple[fs.FileSystem, list[fs.FileInfo]]:
         system, folder = fs.FileSystem.from_uri(self.folder)
-        found = system.get_file_info(fs.FileSelector(folder, allow_not_found=True))
+        found = [f for at in _folders(system, folder) for f in system.get_file_info(fs.FileSelector(at, allow_not_found=True))]
         return system, [f for f in found if f.is_file and fnmatch.fnmatch(f.base_name, self.pattern) and not f.base_name.startswith(("_", "."))]
 
     def initialOffset(self) -> dict:
@@ -123,6 +123,19 @@ def read_before(start: dict, end: dict) -> dict[str, int]:
     return out
 
 
+def _folders(system: fs.FileSystem, path: str) -> list[str]:
+    """The folders that a path names; in names of folders * and ? stand for any characters and for one."""
+    first, *names = path.split("/")
+    out = [first]
+    for name in names:
+        if "*" in name or "?" in name:
+            inside = [f for at in out for f in system.get_file_info(fs.FileSelector(at or "/", allow_not_found=True))]
+            out = [f.path for f in inside if f.type == fs.FileType.Directory and fnmatch.fnmatch(f.base_name, name) and not f.base_name.startswith(("_", "."))]
+        else:
+            out = [f"{at}/{name}" for at in out]
+    return out
+
+
 def _first_line(system: fs.FileSystem, path: str) -> int | None:
     """Checksum of the first line (of its first `HEAD` bytes), None while that line is not finished."""
     try:
